@@ -53,7 +53,9 @@ class _Numbers(dict):
 def _coder(pattern: str, n_buckets: int):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        import zstandard
 
+        press = zstandard.ZstdCompressor(level=9).compress
         cut, numbers = regex.compile(pattern), shared.block_number()
         for group in shared.blocks(batches, 1, BLOCK_BYTES):
             seen, flat, counts, ids = _Numbers(), [], [], []
@@ -64,15 +66,16 @@ def _coder(pattern: str, n_buckets: int):
                     counts.append(len(found))
                     flat.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
             words = [w.encode() for w in seen]
-            bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int32, len(words))
-            order = np.argsort(bucket, kind="stable")
+            bucket_of = [zlib.crc32(w) % n_buckets for w in words]
+            bucket = np.array(bucket_of, np.int32)
+            order = np.array(sorted(range(len(words)), key=lambda i: (bucket_of[i], words[i])), np.int64)  # neighbours share beginnings
             number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words), dtype=np.uint32)
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             codes = number[np.concatenate(flat)] if words else np.zeros(0, np.uint32)
             planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
             lists = [
-                {"bucket": b, "list": shared.pack_lists([words[i] for i in order[edges[b] : edges[b + 1]]])}
+                {"bucket": b, "list": press(shared.pack_lists([words[i] for i in order[edges[b] : edges[b + 1]]]))}
                 for b in range(n_buckets)
                 if edges[b] < edges[b + 1]
             ]
@@ -95,7 +98,9 @@ def _coder(pattern: str, n_buckets: int):
 def _encoder(ranks, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        import zstandard
 
+        press, unpress = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
         encode_one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         known: dict[bytes, bytes] = {}
         bucket_now = None
@@ -107,19 +112,22 @@ def _encoder(ranks, pattern: str):
                     known.clear()
                     bucket_now = b
                 got = []
-                for word in shared.unpack_lists(blob):
+                for word in shared.unpack_lists(unpress(blob)):
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = np.array(encode_one(word.decode()), "<u4").tobytes()
                     got.append(ids)
-                out.append(shared.pack_lists(got))
+                out.append(press(shared.pack_lists(got)))
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
     return encode
 
 
 def _assemble(key, coded: pa.Table, encoded: pa.Table) -> pa.Table:
-    lists = dict(zip(encoded.column("bucket").to_pylist(), encoded.column("ids").to_pylist(), strict=True))
+    import zstandard
+
+    unpress = zstandard.ZstdDecompressor().decompress
+    lists = dict(zip(encoded.column("bucket").to_pylist(), map(unpress, encoded.column("ids").to_pylist()), strict=True))
     out = [pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))]
     sizes, data = [], []
     for b in sorted(lists):

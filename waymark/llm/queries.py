@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
-from .shared import table
+from .shared import scratch_path, table
+
+
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packed_ids
+
+    ship(spark)
+    return packed_ids.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "packed-ids"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +28,24 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    ship(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    ship(spark)
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packed_ids": op5_packed_ids,
     "op7_byte_level_bpe": op7_byte_level_bpe,
+    "op8_warc_transactions": op8_warc_transactions,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 ORACLE_SQL: dict[str, str] = {}

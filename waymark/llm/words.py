@@ -46,7 +46,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def gapped(words: np.ndarray, offsets: list[int], seed: int) -> np.ndarray:
     """A hash of the words at each start plus the offsets; starts too near the end are left out."""
     n = len(words) - max(offsets)
-    total = np.full(max(n, 0), np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    total = np.full(max(n, 0), seed * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     if n > 0:
         for at, factor in zip(offsets, odd_constants(seed, len(offsets)), strict=True):
             total += words[at : at + n] * factor
