@@ -7,9 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
+from . import line_frequency, perspectives
 from .shared import scratch_path, table
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ordinal
+
+    ship(spark)
+    return ordinal.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +35,13 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "packed-ids"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import page_text
+
+    ship(spark)
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,9 +66,16 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_quality": op1_ordinal_quality,
+    "op3_perspective_rotation": op3_perspective_rotation,
+    "op4_line_frequency": op4_line_frequency,
     "op5_packed_ids": op5_packed_ids,
+    "op6_site_templates": op6_site_templates,
     "op7_byte_level_bpe": op7_byte_level_bpe,
     "op8_warc_transactions": op8_warc_transactions,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_perspective_rotation": perspectives.SQL,
+    "op4_line_frequency": line_frequency.SQL,
+}
