@@ -58,6 +58,13 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    ship(spark)
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_site_templates": op6_site_templates,
     "op7_byte_level_bpe": op7_byte_level_bpe,
     "op8_warc_transactions": op8_warc_transactions,
+    "op9_suffix_repeats": op9_suffix_repeats,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -127,3 +127,40 @@ def block_number() -> Iterator[int]:
     while True:
         yield at
         at += 1
+
+
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Columns of one length as a compressed blob, byte by byte place so that like bytes lie together."""
+    import zstandard
+
+    head = f"{len(columns[0])} {' '.join(c.dtype.str for c in columns)}\n".encode()
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor().compress(head + b"".join(planes))
+
+
+def unpack_columns(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    head, _, _ = raw.partition(b"\n")
+    n, *kinds = head.decode().split()
+    at, out = len(head) + 1, []
+    for kind in map(np.dtype, kinds):
+        planes = np.frombuffer(raw, np.uint8, int(n) * kind.itemsize, at).reshape(kind.itemsize, int(n))
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += int(n) * kind.itemsize
+    return out
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """(key, its rows) of batches that come sorted by the key."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row[key] != now and rows:
+                yield now, rows
+                rows = []
+            now = row[key]
+            rows.append(row)
+    if rows:
+        yield now, rows
