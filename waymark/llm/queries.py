@@ -18,6 +18,13 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    ship(spark)
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
@@ -74,6 +81,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op4_line_frequency": op4_line_frequency,
     "op5_packed_ids": op5_packed_ids,
