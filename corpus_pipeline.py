@@ -1,10 +1,77 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again as the next one's input.
+
+1. quality: the ordinal classifier is fitted on the labels; documents that it rejects go.
+2. near_duplicates: of each component of documents alike in at least 80 % of their five-word shingles the one with the least id stays.
+3. repeats: byte strings of 100 bytes that start earlier in the corpus are cut out of the texts (characters cut in two go as well).
+4. decontamination: documents that hold benchmark passages go.
+5. tokens: byte-level BPE of what is left, with digests of ids and decoded bytes.
+
+No stage fails on nulls, empty texts or repeated rows; each operator's module says what it does with them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark import ship
+from waymark.llm import bpe, decontaminate, jaccard_join, ordinal, repeats, shared
+
+
+def _begin(spark: SparkSession) -> None:
+    """The stages before have been written by now: their scratch tables can go."""
+    ship(spark)
+    shared.release(spark)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
+    model = ordinal.train(docs, shared.table(spark, sf_dir, "labels"))
+    return ordinal.predict(docs, model).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
+    return jaccard_join.first_of_each(docs, shingle=5, least=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
+    found = repeats.deduplicate(docs)
+    whole = F.translate(F.make_valid_utf8(F.col("kept_bytes").cast("string")), "�", "")
+    text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
+    return decontaminate.clean(docs, shared.table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    _begin(spark)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeats", cut_repeats),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
+
+#: Training, components and token merges are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared.scratch_path(spark, f"pipeline-{name}", owned=False)
+        done = stage(spark, docs, sf_dir)
+        done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+    return docs

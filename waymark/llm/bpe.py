@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: A space that does not start a pre-token of its own: texts with one are cut by the pattern itself.
 ODD_SPACE = re.compile(r"\s (?=\s|\Z)")
 CODED = "block long, doc_ids array<long>, counts array<int>, codes binary, words array<struct<bucket:int,list:binary>>"
@@ -161,7 +160,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """(doc_id long, ids array<int>), one row per input row."""
     spark: SparkSession = docs.sparkSession
     n = shared.shuffle_partitions(spark)
-    name = f"waymark_bpe_{uuid.uuid4().hex}"
+    name = shared.scratch_table("bpe")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows.mapInArrow(_coder(pattern, 2 * n), CODED).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
     coded = spark.table(name)

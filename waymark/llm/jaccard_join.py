@@ -1,6 +1,6 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document's set holds its distinct SHINGLE-word shingles (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer words, the whole
+A document's set holds its distinct shingles of SHINGLE (a parameter) words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer words, the whole
 sequence as one). Two link when 100 * |both| >= LEAST * |either|; components follow the links. For a set of n, a linked
 partner lacks at most m = n - ceil(LEAST n / 100) of its shingles, so under any global order of all shingles
 
@@ -23,7 +23,6 @@ repeated with one id and text are one document, each with its row in the result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +38,12 @@ BLOCK = 4 << 20
 SECOND_ORDER = np.uint64(0x5851F42D4C957F2D)
 
 
-def missing(n):
-    """The most shingles of a set of n that a linked partner lacks: n - ceil(LEAST n / 100)."""
-    return (100 - LEAST) * n // 100
+def missing(n, least: int):
+    """The most shingles of a set of n that a linked partner lacks: n - ceil(least n / 100)."""
+    return (100 - least) * n // 100
 
 
-def sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+def sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     flat, counts = words.hashed(column)
     grams = words.gapped(flat, list(range(shingle)), 77)
@@ -72,7 +71,7 @@ def beginnings(tokens: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[:count], np.partition(other, count - 1)[:count] if count < len(other) else other
 
 
-def ask_counts(n_buckets: int):
+def ask_counts(n_buckets: int, shingle: int, least: int):
     """(bucket, block, kind, blob): kinds 0 and 1 beginnings under an order, kind 2 the block's documents."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +80,13 @@ def ask_counts(n_buckets: int):
             ids, found = [], []
             for batch in group:
                 ids += batch.column(0).to_pylist()
-                found += sets(batch.column(1))
+                found += sets(batch.column(1), shingle)
             block, rows = next(numbers), []
             prints = np.array([fingerprint(t) for t in found], np.int64).reshape(-1, 2)
             sizes = np.array([len(t) for t in found], np.int64)
             names = shared.pack_columns(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), sizes, prints[:, 0].copy(), prints[:, 1].copy())
             rows.append((block % n_buckets, block, 2, names))
-            begun = [beginnings(t, 2 * missing(len(t)) + 1) if len(t) and i is not None else (t[:0], t[:0]) for i, t in zip(ids, found, strict=True)]
+            begun = [beginnings(t, 2 * missing(len(t), least) + 1) if len(t) and i is not None else (t[:0], t[:0]) for i, t in zip(ids, found, strict=True)]
             for kind in (0, 1):
                 value = np.concatenate([b[kind] for b in begun])
                 owner = np.repeat(np.arange(len(begun)), [len(b[kind]) for b in begun])
@@ -126,22 +125,26 @@ def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 2000], strict=True), kinds, strict=True)], ["block", "kind", "blob"])
 
 
-def judge(table: pa.Table) -> pa.Table:
+def judge(least: int):
     """Of one block: doc_id, n, the fingerprint, and whether both orders let the document stay."""
-    rows = table.to_pylist()
-    ids, null, n, first, second = shared.unpack_columns(next(r["blob"] for r in rows if r["kind"] == 2))
-    stays = (n > 0) & ~null
-    for kind in (0, 1):
-        total = np.zeros(len(n), np.int64)
-        for r in rows:
-            if r["kind"] == kind:
-                own, count = shared.unpack_columns(r["blob"])
-                total[own] += count
-        stays &= total >= missing(n) + 1
-    return pa.Table.from_arrays([pa.array(ids, mask=null), pa.array(n), pa.array(first), pa.array(second), pa.array(stays)], ["doc_id", "n", "print1", "print2", "stays"])
-
-
-def list_sets(n_buckets: int):
+
+    def of_block(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        ids, null, n, first, second = shared.unpack_columns(next(r["blob"] for r in rows if r["kind"] == 2))
+        stays = (n > 0) & ~null
+        for kind in (0, 1):
+            total = np.zeros(len(n), np.int64)
+            for r in rows:
+                if r["kind"] == kind:
+                    own, count = shared.unpack_columns(r["blob"])
+                    total[own] += count
+            stays &= total >= missing(n, least) + 1
+        return pa.Table.from_arrays([pa.array(ids, mask=null), pa.array(n), pa.array(first), pa.array(second), pa.array(stays)], ["doc_id", "n", "print1", "print2", "stays"])
+
+    return of_block
+
+
+def list_sets(n_buckets: int, shingle: int):
     """A row per block of documents: their sets, and the sets' hashes dealt into buckets."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,7 @@ def list_sets(n_buckets: int):
         for group in shared.blocks(batches, 1, 2 * BLOCK):
             ids, found = [], []
             for batch in group:
-                for i, tokens, wanted in zip(batch.column(0).to_pylist(), sets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for i, tokens, wanted in zip(batch.column(0).to_pylist(), sets(batch.column(1), shingle), batch.column(2).to_pylist(), strict=True):
                     if fingerprint(tokens)[0] == wanted:  # another text under the same id is another document
                         ids.append(i)
                         found.append(tokens)
@@ -190,7 +193,7 @@ def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 CANDIDATE = "doc_id long, n int, alone int, prefix array<long>, second array<long>, third array<long>, tokens binary"
 
 
-def order_sets(n_buckets: int):
+def order_sets(n_buckets: int, least: int):
     """Documents whose prefixes hold shared shingles under all three orders; `prefix` is the rarest-first one without shingles that stand alone."""
 
     def order(key, block: pa.Table, counts: pa.Table) -> pa.Table:
@@ -207,7 +210,7 @@ def order_sets(n_buckets: int):
                 start, end = end, end + n
                 tokens, own = value[start:end], df[start:end]
                 met = own > 1
-                alone, m = n - int(met.sum()), missing(n)
+                alone, m = n - int(met.sum()), missing(n, least)
                 if alone > m:
                     continue
                 other = words.mixed(tokens ^ SECOND_ORDER)
@@ -227,24 +230,24 @@ def order_sets(n_buckets: int):
     return order
 
 
-def candidates(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, n: int, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(every document: doc_id, n, fingerprint, stays; the documents that can have links, with their prefixes and sets)."""
-    found = docs.mapInArrow(ask_counts(2 * n), "bucket int, block long, kind int, blob binary")
+    found = docs.mapInArrow(ask_counts(2 * n, shingle, least), "bucket int, block long, kind int, blob binary")
     counted = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count_shared, "block long, kind int, blob binary")
-    all_sets = shared.stage(counted.groupBy("block").applyInArrow(judge, "doc_id long, n long, print1 long, print2 long, stays boolean"), "sets")
+    all_sets = shared.stage(counted.groupBy("block").applyInArrow(judge(least), "doc_id long, n long, print1 long, print2 long, stays boolean"), "sets")
     first = shared.stage(all_sets.where("stays").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("_id")).select("_id", F.col("print1").alias("_print")), "set-classes")
     texts = docs.join(shared.checked_broadcast(first), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_print")
-    name = f"waymark_sets_{uuid.uuid4().hex}"
+    name = shared.scratch_table("sets")
     built = "block long, doc_ids array<long>, counts array<int>, tokens binary, lists array<struct<bucket:int,list:binary>>"
-    texts.mapInArrow(list_sets(2 * n), built).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
+    texts.mapInArrow(list_sets(2 * n, shingle), built).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
     listed = docs.sparkSession.table(name)
     asked = listed.select("block", F.explode("lists").alias("l")).select("block", "l.bucket", "l.list")
     df = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count_documents, "block long, bucket int, df binary")
-    ordered = listed.drop("lists").groupBy("block").cogroup(df.groupBy("block")).applyInArrow(order_sets(2 * n), CANDIDATE)
+    ordered = listed.drop("lists").groupBy("block").cogroup(df.groupBy("block")).applyInArrow(order_sets(2 * n, least), CANDIDATE)
     return all_sets, shared.stage(ordered, "ordered-sets")
 
 
-def verified(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets_: DataFrame, least: int) -> DataFrame:
     """Of candidate pairs x, y those that overlap under the other two orders and link."""
     side = lambda s: sets_.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "second", "third", "tokens")])
     both = pairs.join(side("x"), F.col("x") == F.col("x_doc_id")).join(side("y"), F.col("y") == F.col("y_doc_id"))
@@ -255,7 +258,7 @@ def verified(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
             x, y, n_x, n_y, t_x, t_y = (batch.column(i) for i in range(6))
             n_x, n_y = np.asarray(n_x, np.int64), np.asarray(n_y, np.int64)
             common = np.array([len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), True)) for a, b in zip(t_x.to_pylist(), t_y.to_pylist(), strict=True)], np.int64)
-            linked = pa.array(100 * common >= LEAST * (n_x + n_y - common))
+            linked = pa.array(100 * common >= least * (n_x + n_y - common))
             yield pa.RecordBatch.from_arrays([x.filter(linked), y.filter(linked)], ["x", "y"])
 
     return both.select("x", "y", "x_n", "y_n", "x_tokens", "y_tokens").mapInArrow(verify, "x long, y long")
@@ -266,41 +269,51 @@ def bound(s: str) -> Column:
     return F.col(f"{s}_n") - F.col(f"{s}_alone") - F.col(f"{s}_at")
 
 
-def can_link() -> Column:
+def can_link(least: int) -> Column:
     most = F.least(bound("x"), bound("y"))
-    return 100 * most >= LEAST * (F.col("x_n") + F.col("y_n") - most)
+    return 100 * most >= least * (F.col("x_n") + F.col("y_n") - most)
 
 
-def links(sets_: DataFrame) -> DataFrame:
+def links(sets_: DataFrame, least: int) -> DataFrame:
     """Links x, y that connect every component (not all pairs of it)."""
     rows = sets_.select("doc_id", "n", "alone", F.posexplode("prefix").alias("at", "token"))
     lists = rows.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("doc_id"), F.col("n"))).alias("centre")).where("members > 1")
     # every member with its list's most central document
     star = rows.join(lists, "token").where("doc_id <> centre.doc_id")
-    star = star.where((100 * F.least("n", "centre.n") >= LEAST * F.greatest("n", "centre.n")))
+    star = star.where((100 * F.least("n", "centre.n") >= least * F.greatest("n", "centre.n")))
     star = shared.stage(star.select(F.least("doc_id", "centre.doc_id").alias("x"), F.greatest("doc_id", "centre.doc_id").alias("y")).distinct(), "star-pairs")
-    first = shared.stage(verified(star, sets_), "star-links")
+    first = shared.stage(verified(star, sets_, least), "star-links")
     labels = connected(first)
     # what the stars have not connected: pairs of one list in different components, not tried before
     labelled = rows.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "alone", "at", F.coalesce("component", "doc_id").alias("component"))
     open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     mixed_ = shared.stage(labelled.join(open_, "token", "left_semi"), "open-lists")
     side = lambda s: mixed_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "alone", "at", "component")])
-    pairs = side("x").join(side("y"), "token").where((F.col("x_component") < F.col("y_component")) & can_link())
+    pairs = side("x").join(side("y"), "token").where((F.col("x_component") < F.col("y_component")) & can_link(least))
     pairs = pairs.select(F.least("x_doc_id", "y_doc_id").alias("x"), F.greatest("x_doc_id", "y_doc_id").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
-    second = verified(shared.stage(pairs, "open-pairs"), sets_)
+    second = verified(shared.stage(pairs, "open-pairs"), sets_, least)
     return first.union(shared.stage(second, "open-links"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
     n = shared.shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    all_sets, sets_ = candidates(rows, n)
-    labels = connected(links(sets_))
+    all_sets, sets_ = candidates(rows, n, shingle, least)
+    labels = connected(links(sets_, least))
     classes = all_sets.where("stays").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("first"))
     classes = classes.join(labels, F.col("first") == F.col("node"), "left").select(
         F.col("print1").alias("_print1"), F.col("print2").alias("_print2"), F.col("n").alias("_n"), F.coalesce("component", "first").alias("component")
     )
     same = (F.col("print1") == F.col("_print1")) & (F.col("print2") == F.col("_print2")) & (F.col("n") == F.col("_n")) & F.col("stays")
     return all_sets.join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """The documents, all columns, with the least id of each component; rows with null ids or empty sets stay; of rows with one id one stays."""
+    found = components(docs.select("doc_id", "text"), shingle, least).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stays")).agg(F.count("*").alias("_rows"))
+    found = shared.stage(found, "firsts")
+    kept = docs.join(shared.checked_broadcast(found.select("_stays")), F.col("doc_id") == F.col("_stays"), "left_semi")
+    if found.where("_rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

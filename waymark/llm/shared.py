@@ -34,8 +34,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+#: Scratch folders and tables of this driver that `release` may delete.
+_SCRATCH: list[str] = []
+_TABLES: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str, owned: bool = True) -> str:
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if owned:
+        _SCRATCH.append(path)
+    return path
+
+
+def scratch_table(label: str) -> str:
+    _TABLES.append(f"waymark_{label}_{uuid.uuid4().hex}")
+    return _TABLES[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch folders and tables made so far; for callers whose results are written elsewhere by now."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
