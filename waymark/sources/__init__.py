@@ -1 +1,113 @@
+"""Readers and writers of task sets, trajectory trees and texts."""
 
+from __future__ import annotations
+
+import json
+import os
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import hit_file, step_number
+from ..schemas import TRAJECTORY
+
+
+def read_split(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:
+    """A named data set's split, as `write_splits` lays it out."""
+    return spark.read.parquet(f"{root}/{dataset.replace('/', '__')}_{split}")
+
+
+def write_splits(df: DataFrame, root: str, dataset: str, split: str, part_col: str = "split") -> str:
+    """train and validation under ``<root>/<dataset>_<split>/``."""
+    folder = f"{root}/{dataset.replace('/', '__')}_{split}"
+    for part in ("train", "validation"):
+        df.where(F.col(part_col) == part).drop(part_col).write.mode("overwrite").parquet(f"{folder}/{part}.parquet")
+    return folder
+
+
+def read_trajectories(spark: SparkSession, root: str) -> DataFrame:
+    """A tree ``step_N/phase/<id>.json``: step, phase, id and the document. Files of other names and folders are not
+    read; unreadable documents are dropped. The schema is given, so nothing is scanned for it."""
+    schema = f"{TRAJECTORY}, _corrupt string"
+    found = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/step_*/*/*.json")
+    path = F.split(F.col("_metadata.file_path"), "/")
+    placed = found.withColumn("_path", path).where(F.col("_corrupt").isNull())
+    return placed.select(
+        step_number(F.element_at("_path", -3)).alias("step"),
+        F.element_at("_path", -2).alias("phase"),
+        F.regexp_replace(F.element_at("_path", -1), r"\.json$", "").alias("id"),
+        *[c for c in found.columns if c != "_corrupt"],
+    )
+
+
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+
+
+def write_trajectories(df: DataFrame, root: str) -> None:
+    """One indented JSON file per row at ``step_N/phase/<instance_id>_<repetition_id>.json``, and an ``.error`` text
+    where `error` is set. root is a folder that all executors share, of any file system that pyarrow knows."""
+    names = [c for c in df.columns if c not in ("step", "phase", "repetition_id", "error")]
+
+    def save(rows: Iterator[Row]) -> None:
+        store, base = _filesystem(root)
+        for row in rows:
+            folder = f"{base}/step_{row['step']}/{row['phase']}"
+            store.create_dir(folder, recursive=True)
+            stem = f"{folder}/{row['instance_id']}_{row['repetition_id']}"
+            if row["error"] is not None:
+                with store.open_output_stream(f"{stem}.error") as out:
+                    out.write(row["error"].encode())
+                continue
+            with store.open_output_stream(f"{stem}.json") as out:
+                out.write(json.dumps({n: json.loads(row["_json"]).get(n) for n in names}, indent=2, ensure_ascii=False).encode())
+
+    df.withColumn("_json", F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).foreachPartition(save)
+
+
+def write_errors(df: DataFrame, path: str) -> None:
+    df.where("error is not null").select("error").write.mode("overwrite").text(path)
+
+
+def write_report_csv(report: DataFrame, path: str, *order: str) -> None:
+    """One CSV file with a header; sorted first, as a report is read from the top."""
+    report.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_events_jsonl(events: DataFrame, path: str) -> None:
+    events.write.mode("overwrite").json(path)
+
+
+def search_lines(files: DataFrame, pattern: str, include: str | None = None, limit: int = 100) -> DataFrame:
+    """files (path, content) to the first hits path, line, text in order, as a top-k."""
+    chosen = files if include is None else files.where(F.regexp_extract("path", "[^/]*$", 0).like(include.replace("_", r"\_").replace("*", "%").replace("?", "_")))
+    lines = chosen.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text")).where(F.col("text").rlike(pattern))
+    return lines.select("path", (F.col("i") + 1).alias("line"), "text").orderBy("path", "line").limit(limit)
+
+
+def read_texts(spark: SparkSession, glob: str) -> DataFrame:
+    """path, content of whole text files."""
+    return spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def hit_files(hits: DataFrame, line_col: str = "hit") -> DataFrame:
+    """One row: the sorted distinct files of ``path:line:text`` hits, their number, and a display of the first 20."""
+    sets = hits.agg(F.array_sort(F.collect_set(hit_file(F.col(line_col)))).alias("files"))
+    return sets.select("files", F.size("files").alias("n_files"), display(F.col("files"), 20).alias("display"))
+
+
+def display(items, cap: int):
+    """The first items, one a line, and an ellipsis if there are more."""
+    return F.concat(F.concat_ws("\n", F.slice(items, 1, cap)), F.when(F.size(items) > cap, F.lit("\n...")).otherwise(F.lit("")))
+
+
+def list_directory(spark: SparkSession, root: str) -> DataFrame:
+    """One row on a folder's files: n_files, n_python (of all depths), the first ten paths."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    first = found.orderBy("path").limit(10).agg(F.array_sort(F.collect_list("path")).alias("first"))
+    return found.agg(F.count("*").alias("n_files"), F.count_if(F.col("path").endswith(".py")).alias("n_python")).crossJoin(first)  # one row each
