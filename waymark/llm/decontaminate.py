@@ -147,13 +147,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, without those that leak (a null document id goes with any leaking null id)."""
-    found = shared.stage(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")), "leaks")
-    return docs.join(shared.checked_broadcast(found), F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    found = shared.stage(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaking")), "leaks")
+    return docs.join(shared.checked_broadcast(found), F.col("doc_id").eqNullSafe(F.col("__leaking")), "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document: doc_id, contaminated, n_items, first_item, n_agreeing."""
-    found = shared.stage(leaks(docs, benchmark).withColumnRenamed("doc_id", "_leaking"), "leaks")
-    joined = docs.select("doc_id").join(shared.checked_broadcast(found), F.col("doc_id").eqNullSafe(F.col("_leaking")), "left")
+    found = shared.stage(leaks(docs, benchmark).withColumnRenamed("doc_id", "__leaking"), "leaks")
+    joined = docs.select("doc_id").join(shared.checked_broadcast(found), F.col("doc_id").eqNullSafe(F.col("__leaking")), "left")
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), zero("n_items"), "first_item", zero("n_agreeing"))

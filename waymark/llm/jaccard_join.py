@@ -311,9 +311,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_c
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """The documents, all columns, with the least id of each component; rows with null ids or empty sets stay; of rows with one id one stays."""
-    found = components(docs.select("doc_id", "text"), shingle, least).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stays")).agg(F.count("*").alias("_rows"))
+    found = components(docs.select("doc_id", "text"), shingle, least).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stays")).agg(F.count("*").alias("_rows"))
     found = shared.stage(found, "firsts")
-    kept = docs.join(shared.checked_broadcast(found.select("_stays")), F.col("doc_id") == F.col("_stays"), "left_semi")
+    kept = docs.join(shared.checked_broadcast(found.select("__stays")), F.col("doc_id") == F.col("__stays"), "left_semi")
     if found.where("_rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -42,26 +42,26 @@ def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     optimiser does not merge the steps and compute them again for every element.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.withColumn("_text", text).withColumn("_word_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
-    size, grams = F.size("_word_hashes"), F.col("_word_hashes")
+    kept = docs.withColumn("__lf_text", text).withColumn("__lf_word_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
+    size, grams = F.size("__lf_word_hashes"), F.col("__lf_word_hashes")
     windows = F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(grams, i, WINDOW)))
-    kept = kept.withColumn("_n", size).withColumn("_windows", F.when(size >= WINDOW, windows))
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    kept = kept.withColumn("_placed", F.when(repeated, placed))
-    same = lambda p, k: F.coalesce(F.get("_placed", k)["h"] == p["h"], F.lit(False))
+    kept = kept.withColumn("__lf_n", size).withColumn("__lf_windows", F.when(size >= WINDOW, windows))
+    repeated = F.size(F.array_distinct("__lf_windows")) < F.size("__lf_windows")
+    placed = F.array_sort(F.transform("__lf_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    kept = kept.withColumn("__lf_placed", F.when(repeated, placed))
+    same = lambda p, k: F.coalesce(F.get("__lf_placed", k)["h"] == p["h"], F.lit(False))
     either = lambda p, k: same(p, k - 1) | same(p, k + 1)
-    kept = kept.withColumn("_starts", F.array_sort(F.transform(F.filter("_placed", either), lambda p: p["i"])))
-    covered = F.transform("_starts", lambda at, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", k + 1) - at, F.lit(WINDOW))))
+    kept = kept.withColumn("__lf_starts", F.array_sort(F.transform(F.filter("__lf_placed", either), lambda p: p["i"])))
+    covered = F.transform("__lf_starts", lambda at, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__lf_starts", k + 1) - at, F.lit(WINDOW))))
     n_repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
-    lines = F.filter(F.split("_text", "\n"), lambda line: no_space(line) != "")
-    kept = kept.withColumn("_lines", lines).withColumn("n_repeat_words", n_repeat)
+    lines = F.filter(F.split("__lf_text", "\n"), lambda line: no_space(line) != "")
+    kept = kept.withColumn("__lf_lines", lines).withColumn("n_repeat_words", n_repeat)
     out = kept.select(
         *[c for c in docs.columns if c not in METRICS],
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(no_space(F.col("_text"))).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.col("__lf_n").cast("long").alias("n_words"),
+        F.length(no_space(F.col("__lf_text"))).cast("long").alias("word_chars"),
+        (F.length("__lf_text") - F.length(F.translate("__lf_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.size("__lf_lines") - F.size(F.array_distinct("__lf_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -81,18 +81,18 @@ def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> tuple
 def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """All columns of docs, the metrics, n_removed_lines, n_removed_words, kept, clean_text (without frequent lines)."""
     lines, frequent = frequent_lines(docs, max_documents)
-    frequent = frequent.select(F.col("host").alias("_host"), F.col("line").alias("_line"))
-    hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")), "left_semi")
-    removed = hit.groupBy(F.col("doc").alias("_doc")).agg(F.sum("n").alias("_n_lines"), F.sum("n_words").alias("_n_words"), F.collect_set("line").alias("_removed"))
-    rows = base_metrics(docs).join(removed, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    lost = F.least(F.coalesce("_n_words", F.lit(0)), F.col("n_words"))
-    clean = F.array_join(F.filter(F.split("text", "\n"), lambda line: (no_space(line) == "") | ~F.array_contains("_removed", line_hash(line))), "\n")
+    frequent = frequent.select(F.col("host").alias("__lf_host"), F.col("line").alias("__lf_line"))
+    hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("__lf_host")) & (F.col("line") == F.col("__lf_line")), "left_semi")
+    removed = hit.groupBy(F.col("doc").alias("__lf_doc")).agg(F.sum("n").alias("__lf_n_lines"), F.sum("n_words").alias("__lf_n_words"), F.collect_set("line").alias("__lf_removed"))
+    rows = base_metrics(docs).join(removed, F.col("doc_id").eqNullSafe(F.col("__lf_doc")), "left")
+    lost = F.least(F.coalesce("__lf_n_words", F.lit(0)), F.col("n_words"))
+    clean = F.array_join(F.filter(F.split("text", "\n"), lambda line: (no_space(line) == "") | ~F.array_contains("__lf_removed", line_hash(line))), "\n")
     return rows.select(
-        *[c for c in rows.columns if not c.startswith("_")],
-        F.coalesce("_n_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
+        *[c for c in rows.columns if not c.startswith("__lf_")],
+        F.coalesce("__lf_n_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         lost.cast("long").alias("n_removed_words"),
         (~F.col("base_failed") & (2 * (F.col("n_words") - lost) >= F.col("n_words"))).alias("kept"),
-        F.when(F.col("_removed").isNull(), F.col("text")).otherwise(clean).alias("clean_text"),
+        F.when(F.col("__lf_removed").isNull(), F.col("text")).otherwise(clean).alias("clean_text"),
     )
 
 

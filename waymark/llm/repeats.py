@@ -333,19 +333,19 @@ def compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_doc", F.col(id_col).cast("long")).withColumn("_mark", F.xxhash64(text_col))
+    return docs.withColumn("__rp_doc", F.col(id_col).cast("long")).withColumn("__rp_mark", F.xxhash64(text_col))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark (hash of the text), ranges array<binary>): the windows to remove, of documents that have any."""
     n = shared.shuffle_partitions(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col).select("_doc", "_mark", F.col(text_col).alias("_text"))
+    rows = keyed(docs, id_col, text_col).select("__rp_doc", "__rp_mark", F.col(text_col).alias("__rp_text"))
     found = rows.mapInArrow(find_anchors(2 * n), "bucket int, block long, kind int, blob binary")
     compared = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare_anchors, "block long, kind int, blob binary")
     marks = shared.stage(compared.groupBy("block").applyInArrow(per_document, "doc_id long, mark long, removed binary, compare binary"), "repeat-marks")
     asked = marks.where("compare is not null").select("doc_id", "mark", "compare")
     texts = narrowed(rows, shared.stage(asked.select("doc_id", "mark").distinct(), "repeat-asked"))
-    contexts = texts.join(asked, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark"))).select("_doc", "_mark", "_text", "compare")
+    contexts = texts.join(asked, F.col("__rp_doc").eqNullSafe(F.col("doc_id")) & (F.col("__rp_mark") == F.col("mark"))).select("__rp_doc", "__rp_mark", "__rp_text", "compare")
     dealt = contexts.mapInArrow(cut_contexts(2 * n), "bucket int, columns binary, bytes binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     more = dealt.mapInArrow(compare_contexts, "doc_id long, mark long, start long, stop long")
     more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("pairs"), F.lit(None).cast("array<binary>").alias("removed"))
@@ -357,7 +357,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def narrowed(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Only rows with these keys, if the keys are few enough to broadcast: the join after it then shuffles their texts alone."""
     few = keys.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS
-    return rows.join(F.broadcast(keys), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark")), "left_semi") if few else rows
+    return rows.join(F.broadcast(keys), F.col("__rp_doc").eqNullSafe(F.col("doc_id")) & (F.col("__rp_mark") == F.col("mark")), "left_semi") if few else rows
 
 
 def removed_ranges(pairs, blobs, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -373,11 +373,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """All columns of docs (but of these names), n_bytes, n_removed, n_spans, kept_bytes."""
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     names = [c for c in docs.columns if c not in added]
-    found = removals(docs, id_col, text_col)
+    found = removals(docs, id_col, text_col).toDF("__rp_id", "__rp_hash", "__rp_pairs", "__rp_removed")
     rows = keyed(docs.select(*names), id_col, text_col)
-    same = F.col("_doc").eqNullSafe(F.col("doc_key")) & (F.col("_mark") == F.col("mark"))
-    keys = found.select(F.col("doc_id").alias("doc_key"), "mark")
-    found = found.withColumnRenamed("doc_id", "doc_key")
+    same = F.col("__rp_doc").eqNullSafe(F.col("__rp_id")) & (F.col("__rp_mark") == F.col("__rp_hash"))
+    keys = found.select("__rp_id", "__rp_hash")
     schema = type(docs.schema)([*docs.select(*names).schema.fields])
     for name, kind in zip(added, ("long", "long", "long", "binary"), strict=True):
         schema = schema.add(name, kind)
@@ -386,7 +385,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, pairs, blobs in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("pairs").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+            for text, pairs, blobs in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("__rp_pairs").to_pylist(), batch.column("__rp_removed").to_pylist(), strict=True):
                 text = text or b""
                 start, stop = removed_ranges(pairs, blobs, len(text))
                 edges = [0, *np.stack([start, stop], 1).ravel().tolist(), len(text)]
@@ -396,8 +395,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *cols], [*names, *added])
 
     if keys.limit(shared.BROADCAST_ROWS + 1).count() > shared.BROADCAST_ROWS:
-        return rows.join(found, same, "left").select(*names, "pairs", "removed").mapInArrow(cut, schema)
-    touched = rows.join(F.broadcast(keys), same, "left_semi").join(found, same).select(*names, "pairs", "removed").mapInArrow(cut, schema)
+        return rows.join(found, same, "left").select(*names, "__rp_pairs", "__rp_removed").mapInArrow(cut, schema)
+    touched = rows.join(F.broadcast(keys), same, "left_semi").join(found, same).select(*names, "__rp_pairs", "__rp_removed").mapInArrow(cut, schema)
     bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     whole = rows.join(F.broadcast(keys), same, "left_anti").select(*names, F.octet_length(bytes_).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), bytes_.alias("kept_bytes"))
     return touched.unionByName(whole)

@@ -150,7 +150,7 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
                     raw.seek(0)
                     rows: list[tuple] = []
                     held = 0
-                    for headers, links, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if packed else raw):
+                    for headers, links, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw)):
                         payload = payload_of(headers, block)
                         kind = headers.get("warc-type")
                         keep = payload if payloads or kind == "metadata" else None
