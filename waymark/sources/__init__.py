@@ -92,7 +92,7 @@ def search_lines(files: DataFrame, pattern: str, include: str | None = None, lim
 
 def read_texts(spark: SparkSession, glob: str) -> DataFrame:
     """path, content of whole text files."""
-    return spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def hit_files(hits: DataFrame, line_col: str = "hit") -> DataFrame:
