@@ -85,7 +85,7 @@ def test_search_and_listing(spark, tmp_path):
     (tmp_path / "b.txt").write_text("two")
     texts = sources.read_texts(spark, f"{tmp_path}/*")
     assert [(r.line, r.text) for r in sources.search_lines(sources.read_texts(spark, f"{tmp_path}/d/*"), "[Tt]wo", "*.py").collect()] == [(2, "Two two")]
-    assert sources.search_lines(texts, "two", "*.py").count() == 0
+    assert sources.search_lines(texts, "^two", "*.py").count() == 0
     listed = sources.list_directory(spark, str(tmp_path)).first()
     assert listed.n_files == 2 and listed.n_python == 1 and len(listed.first) == 2
     hits = spark.createDataFrame([("a.py:1:x",), ("b.py:2:y",), ("a.py:3:z",)], "hit string")
