@@ -305,6 +305,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_c
     classes = classes.join(labels, F.col("first") == F.col("node"), "left").select(
         F.col("print1").alias("_print1"), F.col("print2").alias("_print2"), F.col("n").alias("_n"), F.coalesce("component", "first").alias("component")
     )
+    classes = shared.checked_broadcast(shared.stage(classes, "class-components"))  # a table of its own: a shuffled join can split a class of many copies
     same = (F.col("print1") == F.col("_print1")) & (F.col("print2") == F.col("_print2")) & (F.col("n") == F.col("_n")) & F.col("stays")
     return all_sets.join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -35,35 +35,35 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), GAP, " ")), "[0-9]", "0"))
 
 
+def held(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs with columns that are computed once, here: the optimiser neither merges a generator's columns into later
+    expressions (where a lambda would compute an array again for every element) nor pushes filters on them below it."""
+    return docs.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
-
-    Arrays that a lambda looks into stand in a step of their own and are mentioned twice in the next, so that the
-    optimiser does not merge the steps and compute them again for every element.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.withColumn("__lf_text", text).withColumn("__lf_word_hashes", F.transform(words_of(text), lambda w: F.xxhash64(w)))
-    size, grams = F.size("__lf_word_hashes"), F.col("__lf_word_hashes")
-    windows = F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(grams, i, WINDOW)))
-    kept = kept.withColumn("__lf_n", size).withColumn("__lf_windows", F.when(size >= WINDOW, windows))
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    kept = docs.drop(*METRICS).withColumn("__lf_text", F.coalesce(F.col(text_col), F.lit("")))
+    kept = held(kept, __lf_words=F.transform(words_of(F.col("__lf_text")), lambda w: F.xxhash64(w)))
+    size = F.size("__lf_words")
+    windows = F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__lf_words", i, WINDOW)))
+    kept = held(kept, __lf_windows=F.when(size >= WINDOW, windows))
     repeated = F.size(F.array_distinct("__lf_windows")) < F.size("__lf_windows")
-    placed = F.array_sort(F.transform("__lf_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    kept = kept.withColumn("__lf_placed", F.when(repeated, placed))
+    kept = held(kept, __lf_placed=F.when(repeated, F.array_sort(F.transform("__lf_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda p, k: F.coalesce(F.get("__lf_placed", k)["h"] == p["h"], F.lit(False))
-    either = lambda p, k: same(p, k - 1) | same(p, k + 1)
-    kept = kept.withColumn("__lf_starts", F.array_sort(F.transform(F.filter("__lf_placed", either), lambda p: p["i"])))
-    covered = F.transform("__lf_starts", lambda at, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__lf_starts", k + 1) - at, F.lit(WINDOW))))
-    n_repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
+    starts = F.transform(F.filter("__lf_placed", lambda p, k: same(p, k - 1) | same(p, k + 1)), lambda p: p["i"])
     lines = F.filter(F.split("__lf_text", "\n"), lambda line: no_space(line) != "")
-    kept = kept.withColumn("__lf_lines", lines).withColumn("n_repeat_words", n_repeat)
-    out = kept.select(
-        *[c for c in docs.columns if c not in METRICS],
-        F.col("__lf_n").cast("long").alias("n_words"),
-        F.length(no_space(F.col("__lf_text"))).cast("long").alias("word_chars"),
-        (F.length("__lf_text") - F.length(F.translate("__lf_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("__lf_lines") - F.size(F.array_distinct("__lf_lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+    kept = held(kept, __lf_starts=F.array_sort(starts), __lf_lines=lines)
+    covered = F.transform("__lf_starts", lambda at, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__lf_starts", k + 1) - at, F.lit(WINDOW))))
+    counts = held(
+        kept,
+        n_words=F.size("__lf_words").cast("long"),
+        word_chars=F.length(no_space(F.col("__lf_text"))).cast("long"),
+        n_symbols=(F.length("__lf_text") - F.length(F.translate("__lf_text", "#*$%&|<>", ""))).cast("long"),
+        n_dup_lines=(F.size("__lf_lines") - F.size(F.array_distinct("__lf_lines"))).cast("long"),
+        n_repeat_words=F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"),
     )
+    out = counts.drop("__lf_text", "__lf_words", "__lf_windows", "__lf_placed", "__lf_starts", "__lf_lines")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 

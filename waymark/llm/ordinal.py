@@ -88,20 +88,26 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(slots + shapes, np.int32), np.concatenate([values, share])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model:
-    """Accelerated proximal gradient steps on the cumulative-link likelihood; thresholds stay ordered as a base and positive gaps."""
+def fit(slots: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray) -> Model:
+    """Accelerated proximal gradient steps on the cumulative-link likelihood; thresholds stay ordered.
+
+    slots and values hold the documents' features one after another, `lengths` of them each; 32-bit numbers keep the
+    sample (some ten million features) small on the driver.
+    """
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(0))
-    n = len(rows)
-    lengths = np.array([len(s) for s, _ in rows])
-    owner = np.repeat(np.arange(n), lengths)
-    slots = np.concatenate([s for s, _ in rows])
-    values = np.concatenate([v for _, v in rows]).astype(np.float64)
-    common = np.bincount(slots, minlength=DIMENSIONS)[slots] >= RARE  # what a few mentions say does not carry over
-    slots, values, owner = slots[common], values[common], owner[common]
-    used, slots = np.unique(slots, return_inverse=True)
+    n = len(lengths)
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    common = np.bincount(slots, minlength=DIMENSIONS) >= RARE  # what a few mentions say does not carry over
+    keep = common[slots]
+    slots, values, owner = slots[keep], values[keep], owner[keep]
+    del keep
+    used = np.flatnonzero(common)
+    place = np.zeros(DIMENSIONS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    slots = place[slots]
     # a square root of each column's mass evens rare and common features out
-    scale = 1 / np.sqrt(np.bincount(slots, values * values, len(used)) / n + 20 / n)
+    scale = (1 / np.sqrt(np.bincount(slots, values * values, len(used)) / n + 20 / n)).astype(np.float32)
     values = values * scale[slots]
     share = np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n
     cut = np.log((share + 1e-3) / (1 - share + 1e-3))
@@ -110,19 +116,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model:
     # the logistic's curvature is at most 1/4 (1/2 for a grade between two thresholds): power iteration bounds the step
     v = np.random.default_rng(0).normal(size=len(used))
     for _ in range(12):
-        v = np.bincount(slots, values * np.bincount(owner, values * v[slots], n)[owner], len(used)) / n
+        v = np.bincount(slots, values * np.bincount(owner, values * v.astype(np.float32)[slots], n).astype(np.float32)[owner], len(used)) / n
         norm = np.linalg.norm(v)
         v /= norm
     rate = 1 / (0.5 * norm + 0.5)
     for _ in range(STEPS):
-        score = np.bincount(owner, values * z[slots], n)
+        score = np.bincount(owner, values * z.astype(np.float32)[slots], n)
         upper = logistic(np.append(z_cut, np.inf)[grades] - score)
         lower = logistic(np.append(-np.inf, z_cut)[grades] - score)
         inside = np.maximum(upper - lower, 1e-9)
         d_upper, d_lower = upper * (1 - upper) / inside, lower * (1 - lower) / inside
         by_score = (d_upper - d_lower) / n
         g_cut = np.bincount(grades, -d_upper, GRADES)[:-1] / n + np.bincount(grades, d_lower, GRADES)[1:] / n
-        new = z - rate * np.bincount(slots, values * by_score[owner], len(used))
+        new = z - rate * np.bincount(slots, values * by_score.astype(np.float32)[owner], len(used))
         new = np.sign(new) * np.maximum(np.abs(new) - rate * PENALTY, 0)
         new_cut = z_cut - rate * g_cut
         new_cut[1:] = np.maximum.accumulate(np.maximum(new_cut[1:], new_cut[:-1] + 1e-3))
@@ -149,11 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 ["id", "grade", "slots", "values"],
             )
 
-    got = rows.mapInArrow(extract, "id long, grade int, slots array<int>, values array<float>").toArrow()
-    order = np.argsort(np.asarray(got["id"]), kind="stable")[:sample]
-    slots, values = got["slots"].combine_chunks(), got["values"].combine_chunks()
-    pairs = [(np.asarray(slots[i].values), np.asarray(values[i].values)) for i in order.tolist()]
-    return fit(pairs, np.asarray(got["grade"], dtype=np.int64)[order])
+    found = rows.mapInArrow(extract, "id long, grade int, slots array<int>, values array<float>")
+    got = found.toArrow().sort_by("id").slice(0, sample)  # `sample` rows at most
+    slots, values = (got[c].combine_chunks() for c in ("slots", "values"))
+    flat = [np.asarray(x.flatten()) for x in (slots, values)]
+    return fit(*flat, np.diff(np.asarray(slots.offsets)), np.asarray(got["grade"], dtype=np.int64))
 
 
 class WordScore(dict):
