@@ -14,13 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark import ship
 from waymark.llm import bpe, decontaminate, jaccard_join, ordinal, repeats, shared
 
 
 def _begin(spark: SparkSession) -> None:
     """The stages before have been written by now: their scratch tables can go."""
-    ship(spark)
+    shared.begin(spark)
     shared.release(spark)
 
 

@@ -162,12 +162,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     n = shared.shuffle_partitions(spark)
     name = shared.scratch_table("bpe")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.mapInArrow(_coder(pattern, 2 * n), CODED).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
+    rows.mapInArrow(shared.lean(_coder(pattern, 2 * n)), CODED).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
     coded = spark.table(name)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # bounded by the vocabulary
     lists = coded.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.list")
     encoded = (
-        lists.select("block", "bucket", "list").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks, pattern), "block long, bucket int, ids binary")
+        lists.select("block", "bucket", "list").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(_encoder(ranks, pattern)), "block long, bucket int, ids binary")
     )
     return coded.drop("words").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
@@ -190,7 +190,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: st
 
     fields = [f for f in tokens.schema.fields if f.name != out_col]
     schema = type(tokens.schema)([*fields]).add(out_col, "binary")
-    return tokens.select(*[f.name for f in fields]).mapInArrow(join, schema)
+    return tokens.select(*[f.name for f in fields]).mapInArrow(shared.lean(join), schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

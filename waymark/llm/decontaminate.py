@@ -55,7 +55,7 @@ def seeds(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text
                         )
 
     rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col))
-    return shared.stage(rows.mapInArrow(cut, SEEDS), "benchmark-seeds")
+    return shared.stage(rows.mapInArrow(shared.lean(cut), SEEDS), "benchmark-seeds")
 
 
 def bitmap(seed_rows: DataFrame) -> np.ndarray:
@@ -102,7 +102,7 @@ def hits(docs: DataFrame, seed_rows: DataFrame, id_col: str = "doc_id", text_col
                         ["hash", "doc_id", "at", "before", "near"],
                     )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(probe, HITS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(shared.lean(probe), HITS)
 
 
 def best_window(doc: np.ndarray, before: int, item: np.ndarray, at: int) -> int:
@@ -136,7 +136,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             out = [batch.column("doc_id"), batch.column("item_id"), pa.array(start), pa.array(agreeing)]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["doc_id", "item_id", "doc_start", "n_agreeing"])
 
-    verified = found.mapInArrow(verify, "doc_id long, item_id long, doc_start long, n_agreeing long")
+    verified = found.mapInArrow(shared.lean(verify), "doc_id long, item_id long, doc_start long, n_agreeing long")
     return verified.groupBy("doc_id", "item_id", "doc_start").agg(F.max("n_agreeing").alias("n_agreeing"))
 
 

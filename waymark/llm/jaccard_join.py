@@ -232,17 +232,17 @@ def order_sets(n_buckets: int, least: int):
 
 def candidates(docs: DataFrame, n: int, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(every document: doc_id, n, fingerprint, stays; the documents that can have links, with their prefixes and sets)."""
-    found = docs.mapInArrow(ask_counts(2 * n, shingle, least), "bucket int, block long, kind int, blob binary")
-    counted = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count_shared, "block long, kind int, blob binary")
+    found = docs.mapInArrow(shared.lean(ask_counts(2 * n, shingle, least)), "bucket int, block long, kind int, blob binary")
+    counted = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(count_shared), "block long, kind int, blob binary")
     all_sets = shared.stage(counted.groupBy("block").applyInArrow(judge(least), "doc_id long, n long, print1 long, print2 long, stays boolean"), "sets")
     first = shared.stage(all_sets.where("stays").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("_id")).select("_id", F.col("print1").alias("_print")), "set-classes")
     texts = docs.join(shared.checked_broadcast(first), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_print")
     name = shared.scratch_table("sets")
     built = "block long, doc_ids array<long>, counts array<int>, tokens binary, lists array<struct<bucket:int,list:binary>>"
-    texts.mapInArrow(list_sets(2 * n, shingle), built).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
+    texts.mapInArrow(shared.lean(list_sets(2 * n, shingle)), built).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
     listed = docs.sparkSession.table(name)
     asked = listed.select("block", F.explode("lists").alias("l")).select("block", "l.bucket", "l.list")
-    df = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count_documents, "block long, bucket int, df binary")
+    df = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(count_documents), "block long, bucket int, df binary")
     ordered = listed.drop("lists").groupBy("block").cogroup(df.groupBy("block")).applyInArrow(order_sets(2 * n, least), CANDIDATE)
     return all_sets, shared.stage(ordered, "ordered-sets")
 
@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, sets_: DataFrame, least: int) -> DataFrame:
             linked = pa.array(100 * common >= least * (n_x + n_y - common))
             yield pa.RecordBatch.from_arrays([x.filter(linked), y.filter(linked)], ["x", "y"])
 
-    return both.select("x", "y", "x_n", "y_n", "x_tokens", "y_tokens").mapInArrow(verify, "x long, y long")
+    return both.select("x", "y", "x_n", "y_n", "x_tokens", "y_tokens").mapInArrow(shared.lean(verify), "x long, y long")
 
 
 def bound(s: str) -> Column:

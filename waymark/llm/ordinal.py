@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ SHAPE_SCALE = 20.0
 PENALTY, STEPS = 3e-3, 120
 #: Slots with fewer mentions in the sample get no weight.
 RARE = 20
-CACHE = 700_000
+CACHE = 200_000
+#: Features that a step multiplies at once.
+CHUNK = 1 << 19
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -91,24 +94,42 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit(slots: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray) -> Model:
     """Accelerated proximal gradient steps on the cumulative-link likelihood; thresholds stay ordered.
 
-    slots and values hold the documents' features one after another, `lengths` of them each; 32-bit numbers keep the
-    sample (some ten million features) small on the driver.
+    slots and values hold the documents' features one after another, `lengths` of them each; 32-bit numbers and chunks
+    keep the sample (some ten million features) small on the driver.
     """
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(0))
     n = len(lengths)
-    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
     common = np.bincount(slots, minlength=DIMENSIONS) >= RARE  # what a few mentions say does not carry over
-    keep = common[slots]
-    slots, values, owner = slots[keep], values[keep], owner[keep]
-    del keep
     used = np.flatnonzero(common)
-    place = np.zeros(DIMENSIONS, np.int32)
+    place = np.full(DIMENSIONS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    slots = place[slots]
     # a square root of each column's mass evens rare and common features out
-    scale = (1 / np.sqrt(np.bincount(slots, values * values, len(used)) / n + 20 / n)).astype(np.float32)
-    values = values * scale[slots]
+    mass = np.bincount(slots, values * values, DIMENSIONS)[used]
+    scale = (1 / np.sqrt(mass / n + 20 / n)).astype(np.float32)
+    chunks = []
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < n:
+        first = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, first + CHUNK, "right")))
+        own = place[slots[first : ends[stop - 1]]]
+        keep = own >= 0
+        owner = np.repeat(np.arange(stop - at, dtype=np.int32), lengths[at:stop])[keep]
+        chunks.append((at, stop, owner, own[keep], values[first : ends[stop - 1]][keep] * scale[own[keep]]))
+        at = stop
+    del slots, values
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.float32)
+        return np.concatenate([np.bincount(owner, x * v[own], stop - at) for at, stop, owner, own, x in chunks])
+
+    def backward(g: np.ndarray) -> np.ndarray:
+        g, total = g.astype(np.float32), np.zeros(len(used))
+        for at, stop, owner, own, x in chunks:
+            total += np.bincount(own, x * g[at:stop][owner], len(used))
+        return total
+
     share = np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n
     cut = np.log((share + 1e-3) / (1 - share + 1e-3))
     w = np.zeros(len(used))
@@ -116,19 +137,19 @@ def fit(slots: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.n
     # the logistic's curvature is at most 1/4 (1/2 for a grade between two thresholds): power iteration bounds the step
     v = np.random.default_rng(0).normal(size=len(used))
     for _ in range(12):
-        v = np.bincount(slots, values * np.bincount(owner, values * v.astype(np.float32)[slots], n).astype(np.float32)[owner], len(used)) / n
+        v = backward(forward(v)) / n
         norm = np.linalg.norm(v)
         v /= norm
     rate = 1 / (0.5 * norm + 0.5)
     for _ in range(STEPS):
-        score = np.bincount(owner, values * z.astype(np.float32)[slots], n)
+        score = forward(z)
         upper = logistic(np.append(z_cut, np.inf)[grades] - score)
         lower = logistic(np.append(-np.inf, z_cut)[grades] - score)
         inside = np.maximum(upper - lower, 1e-9)
         d_upper, d_lower = upper * (1 - upper) / inside, lower * (1 - lower) / inside
         by_score = (d_upper - d_lower) / n
         g_cut = np.bincount(grades, -d_upper, GRADES)[:-1] / n + np.bincount(grades, d_lower, GRADES)[1:] / n
-        new = z - rate * np.bincount(slots, values * by_score.astype(np.float32)[owner], len(used))
+        new = z - rate * backward(by_score)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * PENALTY, 0)
         new_cut = z_cut - rate * g_cut
         new_cut[1:] = np.maximum.accumulate(np.maximum(new_cut[1:], new_cut[:-1] + 1e-3))
@@ -155,11 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 ["id", "grade", "slots", "values"],
             )
 
-    found = rows.mapInArrow(extract, "id long, grade int, slots array<int>, values array<float>")
-    got = found.toArrow().sort_by("id").slice(0, sample)  # `sample` rows at most
-    slots, values = (got[c].combine_chunks() for c in ("slots", "values"))
-    flat = [np.asarray(x.flatten()) for x in (slots, values)]
-    return fit(*flat, np.diff(np.asarray(slots.offsets)), np.asarray(got["grade"], dtype=np.int64))
+    found = rows.mapInArrow(shared.lean(extract), "id long, grade int, slots array<int>, values array<float>")
+    got = found.toArrow()  # `sample` rows at most, and repeated rows of theirs
+    order = pa.compute.sort_indices(got["id"])[:sample]
+    got = got.take(order)
+    lengths, grades = np.asarray(pa.compute.list_value_length(got["slots"]), dtype=np.int64), np.asarray(got["grade"], dtype=np.int64)
+    slots, values = (np.concatenate([np.asarray(x.flatten()) for x in got[c].chunks]) if len(got) else np.zeros(0, kind) for c, kind in (("slots", np.int32), ("values", np.float32)))
+    del got
+    return fit(slots, values, lengths, grades)
 
 
 class WordScore(dict):
@@ -203,7 +227,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = docs.select(*names)
     schema = type(kept.schema)([*kept.schema.fields]).add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(shared.lean(score), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ MAGIC = b"WMPACK01"
 BLOCK = 1 << 16
 #: A file is closed at the next document's end once it has so many ids.
 FILE_IDS = 32 << 20
-#: Entries of a worker's word cache before it starts anew: some hundred MB.
-CACHE = 700_000
+#: Entries of a worker's word cache before it starts anew: some ten MB.
+CACHE = 200_000
 MANIFEST = "path string, bits int, n_docs long, n_ids long"
 
 
@@ -194,7 +194,7 @@ def write(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ranged = rows.repartitionByRange(shared.shuffle_partitions(docs.sparkSession), "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    return shared.stage(ranged.mapInArrow(save, MANIFEST), "packed-manifest")
+    return shared.stage(ranged.mapInArrow(shared.lean(save), MANIFEST), "packed-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     at = rows.stop
                 packed.close()
 
-    return files.mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(shared.lean(load), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int = 2) -> DataFrame:

@@ -161,7 +161,7 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
             found = [list(subtrees(page.as_py() or "")) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "hashes"])
 
-    hashed = rows.select("page_id", host.alias("host"), "html").mapInArrow(hash_subtrees, "page_id long, host string, hashes array<long>")
+    hashed = rows.select("page_id", host.alias("host"), "html").mapInArrow(shared.lean(hash_subtrees), "page_id long, host string, hashes array<long>")
     trees = shared.stage(hashed.where(F.size("hashes") > 0), "subtrees").select("page_id", "host", F.explode("hashes").alias("hash"))
     template = trees.groupBy("host", "hash", "page_id").count().groupBy("host", "hash").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= many).select("host", "hash")
     found = trees.join(template, ["host", "hash"], "left_semi").groupBy(F.col("page_id").alias("_page")).agg(F.collect_set("hash").alias("template"))
@@ -173,4 +173,4 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     joined = rows.join(shared.checked_broadcast(found, 200_000), F.col("page_id") == F.col("_page"), "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(text, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return joined.mapInArrow(shared.lean(text), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -6,22 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .. import ship
 from . import line_frequency, perspectives
-from .shared import scratch_path, table
+from .shared import begin, scratch_path, table
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ordinal
 
-    ship(spark)
+    begin(spark)
     return ordinal.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard_join
 
-    ship(spark)
+    begin(spark)
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
@@ -38,14 +37,14 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from . import packed_ids
 
-    ship(spark)
+    begin(spark)
     return packed_ids.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "packed-ids"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import page_text
 
-    ship(spark)
+    begin(spark)
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
@@ -54,28 +53,28 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from . import bpe
 
-    ship(spark)
+    begin(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
-    ship(spark)
+    begin(spark)
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repeats
 
-    ship(spark)
+    begin(spark)
     return repeats.digests(table(spark, sf_dir, "documents"))
 
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
-    ship(spark)
+    begin(spark)
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -340,14 +340,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, mark (hash of the text), ranges array<binary>): the windows to remove, of documents that have any."""
     n = shared.shuffle_partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).select("__rp_doc", "__rp_mark", F.col(text_col).alias("__rp_text"))
-    found = rows.mapInArrow(find_anchors(2 * n), "bucket int, block long, kind int, blob binary")
-    compared = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare_anchors, "block long, kind int, blob binary")
+    found = rows.mapInArrow(shared.lean(find_anchors(2 * n)), "bucket int, block long, kind int, blob binary")
+    compared = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(compare_anchors), "block long, kind int, blob binary")
     marks = shared.stage(compared.groupBy("block").applyInArrow(per_document, "doc_id long, mark long, removed binary, compare binary"), "repeat-marks")
     asked = marks.where("compare is not null").select("doc_id", "mark", "compare")
     texts = narrowed(rows, shared.stage(asked.select("doc_id", "mark").distinct(), "repeat-asked"))
     contexts = texts.join(asked, F.col("__rp_doc").eqNullSafe(F.col("doc_id")) & (F.col("__rp_mark") == F.col("mark"))).select("__rp_doc", "__rp_mark", "__rp_text", "compare")
-    dealt = contexts.mapInArrow(cut_contexts(2 * n), "bucket int, columns binary, bytes binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    more = dealt.mapInArrow(compare_contexts, "doc_id long, mark long, start long, stop long")
+    dealt = contexts.mapInArrow(shared.lean(cut_contexts(2 * n)), "bucket int, columns binary, bytes binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    more = dealt.mapInArrow(shared.lean(compare_contexts), "doc_id long, mark long, start long, stop long")
     more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("pairs"), F.lit(None).cast("array<binary>").alias("removed"))
     whole = marks.where("removed is not null").groupBy("doc_id", "mark").agg(F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("pairs"), F.collect_set("removed").alias("removed"))
     both = whole.unionByName(more).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("pairs")).alias("pairs"), F.flatten(F.collect_list("removed")).alias("removed"))
@@ -395,8 +395,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *cols], [*names, *added])
 
     if keys.limit(shared.BROADCAST_ROWS + 1).count() > shared.BROADCAST_ROWS:
-        return rows.join(found, same, "left").select(*names, "__rp_pairs", "__rp_removed").mapInArrow(cut, schema)
-    touched = rows.join(F.broadcast(keys), same, "left_semi").join(found, same).select(*names, "__rp_pairs", "__rp_removed").mapInArrow(cut, schema)
+        return rows.join(found, same, "left").select(*names, "__rp_pairs", "__rp_removed").mapInArrow(shared.lean(cut), schema)
+    touched = rows.join(F.broadcast(keys), same, "left_semi").join(found, same).select(*names, "__rp_pairs", "__rp_removed").mapInArrow(shared.lean(cut), schema)
     bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     whole = rows.join(F.broadcast(keys), same, "left_anti").select(*names, F.octet_length(bytes_).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), bytes_.alias("kept_bytes"))
     return touched.unionByName(whole)

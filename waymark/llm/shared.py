@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -14,6 +15,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 #: The white space of the word definition `[^\x20\x09-\x0D]+`, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -21,6 +24,21 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes of one Arrow batch that a Python worker gets: by Spark's default, 10,000 whole texts come at once.
+BATCH_BYTES = 4 << 20
+
+
+def begin(spark: SparkSession) -> None:
+    """Ready a session for these operators: executors can import the package, and long texts come in small Arrow batches.
+
+    A bound that the session has set itself is left alone.
+    """
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -140,6 +158,19 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
         yield group
 
 
+def lean(step):
+    """A mapInArrow function that gives its task's freed memory back: a worker that waits for its next task holds little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def block_number() -> Iterator[int]:
     """Numbers no other task of the stage gives: the partition's number above, a counter below."""
     from pyspark import TaskContext

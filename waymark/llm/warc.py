@@ -107,7 +107,7 @@ def write(pages: DataFrame, out_uri: str, **columns: str) -> DataFrame:
         if chunks:
             yield close()
 
-    return shared.stage(with_revisits(pages, **columns).mapInArrow(save, "path string, n_captures long"), "warc-manifest")
+    return shared.stage(with_revisits(pages, **columns).mapInArrow(shared.lean(save), "path string, n_captures long"), "warc-manifest")
 
 
 def archives(spark: SparkSession, glob: str) -> DataFrame:
@@ -163,7 +163,7 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     spread = files.select("path").repartition(shared.shuffle_partitions(files.sparkSession), "path")
-    return spread.mapInArrow(load, RECORD)
+    return spread.mapInArrow(shared.lean(load), RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Entries of a worker's cache of word hashes before it starts anew.
-CACHE = 1_000_000
+CACHE = 100_000
 
 
 class WordHash(dict):
