@@ -321,6 +321,16 @@ def test_jaccard_components_equal_brute_force(spark, shingle, least):
     assert Counter(map(tuple, jaccard_join.components(clashing(docs), shingle, least).collect())) == expected
 
 
+@pytest.mark.parametrize(("shingle", "least"), [(4, 85), (5, 80)])
+def test_jaccard_links_one_word_more(spark, shingle, least):
+    rows = []
+    for n in range(shingle, 40):
+        w = [f"p{n}_{i}" for i in range(n)]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join([*w, "more"]))]
+    found = Counter(map(tuple, jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), shingle, least).collect()))
+    assert found == brute.components(rows, shingle, least)
+
+
 def test_jaccard_first_of_each(spark):
     docs = documents(spark, near_copies())
     found = brute.components([tuple(r) for r in docs.collect()])

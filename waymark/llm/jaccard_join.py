@@ -5,10 +5,11 @@ sequence as one). Two link when 100 * |both| >= LEAST * |either|; components fol
 partner lacks at most m = n - ceil(LEAST n / 100) of its shingles, so under any global order of all shingles
 
 - the first m + 1 shingles (the prefix) hold one of the partner's prefix, and
-- the first 2m + 1 hold at least m + 1 of the partner's first 2m + 1.
+- the first m + 1 that both have are among its first 2m + 1 and among the partner's first m + m' + 1 (m' the partner's m).
 
-1. Two random orders: the first 2m + 1 shingles of each are shuffled as packed hashes and counted over all documents. A
-   document stays if under both orders at least m + 1 of them are shared. Documents of equal sets become one (the least id).
+1. Two random orders: the first M + m + 1 shingles of each (M the m of the largest partner, 100 n / LEAST) are shuffled as
+   packed hashes and counted over all documents. A document stays if under both orders at least m + 1 of them are shared.
+   Documents of equal sets become one (the least id).
 2. The shingles of what stays are counted; the third order is rarest first. A document stays if at most m of its
    shingles stand alone and its prefix under each order holds a shared one. Common passages come last in this order.
 3. Candidates share a prefix shingle of the third order (with the positional bound on what can still be common) and
@@ -43,6 +44,11 @@ def missing(n, least: int):
     return (100 - least) * n // 100
 
 
+def n_sent(n, least: int):
+    """How many first shingles of a set of n hold those that a partner of any size must find in it."""
+    return missing(100 * n // least, least) + missing(n, least) + 1
+
+
 def sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     flat, counts = words.hashed(column)
@@ -86,7 +92,7 @@ def ask_counts(n_buckets: int, shingle: int, least: int):
             sizes = np.array([len(t) for t in found], np.int64)
             names = shared.pack_columns(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), sizes, prints[:, 0].copy(), prints[:, 1].copy())
             rows.append((block % n_buckets, block, 2, names))
-            begun = [beginnings(t, 2 * missing(len(t), least) + 1) if len(t) and i is not None else (t[:0], t[:0]) for i, t in zip(ids, found, strict=True)]
+            begun = [beginnings(t, n_sent(len(t), least)) if len(t) and i is not None else (t[:0], t[:0]) for i, t in zip(ids, found, strict=True)]
             for kind in (0, 1):
                 value = np.concatenate([b[kind] for b in begun])
                 owner = np.repeat(np.arange(len(begun)), [len(b[kind]) for b in begun])
