@@ -209,6 +209,19 @@ def test_perspective_parts_join_to_the_whole(spark):
         assert ",".join(r.spans for r in rows if r.spans) == whole[key].spans
 
 
+def test_perspective_parts_hold_few_turns_whatever_their_numbers(spark):
+    turns = [(None, None, "ann", f"n{i}") for i in range(21)] + [(None, i % 3, "bob", f"b{i}") for i in range(30)] + [(None, 1, "cy", "same")] * 19 + [(5, i, "ann", "few") for i in range(2000, 2006)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = {(r.conv_id, r.speaker): r for r in perspectives.rotate(table).collect()}
+    parts = perspectives.rotate(table, part_turns=8).orderBy("conv_id", "speaker", "part").collect()
+    assert max(r.n_turns for r in parts) == 8 and len(parts) == 3 * 9 + 1 and len(whole) == 4
+    for key, rows in itertools.groupby(parts, lambda r: (r.conv_id, r.speaker)):
+        rows = list(rows)
+        assert [r.part for r in rows] == list(range(len(rows)))
+        assert "".join(r.text for r in rows) == whole[key].text and "".join(r.turn_mask for r in rows) == whole[key].turn_mask
+        assert ",".join(r.spans for r in rows if r.spans) == whole[key].spans
+
+
 # --- line frequency
 def test_line_rules_equal_brute_force(spark):
     rows = [(i, "h", f"unique line number {'abcdefghijkl'[i]} with its own words here\nShared  LINE 1{i}\nShared line {i}7") for i in range(12)]

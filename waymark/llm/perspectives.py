@@ -4,8 +4,9 @@ For every participant (every speaker but the system) the dialogue is rendered on
 the others as users under their names, and the system's turns as they are. The mask marks the assistant's words: `spans`
 gives their character ranges as "start-end,start-end", `turn_mask` a 1 or 0 for each turn.
 
-DataFrame functions only. A dialogue is rendered in parts of PART_TURNS turn numbers (one row, part 0, for any usual
-conversation), so that no task holds an unbounded conversation; offsets run on over the parts.
+DataFrame functions only. A dialogue is rendered in parts of PART_TURNS turns (one row, part 0, for any usual
+conversation), whatever their turn numbers are, so that no row holds an unbounded conversation; offsets run on over the
+parts. Longer dialogues are dealt by ranges of their order, and places follow from the ranges' counts.
 
 Null role: the speaker `unknown`. Null text: empty. Null turn: before the others. Null conversation ids form one
 conversation. Repeated rows are repeated turns. Ties in turn are ordered by speaker, then text. A conversation of system
@@ -14,45 +15,61 @@ turns alone has no participant and no row. Markers inside a text are broken (`<|
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 PART_TURNS = 1024
 SYSTEM = "system"
+KEYS = ["conv_id", "speaker", "part"]
 
 
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, speaker, part, n_turns, text, turn_mask, spans."""
-    said = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("by"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
-    )
-    speakers = said.where(F.col("by") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("by").alias("speaker")).distinct()
-    views = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+def speakers(said: DataFrame) -> DataFrame:
+    return said.where(F.col("by") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("by").alias("speaker")).distinct()
+
+
+def in_parts(said: DataFrame, part_turns: int) -> DataFrame:
+    """said with `part`, by places in (turn, by, body) counted over ranges of the order; equal turns are one row until they have their places."""
+    order = ["turn", "by", "body"]
+    counted = said.groupBy("conv_id", *order).agg(F.count("*").alias("n"))
+    ranged = counted.repartitionByRange(shared.shuffle_partitions(said.sparkSession), "conv_id", *order).withColumn("cell", F.spark_partition_id())
+    ranged = shared.stage(ranged, "dialogue-ranges")  # ranges are drawn from a sample: they must not be drawn again
+    before = Window.partitionBy("conv_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    cells = ranged.groupBy("conv_id", "cell").agg(F.sum("n").alias("m")).select(F.col("conv_id").alias("of"), F.col("cell").alias("of_cell"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("conv_id", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    placed = placed.join(cells, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("of_cell")))
+    placed = placed.select("conv_id", *order, (F.col("before") + F.col("inside")).alias("start"), (F.col("before") + F.col("inside") + F.col("n")).alias("end"))
+    placed = placed.withColumn("part", F.explode(F.sequence(F.floor(F.col("start") / part_turns), F.floor((F.col("end") - 1) / part_turns))))
+    copies = F.least("end", (F.col("part") + 1) * part_turns) - F.greatest("start", F.col("part") * part_turns)
+    return placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("conv_id", *order, "part")
+
+
+def views(said: DataFrame, speakers_: DataFrame, same: Column) -> DataFrame:
+    """conv_id, speaker, part, n_turns, n_chars, turns: a row per part of a view."""
+    seen = said.join(speakers_, same)
     own = F.col("by") == F.col("speaker")
     head = F.when(F.col("by") == SYSTEM, "<|system|>\n").when(own, "<|assistant|>\n").otherwise(F.concat(F.lit("<|user name="), "by", F.lit("|>\n")))
-    views = views.select(
-        "conv_id",
-        "speaker",
-        F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).alias("part"),
+    seen = seen.select(
+        *KEYS,
         F.struct("turn", "by", "body").alias("place"),
         own.cast("int").alias("own"),
         F.length(head).alias("n_head"),
         F.length("body").alias("n_body"),
         F.concat(head, "body", F.lit("<|end|>\n")).alias("segment"),
     )
-    keys = ["conv_id", "speaker", "part"]
-    before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = views.withColumn("at", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)))
+    before = Window.partitionBy(*KEYS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = seen.withColumn("at", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)))
     one = F.struct("place", "segment", "own", (F.col("at") + F.col("n_head")).alias("start"), (F.col("at") + F.col("n_head") + F.col("n_body")).alias("end"))
-    parts = placed.groupBy(*keys).agg(F.count("*").alias("n_turns"), F.sum(F.length("segment")).alias("n_chars"), F.array_sort(F.collect_list(one)).alias("turns"))
-    earlier = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
-    parts = parts.withColumn("base", F.coalesce(F.sum("n_chars").over(earlier), F.lit(0)))
+    return placed.groupBy(*KEYS).agg(F.count("*").alias("n_turns"), F.sum(F.length("segment")).alias("n_chars"), F.array_sort(F.collect_list(one)).alias("turns"))
+
+
+def rendered(parts: DataFrame) -> DataFrame:
+    """Parts, with the characters before each as `base`, as text."""
     span = lambda t: F.concat((t["start"] + F.col("base")).cast("string"), F.lit("-"), (t["end"] + F.col("base")).cast("string"))
     return parts.select(
-        *keys,
+        *KEYS,
         "n_turns",
         F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("text"),
         F.array_join(F.transform("turns", lambda t: t["own"].cast("string")), "").alias("turn_mask"),
@@ -60,6 +77,31 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     )
 
 
+def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """conv_id, speaker, part, n_turns, text, turn_mask, spans."""
+    said = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("unknown")).alias("by"),
+        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
+    )
+    of, zero = F.col("conv_id").eqNullSafe(F.col("of")), F.lit(0).cast("long")
+    sizes = said.groupBy(F.col("conv_id").alias("of")).agg(F.count("*").alias("n"))
+    long_ = shared.stage(sizes.where(F.col("n") > part_turns), "long-dialogues")
+    some = long_.limit(1).count() > 0
+    usual = said.join(shared.checked_broadcast(long_), of, "left_anti") if some else said
+    whole = rendered(views(usual.withColumn("part", zero), speakers(usual), of).withColumn("base", zero))
+    if not some:
+        return whole
+    dealt = shared.stage(in_parts(said.join(shared.checked_broadcast(long_), of, "left_semi"), part_turns), "dialogue-parts")
+    last = dealt.groupBy("conv_id").agg(F.max("part").alias("last"))
+    each = speakers(dealt).join(last, of).select("of", "speaker", F.explode(F.sequence(zero, "last")).alias("of_part"))
+    parts = shared.stage(views(dealt, each, of & (F.col("part") == F.col("of_part"))), "long-views")
+    earlier = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part, without its texts
+    bases = parts.select(F.col("conv_id").alias("of"), F.col("speaker").alias("whose"), F.col("part").alias("of_part"), F.coalesce(F.sum("n_chars").over(earlier), F.lit(0)).alias("base"))
+    return whole.unionByName(rendered(parts.join(bases, of & (F.col("speaker") == F.col("whose")) & (F.col("part") == F.col("of_part")))))
+
+
 #: The same for conversations of fewer than PART_TURNS turns.
 SQL = r"""
 WITH said AS (
