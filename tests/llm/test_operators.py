@@ -312,6 +312,38 @@ def test_repeats_over_pieces_and_blocks(spark, monkeypatch):
         assert (len(start), int((stop - start).sum())) == (spans, removed), i
 
 
+def test_repeats_of_a_passage_in_many_documents(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "BLOCK", 4000)
+    monkeypatch.setattr(repeats, "HOT", 4, raising=False)
+    monkeypatch.setattr(repeats, "SORTED", 300)
+    random.seed(6)
+    own = lambda: "".join(random.choice("abcdefgh ") for _ in range(180))
+    passage = own() + own()
+    texts = [(k, own() + passage + own()) for k in range(80)]
+    at_once, plain = [], repeats.starts_earlier
+    monkeypatch.setattr(repeats, "starts_earlier", lambda *a: at_once.append(len(a[1])) or plain(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts]), pa.array([7 * k for k, _ in texts]), pa.array([t for _, t in texts])], ["doc", "mark", "text"])
+    sent = [r for b in repeats.find_anchors(3)(iter([batch])) for r in b.to_pylist()]
+    answers = [r for b in repeats.compare_anchors(iter([pa.RecordBatch.from_pylist(sorted(sent, key=lambda r: r["bucket"]))])) for r in b.to_pylist()]
+    pairs, gone, asked = {k: [] for k, _ in texts}, {k: [] for k, _ in texts}, []
+    for block in {r["block"] for r in answers}:
+        for r in repeats.per_document(pa.Table.from_pylist([x for x in answers if x["block"] == block])).to_pylist():
+            gone[r["doc_id"]] += [r["removed"]] if r["removed"] else []
+            asked += [(r["doc_id"], r["mark"], dict(texts)[r["doc_id"]], r["compare"])] if r["compare"] else []
+    table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*asked)], ["doc", "mark", "text", "compare"])
+    tables = [table.slice(i, 10) for i in range(0, len(asked), 10)]
+    cut = [r for t in tables for b in repeats.cut_contexts(3)(iter([t])) for r in b.to_pylist()]
+    for b in repeats.compare_contexts(iter([pa.RecordBatch.from_pylist(sorted(cut, key=lambda r: r["bucket"]))])):
+        for r in b.to_pylist():
+            pairs[r["doc_id"]].append(r)
+    for i, n, removed, spans, _ in brute.repeats(texts):
+        start, stop = repeats.removed_ranges(pairs[i], gone[i], n)
+        assert (len(start), int((stop - start).sum())) == (spans, removed), i
+    assert max(at_once, default=0) <= 4 * 69 + 300
+
+
 # --- Jaccard join
 def near_copies():
     random.seed(2)

@@ -10,7 +10,9 @@ WINDOW bytes, so it is built in parts that Spark shuffles together:
    anchor go on; an anchor that stands alone is done. Per block, equal contexts are settled before the shuffle.
 3. The distinct contexts' bytes are shuffled by anchor. There the suffixes are sorted, and the previous and the next
    smaller position in suffix order (the longest-previous-factor array, cut at WINDOW bytes) tell which windows start
-   earlier. What matches is decided on the bytes themselves.
+   earlier. What matches is decided on the bytes themselves. Contexts of an anchor with more than HOT of them (a passage
+   that many documents share, each with another text around it) are not sent: their windows are, each dealt by its own
+   hash, and only the first of a block's equal windows.
 4. Removed windows go back to their documents.
 
 Texts are not shuffled but for documents that hold shared anchors. A repeated passage meets at its anchors once a block;
@@ -36,8 +38,10 @@ from .words import mixed, odd_constants
 WINDOW, GRAM = 100, 32
 PIECE, BLOCK = 1 << 20, 4 << 20
 LAST = np.iinfo(np.int64).max
-#: Windows that a task sorts at once (more only where one anchor has more).
+#: Windows that a task sorts at once (more only where one anchor of at most HOT contexts has more).
 SORTED = 400_000
+#: Distinct contexts beyond which an anchor's windows are compared one by one.
+HOT = 4096
 BASE = 0x9E3779B97F4A7C15
 PLACE_BITS = 23
 
@@ -173,9 +177,12 @@ def compare_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             new_gram = np.concatenate(([True], g[1:] != g[:-1]))
             new = new_gram | np.concatenate(([True], c[1:] != c[:-1]))
             group = np.cumsum(new_gram) - 1
-            open_ = new & (np.bincount(group, new)[group] >= 2)
+            contexts = np.bincount(group, new)[group]
+            open_ = new & (contexts >= 2)
+            hot = np.empty(len(order), bool)
+            hot[order] = contexts > HOT
             name = np.int64(bucket) << np.int64(32) | gram.astype(np.int64)
-            for kind, chosen, columns in ((2, order[later], (piece, at, n)), (3, order[open_], (piece, at, n, left, name))):
+            for kind, chosen, columns in ((2, order[later], (piece, at, n)), (3, order[open_], (piece, at, n, left, name, hot))):
                 chosen = chosen[np.argsort(block[chosen], kind="stable")]
                 own, cuts = np.unique(block[chosen], return_index=True)
                 for b, a, z in zip(own.tolist(), cuts.tolist(), np.append(cuts, len(chosen))[1:].tolist(), strict=True):
@@ -202,7 +209,7 @@ def per_document(table: pa.Table) -> pa.Table:
     gone = [shared.unpack_columns(settled)] + [shared.unpack_columns(r["blob"]) for r in rows if r["kind"] == 2]
     piece, at, n = (np.concatenate([g[i] for g in gone]).astype(np.int64) for i in range(3))
     asked = [shared.unpack_columns(r["blob"]) for r in rows if r["kind"] == 3]
-    a_piece, a_at, a_n, a_left, a_name = (np.concatenate([a[i] for a in asked]).astype(np.int64) if asked else np.zeros(0, np.int64) for i in range(5))
+    a_piece, a_at, a_n, a_left, a_name, a_hot = (np.concatenate([a[i] for a in asked]).astype(np.int64) if asked else np.zeros(0, np.int64) for i in range(6))
     order, a_order = np.argsort(piece, kind="stable"), np.argsort(a_piece, kind="stable")
     edges, a_edges = (np.searchsorted(p, np.arange(len(ids) + 1)) for p in (piece[order], a_piece[a_order]))
     out = []
@@ -210,14 +217,36 @@ def per_document(table: pa.Table) -> pa.Table:
         own, a_own = order[edges[i] : edges[i + 1]], a_order[a_edges[i] : a_edges[i + 1]]
         if len(own) or len(a_own):
             removed = np.stack(merged(at[own], at[own] + n[own])).astype("<i8").tobytes() if len(own) else None
-            compare = shared.pack_columns(a_at[a_own], a_n[a_own].astype(np.uint8), a_left[a_own].astype(np.uint8), a_name[a_own]) if len(a_own) else None
+            compare = shared.pack_columns(a_at[a_own], a_n[a_own].astype(np.uint8), a_left[a_own].astype(np.uint8), a_name[a_own], a_hot[a_own].astype(bool)) if len(a_own) else None
             out.append((None if null[i] else int(ids[i]), int(marks[i]), removed, compare))
     cols = list(zip(*out, strict=True)) or [[], [], [], []]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "mark", "removed", "compare"])
 
 
+def windows_at(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(data, WINDOW)[first]
+
+
+def later_windows(data: np.ndarray, first: np.ndarray, key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which windows start later than the first equal one; equal windows have equal keys. A window is compared with the first of its key only."""
+    gone, rest = np.zeros(len(first), bool), np.lexsort((at, doc, key))
+    while len(rest):  # once more only for windows whose key is another window's by chance
+        new = np.concatenate(([True], key[rest][1:] != key[rest][:-1]))
+        head = rest[np.maximum.accumulate(np.where(new, np.arange(len(rest)), 0))]
+        same = np.concatenate([(windows_at(data, first[rest[i : i + SORTED]]) == windows_at(data, first[head[i : i + SORTED]])).all(1) for i in range(0, len(rest), SORTED)])
+        gone[rest] = same & ((doc[rest] != doc[head]) | (at[rest] != at[head]))
+        rest = rest[~same]
+    return gone
+
+
+def runs(gone: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of removed windows within a context."""
+    joined = gone[1:] & gone[:-1] & (context[1:] == context[:-1])
+    return np.flatnonzero(gone & ~np.concatenate(([False], joined))), np.flatnonzero(gone & ~np.concatenate((joined, [False])))
+
+
 def cut_contexts(n_buckets: int):
-    """(bucket, columns, bytes): contexts dealt by anchor."""
+    """(bucket, kind, columns, bytes): kind 0 contexts dealt by anchor, kind 1 windows of hot anchors dealt by hash, kind 2 ranges settled here."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -225,7 +254,7 @@ def cut_contexts(n_buckets: int):
         press = zstandard.ZstdCompressor().compress
 
         def deal(rows: list[tuple]) -> pa.RecordBatch:
-            at, n, left, name = (np.concatenate([r[3][i] for r in rows]) for i in range(4))
+            at, n, left, name, hot = (np.concatenate([r[3][i] for r in rows]) for i in range(5))
             sizes = [len(r[3][0]) for r in rows]
             doc = np.repeat(np.array([LAST if r[0] is None else r[0] for r in rows], np.int64), sizes)
             null = np.repeat(np.array([r[0] is None for r in rows]), sizes)
@@ -234,13 +263,48 @@ def cut_contexts(n_buckets: int):
             starts = np.repeat(np.cumsum([0, *(len(r[2]) for r in rows)])[:-1], sizes) + at
             bucket = (mixed(name.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((name, bucket))
+            order = order[~hot[order]]
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             out = []
+            for own in hot_groups(name, n, np.flatnonzero(hot)):
+                out += deal_windows(data, *(x[own] for x in (name, doc, null, mark, at, n.astype(np.int64), left.astype(np.int64), starts)))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = order[cuts[b] : cuts[b + 1]]
                 text = data[shared.ragged(starts[own], n[own].astype(np.int64) + WINDOW)].tobytes()
-                out.append((b, shared.pack_columns(name[own], doc[own], null[own], mark[own], at[own], n[own], left[own]), press(text)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "columns", "bytes"])
+                out.append((b, 0, shared.pack_columns(name[own], doc[own], null[own], mark[own], at[own], n[own], left[own]), press(text)))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "kind", "columns", "bytes"])
+
+        def hot_groups(name: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[np.ndarray]:
+            """Hot contexts by anchor, about SORTED windows at once; what is cut apart here meets in its bucket."""
+            hot = hot[np.argsort(name[hot], kind="stable")]
+            part = np.cumsum(n[hot].astype(np.int64) + 1) // SORTED
+            yield from np.split(hot, np.flatnonzero(np.diff(part)) + 1) if len(hot) else ()
+
+        def deal_windows(data, name, doc, null, mark, at, n, left, starts) -> list[tuple]:
+            context = np.repeat(np.arange(len(n)), n + 1)
+            step = shared.ragged(np.zeros(len(n), np.int64), n + 1)
+            first, where = starts[context] + step, at[context] + step
+            words_ = windows_at(data, first)
+            key = mixed(name[context].astype(np.uint64) * np.uint64(BASE) + (left[context] - step).astype(np.uint64))
+            for i in range(0, WINDOW, 4):
+                key = mixed(key ^ np.ascontiguousarray(words_[:, i : i + 4]).view("<u4").ravel().astype(np.uint64))
+            gone = later_windows(data, first, key, doc[context], where)
+            edge, last = runs(gone, context)
+            out = []
+            if len(edge):
+                own = context[edge]
+                b = int(key[0] % np.uint64(n_buckets))
+                out.append((b, 2, shared.pack_columns(doc[own], null[own], mark[own], where[edge], where[last]), None))
+            left_ = np.flatnonzero(~gone)
+            bucket = (key[left_] % np.uint64(n_buckets)).astype(np.int64)
+            dealt = left_[np.argsort(bucket, kind="stable")]
+            cuts = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                own = dealt[cuts[b] : cuts[b + 1]]
+                c = context[own]
+                out.append((b, 1, shared.pack_columns(key[own], doc[c], null[c], mark[c], where[own]), press(words_[own].tobytes())))
+            return out
 
         rows, held = [], 0
         for batch in batches:
@@ -300,7 +364,20 @@ def compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     import zstandard
 
     unpress = zstandard.ZstdDecompressor().decompress
+    def ranges(doc, null, mark, start, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(mark), pa.array(start), pa.array(stop)], ["doc_id", "mark", "start", "stop"])
+
     for _, rows in shared.by_key(batches, "bucket"):
+        yield from (ranges(*shared.unpack_columns(r["columns"])) for r in rows if r["kind"] == 2)
+        single, rows = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 0]
+        if single:
+            parts = [shared.unpack_columns(r["columns"]) for r in single]
+            key, doc, null, mark, at = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            data = np.frombuffer(b"".join(unpress(r["bytes"]) for r in single), np.uint8)
+            gone = later_windows(data, np.arange(len(key)) * WINDOW, key, doc, at)
+            yield ranges(doc[gone], null[gone], mark[gone], at[gone], at[gone])
+        if not rows:
+            continue
         parts = [shared.unpack_columns(r["columns"]) for r in rows]
         name, doc, null, mark, at, n, left = (np.concatenate([p[i] for p in parts]) for i in range(7))
         n = n.astype(np.int64)
@@ -323,12 +400,9 @@ def compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             first = (np.cumsum(size) - size)[context] + step
             where = at[own][context] + step
             gone = starts_earlier(text, first, name[own][context], left[own].astype(np.int64)[context] - step, doc[own][context], where)
-            edge = np.flatnonzero(gone & ~np.concatenate(([False], gone[:-1] & (context[1:] == context[:-1]))))
-            last = np.flatnonzero(gone & ~np.concatenate((gone[1:] & (context[1:] == context[:-1]), [False])))
+            edge, last = runs(gone, context)
             chosen = own[context[edge]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[chosen], mask=null[chosen]), pa.array(mark[chosen]), pa.array(where[edge]), pa.array(where[last])], ["doc_id", "mark", "start", "stop"]
-            )
+            yield ranges(doc[chosen], null[chosen], mark[chosen], where[edge], where[last])
             a = z
 
 
@@ -346,7 +420,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     asked = marks.where("compare is not null").select("doc_id", "mark", "compare")
     texts = narrowed(rows, shared.stage(asked.select("doc_id", "mark").distinct(), "repeat-asked"))
     contexts = texts.join(asked, F.col("__rp_doc").eqNullSafe(F.col("doc_id")) & (F.col("__rp_mark") == F.col("mark"))).select("__rp_doc", "__rp_mark", "__rp_text", "compare")
-    dealt = contexts.mapInArrow(shared.lean(cut_contexts(2 * n)), "bucket int, columns binary, bytes binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = contexts.mapInArrow(shared.lean(cut_contexts(2 * n)), "bucket int, kind int, columns binary, bytes binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     more = dealt.mapInArrow(shared.lean(compare_contexts), "doc_id long, mark long, start long, stop long")
     more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("pairs"), F.lit(None).cast("array<binary>").alias("removed"))
     whole = marks.where("removed is not null").groupBy("doc_id", "mark").agg(F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("pairs"), F.collect_set("removed").alias("removed"))
