@@ -36,9 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin(spark)
-    found = repeats.deduplicate(docs)
-    whole = F.translate(F.make_valid_utf8(F.col("kept_bytes").cast("string")), "�", "")
-    text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text"))
+    found = repeats.deduplicate(docs, whole_characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_bytes").cast("string")).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

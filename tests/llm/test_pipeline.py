@@ -64,6 +64,15 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     assert sorted((str(r.doc_id), r.decoded_sha256, r.n_tokens) for r in docs.collect()) == expected
 
 
+def test_cut_repeats_keeps_replacement_characters(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, f"one \ufffd {passage}ñ."), (2, f"two \ufffd é {passage}ò \ufffd end")]  # ñ and ò share their first byte
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == {i: kept.decode(errors="ignore") for i, _, _, _, kept in brute.repeats(rows)}
+    assert got[1] == rows[0][1] and got[2].count("\ufffd") == 2
+
+
 def test_pipeline_of_empty_documents(spark, tmp_path):
     folder = f"file://{tmp_path}"
     shared.table(spark, SF, "documents").limit(0).write.parquet(f"{folder}/documents.parquet")

@@ -443,8 +443,8 @@ def removed_ranges(pairs, blobs, size: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(stop + 1, size)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs (but of these names), n_bytes, n_removed, n_spans, kept_bytes."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+    """All columns of docs (but of these names), n_bytes, n_removed, n_spans, kept_bytes (if asked, where bytes are removed, without halves of characters)."""
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     names = [c for c in docs.columns if c not in added]
     found = removals(docs, id_col, text_col).toDF("__rp_id", "__rp_hash", "__rp_pairs", "__rp_removed")
@@ -464,7 +464,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 start, stop = removed_ranges(pairs, blobs, len(text))
                 edges = [0, *np.stack([start, stop], 1).ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(text), len(text) - len(kept), len(start), kept))
+                shown = kept.decode(errors="ignore").encode() if whole_characters and len(kept) < len(text) else kept
+                out.append((len(text), len(text) - len(kept), len(start), shown))
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *cols], [*names, *added])
 
