@@ -35,13 +35,18 @@ def clashing(df):
     return df
 
 
-# --- packed exchange helpers
-def test_columns_and_lists_round_trip():
-    columns = [np.arange(5, dtype=np.uint32), np.array([-1, 2**62, 0, 7, -9]), np.array([True, False, True, True, False])]
-    assert all((a == b).all() for a, b in zip(columns, shared.unpack_columns(shared.pack_columns(*columns)), strict=True))
-    assert [len(c) for c in shared.unpack_columns(shared.pack_columns(np.zeros(0, np.int64), np.zeros(0, np.uint8)))] == [0, 0]
+# --- helpers
+def test_lists_round_trip():
     assert shared.unpack_lists(shared.pack_lists([b"", b"a\0b", b"xyz"])) == [b"", b"a\0b", b"xyz"]
     assert shared.ragged(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+    data = np.frombuffer(b"0123456789abc", np.uint8)
+    assert hashed_words.words_of_eight(data).tolist() == [int.from_bytes(bytes(data[i : i + 8]), "little") for i in range(6)]
+    assert len(hashed_words.words_of_eight(data[:7])) == 0
+
+
+def test_broadcast_only_what_fits(spark):
+    rows = spark.range(1000).withColumn("s", F.repeat(F.lit("x"), F.lit(100))).withColumn("a", F.array("id", "id"))
+    assert shared.fits(rows, 1000 * (24 + 24 + 100 + 32)) and not shared.fits(rows, 1000 * (24 + 24 + 100 + 31)) and shared.fits(rows.limit(0), 0)
 
 
 def test_scratch_follows_the_session(spark):
@@ -164,6 +169,17 @@ def test_decontamination_equals_brute_force(spark):
     assert not any(r.contaminated for r in decontaminate.report(docs, table.limit(0)).collect())
 
 
+def test_decontamination_of_long_texts_and_by_row(spark):
+    long_item = " ".join(f"i{k}" for k in range(20_000))
+    far = " ".join(f"i{k}" for k in range(19_980, 19_997))
+    rows = [(1, "x " * 30_000 + far), (1, "a clean text under the same id"), (None, far.replace("i19985", "other")), (None, "a clean text without an id"), (2, "y " * 50_000), (3, far), (3, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(None, long_item), (7, long_item), (8, " ".join("ab" for _ in range(2000)))], "item_id long, text string")
+    got = Counter((r.doc_id, r.contaminated, r.n_items, r.n_agreeing) for r in decontaminate.report(docs, table).collect())
+    assert got == Counter([(1, True, 2, 13), (1, False, 0, 0), (None, True, 2, 12), (None, False, 0, 0), (2, False, 0, 0), (3, True, 2, 13), (3, True, 2, 13)])
+    assert {r.text for r in decontaminate.clean(docs, table).collect()} == {rows[1][1], rows[3][1], rows[4][1]}
+
+
 # --- ordinal classifier
 def test_ordinal_held_out(spark):
     docs, labels = (shared.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
@@ -176,6 +192,64 @@ def test_ordinal_held_out(spark):
     assert got[0].mean < got[1].mean < got[2].mean
 
 
+def objective(x, grades, w, cut, penalty):
+    """Mean loss of the cumulative-link model and its L1 penalty, as defined."""
+    score = x @ w
+    edges = np.concatenate(([-np.inf], cut, [np.inf]))
+    upper, lower = (1 / (1 + np.exp(-(edges[grades + k] - score))) for k in (1, 0))
+    return -np.log(np.maximum(upper - lower, 1e-12)).mean() + penalty * np.abs(w).sum()
+
+
+def test_ordinal_fit_reaches_the_plain_optimum(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(ordinal, "STEPS", 3000)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    grades = np.digitize(x @ np.array([2.0, -1.5, 1.0, 0, 0, 0]) + rng.logistic(size=300), [-0.5, 1.0])
+    doc, slots = np.nonzero(x)
+    model = ordinal.fit(slots.astype(np.int32), np.ones(len(slots), np.float32), np.bincount(doc, minlength=300), grades)
+    scale = 1 / np.sqrt((x**2).sum(0) / 300 + 20 / 300)  # the penalty is on scaled weights
+    w, cut = model.weights[:6] / scale, model.thresholds
+    best = objective(x * scale, grades, w, cut, ordinal.PENALTY)
+    edge = 1e-4
+    for k in range(6):  # no single step makes it better
+        for step in (-0.05, 0.05):
+            other = w.copy()
+            other[k] += step
+            assert objective(x * scale, grades, other, cut, ordinal.PENALTY) > best - edge
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            other = cut.copy()
+            other[k] += step
+            assert objective(x * scale, grades, w, other, ordinal.PENALTY) > best - edge
+    plain_w, plain_cut = np.zeros(6), np.array([-1.0, 1.0])  # plain proximal steps with numeric gradients
+    for _ in range(1500):
+        grad = lambda i, h=1e-5: (objective(x * scale, grades, plain_w + h * np.eye(6)[i], plain_cut, 0) - objective(x * scale, grades, plain_w - h * np.eye(6)[i], plain_cut, 0)) / (2 * h)
+        grad_cut = lambda i, h=1e-5: (objective(x * scale, grades, plain_w, plain_cut + h * np.eye(2)[i], 0) - objective(x * scale, grades, plain_w, plain_cut - h * np.eye(2)[i], 0)) / (2 * h)
+        g, g_cut = np.array([grad(i) for i in range(6)]), np.array([grad_cut(i) for i in range(2)])
+        plain_w = plain_w - 0.5 * g
+        plain_w = np.sign(plain_w) * np.maximum(np.abs(plain_w) - 0.5 * ordinal.PENALTY, 0)
+        plain_cut = plain_cut - 0.5 * g_cut
+    assert abs(best - objective(x * scale, grades, plain_w, plain_cut, ordinal.PENALTY)) < 1e-4
+    assert np.abs(w - plain_w).max() < 0.02 and np.abs(cut - plain_cut).max() < 0.02
+
+
+def test_ordinal_scores_are_features_times_weights():
+    import pyarrow as pa
+
+    weights = np.random.default_rng(2).normal(size=ordinal.DIMENSIONS).astype(np.float32)
+    texts = ["", None, "  ", "Fine fine fine! words\n\tHERE HERE É\xa0x", "BAD!! " * 50, "x" * 30_000, " a "]
+    got = ordinal.scores(pa.array(texts), weights)
+    expected = [sum(float(weights[s]) * float(v) for s, v in zip(*ordinal.features(t or ""), strict=True)) for t in texts]
+    assert np.allclose(got, expected, rtol=1e-4, atol=1e-4)
+
+
+def test_ordinal_of_repeated_ids(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"{'good' if i % 2 else 'poor'} w{i}") for i in range(60)]
+    one, many = (ordinal.train(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, [*rows, *rows[:30] * 5]))
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.thresholds, many.thresholds)
+
+
 def test_ordinal_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (None, 1, 0), (4, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "fine words here"), (2, "BAD!! BAD!!"), (3, "stupid"), *ODD], "doc_id long, text string")
@@ -283,65 +357,103 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.digests(docs.limit(0)).collect() == []
 
 
-def test_repeats_over_pieces_and_blocks(spark, monkeypatch):
+def test_longest_previous_factors():
+    random.seed(3)
+    for n in (0, 1, 2, 7, 60, 300):
+        position = np.array(random.sample(range(n), n) if n % 2 else [random.randrange(n) for _ in range(n)], np.int64)
+        shares = np.array([0 if i == 0 else random.choice([0, 5, 99, 100, 101, 140, 168]) if n < 100 else random.choice([100, 120, 130]) for i in range(n)], np.int32)
+        expected = []
+        for i in range(n):
+            best = 0
+            for step in (-1, 1):
+                j, low = i, 1 << 30
+                while True:
+                    if not 0 <= j + step < n:
+                        break
+                    low = min(low, shares[j] if step < 0 else shares[j + 1])
+                    j += step
+                    if position[j] < position[i]:
+                        best = max(best, low if low >= 100 else 0)
+                        break
+            expected.append(best)
+        assert repeats.longest_previous(position, shares).tolist() == expected
+
+
+def test_suffix_order_is_the_order_of_suffixes():
+    random.seed(8)
+    base = "".join(random.choice("ab") for _ in range(30)) * 9
+    contexts = sorted({base[a : a + 100 + random.randrange(69)] for a in random.sample(range(100), 40)})
+    sizes = np.array([len(c) for c in contexts])
+    texts = np.zeros((len(contexts), 2 * sizes.max()), np.uint8)
+    for row, c in zip(texts, contexts, strict=True):
+        row[: len(c)] = np.frombuffer(c.encode(), np.uint8)
+    context, step, shares = repeats.suffix_order(texts, sizes)
+    suffixes = [contexts[c][s:] for c, s in zip(context.tolist(), step.tolist(), strict=True)]
+    assert len(suffixes) == sum(sizes - 99) and len({(c, s) for c, s in zip(context.tolist(), step.tolist(), strict=True)}) == len(suffixes)
+    n = int((shares > 0).sum())
+    for a, b, k in zip(suffixes, suffixes[1:], shares[1:].tolist(), strict=False):
+        common = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert k == common or (k == 0 and common < 100)
+    assert n > 100 and suffixes[: n // 2] == sorted(suffixes[: n // 2])
+
+
+def rounds(texts):
+    """The steps of `removals` without Spark: {doc: (starts, stops)}, and the most windows of a group in a round."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts]), pa.array([7 * k for k, _ in texts]), pa.array([t for _, t in texts])], ["doc", "key", "text"])
+    grams = Counter(g for b in repeats.find_anchors(iter([batch.select(["key", "text"])])) for g in b.column(0).to_pylist())
+    asked = [[{"gram": g, "copies": n} for g, n in grams.items() if n > 1]] * len(texts)
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("copies", pa.int64())]))
+    parts = [batch.slice(i, 10).append_column("asked", pa.array(asked[i : i + 10], kind)) for i in range(0, len(texts), 10)]
+    rows = [r for b in repeats.cut_contexts(iter(parts)) for r in b.to_pylist()]
+    found, most, n_rounds = {k: ([], []) for k, _ in texts}, 0, 0
+    while rows:
+        most = max([most, *Counter((r["part"], r["salt"]) for r in rows).values()])
+        rows.sort(key=lambda r: (r["part"], r["salt"]))
+        out = [r for b in repeats.settle(iter([pa.RecordBatch.from_pylist(rows[i : i + 50], repeats.DEALT_ARROW) for i in range(0, len(rows), 50)])) for r in b.to_pylist()]
+        for r in out:
+            if r["bytes"] is None:
+                found[r["doc"]][0].append(r["start"])
+                found[r["doc"]][1].append(r["stop"])
+        rows = [r | {"at": r["start"]} for r in out if r["bytes"] is not None]
+        n_rounds += 1
+    return found, most, n_rounds
+
+
+def same_as_plain(texts, found):
+    for i, n, removed, spans, _ in brute.repeats(texts):
+        start, stop = repeats.removed_ranges(*(np.array(x, np.int64) for x in found[i]), n)
+        assert (len(start), int((stop - start).sum())) == (spans, removed), i
+
+
+def test_repeats_over_pieces_and_groups(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
-    monkeypatch.setattr(repeats, "BLOCK", 3000)
     monkeypatch.setattr(repeats, "SORTED", 500)
     random.seed(4)
     base = "".join(random.choice("abcd") for _ in range(4000))
     texts = [(k, base[k * 150 : k * 150 + 900] + str(k) * 3 + base[: 200 + k]) for k in range(20)]
-    find, compare = repeats.find_anchors(3), repeats.compare_anchors
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts]), pa.array([hash(t) % 1000 for _, t in texts]), pa.array([t for _, t in texts])], ["doc", "mark", "text"])
-    sent = [r for b in find(iter([batch])) for r in b.to_pylist()]
-    answers = [r for b in compare(iter([pa.RecordBatch.from_pylist(sorted(sent, key=lambda r: r["bucket"]))])) for r in b.to_pylist()]
-    gone, asked = {k: [] for k, _ in texts}, []
-    for block in {r["block"] for r in answers}:
-        for r in repeats.per_document(pa.Table.from_pylist([x for x in answers if x["block"] == block])).to_pylist():
-            gone[r["doc_id"]] += [r["removed"]] if r["removed"] else []
-            asked += [(r["doc_id"], r["mark"], dict(texts)[r["doc_id"]], r["compare"])] if r["compare"] else []
-    table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*asked)], ["doc", "mark", "text", "compare"])
-    cut = [r for b in repeats.cut_contexts(3)(iter([table])) for r in b.to_pylist()]
-    pairs = {k: [] for k, _ in texts}
-    for b in repeats.compare_contexts(iter([pa.RecordBatch.from_pylist(sorted(cut, key=lambda r: r["bucket"]))])):
-        for r in b.to_pylist():
-            pairs[r["doc_id"]].append(r)
-    for i, n, removed, spans, _ in brute.repeats(texts):
-        start, stop = repeats.removed_ranges(pairs[i], gone[i], n)
-        assert (len(start), int((stop - start).sum())) == (spans, removed), i
+    same_as_plain(texts, rounds(texts)[0])
 
 
 def test_repeats_of_a_passage_in_many_documents(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(repeats, "BLOCK", 4000)
-    monkeypatch.setattr(repeats, "HOT", 4, raising=False)
+    monkeypatch.setattr(repeats, "PIECE", 4000)
+    monkeypatch.setattr(repeats, "GROUP", 4)
     monkeypatch.setattr(repeats, "SORTED", 300)
     random.seed(6)
     own = lambda: "".join(random.choice("abcdefgh ") for _ in range(180))
     passage = own() + own()
     texts = [(k, own() + passage + own()) for k in range(80)]
-    at_once, plain = [], repeats.starts_earlier
-    monkeypatch.setattr(repeats, "starts_earlier", lambda *a: at_once.append(len(a[1])) or plain(*a))
-    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts]), pa.array([7 * k for k, _ in texts]), pa.array([t for _, t in texts])], ["doc", "mark", "text"])
-    sent = [r for b in repeats.find_anchors(3)(iter([batch])) for r in b.to_pylist()]
-    answers = [r for b in repeats.compare_anchors(iter([pa.RecordBatch.from_pylist(sorted(sent, key=lambda r: r["bucket"]))])) for r in b.to_pylist()]
-    pairs, gone, asked = {k: [] for k, _ in texts}, {k: [] for k, _ in texts}, []
-    for block in {r["block"] for r in answers}:
-        for r in repeats.per_document(pa.Table.from_pylist([x for x in answers if x["block"] == block])).to_pylist():
-            gone[r["doc_id"]] += [r["removed"]] if r["removed"] else []
-            asked += [(r["doc_id"], r["mark"], dict(texts)[r["doc_id"]], r["compare"])] if r["compare"] else []
-    table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*asked)], ["doc", "mark", "text", "compare"])
-    tables = [table.slice(i, 10) for i in range(0, len(asked), 10)]
-    cut = [r for t in tables for b in repeats.cut_contexts(3)(iter([t])) for r in b.to_pylist()]
-    for b in repeats.compare_contexts(iter([pa.RecordBatch.from_pylist(sorted(cut, key=lambda r: r["bucket"]))])):
-        for r in b.to_pylist():
-            pairs[r["doc_id"]].append(r)
-    for i, n, removed, spans, _ in brute.repeats(texts):
-        start, stop = repeats.removed_ranges(pairs[i], gone[i], n)
-        assert (len(start), int((stop - start).sum())) == (spans, removed), i
-    assert max(at_once, default=0) <= 4 * 69 + 300
+    found, most, n_rounds = rounds(texts)
+    same_as_plain(texts, found)
+    assert n_rounds == 4 and most < 20  # 80 contexts in 20 groups, then 5, 2 and 1
+
+
+def test_every_removal_is_decided_by_an_lpf_value(monkeypatch):
+    texts = [(k, "the same text of some length for all documents, " * 5 + str(k)) for k in range(6)]
+    assert any(starts for starts, _ in rounds(texts)[0].values())
+    monkeypatch.setattr(repeats, "longest_previous", lambda position, shares: np.zeros(len(position), np.int32))
+    assert not any(starts for starts, _ in rounds(texts)[0].values())
 
 
 # --- Jaccard join
@@ -366,6 +478,39 @@ def test_jaccard_components_equal_brute_force(spark, shingle, least):
     assert Counter(map(tuple, jaccard_join.components(clashing(docs), shingle, least).collect())) == expected
 
 
+@pytest.mark.parametrize("least", [85, 80])
+def test_first_shingles_are_enough_for_every_size(least):
+    for n in range(1, 400):
+        m = jaccard_join.missing(n, least)
+        for other in range(n, 100 * n // least + 1):
+            if 100 * n >= least * other or 100 * (n - m) >= least * (n + other - n + m):
+                assert jaccard_join.n_sent(n, least) >= jaccard_join.missing(other, least) + m + 1 and jaccard_join.n_sent(other, least) >= jaccard_join.missing(other, least) + m + 1
+
+
+@pytest.mark.parametrize(("shingle", "least"), [(4, 85), (5, 80)])
+def test_jaccard_small_sets_of_words_nobody_else_has(spark, shingle, least):
+    random.seed(shingle)
+    rows = []
+    for k in range(400):
+        w = [f"v{k}_{i}" for i in range(random.randrange(1, 41))]
+        rows.append((10 * k, " ".join(w)))
+        for j in range(1, random.randrange(2, 4)):
+            x = list(w)
+            for _ in range(random.randrange(1, 4)):
+                at = random.randrange(len(x) + 1)
+                x[at : at + random.randrange(2)] = [f"z{k}_{j}_{random.randrange(9)}"] * random.randrange(2)
+            rows.append((10 * k + j, " ".join(x)))
+    found = Counter(map(tuple, jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), shingle, least).collect()))
+    assert found == brute.components(rows, shingle, least)
+
+
+def test_jaccard_different_texts_under_one_id(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "g h i j k l"), (3, "g h i j k l"), (4, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_join.components(docs).collect())) == Counter([(1, 3, 1), (2, 3, 1), (2, 3, 2), (3, 3, 2), (4, 3, 1)])
+    assert Counter(map(tuple, jaccard_join.first_of_each(docs).collect())) == Counter([rows[0], rows[2]])
+
+
 @pytest.mark.parametrize(("shingle", "least"), [(4, 85), (5, 80)])
 def test_jaccard_links_one_word_more(spark, shingle, least):
     rows = []

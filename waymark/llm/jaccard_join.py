@@ -1,25 +1,30 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document's set holds its distinct shingles of SHINGLE (a parameter) words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer words, the whole
-sequence as one). Two link when 100 * |both| >= LEAST * |either|; components follow the links. For a set of n, a linked
-partner lacks at most m = n - ceil(LEAST n / 100) of its shingles, so under any global order of all shingles
+A document's set holds its distinct shingles of SHINGLE (a parameter) words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer
+words, the whole sequence as one). Two link when 100 * |both| >= LEAST * |either|; components follow the links. For a set
+of n, a linked partner lacks at most m = n - ceil(LEAST n / 100) of its shingles, so under any global order of all shingles
 
 - the first m + 1 shingles (the prefix) hold one of the partner's prefix, and
 - the first m + 1 that both have are among its first 2m + 1 and among the partner's first m + m' + 1 (m' the partner's m).
 
-1. Two random orders: the first M + m + 1 shingles of each (M the m of the largest partner, 100 n / LEAST) are shuffled as
-   packed hashes and counted over all documents. A document stays if under both orders at least m + 1 of them are shared.
-   Documents of equal sets become one (the least id).
-2. The shingles of what stays are counted; the third order is rarest first. A document stays if at most m of its
-   shingles stand alone and its prefix under each order holds a shared one. Common passages come last in this order.
+1. Documents of equal sets become one (the least id). Under two random orders the first M + m + 1 shingles of each set (M
+   the m of the largest partner, 100 n / LEAST) are rows (shingle, document), and shingles of two documents or more are
+   found by partial aggregation. A set stays if under both orders at least m + 1 of its own are shared.
+2. The shingles of what stays are counted; the third order is rarest first. `alone` shingles no other set has; a set stays
+   if at most m are alone. The rest lacks at most m - alone, so its prefix has m - alone + 1 shingles under each order.
 3. Candidates share a prefix shingle of the third order (with the positional bound on what can still be common) and
    overlap in the prefixes of the first two. First every member of a prefix list is paired with the list's most central
    document only; components follow; then all pairs that lie in different components are paired, so that a large group
-   costs rows in proportion to its size and no link between components is lost.
+   costs rows in proportion to its size and no link between components is lost. Members that can't reach the threshold
+   with the best of their list are not paired at all.
 4. Candidates are verified on their whole sets (64-bit hashes of shingles).
 
+Everything between the two passes over texts is joins and aggregations on long columns. Tables that a hot shingle could
+skew are written first, so that a join meets them as plain scans and adaptive execution can split its large partitions.
+
 Null or empty texts have empty sets and link with nothing. Rows with a null id link with nothing (component null). Rows
-repeated with one id and text are one document, each with its row in the result. Other columns are not read.
+repeated with one id and text are one document, each with its row in the result; different texts under one id are
+documents of their own, each with the component of its set. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +40,6 @@ from . import shared, words
 from .components import connected
 
 SHINGLE, LEAST = 4, 85
-BLOCK = 4 << 20
 SECOND_ORDER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -71,186 +75,96 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in pair)
 
 
-def beginnings(tokens: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first `count` of a set under the two random orders (by hash, by another hash), as that order's hashes."""
+def beginnings(tokens: np.ndarray, count: int) -> np.ndarray:
+    """The first `count` of a set under the two random orders (by hash, by another hash); the last bit tells the order."""
     other = words.mixed(tokens ^ SECOND_ORDER)
-    return tokens[:count], np.partition(other, count - 1)[:count] if count < len(other) else other
+    if count < len(tokens):
+        tokens, other = tokens[:count], np.partition(other, count - 1)[:count]
+    return np.concatenate([tokens & ~np.uint64(1), other | np.uint64(1)]).view(np.int64)
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+    edges = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)))
 
 
-def ask_counts(n_buckets: int, shingle: int, least: int):
-    """(bucket, block, kind, blob): kinds 0 and 1 beginnings under an order, kind 2 the block's documents."""
+DESCRIBED = "doc_id long, mark long, n long, print1 long, print2 long, asks array<long>"
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.block_number()
-        for group in shared.blocks(batches, 1, BLOCK):
-            ids, found = [], []
-            for batch in group:
-                ids += batch.column(0).to_pylist()
-                found += sets(batch.column(1), shingle)
-            block, rows = next(numbers), []
+
+def describe(shingle: int, least: int):
+    """A row per document (id, mark of the text, text): the size and fingerprint of its set, its first shingles under both orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sets(batch.column(2), shingle)
             prints = np.array([fingerprint(t) for t in found], np.int64).reshape(-1, 2)
-            sizes = np.array([len(t) for t in found], np.int64)
-            names = shared.pack_columns(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), sizes, prints[:, 0].copy(), prints[:, 1].copy())
-            rows.append((block % n_buckets, block, 2, names))
-            begun = [beginnings(t, n_sent(len(t), least)) if len(t) and i is not None else (t[:0], t[:0]) for i, t in zip(ids, found, strict=True)]
-            for kind in (0, 1):
-                value = np.concatenate([b[kind] for b in begun])
-                owner = np.repeat(np.arange(len(begun)), [len(b[kind]) for b in begun])
-                bucket = (value % np.uint64(n_buckets)).astype(np.int64)
-                low = (value // np.uint64(n_buckets)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = order[cuts[b] : cuts[b + 1]]
-                    rows.append((b, block, kind, shared.pack_columns(low[own], np.diff(owner[own], prepend=0).astype(np.uint32))))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "block", "kind", "blob"])
-
-    return ask
-
-
-def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many hashes of each document occur in others too: (document, count) of each block and order."""
-    for _, rows in shared.by_key(batches, "bucket"):
-        out = [(r["block"], 2, r["blob"]) for r in rows if r["kind"] == 2]
-        for kind in (0, 1):
-            sent = [r for r in rows if r["kind"] == kind]
-            if not sent:
-                continue
-            parts = [shared.unpack_columns(r["blob"]) for r in sent]
-            _, inverse, count = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
-            common, at = count[inverse] > 1, 0
-            for r, (_, steps) in zip(sent, parts, strict=True):
-                owner = np.cumsum(steps)[common[at : at + len(steps)]]
-                at += len(steps)
-                if len(owner):
-                    own, n = np.unique(owner, return_counts=True)
-                    out.append((r["block"], kind, shared.pack_columns(own.astype(np.uint32), n.astype(np.uint32))))
-        for i in range(0, len(out), 2000):
-            kinds = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 2000], strict=True), kinds, strict=True)], ["block", "kind", "blob"])
-
-
-def judge(least: int):
-    """Of one block: doc_id, n, the fingerprint, and whether both orders let the document stay."""
-
-    def of_block(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        ids, null, n, first, second = shared.unpack_columns(next(r["blob"] for r in rows if r["kind"] == 2))
-        stays = (n > 0) & ~null
-        for kind in (0, 1):
-            total = np.zeros(len(n), np.int64)
-            for r in rows:
-                if r["kind"] == kind:
-                    own, count = shared.unpack_columns(r["blob"])
-                    total[own] += count
-            stays &= total >= missing(n, least) + 1
-        return pa.Table.from_arrays([pa.array(ids, mask=null), pa.array(n), pa.array(first), pa.array(second), pa.array(stays)], ["doc_id", "n", "print1", "print2", "stays"])
-
-    return of_block
-
-
-def list_sets(n_buckets: int, shingle: int):
-    """A row per block of documents: their sets, and the sets' hashes dealt into buckets."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.block_number()
-        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("list", pa.binary())]))
-        for group in shared.blocks(batches, 1, 2 * BLOCK):
-            ids, found = [], []
-            for batch in group:
-                for i, tokens, wanted in zip(batch.column(0).to_pylist(), sets(batch.column(1), shingle), batch.column(2).to_pylist(), strict=True):
-                    if fingerprint(tokens)[0] == wanted:  # another text under the same id is another document
-                        ids.append(i)
-                        found.append(tokens)
-            if not ids:
-                continue
-            value = np.concatenate(found)
-            bucket = (value % np.uint64(n_buckets)).astype(np.int64)
-            low = (value // np.uint64(n_buckets)).astype("<u4")
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            lists = [{"bucket": b, "list": low[order[cuts[b] : cuts[b + 1]]].tobytes()} for b in np.flatnonzero(np.diff(cuts)).tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([next(numbers)]),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([[len(t) for t in found]], pa.list_(pa.int32())),
-                    pa.array([value.astype("<u8").tobytes()], pa.binary()),
-                    pa.array([lists], kind),
-                ],
-                ["block", "doc_ids", "counts", "tokens", "lists"],
-            )
-
-    return build
-
-
-def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in shared.by_key(batches, "bucket"):
-        parts = [np.frombuffer(r["list"], "<u4") for r in rows]
-        _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        df = np.split(np.minimum(count, 65535).astype("<u2")[inverse], np.cumsum([len(p) for p in parts])[:-1])
-        out = [(r["block"], r["bucket"], shared.pack_columns(d)) for r, d in zip(rows, df, strict=True)]
-        for i in range(0, len(out), 2000):
-            kinds = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 2000], strict=True), kinds, strict=True)], ["block", "bucket", "df"])
-
-
-CANDIDATE = "doc_id long, n int, alone int, prefix array<long>, second array<long>, third array<long>, tokens binary"
-
-
-def order_sets(n_buckets: int, least: int):
-    """Documents whose prefixes hold shared shingles under all three orders; `prefix` is the rarest-first one without shingles that stand alone."""
-
-    def order(key, block: pa.Table, counts: pa.Table) -> pa.Table:
-        out = []
-        if block.num_rows:
-            ids, sizes = (block.column(c)[0].as_py() for c in ("doc_ids", "counts"))
-            value = np.frombuffer(block.column("tokens")[0].as_py(), "<u8")
-            by_bucket = np.argsort((value % np.uint64(n_buckets)).astype(np.int64), kind="stable")
-            known = dict(zip(counts.column("bucket").to_pylist(), counts.column("df").to_pylist(), strict=True))
-            df = np.empty(len(value), np.int64)
-            df[by_bucket] = np.concatenate([shared.unpack_columns(known[b])[0] for b in sorted(known)])
-            end = 0
-            for doc_id, n in zip(ids, sizes, strict=True):
-                start, end = end, end + n
-                tokens, own = value[start:end], df[start:end]
-                met = own > 1
-                alone, m = n - int(met.sum()), missing(n, least)
-                if alone > m:
-                    continue
-                other = words.mixed(tokens ^ SECOND_ORDER)
-                second = tokens[: m + 1][met[: m + 1]]
-                third = other[met & (other <= np.partition(other, m)[m])]
-                if not len(second) or not len(third):
-                    continue
-                tokens, own = tokens[met], own[met]
-                rare = tokens[np.lexsort((tokens, own))[: m + 1 - alone]]
-                lists = (x.astype(np.uint64).view(np.int64).tolist() for x in (rare, second, third))
-                out.append((doc_id, n, alone, *lists, tokens.astype("<u8").tobytes()))
-        many = pa.list_(pa.int64())
-        kinds = (pa.int64(), pa.int32(), pa.int32(), many, many, many, pa.binary())
-        names = ["doc_id", "n", "alone", "prefix", "second", "third", "tokens"]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names)
-
-    return order
-
-
-def candidates(docs: DataFrame, n: int, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(every document: doc_id, n, fingerprint, stays; the documents that can have links, with their prefixes and sets)."""
-    found = docs.mapInArrow(shared.lean(ask_counts(2 * n, shingle, least)), "bucket int, block long, kind int, blob binary")
-    counted = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(count_shared), "block long, kind int, blob binary")
-    all_sets = shared.stage(counted.groupBy("block").applyInArrow(judge(least), "doc_id long, n long, print1 long, print2 long, stays boolean"), "sets")
-    first = shared.stage(all_sets.where("stays").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("_id")).select("_id", F.col("print1").alias("_print")), "set-classes")
-    texts = docs.join(shared.checked_broadcast(first), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_print")
-    name = shared.scratch_table("sets")
-    built = "block long, doc_ids array<long>, counts array<int>, tokens binary, lists array<struct<bucket:int,list:binary>>"
-    texts.mapInArrow(shared.lean(list_sets(2 * n, shingle)), built).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
-    listed = docs.sparkSession.table(name)
-    asked = listed.select("block", F.explode("lists").alias("l")).select("block", "l.bucket", "l.list")
-    df = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(count_documents), "block long, bucket int, df binary")
-    ordered = listed.drop("lists").groupBy("block").cogroup(df.groupBy("block")).applyInArrow(order_sets(2 * n, least), CANDIDATE)
-    return all_sets, shared.stage(ordered, "ordered-sets")
+            asks = lists_of([beginnings(t, n_sent(len(t), least)) if len(t) else t.view(np.int64) for t in found])
+            sizes = pa.array([len(t) for t in found], pa.int64())
+            columns = [batch.column(0), batch.column(1), sizes, pa.array(prints[:, 0]), pa.array(prints[:, 1]), asks]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "print1", "print2", "asks"])
+
+    return run
+
+
+def whole_sets(shingle: int):
+    """(id, text) to doc_id, n, tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sets(batch.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in found], pa.int64()), lists_of([t.view(np.int64) for t in found])], ["doc_id", "n", "tokens"])
+
+    return run
+
+
+CANDIDATE = "doc_id long, n long, alone long, prefix array<long>, second array<long>, third array<long>, tokens array<long>"
+
+
+def prefixes(least: int):
+    """(doc_id, n, df and token of each shingle that others have) to prefixes under the three orders; `prefix` is the rarest-first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, pairs, out = batch.column(1).to_pylist(), batch.column(2), []
+            flat, edges = pairs.flatten(), np.concatenate(([0], np.cumsum(np.asarray(pairs.value_lengths(), np.int64))))
+            df, tokens = (np.asarray(flat.field(i), np.int64) for i in range(2))
+            for i, n in enumerate(sizes):
+                own = tokens[edges[i] : edges[i + 1]].view(np.uint64)
+                order = np.argsort(own)
+                own, rarity = own[order], df[edges[i] : edges[i + 1]][order]
+                alone = n - len(own)
+                first = missing(n, least) + 1 - alone
+                other = words.mixed(own ^ SECOND_ORDER)
+                rare = own[np.lexsort((own, rarity))[:first]]
+                out.append((rare.view(np.int64), own[:first].view(np.int64), np.sort(other)[:first].view(np.int64), own.view(np.int64), alone))
+            alone = pa.array([o[4] for o in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), alone, *(lists_of([o[k] for o in out]) for k in range(4))], ["doc_id", "n", "alone", "prefix", "second", "third", "tokens"])
+
+    return run
+
+
+def lacking(least: int) -> Column:
+    return F.expr(f"n * {100 - least} div 100")
+
+
+def candidates(rows: DataFrame, described: DataFrame, classes: DataFrame, shingle: int, least: int) -> DataFrame:
+    """The documents (one per class of equal sets) that can have links, with their prefixes and sets."""
+    same = [F.col(c) == F.col(f"_{c}") for c in ("print1", "print2", "n")]
+    copies = classes.where("members > 1").select(F.col("print1").alias("_print1"), F.col("print2").alias("_print2"), F.col("n").alias("_n"), "first")
+    own = described.where("n > 0 and doc_id is not null").join(shared.checked_broadcast(copies), same, "left").where("first is null or first = doc_id")
+    asked = own.select("doc_id", "n", F.explode("asks").alias("shingle"))
+    met = asked.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle")
+    met = asked.join(shared.stage(met, "shared-beginnings"), "shingle", "left_semi")
+    second = F.col("shingle").bitwiseAND(F.lit(1)) == 1
+    met = met.groupBy("doc_id", "n").agg(F.count_if(second).alias("b"), F.count_if(~second).alias("a"))
+    stays = shared.stage(met.where(F.least("a", "b") > lacking(least)).select(F.col("doc_id").alias("_id")), "staying")
+    texts = rows.join(shared.checked_broadcast(stays), F.col("_doc") == F.col("_id")).select("_doc", "_text")
+    listed = shared.stage(texts.mapInArrow(shared.lean(whole_sets(shingle)), "doc_id long, n long, tokens array<long>"), "whole-sets")
+    each = listed.select("doc_id", "n", F.explode("tokens").alias("token"))
+    common = each.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("df")).where("low < high").select("token", "df")
+    known = each.join(shared.stage(common, "common-shingles"), "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("pairs"))
+    known = known.where(F.size("pairs") >= F.col("n") - lacking(least))
+    return shared.stage(known.mapInArrow(shared.lean(prefixes(least)), CANDIDATE), "ordered-sets")
 
 
 def verified(pairs: DataFrame, sets_: DataFrame, least: int) -> DataFrame:
@@ -263,27 +177,28 @@ def verified(pairs: DataFrame, sets_: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             x, y, n_x, n_y, t_x, t_y = (batch.column(i) for i in range(6))
             n_x, n_y = np.asarray(n_x, np.int64), np.asarray(n_y, np.int64)
-            common = np.array([len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), True)) for a, b in zip(t_x.to_pylist(), t_y.to_pylist(), strict=True)], np.int64)
+            common = np.array([len(np.intersect1d(np.asarray(a.values), np.asarray(b.values), True)) for a, b in zip(t_x, t_y, strict=True)], np.int64)
             linked = pa.array(100 * common >= least * (n_x + n_y - common))
             yield pa.RecordBatch.from_arrays([x.filter(linked), y.filter(linked)], ["x", "y"])
 
     return both.select("x", "y", "x_n", "y_n", "x_tokens", "y_tokens").mapInArrow(shared.lean(verify), "x long, y long")
 
 
-def bound(s: str) -> Column:
+def bound(s: str = "") -> Column:
     """The most that can be common if this is the first common shingle: what the order leaves from here."""
-    return F.col(f"{s}_n") - F.col(f"{s}_alone") - F.col(f"{s}_at")
+    return F.col(f"{s}n") - F.col(f"{s}alone") - F.col(f"{s}at")
 
 
 def can_link(least: int) -> Column:
-    most = F.least(bound("x"), bound("y"))
+    most = F.least(bound("x_"), bound("y_"))
     return 100 * most >= least * (F.col("x_n") + F.col("y_n") - most)
 
 
 def links(sets_: DataFrame, least: int) -> DataFrame:
     """Links x, y that connect every component (not all pairs of it)."""
     rows = sets_.select("doc_id", "n", "alone", F.posexplode("prefix").alias("at", "token"))
-    lists = rows.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("doc_id"), F.col("n"))).alias("centre")).where("members > 1")
+    lists = rows.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("doc_id"), F.col("n"))).alias("centre"))
+    lists = shared.stage(lists.where("members > 1"), "prefix-lists")
     # every member with its list's most central document
     star = rows.join(lists, "token").where("doc_id <> centre.doc_id")
     star = star.where((100 * F.least("n", "centre.n") >= least * F.greatest("n", "centre.n")))
@@ -292,8 +207,11 @@ def links(sets_: DataFrame, least: int) -> DataFrame:
     labels = connected(first)
     # what the stars have not connected: pairs of one list in different components, not tried before
     labelled = rows.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "alone", "at", F.coalesce("component", "doc_id").alias("component"))
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    mixed_ = shared.stage(labelled.join(open_, "token", "left_semi"), "open-lists")
+    labelled = shared.stage(labelled, "labelled")
+    # a partner has at least `few` shingles alone and no more in common than `most`, so whoever fails with those fails with all
+    open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("alone").alias("few")).where("low <> high").select("token", "few")
+    open_ = labelled.join(shared.stage(open_, "open-tokens"), "token").where(100 * bound() >= least * (F.col("n") + F.col("few")))
+    mixed_ = shared.stage(open_, "open-lists")
     side = lambda s: mixed_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "alone", "at", "component")])
     pairs = side("x").join(side("y"), "token").where((F.col("x_component") < F.col("y_component")) & can_link(least))
     pairs = pairs.select(F.least("x_doc_id", "y_doc_id").alias("x"), F.greatest("x_doc_id", "y_doc_id").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
@@ -301,26 +219,32 @@ def links(sets_: DataFrame, least: int) -> DataFrame:
     return first.union(shared.stage(second, "open-links"))
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per input row."""
-    n = shared.shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    all_sets, sets_ = candidates(rows, n, shingle, least)
-    labels = connected(links(sets_, least))
-    classes = all_sets.where("stays").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(labels, F.col("first") == F.col("node"), "left").select(
+def labelled_rows(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, component_id: one row per input row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
+    described = shared.stage(rows.mapInArrow(shared.lean(describe(shingle, least)), DESCRIBED), "described")
+    classes = described.where("n > 0 and doc_id is not null").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"))
+    classes = shared.stage(classes, "set-classes")
+    labels = connected(links(candidates(rows, described, classes, shingle, least), least))
+    classes = classes.join(labels, F.col("first") == F.col("node"), "left").where("members > 1 or component is not null").select(
         F.col("print1").alias("_print1"), F.col("print2").alias("_print2"), F.col("n").alias("_n"), F.coalesce("component", "first").alias("component")
     )
     classes = shared.checked_broadcast(shared.stage(classes, "class-components"))  # a table of its own: a shuffled join can split a class of many copies
-    same = (F.col("print1") == F.col("_print1")) & (F.col("print2") == F.col("_print2")) & (F.col("n") == F.col("_n")) & F.col("stays")
-    return all_sets.join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    same = (F.col("print1") == F.col("_print1")) & (F.col("print2") == F.col("_print2")) & (F.col("n") == F.col("_n")) & F.col("doc_id").isNotNull()
+    return described.join(classes, same, "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per input row."""
+    return labelled_rows(docs, shingle, least, id_col, text_col).drop("mark")
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """The documents, all columns, with the least id of each component; rows with null ids or empty sets stay; of rows with one id one stays."""
-    found = components(docs.select("doc_id", "text"), shingle, least).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stays")).agg(F.count("*").alias("_rows"))
-    found = shared.stage(found, "firsts")
-    kept = docs.join(shared.checked_broadcast(found.select("__stays")), F.col("doc_id") == F.col("__stays"), "left_semi")
+    """The documents, all columns, with the least id of each component; rows with null ids or empty sets stay; of rows with one id and text one stays."""
+    found = labelled_rows(docs.select("doc_id", "text"), shingle, least).where("doc_id = component_id")
+    found = shared.stage(found.groupBy(F.col("doc_id").alias("__stays"), F.col("mark").alias("__mark")).agg(F.count("*").alias("_rows")), "firsts")
+    same = (F.col("doc_id") == F.col("__stays")) & (F.xxhash64("text") == F.col("__mark"))
+    kept = docs.join(shared.checked_broadcast(found.select("__stays", "__mark")), same, "left_semi")
     if found.where("_rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))

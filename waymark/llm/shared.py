@@ -20,10 +20,8 @@ from .. import ship
 #: The white space of the word definition `[^\x20\x09-\x0D]+`, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Rows up to which a materialised table of a few fixed-width columns is broadcast (tens of MB); joins shuffle beyond.
-BROADCAST_ROWS = 2_000_000
-
-
+#: Measured bytes up to which a materialised table is broadcast; joins shuffle beyond.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of one Arrow batch that a Python worker gets: by Spark's default, 10,000 whole texts come at once.
 BATCH_BYTES = 4 << 20
 
@@ -44,17 +42,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only a local session may do without (a folder of our own)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/waymark-scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Scratch folders and tables of this driver that `release` may delete.
+#: Scratch folders, tables and broadcasts of this driver that `release` may delete.
 _SCRATCH: list[str] = []
 _TABLES: list[str] = []
+_SENT: list = []
 
 
 def scratch_path(spark: SparkSession, label: str, owned: bool = True) -> str:
@@ -65,12 +66,21 @@ def scratch_path(spark: SparkSession, label: str, owned: bool = True) -> str:
 
 
 def scratch_table(label: str) -> str:
+    """A name for a table whose files the caller puts under `scratch_path`."""
     _TABLES.append(f"waymark_{label}_{uuid.uuid4().hex}")
     return _TABLES[-1]
 
 
+def sent(spark: SparkSession, value):
+    """A broadcast that `release` destroys; only for values of bounded size."""
+    _SENT.append(spark.sparkContext.broadcast(value))
+    return _SENT[-1]
+
+
 def release(spark: SparkSession) -> None:
-    """Delete all scratch folders and tables made so far; for callers whose results are written elsewhere by now."""
+    """Delete all scratch made so far; for callers whose results are written elsewhere by now."""
+    while _SENT:
+        _SENT.pop().destroy()
     while _TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _SCRATCH:
@@ -85,9 +95,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count of the (materialised) table proves it small; otherwise the join shuffles."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+def fits(small: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a (materialised) table's rows, as measured, take at most `limit` bytes."""
+    size = F.lit(24.0)
+    for name, kind in small.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 16 * F.coalesce(F.size(name), F.lit(0))
+        size = size + 8
+    return (small.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
+def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the (materialised) table's measured bytes prove it small; otherwise the join shuffles."""
+    return F.broadcast(small) if fits(small, limit) else small
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -158,11 +180,17 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
         yield group
 
 
+#: Caches of a worker, emptied when a task ends.
+CACHES: list[dict] = []
+
+
 def lean(step):
-    """A mapInArrow function that gives its task's freed memory back: a worker that waits for its next task holds little."""
+    """A mapInArrow function that gives its task's memory back: a worker that waits for its next task holds little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from step(batches)
+        for cache in CACHES:
+            cache.clear()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
         if trim:
@@ -180,40 +208,3 @@ def block_number() -> Iterator[int]:
     while True:
         yield at
         at += 1
-
-
-def pack_columns(*columns: np.ndarray) -> bytes:
-    """Columns of one length as a compressed blob, byte by byte place so that like bytes lie together."""
-    import zstandard
-
-    head = f"{len(columns[0])} {' '.join(c.dtype.str for c in columns)}\n".encode()
-    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns]
-    return zstandard.ZstdCompressor().compress(head + b"".join(planes))
-
-
-def unpack_columns(blob: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    head, _, _ = raw.partition(b"\n")
-    n, *kinds = head.decode().split()
-    at, out = len(head) + 1, []
-    for kind in map(np.dtype, kinds):
-        planes = np.frombuffer(raw, np.uint8, int(n) * kind.itemsize, at).reshape(kind.itemsize, int(n))
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += int(n) * kind.itemsize
-    return out
-
-
-def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """(key, its rows) of batches that come sorted by the key."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row[key] != now and rows:
-                yield now, rows
-                rows = []
-            now = row[key]
-            rows.append(row)
-    if rows:
-        yield now, rows

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from . import shared
+
 #: Entries of a worker's cache of word hashes before it starts anew.
 CACHE = 100_000
 
@@ -20,6 +22,7 @@ class WordHash(dict):
 
 
 _HASHES = WordHash()
+shared.CACHES.append(_HASHES)
 
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,3 +54,12 @@ def gapped(words: np.ndarray, offsets: list[int], seed: int) -> np.ndarray:
         for at, factor in zip(offsets, odd_constants(seed, len(offsets)), strict=True):
             total += words[at : at + n] * factor
     return mixed(total)
+
+
+def words_of_eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place of `data`, as a number."""
+    out = np.empty(max(len(data) - 7, 0), np.uint64)
+    for r in range(min(8, len(out))):
+        own = data[r : r + (len(data) - r) // 8 * 8]
+        out[r::8] = np.frombuffer(own.tobytes(), "<u8")
+    return out
