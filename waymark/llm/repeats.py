@@ -1,75 +1,71 @@
 """Suffix-array deduplication: removes every byte covered by a WINDOW-byte string that also starts earlier in the corpus.
 
 Earlier means a smaller document id, or the same document and an earlier start; documents are UTF-8 bytes, matches do not
-cross them, and strings are judged on the input. The corpus-wide suffix order is needed only where suffixes can share
-WINDOW bytes, so it is built in parts that Spark shuffles together:
-
-1. Each window has an anchor: the GRAM-byte string of least hash inside it, which equal windows share at the same place.
-   Runs of windows with one anchor form its context (about WINDOW + 35 bytes), known by a hash.
-2. Anchors are shuffled by hash. Contexts equal to an earlier one are removed whole; distinct contexts that share an
-   anchor go on; an anchor that stands alone is done. Per block, equal contexts are settled before the shuffle.
-3. The distinct contexts' bytes are shuffled by anchor. There the suffixes are sorted, and the previous and the next
-   smaller position in suffix order (the longest-previous-factor array, cut at WINDOW bytes) tell which windows start
-   earlier. What matches is decided on the bytes themselves. Contexts of an anchor with more than HOT of them (a passage
-   that many documents share, each with another text around it) are not sent: their windows are, each dealt by its own
-   hash, and only the first of a block's equal windows.
+cross them, and strings are judged on the input. A window goes if its longest previous factor (LPF) has WINDOW bytes or
+more: suffixes are sorted, and of each one's previous and next suffix in that order that starts earlier in the corpus
+(PSV and NSV) the longer common prefix is its LPF. The corpus-wide order is needed only where suffixes can share WINDOW bytes,
+so it is built in parts that Spark shuffles together:
+
+1. Each window has an anchor: the GRAM-byte string of least hash inside it, which equal windows share. Anchors are rows
+   (hash, document); those that occur once in the corpus leave their windows out of all further work.
+2. A run of windows with one anchor is a context (WINDOW to WINDOW + 68 bytes). Contexts of the other anchors are cut out of the texts
+   and dealt by anchor; there their suffix order and LPF array decide which windows go. Equal contexts have equal
+   suffixes, so each distinct one is sorted once and stands in the order as often as it occurs.
+3. An anchor of more than GROUP contexts is dealt to several groups. A window that is first in its group goes on to the
+   next round, dealt by its own bytes, with one such window per group at most; rounds end when no key needs two groups.
+   A passage in any share of the documents is so reduced GROUP-fold a round, its edges (each in another text) included.
 4. Removed windows go back to their documents.
 
-Texts are not shuffled but for documents that hold shared anchors. A repeated passage meets at its anchors once a block;
-only contexts that differ around it (its edges) meet once a document.
+Hashes only leave work out; every removal is decided by an LPF value over the bytes.
 
 Null or empty text: no bytes. A null id counts as the last. Rows repeated with one id and text are judged alike (neither
-starts earlier than the other); different texts under one id compare by start. Other columns pass through `deduplicate`.
+starts earlier than the other); different texts under one id compare by start. Very long texts are cut into contexts piece by
+piece. Other columns pass through `deduplicate`. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import mixed, odd_constants
+from .words import mixed, odd_constants, words_of_eight
 
 WINDOW, GRAM = 100, 32
-PIECE, BLOCK = 1 << 20, 4 << 20
+#: Bytes of a piece of a text, and of texts that are searched for anchors at once.
+PIECE = 1 << 20
 LAST = np.iinfo(np.int64).max
-#: Windows that a task sorts at once (more only where one anchor of at most HOT contexts has more).
-SORTED = 400_000
-#: Distinct contexts beyond which an anchor's windows are compared one by one.
-HOT = 4096
-BASE = 0x9E3779B97F4A7C15
+#: Windows whose suffixes a task sorts at once (more only where one group has more).
+SORTED = 200_000
+#: Contexts of an anchor in one group at most, on average.
+GROUP = 4096
 PLACE_BITS = 23
 
 
-@cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64."""
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def window_hashes(data: np.ndarray, first: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Hashes of the `length` bytes at each place."""
+    eight, places = words_of_eight(data), [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    total = np.zeros(len(first), np.uint64)
+    for at, factor in zip(places, odd_constants(seed, len(places)), strict=True):
+        total += eight[first + at] * factor
+    return mixed(total)
 
 
-@cache
-def byte_values() -> np.ndarray:
-    return odd_constants(11, 256)
-
-
-def anchors(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Of pieces laid end to end: for each run of windows with one anchor its first window lo, n (windows after the first), left (lo to the anchor), hashes of gram and context."""
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces laid end to end: for each run of windows with one anchor the first window, how many more, the anchor's hash."""
     n, reach = len(data), WINDOW - GRAM
-    none = {k: np.zeros(0, np.int64) for k in ("lo", "n", "left")} | {k: np.zeros(0, np.uint64) for k in ("gram", "context")}
     if n < WINDOW:
-        return none
-    size = max(BLOCK + PIECE + 2 * WINDOW, n + 1)
-    up, down = powers(size)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(byte_values()[data] * up[:n], out=sums[1:])
-    gram = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    eight = words_of_eight(data)
+    gram = np.zeros(n - GRAM + 1, np.uint64)
+    for k, factor in enumerate(odd_constants(11, GRAM // 8)):
+        gram += eight[8 * k : 8 * k + len(gram)] * factor
+    gram = mixed(gram)
     place = np.uint64((1 << PLACE_BITS) - 1)
     least = (gram & ~place) | np.arange(len(gram), dtype=np.uint64)
     width = 1
@@ -82,398 +78,281 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     for end in ends[:-1].tolist():
         inside[max(0, end - WINDOW + 1) : end] = False
     edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]))))
-    hi = np.append(edge[1:], len(at)) - 1
+    last = np.append(edge[1:], len(at)) - 1
     keep = inside[edge]
-    lo, hi = edge[keep], hi[keep]
-    q = at[lo]
-    context = (sums[hi + WINDOW] - sums[lo]) * down[lo]
-    shape = (q - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return {"lo": lo, "n": hi - lo, "left": q - lo, "gram": gram[q], "context": mixed(context + shape) & np.uint64((1 << 48) - 1)}
-
-
-def not_first(equal: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by the equal columns, then doc and place; in that order, which start strictly later than the first of their equals)."""
-    order = np.lexsort((at, doc, *equal[::-1]))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for column in equal:
-        new[1:] |= column[order][1:] != column[order][:-1]
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    return order, (doc[order] != doc[first]) | (at[order] != at[first])
-
-
-def find_anchors(n_buckets: int):
-    """(bucket, block, kind, blob): kind 0 anchors of a bucket, kind 1 the block's documents and what it settles itself."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.block_number()
-
-        def settle(pieces: list[tuple]) -> pa.RecordBatch:
-            ends = np.cumsum([len(p[3]) for p in pieces])
-            found = anchors(np.frombuffer(b"".join(p[3] for p in pieces), np.uint8), ends)
-            piece = np.searchsorted(ends, found["lo"], "right").astype(np.uint32)
-            starts = np.concatenate(([0], ends[:-1]))
-            base = np.array([p[2] for p in pieces], np.int64)
-            at = found["lo"] - starts[piece] + base[piece] if len(piece) else found["lo"]
-            ids = np.array([LAST if p[0] is None else p[0] for p in pieces], np.int64)
-            doc = ids[piece]
-            block = next(numbers)
-            order, later = not_first([found["context"], found["gram"]], doc, at)
-            gone, sent = order[later], np.sort(order[~later])
-            named = shared.pack_columns(ids, np.array([p[0] is None for p in pieces]), np.array([p[1] for p in pieces], np.int64))
-            settled = shared.pack_columns(piece[gone], at[gone], found["n"][gone].astype(np.uint8))
-            rows = [(block % n_buckets, block, 1, shared.pack_lists([named, settled]))]
-            bucket = ((found["gram"][sent] >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-            dealt = sent[np.argsort(bucket, kind="stable")]
-            cuts = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
-            six = found["context"].astype("<u8").view(np.uint8).reshape(-1, 8)
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                own = dealt[cuts[b] : cuts[b + 1]]
-                blob = shared.pack_columns(
-                    found["gram"][own].astype(np.uint32),
-                    np.ascontiguousarray(six[own, :4]).view("<u4").ravel(),
-                    np.ascontiguousarray(six[own, 4:6]).view("<u2").ravel(),
-                    np.diff(piece[own].astype(np.int32), prepend=np.int32(0)),
-                    np.diff(doc[own], prepend=np.int64(0)),
-                    at[own],
-                    found["left"][own].astype(np.uint8),
-                    found["n"][own].astype(np.uint8),
-                )
-                rows.append((b, block, 0, blob))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "block", "kind", "blob"])
-
-        pieces, held = [], 0
-        for batch in batches:
-            for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                for base in range(0, max(0, len(text or b"") - WINDOW + 1), PIECE):
-                    pieces.append((doc_id, mark, base, text[base : base + PIECE + WINDOW - 1]))
-                    held += len(pieces[-1][3])
-                    if held >= BLOCK:
-                        yield settle(pieces)
-                        pieces, held = [], 0
-        if pieces:
-            yield settle(pieces)
-
-    return find
-
-
-def compare_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: kind 1 as it came, kind 2 contexts that start later than an equal one, kind 3 contexts whose bytes must be compared."""
-    names, kinds = ["block", "kind", "blob"], (pa.int64(), pa.int32(), pa.binary())
-    for bucket, rows in shared.by_key(batches, "bucket"):
-        out = [(r["block"], 1, r["blob"]) for r in rows if r["kind"] == 1]
-        sent = [r for r in rows if r["kind"] == 0]
-        if sent:
-            parts = [shared.unpack_columns(r["blob"]) for r in sent]
-            block = np.repeat(np.array([r["block"] for r in sent]), [len(p[0]) for p in parts])
-            gram, low, high, left, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 6, 7))
-            piece = np.concatenate([np.cumsum(p[3]) for p in parts]).astype(np.uint32)
-            doc = np.concatenate([np.cumsum(p[4]) for p in parts])
-            at = np.concatenate([p[5] for p in parts])
-            context = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-            order, later = not_first([gram, context], doc, at)
-            g, c = gram[order], context[order]
-            new_gram = np.concatenate(([True], g[1:] != g[:-1]))
-            new = new_gram | np.concatenate(([True], c[1:] != c[:-1]))
-            group = np.cumsum(new_gram) - 1
-            contexts = np.bincount(group, new)[group]
-            open_ = new & (contexts >= 2)
-            hot = np.empty(len(order), bool)
-            hot[order] = contexts > HOT
-            name = np.int64(bucket) << np.int64(32) | gram.astype(np.int64)
-            for kind, chosen, columns in ((2, order[later], (piece, at, n)), (3, order[open_], (piece, at, n, left, name, hot))):
-                chosen = chosen[np.argsort(block[chosen], kind="stable")]
-                own, cuts = np.unique(block[chosen], return_index=True)
-                for b, a, z in zip(own.tolist(), cuts.tolist(), np.append(cuts, len(chosen))[1:].tolist(), strict=True):
-                    out.append((b, kind, shared.pack_columns(*(x[chosen[a:z]] for x in columns))))
-        for i in range(0, len(out), 1000):
-            part = out[i : i + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), kinds, strict=True)], names)
-
-
-def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of closed ranges, as ranges in order; ranges that touch are one."""
-    order = np.argsort(start, kind="stable")
-    start, stop = start[order], np.maximum.accumulate(stop[order])
-    new = np.concatenate(([True], start[1:] > stop[:-1] + 1)) if len(start) else np.zeros(0, bool)
-    cuts = np.flatnonzero(new)
-    return start[cuts], stop[np.append(cuts[1:], len(start)) - 1] if len(cuts) else stop
-
-
-def per_document(table: pa.Table) -> pa.Table:
-    """Of one block: doc_id, mark, removed (ranges of window starts), compare (contexts whose bytes are needed)."""
-    rows = table.to_pylist()
-    named, settled = shared.unpack_lists(next(r["blob"] for r in rows if r["kind"] == 1))
-    ids, null, marks = shared.unpack_columns(named)
-    gone = [shared.unpack_columns(settled)] + [shared.unpack_columns(r["blob"]) for r in rows if r["kind"] == 2]
-    piece, at, n = (np.concatenate([g[i] for g in gone]).astype(np.int64) for i in range(3))
-    asked = [shared.unpack_columns(r["blob"]) for r in rows if r["kind"] == 3]
-    a_piece, a_at, a_n, a_left, a_name, a_hot = (np.concatenate([a[i] for a in asked]).astype(np.int64) if asked else np.zeros(0, np.int64) for i in range(6))
-    order, a_order = np.argsort(piece, kind="stable"), np.argsort(a_piece, kind="stable")
-    edges, a_edges = (np.searchsorted(p, np.arange(len(ids) + 1)) for p in (piece[order], a_piece[a_order]))
-    out = []
-    for i in range(len(ids)):
-        own, a_own = order[edges[i] : edges[i + 1]], a_order[a_edges[i] : a_edges[i + 1]]
-        if len(own) or len(a_own):
-            removed = np.stack(merged(at[own], at[own] + n[own])).astype("<i8").tobytes() if len(own) else None
-            compare = shared.pack_columns(a_at[a_own], a_n[a_own].astype(np.uint8), a_left[a_own].astype(np.uint8), a_name[a_own], a_hot[a_own].astype(bool)) if len(a_own) else None
-            out.append((None if null[i] else int(ids[i]), int(marks[i]), removed, compare))
-    cols = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "mark", "removed", "compare"])
-
-
-def windows_at(data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(data, WINDOW)[first]
-
-
-def later_windows(data: np.ndarray, first: np.ndarray, key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which windows start later than the first equal one; equal windows have equal keys. A window is compared with the first of its key only."""
-    gone, rest = np.zeros(len(first), bool), np.lexsort((at, doc, key))
-    while len(rest):  # once more only for windows whose key is another window's by chance
-        new = np.concatenate(([True], key[rest][1:] != key[rest][:-1]))
-        head = rest[np.maximum.accumulate(np.where(new, np.arange(len(rest)), 0))]
-        same = np.concatenate([(windows_at(data, first[rest[i : i + SORTED]]) == windows_at(data, first[head[i : i + SORTED]])).all(1) for i in range(0, len(rest), SORTED)])
-        gone[rest] = same & ((doc[rest] != doc[head]) | (at[rest] != at[head]))
-        rest = rest[~same]
-    return gone
-
-
-def runs(gone: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of removed windows within a context."""
-    joined = gone[1:] & gone[:-1] & (context[1:] == context[:-1])
-    return np.flatnonzero(gone & ~np.concatenate(([False], joined))), np.flatnonzero(gone & ~np.concatenate((joined, [False])))
-
-
-def cut_contexts(n_buckets: int):
-    """(bucket, kind, columns, bytes): kind 0 contexts dealt by anchor, kind 1 windows of hot anchors dealt by hash, kind 2 ranges settled here."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor().compress
-
-        def deal(rows: list[tuple]) -> pa.RecordBatch:
-            at, n, left, name, hot = (np.concatenate([r[3][i] for r in rows]) for i in range(5))
-            sizes = [len(r[3][0]) for r in rows]
-            doc = np.repeat(np.array([LAST if r[0] is None else r[0] for r in rows], np.int64), sizes)
-            null = np.repeat(np.array([r[0] is None for r in rows]), sizes)
-            mark = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
-            data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-            starts = np.repeat(np.cumsum([0, *(len(r[2]) for r in rows)])[:-1], sizes) + at
-            bucket = (mixed(name.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((name, bucket))
-            order = order[~hot[order]]
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            out = []
-            for own in hot_groups(name, n, np.flatnonzero(hot)):
-                out += deal_windows(data, *(x[own] for x in (name, doc, null, mark, at, n.astype(np.int64), left.astype(np.int64), starts)))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[b] : cuts[b + 1]]
-                text = data[shared.ragged(starts[own], n[own].astype(np.int64) + WINDOW)].tobytes()
-                out.append((b, 0, shared.pack_columns(name[own], doc[own], null[own], mark[own], at[own], n[own], left[own]), press(text)))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "kind", "columns", "bytes"])
-
-        def hot_groups(name: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[np.ndarray]:
-            """Hot contexts by anchor, about SORTED windows at once; what is cut apart here meets in its bucket."""
-            hot = hot[np.argsort(name[hot], kind="stable")]
-            part = np.cumsum(n[hot].astype(np.int64) + 1) // SORTED
-            yield from np.split(hot, np.flatnonzero(np.diff(part)) + 1) if len(hot) else ()
-
-        def deal_windows(data, name, doc, null, mark, at, n, left, starts) -> list[tuple]:
-            context = np.repeat(np.arange(len(n)), n + 1)
-            step = shared.ragged(np.zeros(len(n), np.int64), n + 1)
-            first, where = starts[context] + step, at[context] + step
-            words_ = windows_at(data, first)
-            key = mixed(name[context].astype(np.uint64) * np.uint64(BASE) + (left[context] - step).astype(np.uint64))
-            for i in range(0, WINDOW, 4):
-                key = mixed(key ^ np.ascontiguousarray(words_[:, i : i + 4]).view("<u4").ravel().astype(np.uint64))
-            gone = later_windows(data, first, key, doc[context], where)
-            edge, last = runs(gone, context)
-            out = []
-            if len(edge):
-                own = context[edge]
-                b = int(key[0] % np.uint64(n_buckets))
-                out.append((b, 2, shared.pack_columns(doc[own], null[own], mark[own], where[edge], where[last]), None))
-            left_ = np.flatnonzero(~gone)
-            bucket = (key[left_] % np.uint64(n_buckets)).astype(np.int64)
-            dealt = left_[np.argsort(bucket, kind="stable")]
-            cuts = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                own = dealt[cuts[b] : cuts[b + 1]]
-                c = context[own]
-                out.append((b, 1, shared.pack_columns(key[own], doc[c], null[c], mark[c], where[own]), press(words_[own].tobytes())))
-            return out
-
-        rows, held = [], 0
-        for batch in batches:
-            for doc_id, mark, text, compare in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                rows.append((doc_id, mark, text, shared.unpack_columns(compare)))
-                held += len(text)
-                if held >= 2 * BLOCK:
-                    yield deal(rows)
-                    rows, held = [], 0
-        if rows:
-            yield deal(rows)
-
-    return cut
+    return edge[keep], (last - edge)[keep], gram[at[edge[keep]]]
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[tuple]]:
+    """Groups of (batch, row, base, bytes) of about PIECE bytes; windows start in one piece each."""
+    group, held = [], 0
+    for batch in batches:
+        for row, text in enumerate(batch.column(text_at).cast(pa.binary()).to_pylist()):
+            for base in range(0, max(0, len(text or b"") - WINDOW + 1), PIECE):
+                group.append((batch, row, base, text[base : base + PIECE + WINDOW - 1]))
+                held += len(group[-1][3])
+                if held >= PIECE:
+                    yield group
+                    group, held = [], 0
+    if group:
+        yield group
+
+
+def laid(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data, and of each context: piece, first window in data, place of it in its text, further windows, anchor."""
+    ends = np.cumsum([len(p[3]) for p in group])
+    data = np.frombuffer(b"".join(p[3] for p in group), np.uint8)
+    first, more, gram = anchors(data, ends)
+    piece = np.searchsorted(ends, first, "right")
+    shift = np.array([p[2] for p in group], np.int64) - np.concatenate(([0], ends[:-1]))
+    return data, piece, first, first + shift[piece], more, gram
+
+
+def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to a row (gram, key) for each context."""
+    for group in pieces_of(batches, 1):
+        _, piece, _, _, _, gram = laid(group)
+        keys = np.array([batch.column(0)[row].as_py() for batch, row, _, _ in group], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(keys[piece])], ["gram", "key"])
+
+
+DEALT = "part long, salt int, groups long, doc long, key long, at long, bytes binary"
+DEALT_ARROW = pa.schema([("part", pa.int64()), ("salt", pa.int32()), ("groups", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+
+
+def salted(groups: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (mixed(key.view(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % groups.astype(np.uint64)).astype(np.int32)
+
+
+def binary(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """data[start : start + size] of each, as a binary column."""
+    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(data[shared.ragged(starts, sizes)])])
+
+
+def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, key, text, asked: gram and copies of the anchors that occur more than once) to the contexts of those anchors."""
+    for group in pieces_of(batches, 2):
+        data, piece, first, at, more, gram = laid(group)
+        names, copies = [], []
+        for i, (batch, row, _, _) in enumerate(group):
+            asked = batch.column(3)[row].values
+            names.append(mixed(np.asarray(asked.field(0), np.int64).view(np.uint64) ^ np.uint64(i + 1)))
+            copies.append(np.asarray(asked.field(1), np.int64))
+        names, copies = np.concatenate(names), np.concatenate(copies)
+        order = np.argsort(names)
+        names, copies = names[order], copies[order]
+        own = mixed(gram ^ (piece + 1).astype(np.uint64))
+        found = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        keep = np.flatnonzero(names[found] == own)
+        if not len(keep):
+            continue
+        groups = -(-copies[found[keep]] // GROUP)
+        key = np.array([batch.column(1)[row].as_py() for batch, row, _, _ in group], np.int64)[piece[keep]]
+        doc = pa.array([batch.column(0)[row].as_py() for batch, row, _, _ in group], pa.int64()).take(pa.array(piece[keep]))
+        columns = [pa.array(gram[keep].view(np.int64)), pa.array(salted(groups, key, at[keep])), pa.array(groups), doc, pa.array(key), pa.array(at[keep])]
+        yield pa.RecordBatch.from_arrays([*columns, binary(data, first[keep], more[keep] + WINDOW)], schema=DEALT_ARROW)
 
 
-def starts_earlier(data: np.ndarray, first: np.ndarray, name: np.ndarray, place: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each window data[first : first + WINDOW]: does an equal one start earlier, in (doc, at)?
+def longest_previous(position: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The LPF array of suffixes in order: `position` of each in the corpus, `shares` its common prefix with the one before.
 
-    Suffixes are sorted (cut at WINDOW bytes); in that order the previous and the next smaller position that share WINDOW
-    bytes are what the longest-previous-factor array looks at. A hash tells beforehand which windows have no equal at all.
+    Values under WINDOW are not told apart (0). Previous smaller values are found by halving steps over minima of 1, 2, 4, ...
+    suffixes, so that no input makes it slow; next smaller values are the same from the other end.
+    """
+    shares = np.where(shares >= WINDOW, shares, 0).astype(np.int32)
+    if not len(position):
+        return shares
+    cuts = np.append(np.flatnonzero(shares == 0), len(shares))
+    levels = int(np.diff(cuts).max()).bit_length()
+
+    def one_side(position: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        least, shared_by = [position], [shares]
+        for k in range(levels):
+            for table in (least, shared_by):
+                wide = table[-1].copy()
+                wide[1 << k :] = np.minimum(table[-1][1 << k :], table[-1][: -(1 << k)])
+                table.append(wide)
+        at, low = np.arange(len(position)) - 1, shares.copy()
+        for k in range(levels, -1, -1):
+            skip = np.flatnonzero((at >= 0) & (low > 0))
+            skip = skip[least[k][at[skip]] >= position[skip]]
+            low[skip] = np.minimum(low[skip], shared_by[k][at[skip]])
+            at[skip] -= 1 << k
+        return np.where((at >= 0) & (position[np.maximum(at, 0)] < position), low, 0)
+
+    after = np.concatenate((shares[:1] * 0, shares[:0:-1]))
+    return np.maximum(one_side(position, shares), one_side(position[::-1], after)[::-1])
+
+
+def suffix_order(texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, step, shares) of the windows of distinct contexts in suffix order; texts holds a context a row, zeros after it.
+
+    A window whose hash no other has shares WINDOW bytes with nothing: it stands at the end, unsorted, sharing 0.
     """
-    up, down = powers(max(BLOCK + PIECE + 2 * WINDOW, len(data) + 1))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values()[data] * up[: len(data)], out=sums[1:])
-    h = mixed((sums[first + WINDOW] - sums[first]) * down[first] + name.astype(np.uint64) * np.uint64(BASE) + place.astype(np.uint64))
-    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    width, most = texts.shape[1], int(sizes.max())
+    context = np.repeat(np.arange(len(sizes)), sizes - WINDOW + 1)
+    step = shared.ragged(np.zeros(len(sizes), np.int64), sizes - WINDOW + 1)
+    first, flat = context * width + step, texts.ravel()
+    _, inverse, count = np.unique(window_hashes(flat, first, WINDOW, 12), return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[inverse] > 1)
-    earlier = np.zeros(len(first), bool)
+    shares = np.zeros(len(first), np.int32)
     if not len(some):
-        return earlier
-    padded = np.zeros((len(some), 104), np.uint8)
-    padded[:, :WINDOW] = data[first[some, None] + np.arange(WINDOW)]
-    text = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((at[some], doc[some], *(text[:, i] for i in range(12, -1, -1))))
-    text = text[order]
-    new = np.concatenate(([True], (text[1:] != text[:-1]).any(1)))  # the common prefix with the suffix before is shorter than WINDOW
-    rank = np.empty(len(some), np.int64)
-    rank[np.lexsort((at[some], doc[some]))] = np.arange(len(some))
-    position = rank[order]
-    run = np.cumsum(new) - 1
-    # within a run of suffixes that share WINDOW bytes: the least position before (previous smaller) and after (next smaller)
-    shift = run * np.int64(len(some) + 1)
-    before = np.minimum.accumulate(position - shift) + shift
-    backwards = (run.max() - run)[::-1] * np.int64(len(some) + 1)
-    after = (np.minimum.accumulate(position[::-1] - backwards) + backwards)[::-1]
-    smaller = np.minimum(before, after)
-    at_rank = np.empty(len(some), np.int64)
-    at_rank[rank] = np.arange(len(some))
-    least = some[at_rank[smaller]]
-    own = some[order]
-    earlier[own] = (doc[own] != doc[least]) | (at[own] != at[least])  # a repeated row starts at the same place, not earlier
-    return earlier
-
-
-def compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of window starts to remove: doc_id, mark, start, stop."""
-    import zstandard
-
-    unpress = zstandard.ZstdDecompressor().decompress
-    def ranges(doc, null, mark, start, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(mark), pa.array(start), pa.array(stop)], ["doc_id", "mark", "start", "stop"])
-
-    for _, rows in shared.by_key(batches, "bucket"):
-        yield from (ranges(*shared.unpack_columns(r["columns"])) for r in rows if r["kind"] == 2)
-        single, rows = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 0]
-        if single:
-            parts = [shared.unpack_columns(r["columns"]) for r in single]
-            key, doc, null, mark, at = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            data = np.frombuffer(b"".join(unpress(r["bytes"]) for r in single), np.uint8)
-            gone = later_windows(data, np.arange(len(key)) * WINDOW, key, doc, at)
-            yield ranges(doc[gone], null[gone], mark[gone], at[gone], at[gone])
-        if not rows:
-            continue
-        parts = [shared.unpack_columns(r["columns"]) for r in rows]
-        name, doc, null, mark, at, n, left = (np.concatenate([p[i] for p in parts]) for i in range(7))
-        n = n.astype(np.int64)
-        data = np.frombuffer(b"".join(unpress(r["bytes"]) for r in rows), np.uint8)
-        starts = np.cumsum(n + WINDOW) - n - WINDOW
-        order = np.argsort(name, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
-        windows = np.concatenate(([0], np.cumsum(n[order] + 1)))
-        a = 0
-        while a < len(order):  # whole anchors, up to about SORTED windows at once
-            fit = int(np.searchsorted(windows[heads], windows[a] + SORTED, "right")) - 1
-            z = int(heads[fit]) if fit >= 0 and heads[fit] > a else int(np.append(heads, len(order))[np.searchsorted(heads, a, "right")])
-            if windows[-1] - windows[a] <= SORTED:
-                z = len(order)
-            own = order[a:z]
-            size = n[own] + WINDOW
-            text = data[shared.ragged(starts[own], size)]
-            context = np.repeat(np.arange(len(own)), n[own] + 1)
-            step = shared.ragged(np.zeros(len(own), np.int64), n[own] + 1)
-            first = (np.cumsum(size) - size)[context] + step
-            where = at[own][context] + step
-            gone = starts_earlier(text, first, name[own][context], left[own].astype(np.int64)[context] - step, doc[own][context], where)
-            edge, last = runs(gone, context)
-            chosen = own[context[edge]]
-            yield ranges(doc[chosen], null[chosen], mark[chosen], where[edge], where[last])
-            a = z
+        return context, step, shares
+    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, most)[first[some]])
+    order = np.argsort(suffixes.view(f"S{most}").ravel(), kind="stable")
+    left = (sizes[context] - step)[some[order]]
+    for a in range(1, len(order), 1 << 16):
+        z = min(a + (1 << 16), len(order))
+        differ = suffixes[order[a:z]] != suffixes[order[a - 1 : z - 1]]
+        common = np.where(differ.any(1), differ.argmax(1), most)
+        shares[a:z] = np.minimum(common, np.minimum(left[a:z], left[a - 1 : z - 1]))
+    sequence = np.concatenate((some[order], np.flatnonzero(count[inverse] == 1)))
+    return context[sequence], step[sequence], shares
+
+
+def judged(column: pa.Array, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, step, goes) of every window of the contexts in the column, context by context."""
+    encoded = column.dictionary_encode()
+    code, distinct = np.asarray(encoded.indices, np.int64), encoded.dictionary
+    sizes = np.asarray(pa.compute.binary_length(distinct), np.int64)
+    width = 2 * int(sizes.max())
+    texts = np.zeros((len(sizes), width), np.uint8)
+    held = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8)
+    texts.ravel()[shared.ragged(np.arange(len(sizes)) * width, sizes)] = held
+    d_context, d_step, d_shares = suffix_order(texts, sizes)
+    # every occurrence of a context has its own suffixes: equal ones follow each other and share all they have
+    n_of = np.bincount(code, minlength=len(sizes))
+    occurrence, starts = np.argsort(code, kind="stable"), np.cumsum(n_of) - n_of
+    repeat = n_of[d_context]
+    context = occurrence[shared.ragged(starts[d_context], repeat)]
+    step = np.repeat(d_step, repeat)
+    shares = np.repeat(sizes[d_context] - d_step, repeat)
+    shares[np.cumsum(repeat) - repeat] = d_shares
+    _, rank = np.unique(doc, return_inverse=True)
+    lpf = longest_previous((rank.astype(np.int64) << 40)[context] + at[context] + step, shares)
+    windows = sizes[code] - WINDOW + 1
+    base = np.cumsum(windows) - windows
+    goes = np.zeros(int(windows.sum()), bool)
+    goes[base[context] + step] = lpf >= WINDOW
+    return np.repeat(np.arange(len(code)), windows), shared.ragged(np.zeros(len(code), np.int64), windows), goes
+
+
+ROUND = "doc long, key long, start long, stop long, part long, salt int, groups long, bytes binary"
+ROUND_NAMES = ["doc", "key", "start", "stop", "part", "salt", "groups", "bytes"]
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dealt contexts, sorted by part and salt, to ranges of windows that go, and windows that go on to the next round (with bytes)."""
+    for table in whole_groups(batches):
+        doc_column = table.column(3)
+        doc, groups, key, at = np.asarray(doc_column.fill_null(LAST), np.int64), *(np.asarray(table.column(i), np.int64) for i in (2, 4, 5))
+        context, step, goes = judged(table.column(6), doc, at)
+        joined = goes[1:] & goes[:-1] & (context[1:] == context[:-1])
+        first, last = np.flatnonzero(goes & ~np.concatenate(([False], joined))), np.flatnonzero(goes & ~np.concatenate((joined, [False])))
+        own = context[first]
+        none = pa.nulls(len(own))
+        columns = [doc_column.take(pa.array(own)), pa.array(key[own]), pa.array(at[own] + step[first]), pa.array(at[own] + step[last])]
+        yield pa.RecordBatch.from_arrays([*columns, *(none.cast(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ROUND_NAMES)
+        stay = np.flatnonzero(~goes & (groups[context] > 1))
+        if len(stay):
+            own, where = context[stay], at[context[stay]] + step[stay]
+            data = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8)
+            sizes = np.asarray(pa.compute.binary_length(table.column(6)), np.int64)
+            starts = (np.cumsum(sizes) - sizes)[own] + step[stay]
+            part, fewer = window_hashes(data, starts, WINDOW, 13).view(np.int64), -(-groups[own] // GROUP)
+            columns = [doc_column.take(pa.array(own)), pa.array(key[own]), pa.array(where), pa.array(where), pa.array(part), pa.array(salted(fewer, key[own], where)), pa.array(fewer)]
+            yield pa.RecordBatch.from_arrays([*columns, binary(data, starts, np.full(len(stay), WINDOW))], ROUND_NAMES)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches laid together and cut between groups (part, salt), about SORTED windows each."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += pa.compute.sum(pa.compute.binary_length(batch.column(6))).as_py() - (WINDOW - 1) * batch.num_rows if batch.num_rows else 0
+        if n >= SORTED:
+            table = pa.concat_batches(held)
+            part, salt = np.asarray(table.column(0)), np.asarray(table.column(1))
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (salt[1:] != salt[:-1])) + 1
+            if len(cuts):
+                yield table.slice(0, int(cuts[-1]))
+                table = table.slice(int(cuts[-1]))
+            held = [table]
+            n = pa.compute.sum(pa.compute.binary_length(table.column(6))).as_py() - (WINDOW - 1) * table.num_rows
+    if held and any(b.num_rows for b in held):
+        yield pa.concat_batches(held)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("__rp_doc", F.col(id_col).cast("long")).withColumn("__rp_mark", F.xxhash64(text_col))
+    doc = F.col(id_col).cast("long")
+    return docs.withColumn("__rp_doc", doc).withColumn("__rp_key", F.xxhash64(doc, F.col(text_col)))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark (hash of the text), ranges array<binary>): the windows to remove, of documents that have any."""
-    n = shared.shuffle_partitions(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col).select("__rp_doc", "__rp_mark", F.col(text_col).alias("__rp_text"))
-    found = rows.mapInArrow(shared.lean(find_anchors(2 * n)), "bucket int, block long, kind int, blob binary")
-    compared = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(compare_anchors), "block long, kind int, blob binary")
-    marks = shared.stage(compared.groupBy("block").applyInArrow(per_document, "doc_id long, mark long, removed binary, compare binary"), "repeat-marks")
-    asked = marks.where("compare is not null").select("doc_id", "mark", "compare")
-    texts = narrowed(rows, shared.stage(asked.select("doc_id", "mark").distinct(), "repeat-asked"))
-    contexts = texts.join(asked, F.col("__rp_doc").eqNullSafe(F.col("doc_id")) & (F.col("__rp_mark") == F.col("mark"))).select("__rp_doc", "__rp_mark", "__rp_text", "compare")
-    dealt = contexts.mapInArrow(shared.lean(cut_contexts(2 * n)), "bucket int, kind int, columns binary, bytes binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    more = dealt.mapInArrow(shared.lean(compare_contexts), "doc_id long, mark long, start long, stop long")
-    more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("pairs"), F.lit(None).cast("array<binary>").alias("removed"))
-    whole = marks.where("removed is not null").groupBy("doc_id", "mark").agg(F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("pairs"), F.collect_set("removed").alias("removed"))
-    both = whole.unionByName(more).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("pairs")).alias("pairs"), F.flatten(F.collect_list("removed")).alias("removed"))
-    return shared.stage(both, "repeat-removals")
-
-
-def narrowed(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Only rows with these keys, if the keys are few enough to broadcast: the join after it then shuffles their texts alone."""
-    few = keys.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS
-    return rows.join(F.broadcast(keys), F.col("__rp_doc").eqNullSafe(F.col("doc_id")) & (F.col("__rp_mark") == F.col("mark")), "left_semi") if few else rows
-
-
-def removed_ranges(pairs, blobs, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of removed bytes [start, stop)."""
-    known = [np.frombuffer(b, "<i8").reshape(2, -1) for b in blobs or ()]
-    start = np.concatenate([np.array([p["start"] for p in pairs or ()], np.int64), *(k[0] for k in known)])
-    stop = np.concatenate([np.array([p["stop"] for p in pairs or ()], np.int64), *(k[1] for k in known)])
-    start, stop = merged(start, stop + WINDOW - 1)
-    return start, np.minimum(stop + 1, size)
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
-    """All columns of docs (but of these names), n_bytes, n_removed, n_spans, kept_bytes (if asked, where bytes are removed, without halves of characters)."""
-    added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
+    """(doc, key (hash of id and text), ranges array<struct<start, stop>>): the windows to remove, of documents that have any."""
+    rows = keyed(docs, id_col, text_col).select("__rp_doc", "__rp_key", F.col(text_col).alias("__rp_text"))
+    grams = shared.stage(rows.select("__rp_key", "__rp_text").mapInArrow(shared.lean(find_anchors), "gram long, key long"), "anchors")
+    many = shared.stage(grams.groupBy("gram").agg(F.count("*").alias("copies")).where("copies > 1"), "shared-anchors")
+    asked = grams.join(many, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "copies")).alias("asked"))
+    contexts = rows.join(asked, F.col("__rp_key") == F.col("key")).select("__rp_doc", "__rp_key", "__rp_text", "asked")
+    dealt = contexts.mapInArrow(shared.lean(cut_contexts), DEALT)
+    found = None
+    while True:
+        dealt = dealt.repartition("part", "salt").sortWithinPartitions("part", "salt")
+        done = shared.stage(dealt.mapInArrow(shared.lean(settle), ROUND), "repeat-round")
+        ranges = done.where("bytes is null").select("doc", "key", "start", "stop")
+        found = ranges if found is None else found.unionByName(ranges)
+        onward = done.where("bytes is not null")
+        if not onward.limit(1).count():
+            break
+        dealt = onward.select("part", "salt", "groups", "doc", "key", F.col("start").alias("at"), "bytes")
+    return shared.stage(found.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "repeat-removals")
+
+
+def removed_ranges(starts: np.ndarray, stops: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of removed bytes [start, stop) of ranges of removed windows."""
+    order = np.argsort(starts, kind="stable")
+    start, stop = starts[order], np.maximum.accumulate(stops[order]) + WINDOW
+    cuts = np.flatnonzero(np.concatenate(([True], start[1:] > stop[:-1]))) if len(start) else start
+    return start[cuts], np.minimum(stop[np.append(cuts[1:], len(start)) - 1] if len(cuts) else stop, size)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, prefix: str = "") -> DataFrame:
+    """All columns of docs (but of these names, which `prefix` can change), n_bytes, n_removed, n_spans, kept_bytes (if asked, where bytes are removed, without halves of characters)."""
+    added = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept_bytes")]
     names = [c for c in docs.columns if c not in added]
-    found = removals(docs, id_col, text_col).toDF("__rp_id", "__rp_hash", "__rp_pairs", "__rp_removed")
+    found = removals(docs, id_col, text_col).toDF("__rp_of", "__rp_with", "__rp_ranges")
     rows = keyed(docs.select(*names), id_col, text_col)
-    same = F.col("__rp_doc").eqNullSafe(F.col("__rp_id")) & (F.col("__rp_mark") == F.col("__rp_hash"))
-    keys = found.select("__rp_id", "__rp_hash")
+    same = F.col("__rp_doc").eqNullSafe(F.col("__rp_of")) & (F.col("__rp_key") == F.col("__rp_with"))
+    keys = found.select("__rp_of", "__rp_with")
     schema = type(docs.schema)([*docs.select(*names).schema.fields])
     for name, kind in zip(added, ("long", "long", "long", "binary"), strict=True):
         schema = schema.add(name, kind)
     at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             out = []
-            for text, pairs, blobs in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("__rp_pairs").to_pylist(), batch.column("__rp_removed").to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("__rp_ranges"), strict=True):
                 text = text or b""
-                start, stop = removed_ranges(pairs, blobs, len(text))
+                starts, stops = (np.asarray(ranges.values.field(i), np.int64) if ranges.is_valid else np.zeros(0, np.int64) for i in range(2))
+                start, stop = removed_ranges(starts, stops, len(text))
                 edges = [0, *np.stack([start, stop], 1).ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 shown = kept.decode(errors="ignore").encode() if whole_characters and len(kept) < len(text) else kept
                 out.append((len(text), len(text) - len(kept), len(start), shown))
-            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *cols], [*names, *added])
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *columns], [*names, *added])
 
-    if keys.limit(shared.BROADCAST_ROWS + 1).count() > shared.BROADCAST_ROWS:
-        return rows.join(found, same, "left").select(*names, "__rp_pairs", "__rp_removed").mapInArrow(shared.lean(cut), schema)
-    touched = rows.join(F.broadcast(keys), same, "left_semi").join(found, same).select(*names, "__rp_pairs", "__rp_removed").mapInArrow(shared.lean(cut), schema)
+    if not shared.fits(keys):
+        return rows.join(found, same, "left").select(*names, "__rp_ranges").mapInArrow(shared.lean(cut), schema)
+    touched = rows.join(F.broadcast(keys), same, "left_semi").join(found, same).select(*names, "__rp_ranges").mapInArrow(shared.lean(cut), schema)
     bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    whole = rows.join(F.broadcast(keys), same, "left_anti").select(*names, F.octet_length(bytes_).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), bytes_.alias("kept_bytes"))
+    plain = [F.octet_length(bytes_).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), bytes_]
+    whole = rows.join(F.broadcast(keys), same, "left_anti").select(*names, *[c.alias(name) for c, name in zip(plain, added, strict=True)])
     return touched.unionByName(whole)
 
 
