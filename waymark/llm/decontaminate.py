@@ -5,11 +5,14 @@ are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. The masks are chosen so that every
 holds a hit of one of them (a test enumerates them all). Items of fewer than WINDOW words must appear whole and
 unchanged; items of fewer than SHORTEST words are too short to tell a leak from common speech and match nothing.
 
-The hashes of the benchmark and of the documents meet in a join; a bitmap of fixed size, whatever the benchmark's
-size, first drops most document positions that can't meet. Each hit carries the words around it, so that texts are not
-shuffled. The benchmark's side is broadcast only after a count; otherwise the join shuffles and Spark splits hot keys.
-
-Null or empty texts leak nothing. Null document ids are reported as null, repeated rows once. Null item ids match too.
+The hashes of the benchmark and of the documents meet in a join; a bitmap, sized by the number of seeds up to 2**MOST_BITS bits,
+first drops most document positions that can't meet. Each hit carries the words around it, so that texts are not shuffled;
+a seed is a hash and a place, and the item's words around the place join the hits that are left. The benchmark's side is
+broadcast only if its measured bytes allow it; otherwise the joins shuffle and Spark splits hot keys.
+
+Null or empty texts leak nothing. Verdicts are by row (id and text): a leaking row with a null or repeated id says nothing about
+another text under that id. Rows repeated with id and text are reported each. Null item ids match too. Texts and items may
+be of any length: work and rows are in proportion to it.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, words
@@ -26,10 +29,11 @@ from . import shared, words
 WINDOW, SUBSTITUTIONS, SHORTEST = 13, 2, 8
 #: Word positions that each mask looks at.
 MASKS = [[0, 1, 2, 3, 5, 6, 7], [0, 1, 2, 4, 7, 8, 9], [0, 1, 2, 3, 4, 5, 6], [0, 1, 2, 4, 5, 6, 7]]
-BITS = 25
-BLOCK_BYTES = 8 << 20
-HITS = "hash long, doc_id long, at int, before int, near binary"
-SEEDS = "hash long, item_id long, at int, tokens binary"
+LEAST_BITS, MOST_BITS = 16, 26
+BLOCK_BYTES = 4 << 20
+#: Starts of an item that are cut into one batch.
+STARTS = 4096
+HITS = "hash long, doc_id long, mark long, at int, before int, near binary"
 
 
 def masks() -> list[tuple[int, list[int]]]:
@@ -37,81 +41,102 @@ def masks() -> list[tuple[int, list[int]]]:
     return [*enumerate(MASKS, 1), *((100 + n, list(range(n))) for n in range(SHORTEST, WINDOW))]
 
 
+def keyed_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    item = F.col(item_col).cast("long")
+    return benchmark.select(F.xxhash64(item, F.col(text_col)).alias("item"), item.alias("item_id"), F.col(text_col))
+
+
+def around(flat: np.ndarray, first: np.ndarray, stop: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(words before the place, words around it as bytes): WINDOW to both sides, inside the text [first, stop)."""
+    left, right = np.maximum(first, at - WINDOW), np.minimum(stop, at + WINDOW)
+    return (at - left).astype(np.int32), pa.array([flat[a:b].tobytes() for a, b in zip(left.tolist(), right.tolist(), strict=True)], pa.binary())
+
+
 def seeds(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """A row for each mask and start in each item, with the item's words."""
+    """A row for each mask and start in each item: hash, item (a key), at."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, counts = words.hashed(batch.column(1))
+            flat, counts = words.hashed(batch.column(2))
             for item, count, end in zip(batch.column(0).to_pylist(), counts.tolist(), np.cumsum(counts).tolist(), strict=True):
                 own = flat[end - count : end]
                 for seed, offsets in masks():
                     if count >= WINDOW if seed < 100 else count == len(offsets):
                         h = words.gapped(own, offsets, seed).view(np.int64)
-                        n = len(h)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h), pa.array([item] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([own.tobytes()] * n, pa.binary())],
-                            ["hash", "item_id", "at", "tokens"],
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype=np.int32))], ["hash", "item", "at"])
+
+    rows = keyed_items(benchmark, item_col, text_col)
+    return shared.stage(rows.mapInArrow(shared.lean(cut), "hash long, item long, at int").distinct(), "benchmark-seeds")
 
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col))
-    return shared.stage(rows.mapInArrow(shared.lean(cut), SEEDS), "benchmark-seeds")
 
+def places(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """A row for each start in each item: item, item_id, item_at, item_words (of the item), item_before, item_near."""
+    names = ["item", "item_id", "item_at", "item_words", "item_before", "item_near"]
 
-def bitmap(seed_rows: DataFrame) -> np.ndarray:
-    """2**BITS bits, two set for each hash; gathered as words of 64 bits, so at most 2**BITS / 64 rows whatever the benchmark's size."""
-    bit = F.explode(F.array(F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftrightunsigned("hash", 64 - BITS)))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, counts = words.hashed(batch.column(2))
+            for row, (count, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)):
+                for start in range(0, count if count >= SHORTEST else 0, STARTS):
+                    at = np.arange(end - count + start, min(end - count + start + STARTS, end))
+                    n = len(at)
+                    before, near = around(flat, np.full(n, end - count), np.full(n, end), at)
+                    item, item_id = (batch.column(i).take(pa.array(np.full(n, row))) for i in range(2))
+                    columns = [item, item_id, pa.array((at - (end - count)).astype(np.int32)), pa.array(np.full(n, count, np.int32)), pa.array(before), near]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = keyed_items(benchmark, item_col, text_col)
+    found = rows.mapInArrow(shared.lean(cut), "item long, item_id long, item_at int, item_words int, item_before int, item_near binary")
+    return shared.stage(found.dropDuplicates(["item", "item_at"]), "benchmark-places")
+
+
+def bitmap(seed_rows: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits of an index, bytes): about 64 bits a seed up to 2**MOST_BITS, two set for each hash; a row for every 64 comes to the driver."""
+    bits = min(max((64 * seed_rows.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    bit = F.explode(F.array(F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("hash", 64 - bits)))
     found = seed_rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    for row in found.toLocalIterator():
-        out[row["word"]] = np.uint64(row["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    rows, out = found.toArrow(), np.zeros(1 << (bits - 6), np.int64)
+    out[np.asarray(rows["word"], np.int64)] = np.asarray(rows["bits"], np.int64)
+    return bits, out.view(np.uint8)
 
 
 def hits(docs: DataFrame, seed_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Document positions whose hash may be a seed's, with the words around them."""
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(seed_rows)))
-    reach = WINDOW
+    packed = shared.sent(docs.sparkSession, bitmap(seed_rows))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed.value).view(bool)
-        low, high = np.uint64((1 << BITS) - 1), np.uint64(64 - BITS)
-        for group in shared.blocks(batches, 1, BLOCK_BYTES):
+        bits, known = packed.value
+        low, high = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+        is_set = lambda i: known[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8) & np.uint8(1)
+        for group in shared.blocks(batches, 2, BLOCK_BYTES):
             for batch in group:
-                flat, counts = words.hashed(batch.column(1))
-                ids, ends = batch.column(0), np.cumsum(counts)
+                flat, counts = words.hashed(batch.column(2))
+                ends = np.cumsum(counts)
                 for seed, offsets in masks():
                     h = words.gapped(flat, offsets, seed)
-                    at = np.flatnonzero(known[(h & low).astype(np.int64)])
-                    at = at[known[(h[at] >> high).astype(np.int64)]]
+                    at = np.flatnonzero(is_set(h & low))
+                    at = at[is_set(h[at] >> high).astype(bool)]
                     doc = np.searchsorted(ends, at, "right")
                     inside = at + max(offsets) < ends[doc] if len(at) else np.zeros(0, bool)
                     at, doc = at[inside], doc[inside]
                     if not len(at):
                         continue
-                    first = ends[doc] - counts[doc]
-                    left, right = np.maximum(first, at - reach), np.minimum(ends[doc], at + reach)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[at].view(np.int64)),
-                            ids.take(pa.array(doc)).cast(pa.int64()),
-                            pa.array((at - first).astype(np.int32)),
-                            pa.array((at - left).astype(np.int32)),
-                            pa.array([flat[a:b].tobytes() for a, b in zip(left.tolist(), right.tolist(), strict=True)], pa.binary()),
-                        ],
-                        ["hash", "doc_id", "at", "before", "near"],
-                    )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(shared.lean(probe), HITS)
-
-
-def best_window(doc: np.ndarray, before: int, item: np.ndarray, at: int) -> int:
-    """Agreeing words of the best window around a hit that puts doc[before] on item[at]; 0 if none will do."""
-    window = min(WINDOW, len(item))
-    allowed = SUBSTITUTIONS if len(item) >= WINDOW else 0
-    left = min(before, at, window)
-    right = min(len(doc) - before, len(item) - at, window)
-    same = np.concatenate(([0], np.cumsum(doc[before - left : before + right] == item[at - left : at + right])))
+                    first, row = ends[doc] - counts[doc], pa.array(doc)
+                    before, near = around(flat, first, ends[doc], at)
+                    columns = [pa.array(h[at].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array((at - first).astype(np.int32)), pa.array(before), near]
+                    yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "mark", "at", "before", "near"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col))
+    return rows.mapInArrow(shared.lean(probe), HITS)
+
+
+def best_window(doc: np.ndarray, before: int, item: np.ndarray, item_before: int, item_words: int) -> int:
+    """Agreeing words of the best window around a hit that puts doc[before] on item[item_before]; 0 if none will do."""
+    window = min(WINDOW, item_words)
+    allowed = SUBSTITUTIONS if item_words >= WINDOW else 0
+    left, right = min(before, item_before, window), min(len(doc) - before, len(item) - item_before, window)
+    agrees = doc[before - left : before + right] == item[item_before - left : item_before + right]
+    same = np.concatenate(([0], np.cumsum(agrees)))
     agreeing = same[window:] - same[:-window] if len(same) > window else np.zeros(0, int)
     if not len(agreeing) or agreeing.max() < window - allowed:
         return 0
@@ -119,41 +144,50 @@ def best_window(doc: np.ndarray, before: int, item: np.ndarray, at: int) -> int:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Verified overlaps, one row per document, item and alignment: doc_id, item_id, doc_start (in words), n_agreeing."""
+    """Verified overlaps, one row per document, item and alignment: doc_id, mark (hash of the text), item, item_id, doc_start (in words), n_agreeing."""
     seed_rows = seeds(benchmark)
-    found = hits(docs, seed_rows).join(shared.checked_broadcast(seed_rows.withColumnRenamed("at", "item_at"), 200_000), "hash")
+    found = hits(docs, seed_rows).join(shared.checked_broadcast(seed_rows.withColumnRenamed("at", "seed_at").withColumnRenamed("item", "of")), "hash")
+    found = found.join(shared.checked_broadcast(places(benchmark)), (F.col("of") == F.col("item")) & (F.col("seed_at") == F.col("item_at")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = ("at", "before", "near", "item_at", "item_words", "item_before", "item_near")
         for batch in batches:
-            cols = {name: batch.column(name).to_pylist() for name in ("at", "before", "near", "item_at", "tokens")}
+            cols = {name: batch.column(name).to_pylist() for name in asked}
             best = [
-                best_window(np.frombuffer(near, np.uint64), before, np.frombuffer(tokens, np.uint64), at)
-                for near, before, tokens, at in zip(cols["near"], cols["before"], cols["tokens"], cols["item_at"], strict=True)
+                best_window(np.frombuffer(near, np.uint64), before, np.frombuffer(item, np.uint64), item_before, n)
+                for near, before, item, item_before, n in zip(*(cols[c] for c in ("near", "before", "item_near", "item_before", "item_words")), strict=True)
             ]
             agreeing = np.array(best, np.int64)
             start = np.array(cols["at"], np.int64) - np.array(cols["item_at"], np.int64)  # where the item's first word lies
             keep = pa.array(agreeing > 0)
-            out = [batch.column("doc_id"), batch.column("item_id"), pa.array(start), pa.array(agreeing)]
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["doc_id", "item_id", "doc_start", "n_agreeing"])
+            out = [*(batch.column(c) for c in ("doc_id", "mark", "item", "item_id")), pa.array(start), pa.array(agreeing)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["doc_id", "mark", "item", "item_id", "doc_start", "n_agreeing"])
 
-    verified = found.mapInArrow(shared.lean(verify), "doc_id long, item_id long, doc_start long, n_agreeing long")
-    return verified.groupBy("doc_id", "item_id", "doc_start").agg(F.max("n_agreeing").alias("n_agreeing"))
+    verified = found.mapInArrow(shared.lean(verify), "doc_id long, mark long, item long, item_id long, doc_start long, n_agreeing long")
+    return verified.groupBy("doc_id", "mark", "item", "item_id", "doc_start").agg(F.max("n_agreeing").alias("n_agreeing"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per leaking document: doc_id, n_items, first_item, n_agreeing (the best window's)."""
-    return overlaps(docs, benchmark).groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"), F.max("n_agreeing").alias("n_agreeing"))
+    """One row per leaking document: doc_id, mark, n_items, first_item, n_agreeing (the best window's)."""
+    return overlaps(docs, benchmark).groupBy("doc_id", "mark").agg(F.count_distinct("item").alias("n_items"), F.min("item_id").alias("first_item"), F.max("n_agreeing").alias("n_agreeing"))
+
+
+def named(found: DataFrame) -> DataFrame:
+    return shared.checked_broadcast(shared.stage(found.withColumnsRenamed({"doc_id": "__leaking", "mark": "__mark"}), "leaks"))
+
+
+def leaking_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("__leaking")) & (F.xxhash64("text") == F.col("__mark"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that leak (a null document id goes with any leaking null id)."""
-    found = shared.stage(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaking")), "leaks")
-    return docs.join(shared.checked_broadcast(found), F.col("doc_id").eqNullSafe(F.col("__leaking")), "left_anti")
+    """The documents, all columns, without the rows that leak."""
+    return docs.join(named(leaks(docs, benchmark).select("doc_id", "mark")), leaking_row(), "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document: doc_id, contaminated, n_items, first_item, n_agreeing."""
-    found = shared.stage(leaks(docs, benchmark).withColumnRenamed("doc_id", "__leaking"), "leaks")
-    joined = docs.select("doc_id").join(shared.checked_broadcast(found), F.col("doc_id").eqNullSafe(F.col("__leaking")), "left")
+    rows = docs.select("doc_id", "text")
+    joined = rows.join(named(leaks(rows, benchmark)), leaking_row(), "left")
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), zero("n_items"), "first_item", zero("n_agreeing"))
