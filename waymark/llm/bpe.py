@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: A space that does not start a pre-token of its own: texts with one are cut by the pattern itself.
 ODD_SPACE = re.compile(r"\s (?=\s|\Z)")
 CODED = "block long, doc_ids array<long>, counts array<int>, codes binary, words array<struct<bucket:int,list:binary>>"
@@ -162,9 +162,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     n = shared.shuffle_partitions(spark)
     name = shared.scratch_table("bpe")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.mapInArrow(shared.lean(_coder(pattern, 2 * n)), CODED).write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(name)
+    rows.mapInArrow(shared.lean(_coder(pattern, 2 * n)), CODED).write.bucketBy(n, "block").option("compression", "zstd").option("path", shared.scratch_path(spark, "bpe")).saveAsTable(name)
     coded = spark.table(name)
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # bounded by the vocabulary
+    ranks = shared.sent(spark, load_ranks(ranks_path))  # bounded by the vocabulary
     lists = coded.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.list")
     encoded = (
         lists.select("block", "bucket", "list").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(_encoder(ranks, pattern)), "block long, bucket int, ids binary")
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
     """tokens with a binary column of the tokens' bytes in order; null ids give null."""
-    table = tokens.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(ranks_path).items()})
+    table = shared.sent(tokens.sparkSession, {rank: token for token, rank in load_ranks(ranks_path).items()})
     at = tokens.columns.index(ids_col)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,15 +4,17 @@ P(grade <= k) = logistic(threshold_k - w.x) with one weight vector for all grade
 gets an expected grade and the tail probability P(grade >= KEEP_GRADE), by which documents are selected. Grades come
 from the labels: 0 toxic, 1 poor, 2 good.
 
-Features are hashed into DIMENSIONS weights: each distinct word of the text (lower-cased, without signs around it),
-its first four and five characters, and the shapes of its words (capitals, signs around it, a repeat of the word
-before) by their share of all words. The fit is on the SAMPLE labelled documents of the smallest id hashes, a documented bound;
-every document is scored whole, in one pass without a shuffle. The loss is convex and the L1 penalty keeps weights of
-words that say nothing at zero, so that long texts gather no noise.
+Features are hashed into DIMENSIONS weights: each distinct word of the text (cut at ASCII white space, lower-cased, without
+signs around it), its first four and five characters, and the shapes of its words (capitals, signs around it, a repeat of the
+word before) by their share of all words. The fit is on the SAMPLE labelled documents of the smallest id hashes, a documented
+bound: the driver gets one sparse row for each (at most DIMENSIONS numbers, summed by slot and without rare slots in the
+tasks). Every document is scored whole, in one pass without a shuffle, each distinct word of a batch once. The loss is convex and
+the L1 penalty keeps weights of words that say nothing at zero, so that long texts gather no noise.
 
 Null or empty texts have no features: their grade follows from the thresholds alone. Rows with null labels or ids are
-not fitted on; null document ids are scored like others; repeated rows are scored each. Without labelled rows, or with
-one grade only, every document is kept (the prior says nothing against it).
+not fitted on; of different texts under one labelled id the one of least hash is fitted on; of labels of one id the lowest
+grade counts. Null document ids are scored like others; repeated rows are scored each. Without labelled rows, or with
+one grade only, every document is kept (the prior says nothing against it). Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ SHAPE_SCALE = 20.0
 PENALTY, STEPS = 3e-3, 120
 #: Slots with fewer mentions in the sample get no weight.
 RARE = 20
-CACHE = 200_000
 #: Features that a step multiplies at once.
 CHUNK = 1 << 19
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -82,13 +83,14 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values) of a text; a slot may stand there more than once."""
-    words = text.split()
+    """(slots, values) of a text, each slot once."""
+    words = [w.decode() for w in text.encode().split()]
     slots = [s for word in set(words) for s in word_slots(word)]
     values = np.ones(len(slots), np.float32)
     shapes = [s for s in map(shape_slot, words) if s is not None] + [slot("shape", "repeat")] * sum(a == b for a, b in zip(words, words[1:], strict=False))
     share = np.full(len(shapes), SHAPE_SCALE / max(1, len(words)), np.float32)
-    return np.array(slots + shapes, np.int32), np.concatenate([values, share])
+    own, at = np.unique(np.array(slots + shapes, np.int32), return_inverse=True)
+    return own, np.bincount(at, np.concatenate([values, share]), len(own)).astype(np.float32)
 
 
 def fit(slots: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray) -> Model:
@@ -100,8 +102,7 @@ def fit(slots: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.n
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(0))
     n = len(lengths)
-    common = np.bincount(slots, minlength=DIMENSIONS) >= RARE  # what a few mentions say does not carry over
-    used = np.flatnonzero(common)
+    used = np.flatnonzero(np.bincount(slots, minlength=DIMENSIONS))
     place = np.full(DIMENSIONS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     # a square root of each column's mass evens rare and common features out
@@ -166,7 +167,8 @@ def fit(slots: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.n
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     graded = labels.select(F.col("doc_id").alias("_id"), grade().alias("_grade")).where("_id is not null and _grade is not null")
     chosen = graded.groupBy("_id").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_grade", "text")  # at most `sample` rows
+    rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most `sample` ids
+    rows = rows.groupBy("_id", "_grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,57 +178,66 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 ["id", "grade", "slots", "values"],
             )
 
-    found = rows.mapInArrow(shared.lean(extract), "id long, grade int, slots array<int>, values array<float>")
-    got = found.toArrow()  # `sample` rows at most, and repeated rows of theirs
-    order = pa.compute.sort_indices(got["id"])[:sample]
-    got = got.take(order)
+    found = shared.stage(rows.mapInArrow(shared.lean(extract), "id long, grade int, slots array<int>, values array<float>"), "labelled-features")
+    mentions = found.select(F.explode("slots").alias("slot")).groupBy("slot").count().where(F.col("count") >= RARE).select("slot").toArrow()  # DIMENSIONS rows at most
+    common = np.zeros(DIMENSIONS, bool)  # what a few mentions say does not carry over
+    common[np.asarray(mentions["slot"], np.int64)] = True
+    sent = shared.sent(docs.sparkSession, np.packbits(common))
+
+    def without_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(sent.value).view(bool)
+        for batch in batches:
+            slots, values = (np.asarray(batch.column(i).flatten()) for i in (2, 3))
+            use = keep[slots]
+            edges = np.concatenate(([0], np.cumsum(use)))[np.concatenate(([0], np.cumsum(np.asarray(batch.column(2).value_lengths(), np.int64))))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x[use])) for x in (slots, values)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], batch.schema.names)
+
+    got = found.mapInArrow(shared.lean(without_rare), found.schema).toArrow()  # `sample` rows at most
+    got = got.take(pa.compute.sort_indices(got["id"]))
     lengths, grades = np.asarray(pa.compute.list_value_length(got["slots"]), dtype=np.int64), np.asarray(got["grade"], dtype=np.int64)
     slots, values = (np.concatenate([np.asarray(x.flatten()) for x in got[c].chunks]) if len(got) else np.zeros(0, kind) for c, kind in (("slots", np.int32), ("values", np.float32)))
     del got
     return fit(slots, values, lengths, grades)
 
 
-class WordScore(dict):
-    """Raw word to (score of its features, weight of its shape)."""
-
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights = weights
-
-    def __missing__(self, word: str) -> tuple[float, float]:
-        if len(self) > CACHE:
-            self.clear()
-        shape = shape_slot(word)
-        score = float(self.weights[word_slots(word)].sum()), float(self.weights[shape]) if shape is not None else 0.0
-        self[word] = score
-        return score
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs (but of these names), expected_grade, tail_probability, kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights, whatever the corpus
-    names = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
+def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """w.x of each text of a string column: `features` and `weights` without a feature vector, a word of the batch at a time."""
+    split = pa.compute.ascii_split_whitespace(column.fill_null(""))
+    encoded = split.flatten().dictionary_encode()
+    words, n = encoded.dictionary.to_pylist(), len(column)
+    code, doc = np.asarray(encoded.indices, np.int64), np.repeat(np.arange(n), np.asarray(split.value_lengths(), np.int64))
+    named = np.array([bool(w) for w in words], bool)[code] if len(code) else np.zeros(0, bool)
+    code, doc = code[named], doc[named]
+    shapes = [shape_slot(w) for w in words]
+    shape = np.array([weights[s] if s is not None else 0.0 for s in shapes], float)
+    score = np.array([weights[word_slots(w)].sum() if w else 0.0 for w in words], float)
+    each = np.unique(doc * max(1, len(words)) + code)
+    total = np.bincount(each // max(1, len(words)), score[each % max(1, len(words))], n) if len(each) else np.zeros(n)
+    again = np.flatnonzero((code[1:] == code[:-1]) & (doc[1:] == doc[:-1])) if len(code) else code
+    shaped = np.bincount(doc, shape[code], n) + float(weights[slot("shape", "repeat")]) * np.bincount(doc[again], minlength=n) if len(code) else np.zeros(n)
+    return total + SHAPE_SCALE * shaped / np.maximum(1, np.bincount(doc, minlength=n))
+
+
+def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """All columns of docs (but of these names, which `prefix` can change), expected_grade, tail_probability, kept."""
+    sent = shared.sent(docs.sparkSession, model)  # DIMENSIONS weights, whatever the corpus
+    added = [prefix + c for c in ("expected_grade", "tail_probability", "kept")]
+    names = [c for c in docs.columns if c not in added]
     at = names.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        known, repeat = WordScore(model.weights), float(model.weights[slot("shape", "repeat")])
         for batch in batches:
-            totals = []
-            for text in batch.column(at):
-                words = (text.as_py() or "").split()
-                scores = [known[w] for w in words]
-                own = dict(zip(words, scores, strict=True))
-                shapes = sum([s[1] for s in scores]) + repeat * sum(map(str.__eq__, words, words[1:]))
-                totals.append(sum([s[0] for s in own.values()]) + SHAPE_SCALE * shapes / max(1, len(words)))
-            x = np.array(totals, float)
+            x = scores(batch.column(at), model.weights)
             grades = sum([model.tail(x, k) for k in range(1, GRADES)], np.zeros(len(x))) if len(model.thresholds) else np.full(len(x), GRADES - 1.0)
             tail = model.tail(x, KEEP_GRADE)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(grades), pa.array(tail), pa.array(tail >= KEEP_PROBABILITY)], [*names, "expected_grade", "tail_probability", "kept"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grades), pa.array(tail), pa.array(tail >= KEEP_PROBABILITY)], [*names, *added])
 
     kept = docs.select(*names)
-    schema = type(kept.schema)([*kept.schema.fields]).add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
+    schema = type(kept.schema)([*kept.schema.fields])
+    for name, kind in zip(added, ("double", "double", "boolean"), strict=True):
+        schema = schema.add(name, kind)
     return kept.mapInArrow(shared.lean(score), schema)
 
 

@@ -172,5 +172,5 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
             texts = [main_text(page.as_py() or "", set(hashes.as_py() or ())) for page, hashes in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(shared.checked_broadcast(found, 200_000), F.col("page_id") == F.col("_page"), "left").select("page_id", "url", "html", "template")
+    joined = rows.join(shared.checked_broadcast(found), F.col("page_id") == F.col("_page"), "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(shared.lean(text), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
