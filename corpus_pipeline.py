@@ -26,7 +26,7 @@ def _begin(spark: SparkSession) -> None:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin(spark)
     model = ordinal.train(docs, shared.table(spark, sf_dir, "labels"))
-    return ordinal.predict(docs, model).where("kept").select(*docs.columns)
+    return ordinal.predict(docs, model, prefix="__quality_").where("__quality_kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin(spark)
-    found = repeats.deduplicate(docs, whole_characters=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_bytes").cast("string")).otherwise(F.col("text"))
+    found = repeats.deduplicate(docs, whole_characters=True, prefix="__cut_")
+    text = F.when(F.col("__cut_n_removed") > 0, F.col("__cut_kept_bytes").cast("string")).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
