@@ -7,9 +7,10 @@ of n, a linked partner lacks at most m = n - ceil(LEAST n / 100) of its shingles
 - the first m + 1 shingles (the prefix) hold one of the partner's prefix, and
 - the first m + 1 that both have are among its first 2m + 1 and among the partner's first m + m' + 1 (m' the partner's m).
 
-1. Documents of equal sets become one (the least id). Under two random orders the first M + m + 1 shingles of each set (M
-   the m of the largest partner, 100 n / LEAST) are rows (shingle, document), and shingles of two documents or more are
-   found by partial aggregation. A set stays if under both orders at least m + 1 of its own are shared.
+1. Documents of equal sets become one (the least id). The first M + m + 1 shingles of each set under a random order (M the
+   m of the largest partner, 100 n / LEAST) are rows (shingle, document), and shingles of two documents or more are found by
+   partial aggregation. A set stays if at least m + 1 of its own are shared. (A second random order would look at another
+   half of the same set: it doubles the rows and lets hardly fewer stay, so it waits for step 3.)
 2. The shingles of what stays are counted; the third order is rarest first. `alone` shingles no other set has; a set stays
    if at most m are alone. The rest lacks at most m - alone, so its prefix has m - alone + 1 shingles under each order.
 3. Candidates share a prefix shingle of the third order (with the positional bound on what can still be common) and
@@ -75,14 +76,6 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in pair)
 
 
-def beginnings(tokens: np.ndarray, count: int) -> np.ndarray:
-    """The first `count` of a set under the two random orders (by hash, by another hash); the last bit tells the order."""
-    other = words.mixed(tokens ^ SECOND_ORDER)
-    if count < len(tokens):
-        tokens, other = tokens[:count], np.partition(other, count - 1)[:count]
-    return np.concatenate([tokens & ~np.uint64(1), other | np.uint64(1)]).view(np.int64)
-
-
 def lists_of(arrays: list[np.ndarray]) -> pa.Array:
     edges = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)))
@@ -92,13 +85,13 @@ DESCRIBED = "doc_id long, mark long, n long, print1 long, print2 long, asks arra
 
 
 def describe(shingle: int, least: int):
-    """A row per document (id, mark of the text, text): the size and fingerprint of its set, its first shingles under both orders."""
+    """A row per document (id, mark of the text, text): the size and fingerprint of its set, its first shingles in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = sets(batch.column(2), shingle)
             prints = np.array([fingerprint(t) for t in found], np.int64).reshape(-1, 2)
-            asks = lists_of([beginnings(t, n_sent(len(t), least)) if len(t) else t.view(np.int64) for t in found])
+            asks = lists_of([t[: n_sent(len(t), least)].view(np.int64) for t in found])
             sizes = pa.array([len(t) for t in found], pa.int64())
             columns = [batch.column(0), batch.column(1), sizes, pa.array(prints[:, 0]), pa.array(prints[:, 1]), asks]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "print1", "print2", "asks"])
@@ -155,9 +148,8 @@ def candidates(rows: DataFrame, described: DataFrame, classes: DataFrame, shingl
     asked = own.select("doc_id", "n", F.explode("asks").alias("shingle"))
     met = asked.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle")
     met = asked.join(shared.stage(met, "shared-beginnings"), "shingle", "left_semi")
-    second = F.col("shingle").bitwiseAND(F.lit(1)) == 1
-    met = met.groupBy("doc_id", "n").agg(F.count_if(second).alias("b"), F.count_if(~second).alias("a"))
-    stays = shared.stage(met.where(F.least("a", "b") > lacking(least)).select(F.col("doc_id").alias("_id")), "staying")
+    met = met.groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") > lacking(least))
+    stays = shared.stage(met.select(F.col("doc_id").alias("_id")), "staying")
     texts = rows.join(shared.checked_broadcast(stays), F.col("_doc") == F.col("_id")).select("_doc", "_text")
     listed = shared.stage(texts.mapInArrow(shared.lean(whole_sets(shingle)), "doc_id long, n long, tokens array<long>"), "whole-sets")
     each = listed.select("doc_id", "n", F.explode("tokens").alias("token"))
