@@ -43,7 +43,7 @@ LAST = np.iinfo(np.int64).max
 #: Windows whose suffixes a task sorts at once (more only where one group has more).
 SORTED = 200_000
 #: Contexts of an anchor in one group at most, on average.
-GROUP = 4096
+GROUP = 1024
 PLACE_BITS = 23
 
 
