@@ -1,22 +1,30 @@
 """Main text of web pages: site templates removed by counting element subtrees per host, then the article's blocks.
 
-Containers (divisions, sections, lists, tables, ...) are hashed with all they hold; a subtree that recurs on MANY pages of
-its host is template and deleted. Elements that say themselves that they are no article (navigation, footers, forms,
-scripts, adverts, notices, reader comments, by element or by words of class, id and role) are deleted as well. Prose
-(paragraphs, headings, list items) inside an article is never template, however often it recurs. If a page has an
-<article>, or else a <main>, only what lies inside is kept.
+Containers (divisions, sections, lists, ...) are hashed from the bottom up in two forms, each counted by pages of the host:
+
+- by words: tag, class words and all text and elements inside. On MANY pages or more it is template,
+  wherever it stands (prose inside an article is never counted).
+- by shape: the path to the element, and tags and class words inside with repeated neighbours as one; words and links apart.
+  On MANY pages and half of the host's pages or more it is template, if it holds less than a third of their text on average.
+  Subtrees with paragraphs, quotes or a main heading, and what lies in an article, are not judged by shape.
+
+What recurs too seldom to be counted (small hosts, rare boxes, comments inside an article) is left to names: elements that say themselves
+that they are no article (navigation, footers, forms, adverts, notices, reader comments, by element or by words of class,
+id and role) are deleted, and if a page has an <article>, or else a <main>, only what lies inside is kept.
 
 Blocks: character references decoded, white space as one space, trimmed, joined by two newlines, in page order.
-Broken markup: an end tag closes what is open inside it, an unmatched one closes nothing, a cut-off tag is dropped.
+Broken markup: an end tag closes what is open inside it, an unmatched one closes nothing, a cut-off tag is dropped, a quote
+without its end (within 4,096 characters) is a sign like any other. Work is in proportion to a page's length.
 
-Null or empty html: an empty text. Null urls are one host. Null page ids are one page for the counts and none of them
-loses template subtrees to another's. Repeated rows come out each. Other columns are not read.
+Null or empty html: an empty text. Null urls are one host. Pages are told apart by id and html: repeated rows count once and
+come out each. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +35,11 @@ from . import shared
 
 #: Pages of a host that a subtree must recur on to be template.
 MANY = 10
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: Of shapes: the least share of the host's pages, and the share of their text under which a subtree is no content.
+SHARE, CONTENT = 0.5, 1 / 3
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+'|["'])*+)(?:>|\Z)""", re.S
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # fixed values: element names and naming habits of web pages
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,44 +54,55 @@ ASIDE_WORDS = set(
     " related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond pagination pager skip".split()
 )
 HEADER_WORDS = {"header", "topbar"}
+CONTENT_TAGS = set("p h1 pre blockquote".split())
 
 
 class Node:
-    __slots__ = ("tag", "start", "end", "aside", "article", "prose", "parent")
+    __slots__ = ("tag", "aside", "article", "prose", "parent", "sign", "path", "by_words", "by_shape", "n_text", "shapes", "content", "judged")
 
-    def __init__(self, tag: str, start: int, parent: Node | None, attributes: str) -> None:
-        self.tag, self.start, self.end, self.parent = tag, start, -1, parent
+    def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
+        import xxhash
+
+        self.tag, self.parent = tag, parent
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.prose = tag in PROSE or bool(parent and parent.prose)
         named = {name.lower(): (a or b or c).lower() for name, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
-        said = set(re.split(r"[^a-z]+", f"{named.get('class', '')} {named.get('id', '')}")) if named else set()
+        said = set(re.split(r"[^a-z]+", f"{named.get('class', '')} {named.get('id', '')}")) - {""} if named else set()
         head = (tag == "header" or bool(said & HEADER_WORDS)) and not self.article
         self.aside = tag in ASIDE or head or named.get("role") in ASIDE_ROLES or (tag not in ("html", "body", "article", "main") and bool(said & ASIDE_WORDS))
+        self.sign = f"<{tag} {' '.join(sorted(said))}>"
+        self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else 0}{self.sign}")
+        self.by_words, self.by_shape = xxhash.xxh64(self.sign), None
+        self.n_text, self.shapes, self.content = 0, [], tag in CONTENT_TAGS
+        self.judged: tuple[int, ...] = ()
 
 
 def walk(page: str) -> Iterator[tuple[str, object]]:
     """("text", (from, to)), ("break", None), ("open", node) and ("close", node), in page order."""
     stack: list[Node] = []
+    n_open: Counter[str] = Counter()
     at, end = 0, len(page)
+
+    def closed() -> tuple[str, Node]:
+        n_open[stack[-1].tag] -= 1
+        return "close", stack.pop()
+
     while at < end:
         found = TOKEN.search(page, at)
         stop = found.start() if found else end
         if stop > at:
             yield "text", (at, stop)
         if not found:
-            return
+            break
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
             continue
         if found[1]:
-            if any(node.tag == tag for node in stack):
-                while True:
-                    node = stack.pop()
-                    node.end = at if node.tag == tag else found.start()
-                    yield "close", node
-                    if node.tag == tag:
-                        break
+            if n_open[tag]:
+                while stack[-1].tag != tag:
+                    yield closed()
+                yield closed()
             elif tag in PROSE or tag in CONTAINER:
                 yield "break", None
         elif tag in RAW:
@@ -90,37 +113,66 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
         elif tag in PROSE or tag in CONTAINER:
             if tag in PROSE:  # a paragraph, item or cell ends where the next begins
                 while stack and stack[-1].tag in PROSE and (stack[-1].tag == tag or stack[-1].tag == "p" or {stack[-1].tag, tag} in ({"dt", "dd"}, {"td", "th"})):
-                    node = stack.pop()
-                    node.end = found.start()
-                    yield "close", node
-            node = Node(tag, found.start(), stack[-1] if stack else None, found[3])
-            stack.append(node)
-            yield "open", node
+                    yield closed()
+            stack.append(Node(tag, stack[-1] if stack else None, found[3]))
+            n_open[tag] += 1
+            yield "open", stack[-1]
     while stack:
-        node = stack.pop()
-        node.end = end
-        yield "close", node
-
-
-def subtree_hash(page: str, node: Node) -> int:
-    import xxhash
-
-    value = xxhash.xxh64_intdigest(" ".join(page[node.start : node.end].split()).encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >= 1 << 63 else value
+        yield closed()
 
 
 def countable(node: Node) -> bool:
     return node.tag in CONTAINER and node.tag not in ("html", "body", "article", "main") and not (node.article and node.prose)
 
 
-def subtrees(page: str) -> set[int]:
-    return {subtree_hash(page, node) for kind, node in walk(page) if kind == "close" and countable(node)} if page else set()
-
+def judged_walk(page: str) -> tuple[list[tuple[str, object]], int]:
+    """The page's events, each countable node with its hashes in `judged` (by shape: odd, by words: even), and the length of all text."""
+    import xxhash
 
-def main_text(page: str, template: set[int] = frozenset()) -> str:
-    events = list(walk(page)) if page else []
+    events, open_, total = list(walk(page)), [], 0
+    for kind, what in events:
+        if kind == "text":
+            text = " ".join(page[what[0] : what[1]].split())
+            total += len(text)
+            if open_ and text:
+                open_[-1].by_words.update(text.encode("utf-8", "surrogatepass"))
+                open_[-1].n_text += len(text)
+        elif kind == "open":
+            open_.append(what)
+        elif kind == "close":
+            node = open_.pop()
+            shape = xxhash.xxh64_intdigest(f"{node.sign}{node.shapes}")
+            words = node.by_words.intdigest()
+            if open_:
+                parent = open_[-1]
+                parent.by_words.update(words.to_bytes(8, "little"))
+                parent.n_text += node.n_text
+                parent.content = parent.content or node.content
+                if parent.shapes[-1:] != [shape]:
+                    parent.shapes.append(shape)
+            if countable(node) and node.n_text:
+                by_shape = xxhash.xxh64_intdigest(f"{node.path} {shape}")
+                found = [words & ~1] + ([by_shape | 1] if not (node.article or node.content) else [])
+                node.judged = tuple(h - (1 << 64) if h >= 1 << 63 else h for h in found)
+            node.by_words, node.shapes = None, []
+    return events, total
+
+
+def subtrees(page: str) -> dict[int, float]:
+    """Hashes of the page's countable subtrees, each with its share of the page's text."""
+    events, total = judged_walk(page) if page else ([], 0)
+    found: dict[int, float] = {}
+    for kind, node in events:
+        if kind == "close":
+            for h in node.judged:
+                found[h] = found.get(h, 0.0) + node.n_text / total
+    return found
+
+
+def main_text(page: str, template: set[int] = frozenset(), by_name: bool = True) -> str:
+    events = judged_walk(page)[0] if page else []
     nodes = [node for kind, node in events if kind == "open"]
-    inside = next((tag for tag in ("article", "main") if any(n.tag == tag and not n.aside for n in nodes)), None)
+    inside = next((tag for tag in ("article", "main") if any(n.tag == tag and not n.aside for n in nodes)), None) if by_name else None
     blocks: list[str] = []
     words: list[str] = []
     dropped = within = 0
@@ -140,7 +192,7 @@ def main_text(page: str, template: set[int] = frozenset()) -> str:
         flush()
         if kind == "open":
             within += what.tag == inside
-            if what.aside or (template and countable(what) and subtree_hash(page, what) in template):
+            if (what.aside and by_name) or not template.isdisjoint(what.judged):
                 gone.add(id(what))
                 dropped += 1
         elif kind == "close":
@@ -151,26 +203,39 @@ def main_text(page: str, template: set[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
-    """page_id, url, text, n_chars for every page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+def templates(trees: DataFrame, hosts: DataFrame, many: int) -> DataFrame:
+    """host, hash of subtrees that are template. trees: host, page, hash, share (a row per page and hash); hosts: host, n_host."""
+    counted = trees.groupBy("host", "hash").agg(F.count("*").alias("n_pages"), F.avg("share").alias("share")).where(F.col("n_pages") >= many)
+    counted = counted.join(hosts.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"))
+    by_words = F.col("hash").bitwiseAND(F.lit(1)) == 0
+    return counted.where(by_words | ((F.col("n_pages") >= SHARE * F.col("n_host")) & (F.col("share") < CONTENT))).select("host", "hash")
+
+
+def extract(pages: DataFrame, many: int = MANY, by_name: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for every page. by_name=False: template counting alone."""
+    key = F.xxhash64(F.col("page_id"), F.col("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", key.alias("_key"), host.alias("_host"))
 
     def hash_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(subtrees(page.as_py() or "")) for page in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "hashes"])
-
-    hashed = rows.select("page_id", host.alias("host"), "html").mapInArrow(shared.lean(hash_subtrees), "page_id long, host string, hashes array<long>")
-    trees = shared.stage(hashed.where(F.size("hashes") > 0), "subtrees").select("page_id", "host", F.explode("hashes").alias("hash"))
-    template = trees.groupBy("host", "hash", "page_id").count().groupBy("host", "hash").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= many).select("host", "hash")
-    found = trees.join(template, ["host", "hash"], "left_semi").groupBy(F.col("page_id").alias("_page")).agg(F.collect_set("hash").alias("template"))
+            found = [subtrees(page.as_py() or "") for page in batch.column(2)]
+            hashes, shares = pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes, shares], ["page", "host", "hashes", "shares"])
+
+    hashed = rows.select("_key", "_host", "html").mapInArrow(shared.lean(hash_subtrees), "page long, host string, hashes array<long>, shares array<double>")
+    trees = shared.stage(hashed, "subtrees")
+    pages_ = trees.groupBy("host", "page").agg(F.first("hashes").alias("hashes"), F.first("shares").alias("shares"))  # repeated rows once
+    hosts = pages_.groupBy("host").agg(F.count("*").alias("n_host"))
+    each = shared.stage(pages_.select("host", "page", F.explode(F.arrays_zip("hashes", "shares")).alias("t")).select("host", "page", F.col("t.hashes").alias("hash"), F.col("t.shares").alias("share")), "page-subtrees")
+    template = shared.checked_broadcast(shared.stage(templates(each, hosts, many), "templates"))
+    found = each.join(template, ["host", "hash"], "left_semi").groupBy(F.col("page").alias("_page")).agg(F.collect_set("hash").alias("template"))
     found = shared.stage(found, "template-subtrees")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py() or "", set(hashes.as_py() or ())) for page, hashes in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [main_text(page.as_py() or "", set(hashes.as_py() or ()), by_name) for page, hashes in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(shared.checked_broadcast(found), F.col("page_id") == F.col("_page"), "left").select("page_id", "url", "html", "template")
+    joined = rows.join(shared.checked_broadcast(found), F.col("_key") == F.col("_page"), "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(shared.lean(text), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
