@@ -8,11 +8,18 @@ ids, a byte each that says whether the id is null, and their first ids (starts).
 A file covers one range of (document id, text hash), in order; ranges follow each other by file name, so document
 order is ascending over all files. The manifest (one row per file) gives counts; a document's start is the sum of the
 files before plus the start inside. Null or empty text: the end id alone. A null document id sorts first, repeated rows
-stay repeated (by text hash), other columns are not read. An empty table gives an empty manifest.
+stay repeated (by text hash), other columns are not read. An empty table gives an empty manifest. Texts of any length are
+encoded whole; blocks are written as they fill, so a writer holds one document's ids, a block and the footer.
+
+Ids are the library's for a plain `encode(text, add_special_tokens=False)`: an added token's own string in a text
+(`<|endoftext|>`) becomes that token's id.
 """
 
 from __future__ import annotations
 
+import json
+import os
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -63,17 +70,41 @@ def unpack(blob: bytes, bits: int, count: int) -> np.ndarray:
     return lanes.ravel()[:count]
 
 
-def file_chunks(ids: np.ndarray, bits: int, doc_ids: list, starts: np.ndarray) -> Iterator[bytes]:
-    yield MAGIC
-    at, offsets = len(MAGIC), []
-    for first in range(0, len(ids), BLOCK):
-        blob = pack(ids[first : first + BLOCK], bits)
-        offsets.append(at)
-        at += len(blob)
-        yield blob
-    footer = np.array([bits, len(ids), len(offsets), len(doc_ids), *offsets], "<u8").tobytes()
-    footer += np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + starts.astype("<u8").tobytes()
-    yield footer + len(footer).to_bytes(8, "little") + MAGIC
+class PackedWriter:
+    """Takes documents one by one and writes each block as it fills; close() writes the footer and gives the file its name."""
+
+    def __init__(self, uri: str, bits: int) -> None:
+        self.part, self.bits = shared.Part(uri), bits
+        self.at, self.n_ids, self.n_held = self.part.write(MAGIC), 0, 0
+        self.offsets: list[int] = []
+        self.held: list[np.ndarray] = []
+        self.doc_ids, self.nulls, self.starts = array("q"), bytearray(), array("q")
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
+        self.starts.append(self.n_ids)
+        self.n_ids += len(ids)
+        self.n_held += len(ids)
+        self.held.append(ids)
+        if self.n_held >= BLOCK:
+            ids = np.concatenate(self.held)
+            whole = len(ids) // BLOCK * BLOCK
+            for first in range(0, whole, BLOCK):
+                self._block(ids[first : first + BLOCK])
+            self.held, self.n_held = [ids[whole:].copy()], len(ids) - whole
+
+    def _block(self, ids: np.ndarray) -> None:
+        self.offsets.append(self.at)
+        self.at += self.part.write(pack(ids, self.bits))
+
+    def close(self) -> None:
+        if self.n_held:
+            self._block(np.concatenate(self.held))
+        footer = np.array([self.bits, self.n_ids, len(self.offsets), len(self.doc_ids), *self.offsets], "<u8").tobytes()
+        footer += np.array(self.doc_ids, "<i8").tobytes() + bytes(self.nulls) + np.array(self.starts, "<u8").tobytes()
+        self.part.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
+        self.part.close()
 
 
 class PackedFile:
@@ -109,12 +140,22 @@ class PackedFile:
         self.file.close()
 
 
+#: Settings of the tokenizer file (fixed values) for which ids of a text are those of its words, as WordIds takes them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 class WordIds(dict):
     """White-space-free chunk of a text to its ids (as bytes of unsigned 32-bit integers).
 
-    The vocabulary drops white space and merges inside words only, so ids of a text are those of its chunks. Chunks of
-    plain Latin letters and signs, which normalisation only lower-cases, go to the library's model by pre-token;
-    any other chunk goes through the library's whole encoder.
+    If the tokenizer's file declares the settings above, white space is dropped and merges stay inside words, so ids of a
+    text are those of its chunks. Chunks of plain Latin letters and signs, which normalisation only lower-cases, go to the
+    library's model by pre-token; any other chunk goes through the library's whole encoder. So do whole texts that may hold
+    an added token's string, and all texts if the file declares anything else.
     """
 
     def __init__(self, path: str) -> None:
@@ -122,9 +163,14 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        declared = json.loads(self.whole.to_str())
+        inner = [(declared.get(kind) or {}).get(parts) for kind, parts in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        model = declared["model"]
+        plain_model = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+        self.by_words = inner == [NORMALIZERS, PRETOKENIZERS] and plain_model and not declared.get("truncation") and not declared.get("padding")
+        self.added = os.path.commonprefix([t["content"] for t in declared["added_tokens"]]) if declared["added_tokens"] else None
         self.plain = regex.compile(r"[\x21-\x7e\xa1-ɏ]*").fullmatch
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.cut = regex.compile(SPLIT).findall
         self.bytes_as = [self._sign(b) for b in range(256)]
         self.words: dict[str, bytes] = {}
 
@@ -152,44 +198,37 @@ class WordIds(dict):
         return found
 
     def text(self, text: str) -> bytes:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to Python, not to the vocabulary
+        added = self.added is not None and self.added in text
+        if added or not self.by_words or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to Python, not to the vocabulary
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_CACHES: dict[str, WordIds] = {}
-
-
 def write(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write the files under out_uri, return the (materialised) manifest, one row per file."""
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = _CACHES.get(tokenizer_path) or _CACHES.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        words = WordIds(tokenizer_path)
         bits, end = width(words.whole.get_vocab_size()), np.array([end_id], "<u4").tobytes()
-        part, closed = TaskContext.get().partitionId(), 0
-        doc_ids: list = []
-        texts: list[bytes] = []
-        held = 0
-
-        def close() -> pa.RecordBatch:
-            path = f"{out_uri}/part-{part:07d}-{closed:05d}.wmpack"
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            shared.write_file(path, file_chunks(ids, bits, doc_ids, np.cumsum(sizes) - sizes))
-            return pa.RecordBatch.from_pydict({"path": [path], "bits": pa.array([bits], pa.int32()), "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+        part, closed, out, path = TaskContext.get().partitionId(), 0, None, ""
+
+        def manifest() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [path], "bits": pa.array([bits], pa.int32()), "n_docs": [len(out.doc_ids)], "n_ids": [out.n_ids]})
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids.append(doc_id)
-                texts.append(words.text(text.as_py() or "") + end)
-                held += len(texts[-1]) // 4
-                if held >= FILE_IDS:
-                    yield close()
-                    doc_ids, texts, held, closed = [], [], 0, closed + 1
-        if doc_ids:
-            yield close()
+                if out is None:
+                    path = f"{out_uri}/part-{part:07d}-{closed:05d}.wmpack"
+                    out, closed = PackedWriter(path, bits), closed + 1
+                out.add(doc_id, np.frombuffer(words.text(text.as_py() or "") + end, "<u4"))
+                if out.n_ids >= FILE_IDS:
+                    yield manifest()
+                    out = None
+        if out is not None:
+            yield manifest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
