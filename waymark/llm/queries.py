@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_frequency, perspectives
+from . import line_frequency, perspectives, warc
 from .shared import begin, scratch_path, table
 
 
@@ -58,8 +58,6 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import warc
-
     begin(spark)
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
@@ -93,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_perspective_rotation": perspectives.SQL,
     "op4_line_frequency": line_frequency.SQL,
+    "op8_warc_transactions": warc.SQL,
 }

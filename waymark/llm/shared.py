@@ -7,7 +7,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,15 +125,22 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
-def write_file(uri: str, chunks: Iterable[bytes]) -> None:
-    """Write beside the final name, then rename: a retried task leaves one whole file."""
-    store, path = filesystem(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(part) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    store.move(part, path)
+class Part:
+    """A file that is written beside its final name and renamed by close(): a retried task leaves one whole file."""
+
+    def __init__(self, uri: str) -> None:
+        self.store, self.path = filesystem(uri)
+        self.store.create_dir(os.path.dirname(self.path), recursive=True)
+        self.beside = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.store.open_output_stream(self.beside)
+
+    def write(self, chunk: bytes) -> int:
+        self.out.write(chunk)
+        return len(chunk)
+
+    def close(self) -> None:
+        self.out.close()
+        self.store.move(self.beside, self.path)
 
 
 def pack_lists(parts: list[bytes]) -> bytes:

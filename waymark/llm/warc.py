@@ -5,12 +5,18 @@ become revisit records without a body, which name that page. Every record is a g
 metadata records point at their capture through WARC-Concurrent-To; the metadata record holds the full payload's
 length, which a revisit has no body for. Files are closed at about 32 MB; a retried task replaces its files whole.
 
+Payloads are digested and written where they are read; only digests that occur more than once (a row each) join them.
+
 Reading gives one row per record. Assembly groups records by the capture they are concurrent to (a capture by its own
 id) and emits one nested row per capture. A request or metadata record without a link, or whose capture is in none of
-the archives, comes out as a row without a capture: nothing is dropped.
+the archives, comes out as a row without a capture; captures with one id come out as one row with the first in `capture` and all in
+`captures`; a record without an id and a link is a row of its own. Nothing is dropped. An archive that breaks off (a cut gzip
+member, a block shorter than its Content-Length, a length that is no number) gives the records before the break and a
+last one of type `damaged` with what was left of the block.
 
 Null html: an empty payload. Null page id: a record without one; it never wins over a numbered page. Repeated rows of
-the winning page are responses each. Other columns are not read. An empty table gives no files and no rows.
+the winning page are responses each. Other columns are not read. An empty table gives no files and no rows. Payloads of any
+length are written and read whole.
 """
 
 from __future__ import annotations
@@ -51,7 +57,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         .select(F.col("digest").alias("equal"), "first")
     )
     copied = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
-    joined = rows.join(shared_by, F.col("digest") == F.col("equal"), "left")
+    joined = rows.join(shared.checked_broadcast(shared.stage(shared_by, "equal-payloads")), F.col("digest") == F.col("equal"), "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(copied, F.col("first")).alias("refers_to"))
 
 
@@ -86,25 +92,25 @@ def write(pages: DataFrame, out_uri: str, **columns: str) -> DataFrame:
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n, closed, captures, held = TaskContext.get().partitionId(), 0, 0, 0, 0
-        chunks: list[bytes] = []
+        part, n, closed, captures, held, out, path = TaskContext.get().partitionId(), 0, 0, 0, 0, None, ""
 
         def close() -> pa.RecordBatch:
-            path = f"{out_uri}/part-{part:07d}-{closed:05d}.warc.gz"
-            shared.write_file(path, chunks)
+            out.close()
             return pa.RecordBatch.from_pydict({"path": [path], "n_captures": [captures]})
 
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if out is None:
+                    path = f"{out_uri}/part-{part:07d}-{closed:05d}.warc.gz"
+                    out, captures, held, closed = shared.Part(path), 0, 0, closed + 1
                 page_id, url, payload, digest, refers_to = (x.as_py() for x in row)
                 for blob in capture_records(f"{run}/{part}/{n}", page_id, url, payload, digest, refers_to):
-                    chunks.append(blob)
-                    held += len(blob)
+                    held += out.write(blob)
                 n, captures = n + 1, captures + 1
                 if held >= FILE_BYTES:
                     yield close()
-                    chunks, held, captures, closed = [], 0, 0, closed + 1
-        if chunks:
+                    out = None
+        if out is not None:
             yield close()
 
     return shared.stage(with_revisits(pages, **columns).mapInArrow(shared.lean(save), "path string, n_captures long"), "warc-manifest")
@@ -116,18 +122,29 @@ def archives(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
-    """(headers, concurrent-to ids, block) of each record of an open archive."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        headers: dict[str, str] = {}
-        links: list[str] = []
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-            if name.strip().lower() == "warc-concurrent-to":
-                links.append(value.strip())
-        yield headers, links, stream.read(int(headers.get("content-length", 0)))
+    """(headers, concurrent-to ids, block) of each record of an open archive; the type of a record that breaks off is `damaged`."""
+    headers: dict[str, str] = {}
+    links: list[str] = []
+    block = b""
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            headers, links, block = {}, [], b""
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+                if name.strip().lower() == "warc-concurrent-to":
+                    links.append(value.strip())
+            size = int(headers.get("content-length", 0))
+            while len(block) < size and (more := stream.read(min(size - len(block), 1 << 20))):
+                block += more
+            if len(block) < size:
+                raise EOFError
+            yield headers, links, block
+            headers = {}
+    except (EOFError, ValueError, OSError, zlib.error):
+        yield headers | {"warc-type": "damaged"}, links, block
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
@@ -167,16 +184,18 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row per capture: transaction_id, capture, requests, metadata."""
+    """One nested row per capture: transaction_id, capture, captures (more than one only where an id repeats), requests, metadata."""
     is_capture = F.col("record_type").isin("response", "revisit")
-    linked = F.when(~is_capture & (F.size("concurrent_to") > 0), F.col("concurrent_to")).otherwise(F.array("record_id"))
+    own = F.coalesce("record_id", F.concat(F.lit("without-id-"), F.uuid()))
+    linked = F.when(~is_capture & (F.size("concurrent_to") > 0), F.col("concurrent_to")).otherwise(F.array(own))
     body = F.struct(*[c for c in records.columns if c != "concurrent_to"])
     keyed = records.select(F.explode(F.array_distinct(linked)).alias("transaction_id"), "record_type", is_capture.alias("is_capture"), body.alias("body"))
-    return keyed.groupBy("transaction_id").agg(
-        F.get(F.collect_list(F.when(F.col("is_capture"), F.col("body"))), F.lit(0)).alias("capture"),
+    found = keyed.groupBy("transaction_id").agg(
+        F.collect_list(F.when(F.col("is_capture"), F.col("body"))).alias("captures"),
         F.collect_list(F.when(F.col("record_type") == "request", F.col("body"))).alias("requests"),
         F.collect_list(F.when(F.col("record_type") == "metadata", F.col("body"))).alias("metadata"),
     )
+    return found.select("transaction_id", F.get("captures", F.lit(0)).alias("capture"), "captures", "requests", "metadata")
 
 
 def round_trip(pages: DataFrame, out_uri: str) -> DataFrame:
@@ -194,3 +213,17 @@ def round_trip(pages: DataFrame, out_uri: str) -> DataFrame:
         F.size("requests").cast("long").alias("n_requests"),
         F.size("metadata").cast("long").alias("n_metadata"),
     )
+
+
+SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, 1::BIGINT AS n_requests, 1::BIGINT AS n_metadata
+FROM f
+"""
