@@ -9,8 +9,10 @@ DataFrame functions only. Occurrences are aggregated by (host, line, document),
 sums before the shuffle, so a line of a third of all documents is no hot key. Texts are not shuffled for the verdict
 (only `clean_text`, if it is asked for, joins them with their frequent lines).
 
-Null or empty text: no words, base_failed. Null hosts are one host. Null ids are one document for the counts. Rows
-repeated with one id count once in a line's frequency and get the same verdict. Columns of these names are replaced.
+Null or empty text: no words, base_failed. Null hosts are one host. Null ids are one document for the counts. A line's
+frequency is by document id; a verdict is by row (host, id and text), so that repeated rows get the verdict that one gets and
+texts under one id (or none) don't mix. Very long texts are judged whole. Columns of these names are replaced. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,11 +73,16 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """(lines of each document: host, line, doc, n, n_words; lines above the limit: host, line, n_documents)."""
-    rows = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("raw")).where(no_space(F.col("raw")) != "")
-    rows = rows.select("host", "doc", line_hash(F.col("raw")).alias("line"), F.size(words_of(F.col("raw"))).alias("n"))
-    lines = rows.groupBy("host", "line", "doc").agg(F.count("*").alias("n"), F.sum("n").alias("n_words"))
-    return lines, lines.groupBy("host", "line").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > max_documents)
+    """(lines of each row: host, line, doc, row, n, n_words; lines above the limit: host, line, n_documents)."""
+    named = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("doc"), row_key().alias("row"), F.explode(F.split("text", "\n")).alias("raw"))
+    named = named.where(no_space(F.col("raw")) != "").select("host", "doc", "row", line_hash(F.col("raw")).alias("line"), F.size(words_of(F.col("raw"))).alias("n"))
+    lines = named.groupBy("host", "line", "doc", "row").agg(F.count("*").alias("n"), F.sum("n").alias("n_words"))
+    by_document = lines.groupBy("host", "line", "doc").agg(F.lit(1).alias("one"))
+    return lines, by_document.groupBy("host", "line").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > max_documents)
+
+
+def row_key() -> Column:
+    return F.xxhash64("source", "doc_id", "text")
 
 
 def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
@@ -83,14 +90,18 @@ def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFram
     lines, frequent = frequent_lines(docs, max_documents)
     frequent = frequent.select(F.col("host").alias("__lf_host"), F.col("line").alias("__lf_line"))
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("__lf_host")) & (F.col("line") == F.col("__lf_line")), "left_semi")
-    removed = hit.groupBy(F.col("doc").alias("__lf_doc")).agg(F.sum("n").alias("__lf_n_lines"), F.sum("n_words").alias("__lf_n_words"), F.collect_set("line").alias("__lf_removed"))
-    rows = base_metrics(docs).join(removed, F.col("doc_id").eqNullSafe(F.col("__lf_doc")), "left")
-    lost = F.least(F.coalesce("__lf_n_words", F.lit(0)), F.col("n_words"))
+    # equal rows have one key: their sums are those of one row times their number
+    removed = hit.groupBy(F.col("row").alias("__lf_row")).agg(F.sum("n").alias("__lf_n_lines"), F.sum("n_words").alias("__lf_n_words"), F.collect_set("line").alias("__lf_removed"))
+    copies = docs.groupBy(row_key().alias("__lf_copy")).agg(F.count("*").alias("__lf_copies")).where("__lf_copies > 1")
+    removed = removed.join(copies, F.col("__lf_row") == F.col("__lf_copy"), "left").drop("__lf_copy")
+    rows = base_metrics(docs.withColumn("__lf_own", row_key())).join(removed, F.col("__lf_own") == F.col("__lf_row"), "left")
+    of_one = lambda name: F.coalesce((F.col(name) / F.coalesce("__lf_copies", F.lit(1))).cast("long"), F.lit(0).cast("long"))
+    lost = F.least(of_one("__lf_n_words"), F.col("n_words"))
     clean = F.array_join(F.filter(F.split("text", "\n"), lambda line: (no_space(line) == "") | ~F.array_contains("__lf_removed", line_hash(line))), "\n")
     return rows.select(
         *[c for c in rows.columns if not c.startswith("__lf_")],
-        F.coalesce("__lf_n_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
-        lost.cast("long").alias("n_removed_words"),
+        of_one("__lf_n_lines").alias("n_removed_lines"),
+        lost.alias("n_removed_words"),
         (~F.col("base_failed") & (2 * (F.col("n_words") - lost) >= F.col("n_words"))).alias("kept"),
         F.when(F.col("__lf_removed").isNull(), F.col("text")).otherwise(clean).alias("clean_text"),
     )
@@ -103,33 +114,33 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), g AS (
-  SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+  SELECT rid, i, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
 ), c AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g
 ), p AS (
-  SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM c WHERE n >= 2
+  SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM c WHERE n >= 2
 ), r AS (
-  SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words FROM p GROUP BY doc_id
+  SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words FROM p GROUP BY rid
 ), l AS (
-  SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d
+  SELECT rid, doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d
 ), lw AS (
-  SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT rid, doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS norm
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), u AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY doc_id
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY rid
 ), f AS (
-  SELECT source, norm FROM lw GROUP BY source, norm HAVING count(DISTINCT doc_id) > 10
+  SELECT source, norm FROM (SELECT DISTINCT source, norm, doc_id FROM lw) GROUP BY source, norm HAVING count(*) > 10
 ), x AS (
-  SELECT lw.doc_id, count(*) AS n_lines, sum(n) AS n_words FROM lw JOIN f ON lw.source = f.source AND lw.norm = f.norm GROUP BY lw.doc_id
+  SELECT rid, count(*) AS n_lines, sum(n) AS n_words FROM lw JOIN f ON lw.source IS NOT DISTINCT FROM f.source AND lw.norm = f.norm GROUP BY rid
 ), m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          coalesce(x.n_lines, 0)::BIGINT AS n_removed_lines, coalesce(x.n_words, 0)::BIGINT AS n_removed_words
-  FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
+  FROM d LEFT JOIN r ON d.rid = r.rid LEFT JOIN u ON d.rid = u.rid LEFT JOIN x ON d.rid = x.rid
 )
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * (n_words - n_removed_words) >= n_words AS kept
