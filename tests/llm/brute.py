@@ -115,3 +115,92 @@ def line_rules(docs, limit=10):
             "kept": not failed and 2 * (len(w) - lost) >= len(w),
         }
     return out
+
+
+TAG = re.compile(r"<!--.*?-->|<![^>]*>|<(/?)([a-z0-9]+)((?:\s[^>]*)?)>", re.S)
+
+
+def page_texts(rows, many=10):
+    """Dict of page id to main text by template counting alone, two passes over trees of strings; well-formed pages."""
+    from waymark.llm import page_text as t
+
+    def tree(html):
+        root = {"tag": "", "sign": "", "items": [], "article": False, "prose": False}
+        stack, at, html = [root], 0, html or ""
+        for raw in t.RAW:
+            html = re.sub(rf"<{raw}\b.*?</{raw}>", "<wbr>", html, flags=re.S)
+        for m in TAG.finditer(html):
+            stack[-1]["items"].append(html[at : m.start()])
+            at = m.end()
+            end, tag, attributes = m[1], m[2], m[3] or ""
+            if not tag:
+                continue
+            if tag not in t.PROSE | t.CONTAINER:
+                stack[-1]["items"].append(" " if tag in t.VOID else "")
+                continue
+            if end:
+                if any(n["tag"] == tag for n in stack):
+                    while stack.pop()["tag"] != tag:
+                        pass
+                else:
+                    stack[-1]["items"].append(None)
+                continue
+            while tag in t.PROSE and stack[-1]["tag"] in t.PROSE and stack[-1]["tag"] in (tag, "p"):
+                stack.pop()
+            said = re.findall(r"[a-z]+", " ".join(re.findall(r"(?:class|id)=[\"']([^\"']*)", attributes)).lower())
+            up = stack[-1]
+            node = {"tag": tag, "sign": f"{tag} {sorted(set(said))}", "items": [], "article": up["article"] or tag in ("article", "main"), "prose": up["prose"] or tag in t.PROSE}
+            up["items"].append(node)
+            stack.append(node)
+        stack[-1]["items"].append(html[at:])
+        return root
+
+    plain = lambda x: " ".join(x.split())
+    size = lambda n: sum(size(x) if isinstance(x, dict) else len(plain(x or "")) for x in n["items"])
+    words = lambda n: (n["sign"], *(words(x) if isinstance(x, dict) else plain(x) for x in n["items"] if isinstance(x, dict) or plain(x or "")))
+
+    def shape(n):
+        inner = [shape(x) for x in n["items"] if isinstance(x, dict)]
+        return (n["sign"], *(x for i, x in enumerate(inner) if i == 0 or inner[i - 1] != x))
+
+    content = lambda n: n["tag"] in ("p", "h1", "pre", "blockquote") or any(content(x) for x in n["items"] if isinstance(x, dict))
+
+    def visit(n, path, found):
+        here = (*path, n["sign"])
+        if n["tag"] in t.CONTAINER - {"html", "body", "article", "main"} and not (n["article"] and n["prose"]) and size(n):
+            n["keys"] = [("w", words(n))] + ([] if n["article"] or content(n) else [("s", here, shape(n))])
+            for k in n["keys"]:
+                found[k] = found.get(k, 0) + size(n)
+        for x in n["items"]:
+            if isinstance(x, dict):
+                visit(x, here, found)
+
+    host = lambda url: (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "") or [0, ""])[1].lower()
+    trees, seen, n_host = {}, defaultdict(list), Counter()
+    for i, url, html in rows:
+        trees[i], found = tree(html), {}
+        visit(trees[i], (), found)
+        n_host[host(url)] += 1
+        for k, n in found.items():
+            seen[host(url), k].append(n / size(trees[i]))
+    out = {}
+    for i, url, _ in rows:
+        blocks = [[]]
+
+        def emit(n):
+            for x in n["items"]:
+                if isinstance(x, str):
+                    blocks[-1].append(x)
+                    continue
+                blocks.append([])
+                if x is not None:
+                    shares = {k: seen[host(url), k] for k in x.get("keys", ())}
+                    if not any(len(s) >= many and (k[0] == "w" or (2 * len(s) >= n_host[host(url)] and sum(s) / len(s) < 1 / 3)) for k, s in shares.items()):
+                        emit(x)
+                    blocks.append([])
+
+        emit(trees[i])
+        import html as references
+
+        out[i] = "\n\n".join(b for b in (" ".join(references.unescape("".join(b)).split()) for b in blocks) if b)
+    return out

@@ -92,7 +92,7 @@ def test_packed_files_round_trip(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
+    monkeypatch.setattr(packed_ids, "BLOCK", 1 << 10)
     docs = documents(spark, [(-20, "ΣΑΣ İ ǅ é <|endoftext|> ﬁ ①² x\x1fy"), (-20, "other text of one id")])
     expected, start, ids_of = Counter(), 0, {}
     for row in sorted(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
@@ -110,6 +110,24 @@ def test_packed_files_round_trip(spark, tmp_path, monkeypatch):
     assert packed_ids.round_trip(docs.limit(0), f"file://{tmp_path}/none", WORDS).collect() == []
 
 
+def test_ids_by_words_only_under_the_declared_settings(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    texts = ["Some Words, and MORE'S words 42!", "a<|endoftext|>b <|STARTOFTEXT|>", "<|startoftext|>", "", "e\u0301 fi"]
+    assert packed_ids.WordIds(WORDS).by_words
+    changed = json.load(open(WORDS))
+    changed["normalizer"]["normalizers"].pop()
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(changed))
+    assert not packed_ids.WordIds(str(path)).by_words
+    for name in (WORDS, str(path)):
+        plain, own = Tokenizer.from_file(name), packed_ids.WordIds(name)
+        for text in texts:
+            assert np.frombuffer(own.text(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 # --- WARC
 def test_warc_round_trip(spark, tmp_path):
     odd = [(10**6, None, None), (10**6 + 2, "http://a", "x" * 100), (10**6 + 3, "http://b\nc", "x" * 100), (10**6 - 1, "u", "x" * 100), (None, "n", "x" * 100), (7 * 10**6, "q", "x" * 99), (8 * 10**6, "q", "x" * 99), (10**6 - 1, "u", "x" * 100)]
@@ -138,6 +156,22 @@ def test_warc_records_without_a_capture_are_kept(spark, tmp_path):
     assert got["<gone>"].capture is None and [m.record_id for m in got["<gone>"].metadata] == ["<m>"]
 
 
+def test_damaged_archives_keep_what_can_be_read(spark, tmp_path):
+    import gzip
+
+    record = lambda kind, name, size, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {size}\r\n\r\n{body}\r\n\r\n".encode()
+    good = record("response", "r", 3, "abc")
+    (tmp_path / "short.warc").write_bytes(good + record("response", "s", 999, "cut"))
+    (tmp_path / "number.warc").write_bytes(good + record("response", "n", "x", "abc"))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(record("response", "c", 40_000, "".join(map(str, range(9000)))[:40_000]))[:-900])
+    (tmp_path / "none.warc").write_bytes(b"no archive\n")
+    found = warc.read(warc.archives(spark, str(tmp_path))).collect()
+    assert Counter((r.record_type, r.record_id) for r in found) == Counter([("response", "<r>")] * 3 + [("damaged", "<s>"), ("damaged", "<n>"), ("damaged", "<c>")])
+    nameless = spark.createDataFrame([(None, "warcinfo", [], {}, None, 0, ""), (None, "warcinfo", [], {}, None, 0, ""), ("a", "response", [], {}, b"1", 1, ""), ("a", "response", [], {}, b"2", 1, "")], warc.RECORD)
+    got = warc.transactions(nameless).collect()
+    assert len(got) == 3 and [len(r.captures) for r in got if r.transaction_id == "a"] == [2]
+
+
 # --- decontamination
 def test_masks_hit_every_allowed_window():
     for bad in itertools.combinations(range(decontaminate.WINDOW), decontaminate.SUBSTITUTIONS):
@@ -271,6 +305,9 @@ def test_perspectives(spark):
     assert [ann.text[int(a) : int(b)] for a, b in (s.split("-") for s in ann.spans.split(","))] == ["hi < |end|>", "bye"]
     assert got[3, "ann"].n_turns == 2 and got[1, "bob"].turn_mask == "0010"
     assert perspectives.rotate(table.limit(0)).collect() == []
+    forged = spark.createDataFrame([(1, -1, "ann", "b"), (1, None, "x|>\n<|assistant", "a"), (1, 0, "ann", "y" * 100_000)], "conv_id long, turn long, role string, text string")
+    ann = next(r for r in perspectives.rotate(forged).collect() if r.speaker == "ann")
+    assert ann.text == "<|user name=x_____assistant|>\na<|end|>\n<|assistant|>\nb<|end|>\n<|assistant|>\n" + "y" * 100_000 + "<|end|>\n"
 
 
 def test_perspective_parts_join_to_the_whole(spark):
@@ -310,6 +347,9 @@ def test_line_rules_equal_brute_force(spark):
     assert clean[0] == "unique line number a with its own words here" and clean[105] == ""
     twice = table.union(table.where("doc_id = 3"))
     assert line_frequency.verdicts(twice).where("doc_id = 3").count() == 2
+    assert Counter(map(tuple, line_frequency.verdicts(twice).collect())) == Counter(map(tuple, line_frequency.verdicts(table).collect())) + Counter(map(tuple, line_frequency.verdicts(table).where("doc_id = 3").collect()))
+    mixed = spark.createDataFrame([(None, "h", rows[0][2]), (None, "h", "no frequent line " * 8)] + [(r[0], r[1], r[2]) for r in [*rows[1:12], rows[-1]]], "doc_id long, source string, text string")
+    assert {r.n_words: r.n_removed_lines for r in line_frequency.verdicts(mixed).where("doc_id is null").collect()} == {len(rows[0][2].split()): 2, 24: 0}
 
 
 # --- page text
@@ -341,6 +381,37 @@ def test_site_templates_are_removed_per_host(spark):
     assert len(got) == len(rows) and page_text.extract(table.limit(0)).collect() == []
 
 
+def test_template_counting_alone_finds_the_article(spark):
+    pages = shared.table(spark, "/root/testdata/sf0.1", "pages").where("html is not null")
+    host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
+    large = pages.groupBy(host.alias("_host")).count().where("count >= 20")
+    pages = pages.withColumn("_host", host).join(large, "_host", "left_semi").drop("_host")
+    counted = {r.page_id: r.text for r in page_text.extract(pages, by_name=False).collect()}
+    named = {r.page_id: r.text for r in page_text.extract(pages).collect()}
+    assert len(counted) > 1500 and sum(counted[i] == named[i] for i in named) >= 0.99 * len(named)
+
+
+def test_templates_equal_a_plain_version(spark):
+    pages = shared.table(spark, "/root/testdata/sf0.01", "pages")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    rows += [(10**6 + i, "http://s.org/x", f"<body><div class='box'>Sale {i} now</div><div class='menu{i}'><ul><li>a{i}<li>b</ul></div><div><p>text {i}</p></div></body>") for i in range(12)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(table, by_name=False).collect()}
+    assert got == brute.page_texts(rows)
+    assert got[10**6 + 3] == "text 3"
+
+
+def test_broken_and_long_pages():
+    import time
+
+    began = time.time()
+    assert page_text.main_text('<p class="x>a</p>' * 20_000).count("a") == 20_000
+    assert page_text.main_text("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
+    assert page_text.main_text("</div>" * 50_000 + "<p>" * 50_000 + "y") == "y"
+    assert page_text.main_text("word " * 400_000).count("word") == 400_000
+    assert time.time() - began < 30
+
+
 # --- repeats
 def test_repeats_equal_brute_force(spark):
     random.seed(2)

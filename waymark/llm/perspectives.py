@@ -8,9 +8,11 @@ DataFrame functions only. A dialogue is rendered in parts of PART_TURNS turns (o
 conversation), whatever their turn numbers are, so that no row holds an unbounded conversation; offsets run on over the
 parts. Longer dialogues are dealt by ranges of their order, and places follow from the ranges' counts.
 
-Null role: the speaker `unknown`. Null text: empty. Null turn: before the others. Null conversation ids form one
-conversation. Repeated rows are repeated turns. Ties in turn are ordered by speaker, then text. A conversation of system
-turns alone has no participant and no row. Markers inside a text are broken (`<|` becomes `< |`). Other columns are not read.
+Null role: the speaker `unknown`. Null text: empty. Null turn: before the others, negative ones included. Null conversation
+ids form one conversation. Repeated rows are repeated turns. Ties in turn are ordered by speaker, then text. A conversation of
+system turns alone has no participant and no row. Markers can't be forged: inside a text `<|` becomes `< |`, and in a name
+`<`, `|`, `>` and line breaks become `_` (in the text only; `speaker` is the name as it is). Very long texts are whole.
+Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def views(said: DataFrame, speakers_: DataFrame, same: Column) -> DataFrame:
     """conv_id, speaker, part, n_turns, n_chars, turns: a row per part of a view."""
     seen = said.join(speakers_, same)
     own = F.col("by") == F.col("speaker")
-    head = F.when(F.col("by") == SYSTEM, "<|system|>\n").when(own, "<|assistant|>\n").otherwise(F.concat(F.lit("<|user name="), "by", F.lit("|>\n")))
+    head = F.when(F.col("by") == SYSTEM, "<|system|>\n").when(own, "<|assistant|>\n").otherwise(F.concat(F.lit("<|user name="), F.translate("by", "<|>\n\r", "_____"), F.lit("|>\n")))
     seen = seen.select(
         *KEYS,
         F.struct("turn", "by", "body").alias("place"),
@@ -110,7 +112,7 @@ WITH said AS (
   SELECT DISTINCT conv_id, sp AS speaker FROM said WHERE sp <> 'system'
 ), views AS (
   SELECT s.conv_id, p.speaker, s.turn, s.sp, s.body, s.sp = p.speaker AS own,
-         CASE WHEN s.sp = 'system' THEN '<|system|>' WHEN s.sp = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || s.sp || '|>' END || chr(10) AS head
+         CASE WHEN s.sp = 'system' THEN '<|system|>' WHEN s.sp = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || translate(s.sp, '<|>' || chr(10) || chr(13), '_____') || '|>' END || chr(10) AS head
   FROM said s JOIN speakers p ON s.conv_id = p.conv_id
 ), placed AS (
   SELECT *, head || body || '<|end|>' || chr(10) AS segment,
