@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -95,6 +96,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Between large steps: shuffle files that nothing refers to any more go when the driver's JVM collects garbage; ask for it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fits(small: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a (materialised) table's rows, as measured, take at most `limit` bytes."""
     size = F.lit(24.0)
