@@ -5,8 +5,8 @@ documents of its host. Lines in more than MAX_DOCUMENTS documents of a host are
 half of its words is depleted and rejected. Base rules: at least MIN_WORDS words, and at most 30 % of the words inside
 8-word windows that occur twice or more in the document.
 
-DataFrame functions only. Occurrences are aggregated by (host, line, document), then by (host, line), both with partial
-sums before the shuffle, so a line of a third of all documents is no hot key. Texts are not shuffled for the verdict
+DataFrame functions only. Occurrences are dealt by (host, line, document), so that a line of a third of all documents is
+spread, and counted there by document; its counts by (host, line) are partial sums before they are shuffled. Texts are not shuffled for the verdict
 (only `clean_text`, if it is asked for, joins them with their frequent lines).
 
 Null or empty text: no words, base_failed. Null hosts are one host. Null ids are one document for the counts. A line's
@@ -76,7 +76,8 @@ def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> tuple
     """(lines of each row: host, line, doc, row, n, n_words; lines above the limit: host, line, n_documents)."""
     named = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("doc"), row_key().alias("row"), F.explode(F.split("text", "\n")).alias("raw"))
     named = named.where(no_space(F.col("raw")) != "").select("host", "doc", "row", line_hash(F.col("raw")).alias("line"), F.size(words_of(F.col("raw"))).alias("n"))
-    lines = named.groupBy("host", "line", "doc", "row").agg(F.count("*").alias("n"), F.sum("n").alias("n_words"))
+    dealt = named.repartition("host", "line", "doc")  # one shuffle for both counts and the lookup of frequent lines
+    lines = dealt.groupBy("host", "line", "doc", "row").agg(F.count("*").alias("n"), F.sum("n").alias("n_words"))
     by_document = lines.groupBy("host", "line", "doc").agg(F.lit(1).alias("one"))
     return lines, by_document.groupBy("host", "line").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > max_documents)
 
