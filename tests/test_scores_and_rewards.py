@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waymark.operators import metrics, rewards, rollout, scoring
+from waymark.operators import metrics, rewards, rollout, scoring, tools
 
 
 def test_empty_set_conventions(spark):
@@ -63,15 +63,30 @@ def test_manager_order_nulls_and_empty_message(spark):
     got = rewards.score(rows, [{"fn": "turn_efficiency"}, {"fn": "multiturn_reward", "args": {"minimal_turns": 5}}, {"fn": "always_null"}]).orderBy("i").collect()
     rewards.REGISTRY.pop("always_null")
     assert [r.total_reward for r in got] == [1.0, -10.0]
-    assert got[1].reward_dict == {"turn_efficiency": 1.0, "multiturn_reward": 0.0}
+    assert got[1].reward_dict == {"turn_efficiency": 1.0, "multiturn_reward": 0.0, "always_null": 0.0}
+    rewards.reward("null_with_parts")(lambda: (F.when(F.col("turns") > 5, 1.0), {"part": F.lit(2.0)}))
+    got = rewards.score(turns(spark, (5, 1), (6, 1)).withColumn("final_message", F.lit("x")), [{"fn": "null_with_parts"}, {"fn": "no such"}, {"fn": "turn_efficiency", "args": {"wrong": 1}}]).orderBy("i").collect()
+    rewards.REGISTRY.pop("null_with_parts")
+    assert [r.total_reward for r in got] == [0.0, 1.0]
+    assert [r.reward_dict for r in got] == [{"null_with_parts": 0.0, "no such": 0.0, "turn_efficiency": 0.0}, {"part": 2.0, "no such": 0.0, "turn_efficiency": 0.0}]
     with pytest.raises(ValueError, match="unknown reward"):
         rewards.get_reward("no such")
 
 
-def test_experiments():
+def test_experiments(tmp_path):
     assert rewards.load_experiment(None)["reward"] == rewards.DEFAULT_REWARDS
-    chosen = rewards.load_experiment({"reward": [{"fn": "multiturn_reward"}], "tools": ["a"]})
-    assert chosen["tools"] == ["a"] and chosen["prompts"] == {}
+    tools.tool("own")(lambda: None)
+    chosen = rewards.load_experiment({"reward": [{"fn": "multiturn_reward"}], "tools": ["own", "grep"]})
+    tools.REGISTRY.pop("own")
+    assert chosen["tools"] == ["own", "grep"] and chosen["prompts"] == {}
+    with pytest.raises(ValueError, match="unknown tool"):
+        rewards.load_experiment({"reward": [], "tools": ["own"]})
+    with pytest.raises(ValueError, match="built-in"):
+        tools.tool("terminal")
+    pytest.importorskip("yaml")
+    path = tmp_path / "e.yaml"
+    path.write_text("reward:\n  - fn: multiturn_reward\n    args: {minimal_turns: 2}\ntools: [glob]\nprompts: {system_prompt: s}\n")
+    assert rewards.read_experiment(str(path)) == {"reward": [{"fn": "multiturn_reward", "args": {"minimal_turns": 2}}], "tools": ["glob"], "prompts": {"system_prompt": "s"}}
     with pytest.raises(ValueError):
         rewards.load_experiment({"reward": [{"fn": "no such"}]})
 

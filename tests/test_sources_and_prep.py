@@ -103,3 +103,9 @@ def test_streaming_counts_equal_batch_counts(spark, tmp_path):
     seen = {tuple(r) for r in spark.table("kinds_seen").collect()}
     assert seen == {tuple(r) for r in streaming.windowed_kinds(rows).collect()} and len(seen) == 2
     assert {(r.prompt_tokens, r.response_tokens) for r in streaming.windowed_tokens(rows).collect()} == {(2, 2), (0, 0)}
+
+
+def test_snapshot_of_events_in_memory(spark):
+    rows = sources.snapshot(spark, [{"traj_id": 1, "pos": 1, "kind": "TokenEvent", "prompt_token_ids": [1]}, {"traj_id": 1, "pos": 2}])
+    assert [(r.kind, r.prompt_token_ids, r.tool_calls) for r in rows.collect()] == [("TokenEvent", [1], None), (None, None, None)]
+    assert sources.snapshot(spark, []).collect() == []

@@ -68,10 +68,24 @@ def test_old_side_targets_keep_the_file_before_a_deleted_one(spark):
     assert [(t.file, t.old_start) for t in column["i"]] == [("a.py", 1), ("a.py", 10), ("a.py", 5)] and column["none"] == []
 
 
+def test_rows_of_one_id_stay_apart(spark):
+    other = PATCH.replace("a.py", "z.py").replace("@@ -1,3", "@@ -7,3")
+    rows = spark.createDataFrame([("i", PATCH), ("i", other), ("i", None), ("i", PATCH + PATCH)], "instance_id string, patch string")
+    got = [[(t.file, t.old_start) for t in r.target] for r in diff.targets_column(rows).collect()]
+    assert got == [[("a.py", 1), ("a.py", 10), ("a.py", 5)], [("z.py", 7), ("z.py", 10), ("z.py", 5)], [], [("a.py", 1), ("a.py", 10), ("a.py", 5)] * 2]
+    assert sorted(r.file for r in diff.file_extents(rows).collect()) == ["a.py", "a.py", "gone.py", "gone.py", "gone.py", "z.py"]
+    mixed = "+++ b/x\n@@ -1 +1 @@\n+++ b/y\n@@ -2 +2 @@\n+++ b/x\n@@ -3 +3 @@"
+    target = diff.targets_column(spark.createDataFrame([("m", mixed)], "instance_id string, patch string")).first().target
+    assert [(t.file, t.old_start) for t in target] == [("x", 1), ("x", 3), ("y", 2)]
+    answers = spark.createDataFrame([(1, "a.py\nfunction: f"), (1, "b.py\nclass: C"), (1, "function: g")], "traj_id long, answer string")
+    assert [(r.file, r.function) for r in answer.locations(answers).collect()] == [("a.py", "f")]
+    assert [r.entities for r in answer.answer_sets(answers).collect()] == [["a.py:f"], [], []]
+
+
 def test_file_hunks_and_extents(spark):
     hunks = diff.file_hunks(spark.createDataFrame([("i", PATCH)], "instance_id string, patch string"))
     assert sorted((r.file, r.old_start, r.old_count, r.new_start, r.new_count) for r in hunks.collect()) == [("a.py", 1, 3, 1, 4), ("a.py", 10, 1, 11, 2), ("gone.py", 5, 0, 0, 0)]
-    extents = {r.file: r for r in diff.file_extents(hunks).collect()}
+    extents = {r.file: r for r in diff.file_extents(spark.createDataFrame([("i", PATCH)], "instance_id string, patch string")).collect()}
     assert (extents["a.py"].old_start, extents["a.py"].old_count, extents["a.py"].new_start, extents["a.py"].new_count) == (1, 10, 1, 12)
 
 

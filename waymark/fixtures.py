@@ -102,7 +102,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("instance_id"),
         F.concat(F.col("lang"), F.lit("/"), F.col("source")).alias("repo"),
         F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("base_commit"),
-        F.substring("text", 1, 80).alias("problem_statement"),
+        F.col("text").alias("problem_statement"),
     )
 
 

@@ -2,48 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import normalize_path, strip
 
 
-def locations(answers: DataFrame, id_col: str = "traj_id", text_col: str = "answer") -> DataFrame:
-    """traj_id, pos, file, class, function: a row for each function line that has a file.
+LOCATION = "struct<file:string,class:string,function:string,bad:boolean>"
+
+
+def location_list(answer: Column) -> Column:
+    """ARRAY<STRUCT<file, class, function, bad>> of an answer: one for each function line that has a file, inside the row.
 
     Lines in order: a blank line or a file line (``.py`` at the end, before anything else) ends the class; ``class:`` sets
     it; ``function:`` or ``method:`` emits. A dotted name carries its own class. `bad` marks function lines without a name.
     """
-    body = F.regexp_replace(F.col(text_col), r"^[` \n]+|[` \n]+$", "")
-    lines = answers.select(F.col(id_col).alias("traj_id"), F.posexplode(F.split(body, "\n")).alias("pos", "raw")).withColumn("line", strip(F.col("raw")))
-    kind = (
-        F.when(F.col("line") == "", "blank")
-        .when(F.col("line").endswith(".py"), "file")
-        .when(F.col("line").startswith("class:"), "class")
-        .when(F.col("line").startswith("function:") | F.col("line").startswith("method:"), "function")
-    )
-    marked = lines.withColumn("kind", kind).where("kind is not null")
-    after = strip(F.regexp_replace("line", "^[a-z]+:", ""))
-    class_event = F.when(F.col("kind").isin("blank", "file"), F.struct(F.lit(None).cast("string").alias("name"))).when(F.col("kind") == "class", F.struct(after.alias("name")))
-    run = Window.partitionBy("traj_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = marked.select(
-        "traj_id",
-        "pos",
-        "kind",
-        F.last(F.when(F.col("kind") == "file", F.col("line")), ignorenulls=True).over(run).alias("file"),
-        F.last(class_event, ignorenulls=True).over(run)["name"].alias("context"),
-        F.regexp_replace(F.get(F.split(after, r"(?U)\s+"), F.lit(0)), r"^[()]+|[()]+$", "").alias("name"),
-        (after == "").alias("bad"),
-    ).where("kind = 'function' and file is not null")
-    dotted = F.col("name").contains(".")
-    return seen.select(
-        "traj_id",
-        "pos",
-        "file",
-        F.when(dotted, F.substring_index("name", ".", 1)).otherwise(F.col("context")).alias("class"),
-        F.when(dotted, F.regexp_replace("name", r"^[^.]*\.", "")).otherwise(F.col("name")).alias("function"),
-        "bad",
-    )
+    body = F.regexp_replace(F.coalesce(answer, F.lit("")), r"^[` \n]+|[` \n]+$", "")
+    is_function = lambda line: line.startswith("function:") | line.startswith("method:")
+    lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: (x == "") | x.endswith(".py") | x.startswith("class:") | is_function(x))
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("file"), none.alias("context"), F.array().cast(f"array<{LOCATION}>").alias("found"))
+
+    def step(seen: Column, line: Column) -> Column:
+        state = lambda file, context, found: F.struct(file.alias("file"), context.alias("context"), found.alias("found"))
+        after = strip(F.regexp_replace(line, "^[a-z]+:", ""))
+        name = F.regexp_replace(F.get(F.split(after, r"(?U)\s+"), F.lit(0)), r"^[()]+|[()]+$", "")
+        dotted = name.contains(".")
+        one = F.struct(
+            seen["file"].alias("file"),
+            F.when(dotted, F.substring_index(name, ".", 1)).otherwise(seen["context"]).alias("class"),
+            F.when(dotted, F.regexp_replace(name, r"^[^.]*\.", "")).otherwise(name).alias("function"),
+            (after == "").alias("bad"),
+        )
+        return (
+            F.when(line == "", state(seen["file"], none, seen["found"]))
+            .when(line.endswith(".py"), state(line, none, seen["found"]))
+            .when(line.startswith("class:"), state(seen["file"], after, seen["found"]))
+            .when(seen["file"].isNotNull(), state(seen["file"], seen["context"], F.concat(seen["found"], F.array(one))))
+            .otherwise(seen)
+        )
+
+    return F.aggregate(lines, start, step, lambda seen: seen["found"])
+
+
+def locations(answers: DataFrame, id_col: str = "traj_id", text_col: str = "answer") -> DataFrame:
+    """traj_id, pos, file, class, function, bad: a row for each location of an answer, numbered in its order."""
+    rows = answers.select(F.col(id_col).alias("traj_id"), F.posexplode(location_list(F.col(text_col))).alias("pos", "l"))
+    return rows.select("traj_id", "pos", "l.*")
 
 
 def entity(file: Column, class_: Column, function: Column) -> Column:
@@ -58,13 +63,11 @@ def module(entity_: Column) -> Column:
 
 
 def answer_sets(answers: DataFrame, id_col: str = "traj_id", text_col: str = "answer") -> DataFrame:
-    """traj_id, files, modules, entities: distinct and sorted; empty for answers without a location."""
-    rows = locations(answers, id_col, text_col).withColumn("entity", entity(F.col("file"), F.col("class"), F.col("function")))
-    sets = rows.groupBy(F.col("traj_id").alias("_id")).agg(
-        *[F.array_sort(F.collect_set(c)).alias(n) for c, n in ((F.col("file"), "files"), (module(F.col("entity")), "modules"), (F.col("entity"), "entities"))]
-    )
-    none = F.array().cast("array<string>")
-    return answers.join(sets, F.col(id_col) == F.col("_id"), "left").select(F.col(id_col).alias("traj_id"), *[F.coalesce(n, none).alias(n) for n in ("files", "modules", "entities")])
+    """traj_id, files, modules, entities: distinct and sorted; empty for answers without a location. A row per answer."""
+    rows = answers.select(F.col(id_col).alias("traj_id"), location_list(F.col(text_col)).alias("found"))
+    rows = rows.select("traj_id", F.transform("found", lambda l: l["file"]).alias("files"), F.transform("found", lambda l: entity(l["file"], l["class"], l["function"])).alias("entities"))
+    set_of = lambda c: F.array_sort(F.array_distinct(c))
+    return rows.select("traj_id", set_of(F.col("files")).alias("files"), set_of(F.transform("entities", module)).alias("modules"), set_of(F.col("entities")).alias("entities"))
 
 
 def tagged_files(text: Column) -> Column:

@@ -1,79 +1,88 @@
-"""Unified diffs to edit locations, as windows over exploded lines; everything is partitioned by the instance."""
+"""Unified diffs to edit locations, each inside its row: no shuffle, no join, and rows that share an id stay apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
 
 HUNK = r"@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
+SIDES = ("old_start", "old_count", "new_start", "new_count")
 
 
-def _number(text, group: int, default: int | None = None):
+def _number(text: Column, group: int, default: int | None = None) -> Column:
     found = F.nullif(F.regexp_extract(text, HUNK, group), F.lit(""))
     return (F.coalesce(found, F.lit(str(default))) if default is not None else found).cast("int")
 
 
-def old_side_targets(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
-    """instance_id, file, file_pos, hunk_pos, old_start, old_count: one row per hunk, files in the order of their first hunk.
+def old_side_hunks(patch: Column) -> Column:
+    """ARRAY<STRUCT<file, old_start, old_count>> of a patch, in its order; empty without hunks.
 
     A header line ``+++ b/...`` names the file; a deleted file's header does not, so its hunks count for the file before,
     or for none. An added line that reads ``++ b/...`` is taken for a header.
     """
-    lines = instances.select(F.col(id_col).alias("instance_id"), F.posexplode(F.split(strip(F.col(patch_col)), r"\r\n|\r|\n")).alias("pos", "line"))
-    marked = lines.select(
-        "instance_id",
-        "pos",
-        F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1_000_000)).alias("named"),
-        F.when(F.col("line").rlike("^" + HUNK), F.col("line")).alias("hunk"),
-    ).where("named is not null or hunk is not null")
-    run = Window.partitionBy("instance_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hunks = marked.withColumn("file", F.last("named", ignorenulls=True).over(run)).where("hunk is not null and file is not null")
-    of_file = Window.partitionBy("instance_id", "file")
-    return hunks.select(
-        "instance_id",
-        "file",
-        F.min("pos").over(of_file).alias("file_pos"),
-        F.col("pos").alias("hunk_pos"),
-        _number(F.col("hunk"), 1).alias("old_start"),
-        _number(F.col("hunk"), 2, 1).alias("old_count"),
-    )
+    sections = F.split(strip(F.coalesce(patch, F.lit(""))), r"(?m)^\+\+\+ b/")
+    named = F.filter(F.slice(sections, 2, 1_000_000), lambda s: ~s.rlike(r"^[\r\n]|^$"))
+
+    def of(section: Column) -> Column:
+        file = F.regexp_extract(section, r"^[^\r\n]*", 0)
+        one = lambda h: F.struct(file.alias("file"), _number(h, 1).alias("old_start"), _number(h, 2, 1).alias("old_count"))
+        return F.transform(F.regexp_extract_all(section, F.lit("(?m)^" + HUNK), F.lit(0)), one)
+
+    return F.flatten(F.transform(named, of))
+
+
+def in_order_of_files(hunks: Column) -> Column:
+    """Hunks file by file, files in the order of their first hunk."""
+    names = F.array_distinct(F.transform(hunks, lambda h: h["file"]))
+    return F.when(F.size(names) < 2, hunks).otherwise(F.flatten(F.transform(names, lambda n: F.filter(hunks, lambda h: h["file"] == n))))
+
+
+def old_side_targets(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
+    """instance_id, file, hunk_pos, old_start, old_count: one row per hunk, numbered in the order of the patch."""
+    rows = instances.select(F.col(id_col).alias("instance_id"), F.posexplode(old_side_hunks(F.col(patch_col))).alias("hunk_pos", "h"))
+    return rows.select("instance_id", "h.file", "hunk_pos", "h.old_start", "h.old_count")
 
 
 def targets_column(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
-    """instances with target ARRAY<STRUCT<file, old_start, old_count>>; empty without hunks."""
-    rows = old_side_targets(instances, id_col, patch_col)
-    lists = rows.groupBy(F.col("instance_id").alias("_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("file_pos", "hunk_pos", "file", "old_start", "old_count"))), lambda h: F.struct(h["file"].alias("file"), h["old_start"].alias("old_start"), h["old_count"].alias("old_count"))).alias("target")
-    )
-    empty = F.array().cast("array<struct<file:string,old_start:int,old_count:int>>")
-    return instances.join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("target", F.coalesce("target", empty))
+    """instances with target ARRAY<STRUCT<file, old_start, old_count>>, files in the order of their first hunk; empty without hunks."""
+    return instances.withColumn("target", old_side_hunks(F.col(patch_col))).withColumn("target", in_order_of_files(F.col("target")))
 
 
-def file_hunks(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
-    """instance_id, file, file_pos, hunk_pos, old_start, old_count, new_start, new_count from per-file chunks.
+def parsed_files(patch: Column) -> Column:
+    """ARRAY<STRUCT<file, hunks ARRAY<STRUCT<four numbers>>>> from per-file chunks of a patch.
 
     A chunk starts at a ``diff --git`` line; its path is the b-side of its first ``a/x b/y``; hunks are looked for anywhere in
-    it; chunks without a hunk are dropped; of chunks of one path the last counts.
+    it; chunks without a hunk are dropped.
     """
-    chunks = instances.select(F.col(id_col).alias("instance_id"), F.posexplode(F.split(patch_col, r"(?md)^diff --git ")).alias("file_pos", "chunk"))
-    chunks = chunks.select("instance_id", "file_pos", F.regexp_extract("chunk", r"(?d)a/(.+?) b/(.+)", 2).alias("file"), F.regexp_extract_all("chunk", F.lit(HUNK), 0).alias("hunks"))
-    chunks = chunks.where((F.col("file") != "") & (F.size("hunks") > 0))
-    last = Window.partitionBy("instance_id", "file")
-    chunks = chunks.withColumn("_last", F.max("file_pos").over(last)).where("file_pos = _last")
-    return chunks.select("instance_id", "file", "file_pos", F.posexplode("hunks").alias("hunk_pos", "hunk")).select(
-        "instance_id",
-        "file",
-        "file_pos",
-        "hunk_pos",
-        *[_number(F.col("hunk"), g, 1 if g in (2, 4) else None).alias(n) for g, n in enumerate(("old_start", "old_count", "new_start", "new_count"), 1)],
+    one = lambda h: F.struct(*[_number(h, g, 1 if g in (2, 4) else None).alias(n) for g, n in enumerate(SIDES, 1)])
+    chunk = lambda c: F.struct(
+        F.regexp_extract(c, r"(?d)a/(.+?) b/(.+)", 2).alias("file"), F.transform(F.regexp_extract_all(c, F.lit(HUNK), F.lit(0)), one).alias("hunks")
     )
+    chunks = F.transform(F.split(F.coalesce(patch, F.lit("")), r"(?md)^diff --git "), chunk)
+    return F.filter(chunks, lambda c: (c["file"] != "") & (F.size(c["hunks"]) > 0))
 
 
-def file_extents(hunks: DataFrame) -> DataFrame:
-    """instance_id, file and the span of its hunks on both sides."""
-    span = lambda side: (F.max(F.col(f"{side}_start") + F.col(f"{side}_count") - 1) - F.min(f"{side}_start") + 1).alias(f"{side}_count")
-    return hunks.groupBy("instance_id", "file").agg(
-        F.min("old_start").alias("old_start"), span("old"), F.min("new_start").alias("new_start"), span("new"), F.count("*").alias("n_hunks")
-    )
+def last_of_each(files: Column) -> Column:
+    """Of chunks of one path the last counts."""
+    return F.filter(files, lambda c, i: ~F.exists(F.slice(files, i + 2, F.lit(1_000_000)), lambda later: later["file"] == c["file"]))
+
+
+def with_files(instances: DataFrame, id_col: str, patch_col: str) -> DataFrame:
+    rows = instances.select(F.col(id_col).alias("instance_id"), parsed_files(F.col(patch_col)).alias("files"))
+    return rows.select("instance_id", F.posexplode(last_of_each(F.col("files"))).alias("file_pos", "f"))
+
+
+def file_hunks(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
+    """instance_id, file, file_pos, hunk_pos, old_start, old_count, new_start, new_count: one row per hunk."""
+    rows = with_files(instances, id_col, patch_col).select("instance_id", "f.file", "file_pos", F.posexplode("f.hunks").alias("hunk_pos", "h"))
+    return rows.select("instance_id", "file", "file_pos", "hunk_pos", "h.*")
+
+
+def file_extents(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
+    """instance_id, file, the span of its hunks on both sides, n_hunks: one row per file of a patch."""
+    start = lambda side: F.array_min(F.transform("f.hunks", lambda h: h[f"{side}_start"]))
+    end = lambda side: F.array_max(F.transform("f.hunks", lambda h: h[f"{side}_start"] + h[f"{side}_count"] - 1))
+    spans = [c for side in ("old", "new") for c in (start(side).alias(f"{side}_start"), (end(side) - start(side) + 1).alias(f"{side}_count"))]
+    return with_files(instances, id_col, patch_col).select("instance_id", "f.file", *spans, F.size("f.hunks").cast("long").alias("n_hunks"))

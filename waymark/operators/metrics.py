@@ -60,13 +60,25 @@ def tool_calls(events: DataFrame) -> DataFrame:
 
 
 def efficiency(events: DataFrame, wall_clock: DataFrame | None = None) -> DataFrame:
-    """The flat efficiency row; wall_clock: traj_id, wall_clock_duration."""
-    row = token_totals(events).join(steps(events), "traj_id").join(tool_calls(events).select("traj_id", "avg_tool_calls_per_step"), "traj_id")
+    """The flat efficiency row, from one aggregation; wall_clock: traj_id, wall_clock_duration."""
+    calls = F.coalesce(F.sum(F.when(F.col("role") == "assistant", size_of("tool_calls"))), F.lit(0))
+    row = events.groupBy("traj_id").agg(total_of("prompt_token_ids").alias("prompt_tokens"), total_of("response_token_ids").alias("response_tokens"), n_steps().alias("steps"), calls.alias("calls"))
     if wall_clock is not None:
         row = row.join(wall_clock, "traj_id", "left")
     else:
         row = row.withColumn("wall_clock_duration", F.lit(0.0))
-    return row.select("traj_id", F.col("total_tokens").alias("tokens"), "steps", "avg_tool_calls_per_step", "wall_clock_duration", "prompt_tokens", "response_tokens", "avg_prompt_tokens", "avg_response_tokens")
+    per_step = lambda c: ratio(F.col(c), F.col("steps"))
+    return row.select(
+        "traj_id",
+        (F.col("prompt_tokens") + F.col("response_tokens")).alias("tokens"),
+        "steps",
+        per_step("calls").alias("avg_tool_calls_per_step"),
+        "wall_clock_duration",
+        "prompt_tokens",
+        "response_tokens",
+        per_step("prompt_tokens").alias("avg_prompt_tokens"),
+        per_step("response_tokens").alias("avg_response_tokens"),
+    )
 
 
 def turns_and_calls(events: DataFrame) -> DataFrame:
@@ -75,10 +87,12 @@ def turns_and_calls(events: DataFrame) -> DataFrame:
 
 def trajectory(events: DataFrame) -> DataFrame:
     """traj_id, turns, tool_calls, tool_calls_per_turn, tool_calls_by_turn (per response id, first seen first; calls without an id only in the total)."""
-    by_id = events.where(is_kind("ActionEvent") & (F.coalesce("llm_response_id", F.lit("")) != "")).groupBy("traj_id", "llm_response_id").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
-    lists = by_id.groupBy(F.col("traj_id").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "n"))), lambda x: x["n"]).alias("by_turn"))
-    joined = turns_and_calls(events).join(lists, F.col("traj_id") == F.col("_id"), "left")
-    return joined.select("traj_id", "turns", "tool_calls", ratio(F.col("tool_calls"), F.col("turns")).alias("tool_calls_per_turn"), F.coalesce("by_turn", F.array().cast("array<bigint>")).alias("tool_calls_by_turn"))
+    action = is_kind("ActionEvent")
+    named = action & (F.coalesce("llm_response_id", F.lit("")) != "")
+    by_id = events.groupBy("traj_id", F.when(named, F.col("llm_response_id")).alias("of")).agg(F.min("pos").alias("first"), n_steps().alias("turns"), F.count_if(action).alias("n"))
+    turn = F.when(F.col("of").isNotNull(), F.struct("first", "n"))
+    lists = by_id.groupBy("traj_id").agg(F.sum("turns").alias("turns"), F.sum("n").alias("tool_calls"), F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["n"]).alias("tool_calls_by_turn"))
+    return lists.select("traj_id", "turns", "tool_calls", ratio(F.col("tool_calls"), F.col("turns")).alias("tool_calls_per_turn"), "tool_calls_by_turn")
 
 
 def kind_histogram(events: DataFrame) -> DataFrame:

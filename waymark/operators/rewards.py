@@ -12,6 +12,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tools
 from .scoring import file_score, gold_levels, multilevel
 
 Built = tuple[Column, dict[str, Column]]
@@ -92,16 +93,25 @@ def multilevel_localization(file_level_weight: float = 1.0, module_level_weight:
 def score(rows: DataFrame, configured: list[dict], final_message: str = "final_message") -> DataFrame:
     """rows with total_reward and reward_dict, from ``[{"fn": name, "args": {...}}, ...]`` in order.
 
-    Scores are summed, null ones as 0.0; parts are merged and a later key wins; a builder without parts is filed under its
-    own name. An empty final message makes the total -10.0 and leaves the parts.
+    Scores are summed; parts are merged and a later key wins; a builder without parts is filed under its own name. A score
+    that is null (where the reference data would raise), an unknown name or wrong arguments count 0.0 and are filed as that under the
+    name, without parts. An empty final message makes the total -10.0 and leaves the parts.
     """
+    none = F.lit(None).cast("double")
     total, parts = F.lit(0.0), {}
     for item in configured:
-        built = get_reward(item["fn"])(**item.get("args", {}))
-        value, own = built if isinstance(built, tuple) else (built, {item["fn"]: built})
+        name = item["fn"]
+        try:
+            built = get_reward(name)(**item.get("args", {}))
+        except (TypeError, ValueError):
+            built = none
+        value, own = built if isinstance(built, tuple) else (built, {name: built})
+        failed = value.isNull()
         total = total + F.coalesce(value, F.lit(0.0))
-        parts |= own
-    pairs = [x for name, part in parts.items() for x in (F.lit(name), F.coalesce(part, F.lit(None).cast("double")))]
+        for key, part in own.items():
+            parts[key] = F.coalesce(F.when(~failed, part.cast("double")), parts.get(key, none))
+        parts[name] = F.when(failed, F.lit(0.0)).otherwise(parts.get(name, none))
+    pairs = [x for name, part in parts.items() for x in (F.lit(name), part)]
     merged = F.map_filter(F.create_map(*pairs).cast("map<string,double>"), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,double>")
     return rows.withColumn("total_reward", F.when(F.coalesce(F.col(final_message), F.lit("")) == "", -10.0).otherwise(total)).withColumn("reward_dict", merged)
 
@@ -110,6 +120,16 @@ DEFAULT_REWARDS = [{"fn": "multilevel_localization_f1_reward"}]
 DEFAULT_TOOLS = ["terminal"]
 
 
+def read_experiment(path: str) -> dict:
+    """An experiment from a YAML file on the driver."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("reading experiment files needs PyYAML") from missing
+    with open(path) as text:
+        return load_experiment(yaml.safe_load(text) or {})
+
+
 def load_experiment(config: dict | None) -> dict:
     """An experiment's rewards and tools replace the defaults, its prompts only if it has any; unknown names raise before anything runs."""
     chosen = {"reward": DEFAULT_REWARDS, "tools": DEFAULT_TOOLS, "prompts": {}}
@@ -117,4 +137,6 @@ def load_experiment(config: dict | None) -> dict:
         chosen |= {"reward": config.get("reward", []), "tools": config.get("tools", [])} | ({"prompts": config["prompts"]} if config.get("prompts") else {})
     for item in chosen["reward"]:
         get_reward(item["fn"])
+    for name in chosen["tools"]:
+        tools.check(name)
     return chosen

@@ -39,6 +39,14 @@ def set_f1(predicted: Column, gold: Column, both_empty: float = 0.0) -> Column:
     return f1(*set_sizes(predicted, gold), both_empty)
 
 
+def tool_result(predicted: Column, gold: Column) -> dict[str, Column]:
+    """success, precision, recall, f1 of a result call: a null prediction is a call that failed, and scores 0.0 like a null gold."""
+    common, p, g = set_sizes(predicted, gold)
+    known = predicted.isNotNull() & gold.isNotNull()
+    scores = {"precision": precision(common, p), "recall": recall(common, g), "f1": f1(common, p, g)}
+    return {"success": F.when(predicted.isNotNull(), 1.0).otherwise(0.0)} | {name: F.when(known, score).otherwise(0.0) for name, score in scores.items()}
+
+
 def long_sizes(items: DataFrame, key: str) -> DataFrame:
     """Sizes from long rows (key, item, predicted, gold flags); one shuffle on (key, item), partial sums on key."""
     flags = items.groupBy(key, "item").agg(F.max(F.col("predicted").cast("int")).alias("p"), F.max(F.col("gold").cast("int")).alias("g"))

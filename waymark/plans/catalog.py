@@ -86,12 +86,12 @@ def _(spark, sf):
     "a3_tool_calls",
     f"""WITH {CH} SELECT traj AS traj_id, sum(n)::BIGINT AS total_tool_calls,
     round(CASE WHEN count(*) FILTER (role = 'assistant') = 0 THEN 0.0::DOUBLE ELSE sum(n)::DOUBLE / count(*) FILTER (role = 'assistant') END, 6) AS avg_tool_calls_per_step,
-    (SELECT count(DISTINCT (c.traj + i.i) % 3) FROM ch c, (SELECT unnest(range(1, 4)) AS i) i WHERE c.traj = ch.traj AND i.i <= c.n)::BIGINT AS n_names
-    FROM ch GROUP BY traj""",
+    coalesce((SELECT string_agg(name || '=' || n, ',' ORDER BY name) FROM (SELECT 'tool' || ((c.traj + i.i) % 3) AS name, count(*) AS n FROM ch c, (SELECT unnest(range(1, 4)) AS i) i
+    WHERE c.traj = ch.traj AND i.i <= c.n GROUP BY 1)), '') AS tool_call_breakdown FROM ch GROUP BY traj""",
 )
 def _(spark, sf):
     rows = metrics.tool_calls(fx.chat(spark, sf))
-    return rows.select("traj_id", "total_tool_calls", r6("avg_tool_calls_per_step").alias("avg_tool_calls_per_step"), F.size("tool_call_breakdown").cast("long").alias("n_names"))
+    return rows.select("traj_id", "total_tool_calls", r6("avg_tool_calls_per_step").alias("avg_tool_calls_per_step"), F.array_join(F.transform(F.map_entries("tool_call_breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("tool_call_breakdown"))
 
 
 @query(
@@ -235,6 +235,16 @@ def _(spark, sf):
     return rows.select("key", r6(scoring.precision(F.col("n_common"), F.col("n_predicted"))).alias("precision"), r6(scoring.recall(F.col("n_common"), F.col("n_gold"))).alias("recall"))
 
 
+@query(
+    "a13_result_tool",
+    f"""WITH {IT} SELECT k AS key, CASE WHEN k % 7 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS success, CASE WHEN k % 7 = 0 THEN 0.0::DOUBLE ELSE round(pre, 6) END AS precision,
+    CASE WHEN k % 7 = 0 THEN 0.0::DOUBLE ELSE round(rec, 6) END AS recall, CASE WHEN k % 7 = 0 THEN 0.0::DOUBLE ELSE round(f1, 6) END AS f1 FROM s""",
+)
+def _(spark, sf):
+    rows = fx.item_sets(spark, sf).withColumn("predicted", F.when(F.col("key") % 7 != 0, F.col("predicted")))
+    return rows.select("key", *[r6(c).alias(n) for n, c in scoring.tool_result(F.col("predicted"), F.col("gold")).items()])
+
+
 @query("j1_set_intersection", f"WITH {IT} SELECT k AS key, c::BIGINT AS n_common FROM s WHERE c > 0")
 def _(spark, sf):
     rows = fx.items(spark, sf)
@@ -360,11 +370,10 @@ def _(spark, sf):
 @query(
     "w5_turn_masks",
     f"""WITH {EV}, s AS (SELECT traj, pos, np, nr, lag(np + nr) OVER (PARTITION BY traj ORDER BY pos) AS b FROM ev WHERE kind = 'TokenEvent')
-    SELECT traj AS traj_id, sum(nr)::BIGINT AS n_ones, sum(CASE WHEN b IS NULL THEN 0 ELSE greatest(0, np - b) END)::BIGINT AS n_zeros FROM s GROUP BY traj""",
+    SELECT traj AS traj_id, string_agg(repeat('0', CASE WHEN b IS NULL THEN 0 ELSE greatest(0, np - b) END::BIGINT) || repeat('1', nr::BIGINT), '' ORDER BY pos) AS loss_mask FROM s GROUP BY traj""",
 )
 def _(spark, sf):
-    ones = F.aggregate("loss_mask", F.lit(0), lambda a, b: a + b)
-    return rollout.turn_masks(fx.events(spark, sf)).select("traj_id", ones.cast("long").alias("n_ones"), (F.size("loss_mask") - ones).cast("long").alias("n_zeros"))
+    return rollout.turn_masks(fx.events(spark, sf)).select("traj_id", F.array_join(F.col("loss_mask").cast("array<string>"), "").alias("loss_mask"))
 
 
 @query(
@@ -439,24 +448,53 @@ def _(spark, sf):
     return diff.file_hunks(fx.patches(spark, sf)).select("instance_id", "file", "old_start", "old_count", "new_start", "new_count")
 
 
-@query("x3_parsed_patch", f"WITH {PQ} SELECT o AS instance_id, count(*) AS n_files FROM pq GROUP BY o")
+@query("x3_parsed_patch", f"WITH {PQ} SELECT o AS instance_id, string_agg('src/m' || p || '.py:' || (p + 1) || ',' || q || ',' || (p + 2) || ',' || q, ' ' ORDER BY p) AS files FROM pq GROUP BY o")
+def _(spark, sf):
+    hunk = lambda h: F.array_join(F.array(*[h[n].cast("string") for n in diff.SIDES]), ",")
+    file = lambda f: F.concat(f["file"], F.lit(":"), F.array_join(F.transform(f["hunks"], hunk), ";"))
+    return fx.patches(spark, sf).select("instance_id", F.array_join(F.transform(diff.parsed_files(F.col("patch")), file), " ").alias("files"))
+
+
+def _two_hunks(spark, sf):
+    """Patches of two hunks a file; every id stands in two rows."""
+    again = F.regexp_replace("patch", "@@ -([0-9]+)((?:,[0-9]+)?) \\+([0-9]+)((?:,[0-9]+)?) @@\n-old\n\\+new", "@@ -$1$2 +$3$4 @@\n-old\n+new\n@@ -9$1,3 +9$3 @@\n x")
+    return fx.patches(spark, sf).select(F.floor(F.col("instance_id") / 2).alias("instance_id"), again.alias("patch"), F.col("instance_id").alias("row"))
+
+
+@query(
+    "x1_repeated_ids",
+    f"""WITH {PQ}, c AS (SELECT o, p, q, last_value(CASE WHEN p % 13 <> 0 THEN 'src/m' || p || '.py' END IGNORE NULLS) OVER (PARTITION BY o ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM pq)
+    SELECT o // 2 AS instance_id, f AS file, (p + 1)::INTEGER AS old_start, q AS old_count FROM c WHERE f IS NOT NULL
+    UNION ALL SELECT o // 2, f, ('9' || (p + 1))::INTEGER, 3 FROM c WHERE f IS NOT NULL""",
+)
 def _(spark, sf):
-    return diff.file_extents(diff.file_hunks(fx.patches(spark, sf))).groupBy("instance_id").agg(F.count("*").alias("n_files"))
+    return diff.old_side_targets(_two_hunks(spark, sf)).select("instance_id", "file", "old_start", "old_count")
+
+
+@query(
+    "a21_two_hunks",
+    f"""WITH {PQ} SELECT o // 2 AS instance_id, 'src/m' || p || '.py' AS file, least(p + 1, ('9' || (p + 1))::INTEGER)::INTEGER AS old_start,
+    (greatest(p + q, ('9' || (p + 1))::INTEGER + 2) - (p + 1) + 1)::INTEGER AS old_count, (p + 2)::INTEGER AS new_start,
+    (greatest(p + 1 + q, ('9' || (p + 2))::INTEGER) - (p + 2) + 1)::INTEGER AS new_count, 2::BIGINT AS n_hunks FROM pq""",
+)
+def _(spark, sf):
+    return diff.file_extents(_two_hunks(spark, sf))
 
 
 @query("a21_file_extents", f"WITH {PQ} SELECT o AS instance_id, 'src/m' || p || '.py' AS file, (p + 1)::INTEGER AS old_start, q AS old_count, (p + 2)::INTEGER AS new_start, q AS new_count, 1::BIGINT AS n_hunks FROM pq")
 def _(spark, sf):
-    return diff.file_extents(diff.file_hunks(fx.patches(spark, sf)))
+    return diff.file_extents(fx.patches(spark, sf))
 
 
 @query(
     "p1_target_column",
     f"""WITH {PQ}, h AS (SELECT o, p, last_value(CASE WHEN p % 13 <> 0 THEN p END IGNORE NULLS) OVER (PARTITION BY o ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM pq)
-    SELECT o AS instance_id, count(f) AS n_hunks, count(DISTINCT f) AS n_files FROM h GROUP BY o""",
+    SELECT h.o AS instance_id, coalesce(string_agg('src/m' || f || '.py:' || (h.p + 1) || ',' || q, ' ' ORDER BY h.p) FILTER (f IS NOT NULL), '') AS target FROM h JOIN pq ON h.o = pq.o AND h.p = pq.p GROUP BY h.o""",
 )
 def _(spark, sf):
     rows = diff.targets_column(fx.patches(spark, sf))
-    return rows.select("instance_id", F.size("target").cast("long").alias("n_hunks"), F.size(F.array_distinct(F.transform("target", lambda t: t["file"]))).cast("long").alias("n_files"))
+    shown = lambda t: F.concat(t["file"], F.lit(":"), t["old_start"].cast("string"), F.lit(","), t["old_count"].cast("string"))
+    return rows.select("instance_id", F.array_join(F.transform("target", shown), " ").alias("target"))
 
 
 # --- answers -----------------------------------------------------------------------------------------------------------
@@ -481,10 +519,18 @@ def _(spark, sf):
     return an.locations(fx.answers(spark, sf)).select("traj_id", an.module(an.entity(F.col("file"), F.col("class"), F.col("function"))).alias("module")).distinct()
 
 
-@query("x7_answer_sets", f"WITH {AW} SELECT o AS traj_id, count(DISTINCT file) AS n_files, count(DISTINCT m) AS n_modules, count(DISTINCT e) AS n_entities FROM en GROUP BY o")
+@query(
+    "x7_answer_sets",
+    f"WITH {AW} SELECT o AS traj_id, string_agg(DISTINCT file, ' ' ORDER BY file) AS files, string_agg(DISTINCT m, ' ' ORDER BY m) AS modules, string_agg(DISTINCT e, ' ' ORDER BY e) AS entities FROM en GROUP BY o",
+)
 def _(spark, sf):
-    n = lambda c: F.size(c).cast("long")
-    return an.answer_sets(fx.answers(spark, sf)).select("traj_id", n("files").alias("n_files"), n("modules").alias("n_modules"), n("entities").alias("n_entities"))
+    return an.answer_sets(fx.answers(spark, sf)).select("traj_id", *[F.array_join(c, " ").alias(c) for c in ("files", "modules", "entities")])
+
+
+@query("x4_repeated_ids", f'WITH {AW} SELECT o // 2 AS traj_id, file, cls AS "class", fn AS "function" FROM aw')
+def _(spark, sf):
+    rows = fx.answers(spark, sf).withColumn("traj_id", F.floor(F.col("traj_id") / 2))
+    return an.locations(rows).select("traj_id", "file", "class", "function")
 
 
 @query(
@@ -525,10 +571,14 @@ def _(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", got["arguments"]["path"].alias("path"), got["error"].isNotNull().alias("failed"))
 
 
-@query("x13_hit_files", "SELECT count(DISTINCT 'src/m' || (l_partkey % 97) || '.py') AS n_files FROM lineitem")
+@query(
+    "x13_hit_files",
+    """WITH f AS (SELECT DISTINCT 'src/m' || (l_partkey % 97) || '.py' AS f FROM lineitem), t AS (SELECT f FROM f ORDER BY f LIMIT 20)
+    SELECT (SELECT count(*) FROM f) AS n_files, (SELECT string_agg(f, chr(10) ORDER BY f) FROM t) || CASE WHEN (SELECT count(*) FROM f) > 20 THEN chr(10) || '...' ELSE '' END AS display""",
+)
 def _(spark, sf):
     hit = F.concat(F.lit("src/m"), (F.col("l_partkey") % 97).cast("string"), F.lit(".py:"), F.col("l_linenumber").cast("string"), F.lit(":text: more"))
-    return sources.hit_files(fx.table(spark, sf, "lineitem").select(hit.alias("hit"))).select(F.col("n_files").cast("long").alias("n_files"))
+    return sources.hit_files(fx.table(spark, sf, "lineitem").select(hit.alias("hit"))).select("n_files", "display")
 
 
 @query("x14_step_number", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE (o_orderkey % 1000)::INTEGER END AS step FROM orders")
@@ -564,7 +614,7 @@ def _(spark, sf):
 
 
 # --- preparation -------------------------------------------------------------------------------------------------------
-@query("p2_prompt", "SELECT doc_id AS instance_id, 'user' AS role, substr(text, 1, 80) AS content FROM documents")
+@query("p2_prompt", "SELECT doc_id AS instance_id, 'user' AS role, text AS content FROM documents")
 def _(spark, sf):
     rows = prep.with_prompt(fx.instances(spark, sf))
     return rows.select("instance_id", F.get("prompt", F.lit(0))["role"].alias("role"), F.get("prompt", F.lit(0))["content"].alias("content"))
@@ -671,9 +721,62 @@ def _(spark, sf):
 
 
 # --- sources, sinks and the report -------------------------------------------------------------------------------------
-@query("s1_named_split", "SELECT doc_id AS instance_id, lang AS split FROM documents WHERE lang = 'en'")
+@query(
+    "s1_k1_named_split",
+    "SELECT doc_id AS instance_id, CASE WHEN row_number() OVER (ORDER BY doc_id DESC) <= 100 THEN 'validation' ELSE 'train' END AS split FROM documents",
+)
+def _(spark, sf):
+    root = sources.scratch_folder(spark, "splits")
+    sources.write_splits(prep.tail_split(fx.instances(spark, sf), [F.col("instance_id")]), root, "org/set", "test")
+    both = [sources.read_split(spark, root, "org/set", f"test/{part}.parquet").select("instance_id", F.lit(part).alias("split")) for part in ("train", "validation")]
+    return both[0].unionByName(both[1])
+
+
+def _written_runs(spark, sf) -> str:
+    """The trajectory documents as a tree of files: every tenth run is an error."""
+    rows = run_trajectories(spark, sf).withColumn("messages", F.col("messages").cast("array<struct<pos:bigint,kind:string>>"))
+    t, root = F.col("id").cast("long"), sources.scratch_folder(spark, "runs")
+    rows = rows.select("step", "phase", F.col("id").alias("instance_id"), F.lit(0).alias("repetition_id"), "target", "final_message", "reward_dict", F.transform("messages", lambda m: F.struct(m["kind"].alias("kind"))).alias("messages"), F.when(t % 10 == 3, F.concat(F.lit("failed "), "id")).alias("error"))
+    sources.write_trajectories(rows, root)
+    return root
+
+
+@query(
+    "s3_s4_k2_trajectory_tree",
+    """WITH tr AS (SELECT user_id AS u, count(*) FILTER (event_type IN ('view','click')) AS ct FROM events GROUP BY 1)
+    SELECT (u % 5)::INTEGER AS step, CASE WHEN u % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, u || '_0' AS id, ct AS "count_TokenEvent", round((u % 7)::DOUBLE + 0.5::DOUBLE, 6) AS reward FROM tr WHERE u % 10 <> 3""",
+)
+def _(spark, sf):
+    rows = rp.report(sources.read_trajectories(spark, _written_runs(spark, sf)))
+    return rows.select("step", "phase", "id", "count_TokenEvent", r6("reward").alias("reward"))
+
+
+@query("k2_k3_errors", "SELECT DISTINCT 'failed ' || user_id AS error FROM events WHERE user_id % 10 = 3")
+def _(spark, sf):
+    root = sources.scratch_folder(spark, "errors")
+    runs = run_trajectories(spark, sf).withColumn("error", F.when(F.col("id").cast("long") % 10 == 3, F.concat(F.lit("failed "), "id")))
+    sources.write_errors(runs, root)
+    return spark.read.text(root).select(F.col("value").alias("error"))
+
+
+@query("k5_report_csv", "SELECT DISTINCT (user_id % 5)::VARCHAR AS step, user_id::VARCHAR AS id FROM events")
+def _(spark, sf):
+    root = sources.scratch_folder(spark, "csv")
+    sources.write_report_csv(rp.report(run_trajectories(spark, sf)), root, "step", "id")
+    return spark.read.option("header", True).csv(root).select("step", "id")
+
+
+@query("k6_events_jsonl", f"WITH {EV} SELECT traj AS traj_id, pos, kind, CASE WHEN kind = 'TokenEvent' THEN np END AS n_prompt FROM ev")
+def _(spark, sf):
+    root = sources.scratch_folder(spark, "jsonl")
+    sources.write_events_jsonl(fx.events(spark, sf).select("traj_id", "pos", "kind", "prompt_token_ids"), root)
+    back = spark.read.schema("traj_id bigint, pos bigint, kind string, prompt_token_ids array<int>").json(root)
+    return back.select("traj_id", "pos", "kind", F.size("prompt_token_ids").cast("long").alias("n_prompt"))
+
+
+@query("s7_listing", "SELECT count(DISTINCT user_id) AS n_files, 0::BIGINT AS n_python FROM events")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select(F.col("doc_id").alias("instance_id"), F.col("lang").alias("split")).where("split = 'en'")
+    return sources.list_directory(spark, _written_runs(spark, sf)).select("n_files", "n_python")
 
 
 @query("s2_parquet_scan", "SELECT count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents")

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hit_file, step_number
-from ..schemas import TRAJECTORY
+from ..schemas import EVENT_ROW, TRAJECTORY
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a local one for a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or f'file://{tempfile.gettempdir()}/waymark-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def read_split(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:
@@ -61,11 +71,14 @@ def write_trajectories(df: DataFrame, root: str) -> None:
             store.create_dir(folder, recursive=True)
             stem = f"{folder}/{row['instance_id']}_{row['repetition_id']}"
             if row["error"] is not None:
-                with store.open_output_stream(f"{stem}.error") as out:
-                    out.write(row["error"].encode())
-                continue
-            with store.open_output_stream(f"{stem}.json") as out:
-                out.write(json.dumps({n: json.loads(row["_json"]).get(n) for n in names}, indent=2, ensure_ascii=False).encode())
+                name, body = f"{stem}.error", row["error"]
+            else:
+                document = json.loads(row["_json"])
+                name, body = f"{stem}.json", json.dumps({n: document.get(n) for n in names}, indent=2, ensure_ascii=False)
+            beside = f"{name}.{uuid.uuid4().hex}.tmp"  # renamed when whole: a retried task leaves no half file
+            with store.open_output_stream(beside) as out:
+                out.write(body.encode())
+            store.move(beside, name)
 
     df.withColumn("_json", F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).foreachPartition(save)
 
@@ -95,10 +108,19 @@ def read_texts(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def hit_files(hits: DataFrame, line_col: str = "hit") -> DataFrame:
-    """One row: the sorted distinct files of ``path:line:text`` hits, their number, and a display of the first 20."""
-    sets = hits.agg(F.array_sort(F.collect_set(hit_file(F.col(line_col)))).alias("files"))
-    return sets.select("files", F.size("files").alias("n_files"), display(F.col("files"), 20).alias("display"))
+def hit_files(hits: DataFrame, line_col: str = "hit", cap: int = 20) -> DataFrame:
+    """One row on the distinct files of ``path:line:text`` hits: their number, the first `cap` in order, a display of those."""
+    files = hits.select(hit_file(F.col(line_col)).alias("file")).distinct()
+    first = files.orderBy("file").limit(cap).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    more = F.when(F.col("n_files") > cap, F.lit("\n...")).otherwise(F.lit(""))
+    return files.agg(F.count("*").alias("n_files")).crossJoin(first).select("files", "n_files", F.concat(F.concat_ws("\n", "files"), more).alias("display"))  # one row each
+
+
+def snapshot(spark: SparkSession, events: list[dict]) -> DataFrame:
+    """An in-memory event log under the fixed schema; missing fields are null."""
+    schema = EVENT_ROW
+    names = [c.strip().split(" ", 1)[0] for c in spark.createDataFrame([], schema).columns]
+    return spark.createDataFrame([tuple(e.get(n) for n in names) for e in events], schema)
 
 
 def display(items, cap: int):
