@@ -148,16 +148,13 @@ def candidates(rows: DataFrame, described: DataFrame, classes: DataFrame, shingl
     asked = own.select("doc_id", "n", F.explode("asks").alias("shingle"))
     met = asked.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle")
     met = asked.join(shared.stage(met, "shared-beginnings"), "shingle", "left_semi")
-    shared.drop_shuffles(rows.sparkSession)
     met = met.groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") > lacking(least))
     stays = shared.stage(met.select(F.col("doc_id").alias("_id")), "staying")
-    shared.drop_shuffles(rows.sparkSession)
     texts = rows.join(shared.checked_broadcast(stays), F.col("_doc") == F.col("_id")).select("_doc", "_text")
     listed = shared.stage(texts.mapInArrow(shared.lean(whole_sets(shingle)), "doc_id long, n long, tokens array<long>"), "whole-sets")
     each = listed.select("doc_id", "n", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("df")).where("low < high").select("token", "df")
     common = shared.stage(common, "common-shingles")
-    shared.drop_shuffles(rows.sparkSession)
     known = each.join(common, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("pairs"))
     known = known.where(F.size("pairs") >= F.col("n") - lacking(least))
     return shared.stage(known.mapInArrow(shared.lean(prefixes(least)), CANDIDATE), "ordered-sets")

@@ -295,9 +295,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = keyed(docs, id_col, text_col).select("__rp_doc", "__rp_key", F.col(text_col).alias("__rp_text"))
     grams = shared.stage(rows.select("__rp_key", "__rp_text").mapInArrow(shared.lean(find_anchors), "gram long, key long"), "anchors")
     many = shared.stage(grams.groupBy("gram").agg(F.count("*").alias("copies")).where("copies > 1"), "shared-anchors")
-    shared.drop_shuffles(docs.sparkSession)
     asked = shared.stage(grams.join(many, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "copies")).alias("asked")), "asked-anchors")
-    shared.drop_shuffles(docs.sparkSession)
+    shared.forget(docs.sparkSession, "anchors")
     contexts = rows.join(asked, F.col("__rp_key") == F.col("key")).select("__rp_doc", "__rp_key", "__rp_text", "asked")
     dealt = contexts.mapInArrow(shared.lean(cut_contexts), DEALT)
     found = None
@@ -309,9 +308,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         onward = done.where("bytes is not null")
         if not onward.limit(1).count():
             break
-        shared.drop_shuffles(docs.sparkSession)
         dealt = onward.select("part", "salt", "groups", "doc", "key", F.col("start").alias("at"), "bytes")
-    shared.drop_shuffles(docs.sparkSession)
     return shared.stage(found.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "repeat-removals")
 
 

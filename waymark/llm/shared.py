@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import re
 import tempfile
@@ -85,21 +84,38 @@ def release(spark: SparkSession) -> None:
     while _TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _SCRATCH.pop())
+
+
+#: Spark's own switch: the shuffle files of a query go when the query has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df once into the shared folder and read it again: lineage ends, lost executors cost no recomputation."""
+    """Write df once into the shared folder and read it again: lineage ends, lost executors cost no recomputation, and no
+    shuffle file of the query is needed or kept."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(TIDY, before) if before is not None else spark.conf.unset(TIDY)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Between large steps: shuffle files that nothing refers to any more go when the driver's JVM collects garbage; ask for it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(spark: SparkSession, label: str) -> None:
+    """Delete the last written table of a label: what was made of it is written by now."""
+    for path in reversed(_SCRATCH):
+        if path.rsplit("/", 1)[1].rsplit("-", 1)[0] == label:
+            _SCRATCH.remove(path)
+            delete(spark, path)
+            return
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits(small: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
