@@ -9,7 +9,7 @@ A file covers one range of (document id, text hash), in order; ranges follow eac
 order is ascending over all files. The manifest (one row per file) gives counts; a document's start is the sum of the
 files before plus the start inside. Null or empty text: the end id alone. A null document id sorts first, repeated rows
 stay repeated (by text hash), other columns are not read. An empty table gives an empty manifest. Texts of any length are
-encoded whole; blocks are written as they fill, so a writer holds one document's ids, a block and the footer.
+encoded whole; blocks are written as they fill, so a writer holds one Arrow batch's ids, a block and the footer.
 
 Ids are the library's for a plain `encode(text, add_special_tokens=False)`: an added token's own string in a text
 (`<|endoftext|>`) becomes that token's id.
@@ -32,7 +32,7 @@ from . import shared
 
 MAGIC = b"WMPACK01"
 BLOCK = 1 << 16
-#: A file is closed at the next document's end once it has so many ids.
+#: A file is closed after the Arrow batch with which it has so many ids.
 FILE_IDS = 32 << 20
 #: Entries of a worker's word cache before it starts anew: some ten MB.
 CACHE = 200_000
@@ -80,10 +80,11 @@ class PackedWriter:
         self.held: list[np.ndarray] = []
         self.doc_ids, self.nulls, self.starts = array("q"), bytearray(), array("q")
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id or 0)
-        self.nulls.append(doc_id is None)
-        self.starts.append(self.n_ids)
+    def add(self, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with their numbers of ids, and all those ids."""
+        self.doc_ids.extend(d or 0 for d in doc_ids)
+        self.nulls.extend(d is None for d in doc_ids)
+        self.starts.extend((self.n_ids + np.cumsum(sizes) - sizes).tolist())
         self.n_ids += len(ids)
         self.n_held += len(ids)
         self.held.append(ids)
@@ -204,13 +205,17 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+#: A worker's coders, with their words of earlier tasks (CACHE bounds them).
+_CODERS: dict[str, WordIds] = {}
+
+
 def write(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write the files under out_uri, return the (materialised) manifest, one row per file."""
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = WordIds(tokenizer_path)
+        words = _CODERS.get(tokenizer_path) or _CODERS.setdefault(tokenizer_path, WordIds(tokenizer_path))
         bits, end = width(words.whole.get_vocab_size()), np.array([end_id], "<u4").tobytes()
         part, closed, out, path = TaskContext.get().partitionId(), 0, None, ""
 
@@ -219,14 +224,14 @@ def write(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int, id_co
             return pa.RecordBatch.from_pydict({"path": [path], "bits": pa.array([bits], pa.int32()), "n_docs": [len(out.doc_ids)], "n_ids": [out.n_ids]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if out is None:
-                    path = f"{out_uri}/part-{part:07d}-{closed:05d}.wmpack"
-                    out, closed = PackedWriter(path, bits), closed + 1
-                out.add(doc_id, np.frombuffer(words.text(text.as_py() or "") + end, "<u4"))
-                if out.n_ids >= FILE_IDS:
-                    yield manifest()
-                    out = None
+            if out is None:
+                path = f"{out_uri}/part-{part:07d}-{closed:05d}.wmpack"
+                out, closed = PackedWriter(path, bits), closed + 1
+            coded = [words.text(text or "") + end for text in batch.column(1).to_pylist()]
+            out.add(batch.column(0).to_pylist(), np.fromiter(map(len, coded), np.int64, len(coded)) // 4, np.frombuffer(b"".join(coded), "<u4"))
+            if out.n_ids >= FILE_IDS:
+                yield manifest()
+                out = None
         if out is not None:
             yield manifest()
 
