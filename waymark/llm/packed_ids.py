@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -34,7 +34,7 @@ MAGIC = b"WMPACK01"
 BLOCK = 1 << 16
 #: A file is closed after the Arrow batch with which it has so many ids.
 FILE_IDS = 32 << 20
-#: Entries of a worker's word cache before it starts anew: some ten MB.
+#: Entries of a cache of words in a worker before they become the old ones: some twenty MB.
 CACHE = 200_000
 MANIFEST = "path string, bits int, n_docs long, n_ids long"
 
@@ -150,8 +150,23 @@ PRETOKENIZERS = [
 ]
 
 
-class WordIds(dict):
-    """White-space-free chunk of a text to its ids (as bytes of unsigned 32-bit integers).
+class Recent(dict):
+    """Values of the keys asked for lately: a full cache becomes the old one, whose entries come back when asked for again."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+
+class WordIds:
+    """Ids of texts (as bytes of unsigned 32-bit integers), by their chunks without white space.
 
     If the tokenizer's file declares the settings above, white space is dropped and merges stay inside words, so ids of a
     text are those of its chunks. Chunks of plain Latin letters and signs, which normalisation only lower-cases, go to the
@@ -173,7 +188,8 @@ class WordIds(dict):
         self.plain = regex.compile(r"[\x21-\x7e\xa1-ɏ]*").fullmatch
         self.cut = regex.compile(SPLIT).findall
         self.bytes_as = [self._sign(b) for b in range(256)]
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.whole.model.tokenize
+        self.chunks, self.words = Recent(self._chunk), Recent(self._word)
 
     @staticmethod
     def _sign(byte: int) -> str:
@@ -181,28 +197,22 @@ class WordIds(dict):
         printable = lambda b: 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
         return chr(byte) if printable(byte) else chr(256 + sum(not printable(b) for b in range(byte)))
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # one word
+            return self.words[chunk.lower()]
         if self.plain(chunk):
-            found = b"".join([self.words.get(w) or self._word(w) for w in self.cut(chunk.lower())])
-        else:
-            found = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = found
-        return found
+            return b"".join(map(self.words.__getitem__, self.cut(chunk.lower())))
+        return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if len(self.words) > CACHE:
-            self.words.clear()
         signs = word if word.isascii() else "".join([self.bytes_as[b] for b in word.encode()])
-        self.words[word] = found = np.array([t.id for t in self.whole.model.tokenize(signs)], "<u4").tobytes()
-        return found
+        return array("I", [t.id for t in self.tokenize(signs)]).tobytes()
 
     def text(self, text: str) -> bytes:
         added = self.added is not None and self.added in text
         if added or not self.by_words or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to Python, not to the vocabulary
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 #: A worker's coders, with their words of earlier tasks (CACHE bounds them).
