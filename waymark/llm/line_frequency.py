@@ -5,9 +5,10 @@ documents of its host. Lines in more than MAX_DOCUMENTS documents of a host are
 half of its words is depleted and rejected. Base rules: at least MIN_WORDS words, and at most 30 % of the words inside
 8-word windows that occur twice or more in the document.
 
-DataFrame functions only. Occurrences are dealt by (host, line, document), so that a line of a third of all documents is
-spread, and counted there by document; its counts by (host, line) are partial sums before they are shuffled. Texts are not shuffled for the verdict
-(only `clean_text`, if it is asked for, joins them with their frequent lines).
+DataFrame functions only. Texts are cut into lines once, without a shuffle, and the line hashes are written to the shared folder.
+Occurrences are counted from there by (host, line, document), so that a line of a third of all documents is spread, and then by
+(host, line) as partial sums. Frequent lines are broadcast only if their measured bytes allow it; beyond that the join
+shuffles. Texts are not shuffled for the verdict (only `clean_text`, if it is asked for, joins them with their frequent lines).
 
 Null or empty text: no words, base_failed. Null hosts are one host. Null ids are one document for the counts. A line's
 frequency is by document id; a verdict is by row (host, id and text), so that repeated rows get the verdict that one gets and
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checked_broadcast, stage
+
 MAX_DOCUMENTS, MIN_WORDS, WINDOW = 10, 20, 8
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
@@ -73,13 +76,12 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """(lines of each row: host, line, doc, row, n, n_words; lines above the limit: host, line, n_documents)."""
+    """(a row per line with a word: host, doc, row, line, n words; the lines above the limit: host, line, n_documents), both written."""
     named = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("doc"), row_key().alias("row"), F.explode(F.split("text", "\n")).alias("raw"))
     named = named.where(no_space(F.col("raw")) != "").select("host", "doc", "row", line_hash(F.col("raw")).alias("line"), F.size(words_of(F.col("raw"))).alias("n"))
-    dealt = named.repartition("host", "line", "doc")  # one shuffle for both counts and the lookup of frequent lines
-    lines = dealt.groupBy("host", "line", "doc", "row").agg(F.count("*").alias("n"), F.sum("n").alias("n_words"))
-    by_document = lines.groupBy("host", "line", "doc").agg(F.lit(1).alias("one"))
-    return lines, by_document.groupBy("host", "line").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > max_documents)
+    lines = stage(named, "lines")
+    counts = lines.select("host", "line", "doc").distinct().groupBy("host", "line").agg(F.count("*").alias("n_documents"))
+    return lines, stage(counts.where(F.col("n_documents") > max_documents), "frequent-lines")
 
 
 def row_key() -> Column:
@@ -89,10 +91,10 @@ def row_key() -> Column:
 def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """All columns of docs, the metrics, n_removed_lines, n_removed_words, kept, clean_text (without frequent lines)."""
     lines, frequent = frequent_lines(docs, max_documents)
-    frequent = frequent.select(F.col("host").alias("__lf_host"), F.col("line").alias("__lf_line"))
+    frequent = checked_broadcast(frequent.select(F.col("host").alias("__lf_host"), F.col("line").alias("__lf_line")))
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("__lf_host")) & (F.col("line") == F.col("__lf_line")), "left_semi")
     # equal rows have one key: their sums are those of one row times their number
-    removed = hit.groupBy(F.col("row").alias("__lf_row")).agg(F.sum("n").alias("__lf_n_lines"), F.sum("n_words").alias("__lf_n_words"), F.collect_set("line").alias("__lf_removed"))
+    removed = hit.groupBy(F.col("row").alias("__lf_row")).agg(F.count("*").alias("__lf_n_lines"), F.sum("n").alias("__lf_n_words"), F.collect_set("line").alias("__lf_removed"))
     copies = docs.groupBy(row_key().alias("__lf_copy")).agg(F.count("*").alias("__lf_copies")).where("__lf_copies > 1")
     removed = removed.join(copies, F.col("__lf_row") == F.col("__lf_copy"), "left").drop("__lf_copy")
     rows = base_metrics(docs.withColumn("__lf_own", row_key())).join(removed, F.col("__lf_own") == F.col("__lf_row"), "left")
