@@ -394,11 +394,14 @@ def test_template_counting_alone_finds_the_article(spark):
 def test_templates_equal_a_plain_version(spark):
     pages = shared.table(spark, "/root/testdata/sf0.01", "pages")
     rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
-    rows += [(10**6 + i, "http://s.org/x", f"<body><div class='box'>Sale {i} now</div><div class='menu{i}'><ul><li>a{i}<li>b</ul></div><div><p>text {i}</p></div></body>") for i in range(12)]
+    page = "<body><div class='box'>Sale {i} now</div><div class='menu{i}'><ul><li>a{i}<li>b</ul></div><div><p>text {i}{more}</p></div></body>"
+    rows += [(10**6 + i, "http://s.org/x", page.format(i=i, more="")) for i in range(12)]
+    rows += [(2 * 10**6 + i, "http://l.org/x", page.format(i=i, more=" with many words of its own")) for i in range(12)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in page_text.extract(table, by_name=False).collect()}
     assert got == brute.page_texts(rows)
-    assert got[10**6 + 3] == "text 3"
+    assert got[10**6 + 3] == "Sale 3 now\n\ntext 3"  # the box holds over a third of the page's text: no template by shape
+    assert got[2 * 10**6 + 3] == "text 3 with many words of its own"
 
 
 def test_broken_and_long_pages():
