@@ -408,7 +408,7 @@ def test_broken_and_long_pages():
     import time
 
     began = time.time()
-    assert page_text.main_text('<p class="x>a</p>' * 20_000).count("a") == 20_000
+    assert page_text.main_text('<p class="x>a</p>' * 20_000).count("a") == 10_000  # by HTML's rule the next quote ends the value, in the next tag
     assert page_text.main_text("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     assert page_text.main_text("</div>" * 50_000 + "<p>" * 50_000 + "y") == "y"
     assert page_text.main_text("word " * 400_000).count("word") == 400_000
