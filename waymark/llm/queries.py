@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_frequency, perspectives, warc
+from . import line_frequency, manifest, perspectives, warc
 from .shared import begin, scratch_path, table
 
 
@@ -76,6 +76,11 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -87,9 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_transactions": op8_warc_transactions,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_perspective_rotation": perspectives.SQL,
     "op4_line_frequency": line_frequency.SQL,
     "op8_warc_transactions": warc.SQL,
+    "op13_merkle_manifest": manifest.SQL,
 }
