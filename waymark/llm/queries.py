@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_frequency, manifest, perspectives, warc
+from . import lexical, line_frequency, manifest, perspectives, warc
 from .shared import begin, scratch_path, table
 
 
@@ -76,6 +76,18 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    begin(spark)
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     return manifest.manifest(table(spark, sf_dir, "documents"))
@@ -92,11 +104,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_transactions": op8_warc_transactions,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_language_families": op11_language_families,
+    "op12_best_position_search": op12_best_position_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_perspective_rotation": perspectives.SQL,
     "op4_line_frequency": line_frequency.SQL,
     "op8_warc_transactions": warc.SQL,
+    "op12_best_position_search": lexical.SQL,
     "op13_merkle_manifest": manifest.SQL,
 }
