@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from waymark.functions import answer
 from waymark.operators import metrics, rewards, rollout, scoring, tools
 
 
@@ -52,9 +53,29 @@ def test_cosine_rewards(spark):
     assert [r.x for r in rows.select(rewards.cosine_turns(good).alias("x")).collect()] == pytest.approx([5.0 * 0.5 * 2, 2.5 * (cos(pi) + 1), -10])
     assert [r.x for r in rows.select(rewards.cosine_calls(good - 0.1).alias("x")).collect()] == pytest.approx([-5.0, -2.5 * (cos(pi) + 1), -10])
     unknown = rows.withColumn("localization", F.lit(None).cast("double"))
-    total, parts = rewards.cosine()
-    assert [r.x for r in unknown.select(total.alias("x")).collect()] == [0, 0, 0]
-    assert unknown.select(*[p.alias(n) for n, p in parts.items()]).first()[0] is None
+    total, parts = rewards.cosine(found="localization")
+    # a localization that failed counts 0.0, and both parts take the branch of wrong answers
+    low = [-5.0 * 0.5 * 2 * 2, -2.5 * (cos(pi) + 1) * 2, -20.0]
+    assert [r.x for r in unknown.select(total.alias("x")).collect()] == pytest.approx(low)
+    three = turns(spark, (3, 4)).withColumn("localization", F.lit(None).cast("double"))
+    assert round(three.select(total.alias("x")).first().x, 2) == -8.14
+    assert set(parts) == {"turn_cosine_reward", "tool_cosine_reward"}
+    sets = turns(spark, (3, 4), (3, 4)).withColumns({c: F.when(F.col("i") == 0, F.array(F.lit("a"))) for c in ("files", "modules", "entities")})
+    gold = F.array(F.struct(F.lit("a").alias("file"), F.struct(F.array(F.lit("a")).alias("edited_modules"), F.array(F.lit("a")).alias("edited_entities")).alias("changes")))
+    rows = sets.withColumns({"file_changes": gold, "final_message": F.lit("x")})
+    got = rewards.score(rows, [{"fn": "cosine_reward", "args": {"entity_level_weight": 0.5}}]).orderBy("i").collect()
+    assert set(got[0].reward_dict) == {"turn_cosine_reward", "tool_cosine_reward", "multilevel_localization_f1_reward", "file_reward", "module_reward", "entity_reward"}
+    assert got[0].reward_dict["multilevel_localization_f1_reward"] == 2.5 and got[0].total_reward == pytest.approx(8.14, abs=0.01)
+    assert set(got[1].reward_dict) == {"turn_cosine_reward", "tool_cosine_reward"} and got[1].total_reward == pytest.approx(-8.14, abs=0.01)
+
+
+def test_answers_that_fail_to_parse_score_nothing(spark):
+    rows = spark.createDataFrame([(1, "a.py\nfunction: f"), (2, "a.py\nfunction:  \nfunction: f")], "traj_id long, answer string")
+    target = F.array(F.struct(F.lit("a.py").alias("file"), F.lit(1).alias("old_start"), F.lit(1).alias("old_count")))
+    sets = answer.answer_sets(rows).withColumns({"target": target, "file_changes": F.lit(None), "final_message": F.lit("x")})
+    got = rewards.score(sets, [{"fn": "file_localization_f1_reward", "args": {"file_level_weight": 2.0}}]).orderBy("traj_id").collect()
+    assert [r.total_reward for r in got] == [2.0, 0.0]
+    assert [r.reward_dict for r in got] == [{"file_level_score": 1.0}, {"file_localization_f1_reward": 0.0}]
 
 
 def test_manager_order_nulls_and_empty_message(spark):

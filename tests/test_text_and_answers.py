@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from waymark.functions import answer, diff, text
@@ -128,6 +130,43 @@ def test_bad_function_line_is_marked(spark):
     assert [r.bad for r in rows] == [True, False]
 
 
+def test_tables_of_lines_give_what_texts_give(spark):
+    odd = "+++ b/x\n@@ -1 +1 @@\r\n+++ b/\n@@ -2 +2 @@\n+++ b/y\n@@ -3,4 +3 @@ @@ -9 +9 @@\n x @@ -5 +5 @@\r@@ -6 +6 @@"
+    patches = spark.createDataFrame([("i", PATCH), ("j", PATCH + PATCH.replace("a.py", "z.py")), ("k", odd), ("n", None)], "instance_id string, patch string")
+    whole = sorted(tuple(r)[:2] + tuple(r)[3:] for r in diff.old_side_targets(patches).collect())
+    for size in (1, 3, 1 << 16):
+        assert sorted((r.instance_id, r.file, r.old_start, r.old_count) for r in diff.targets_of_lines(diff.patch_lines(patches), size).collect()) == whole
+    answers = spark.createDataFrame([(1, ANSWER), (2, "function: early"), (3, None), (4, "class: C\na.py\nfunction: f\nclass: D\nx\nmethod: D.\nb.py c\n \nfunction:"), (5, ANSWER + ANSWER)], "traj_id long, answer string")
+    whole = sorted((tuple(r)[0], *map(str, tuple(r)[2:])) for r in answer.locations(answers).collect())
+    for size in (1, 3, 1 << 16):
+        assert sorted((tuple(r)[0], *map(str, tuple(r)[2:])) for r in answer.locations_of_lines(answer.answer_lines(answers), size).collect()) == whole
+
+
+def test_parsed_patches_as_a_column(spark):
+    twice = PATCH + "diff --git a/c.py b/c.py\n@@ -4 +4 @@\n" + PATCH.replace("@@ -1,3 +1,4 @@", "@@ -2,3 +2,7 @@").replace("@@ -10 +11,2 @@", "@@ -20,5 +30 @@")
+    got = diff.with_patch_info(spark.createDataFrame([("i", twice), ("n", None)], "instance_id string, patch string")).withColumn("paths", F.map_keys("patch_info")).orderBy("instance_id").collect()
+    assert got[0].paths == ["a.py", "gone.py", "c.py"] and got[1].patch_info == {}
+    a = got[0].patch_info["a.py"]
+    assert (a.old_start, a.old_count, a.new_start, a.new_count, len(a.hunks)) == (2, 23, 2, 29, 2)
+
+
+def test_rows_of_a_hundred_thousand_entries(spark):
+    n = 100_000
+    began = time.time()
+    rows = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("f"), (i % 50_000).cast("string"), F.lit(".py\nfunction: g"), i.cast("string"))), "\n").alias("answer"), F.lit(1).alias("traj_id"))
+    assert answer.locations(rows).count() == n
+    sets = answer.answer_sets(rows).first()
+    assert len(sets.files) == 50_000 and len(sets.entities) == n
+    path = lambda i: F.concat(F.lit("m"), (i % 60_000).cast("string"), F.lit(".py"))
+    part = lambda i: F.concat(F.lit("diff --git a/"), path(i), F.lit(" b/"), path(i), F.lit("\n+++ b/"), path(i), F.lit("\n@@ -"), i.cast("string"), F.lit(" +1 @@\n"))
+    patch = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), part), "").alias("patch"), F.lit("i").alias("instance_id"))
+    target = diff.targets_column(patch).first().target
+    assert len(target) == n and [t.old_start for t in target[:3]] == [1, 60_001, 2]
+    files = diff.file_hunks(patch).where("file_pos < 2").orderBy("file_pos").collect()
+    assert [(r.file, r.old_start) for r in files] == [("m1.py", 60_001), ("m2.py", 60_002)]
+    assert time.time() - began < 120
+
+
 def test_tagged_files(spark):
     cases = {"<files>\n ./a.py \n\nb.py</files>": ["a.py", "b.py"], '<files>["./a.py"]</files>': ["a.py"], "<files>[broken</files>": [], "<files></files>": [], "none": None}
     for reply, expected in cases.items():

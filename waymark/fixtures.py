@@ -34,6 +34,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """traj_id, pos, kind: the log with a kind for each event type, and none for every eleventh event."""
+    order = Window.partitionBy("user_id").orderBy("ts")
+    names = {"view": "TokenEvent", "click": "ObservationEvent", "purchase": "ActionEvent", "error": "SystemPromptEvent", "signup": "MessageEvent"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("event_type"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("traj_id"), F.row_number().over(order).cast("long").alias("pos"), F.when(F.col("event_id") % 11 != 0, kind).alias("kind"))
+
+
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages: assistant turns have (7 conv + 3 turn) % 4 calls with names of three."""
     n = ((F.col("conv_id") * 7 + F.col("turn") * 3) % 4).cast("int")

@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import RANGE_ROWS, carried
 from .text import normalize_path, strip
 
 
-LOCATION = "struct<file:string,class:string,function:string,bad:boolean>"
+def answer_body(answer: Column) -> Column:
+    return F.regexp_replace(F.coalesce(answer, F.lit("")), r"^[` \n]+|[` \n]+$", "")
+
+
+def role(line: Column) -> Column:
+    """What a trimmed line does: B blank, F file, C class, M function or method; null for any other."""
+    is_function = line.startswith("function:") | line.startswith("method:")
+    return F.when(line == "", "B").when(line.endswith(".py"), "F").when(line.startswith("class:"), "C").when(is_function, "M")
+
+
+def after_colon(line: Column) -> Column:
+    return strip(F.regexp_replace(line, "^[a-z]+:", ""))
+
+
+def location(file: Column, context: Column, line: Column) -> Column:
+    """The location of a function line, under a file and a class context."""
+    name = F.regexp_replace(F.get(F.split(after_colon(line), r"(?U)\s+"), F.lit(0)), r"^[()]+|[()]+$", "")
+    dotted = name.contains(".")
+    return F.struct(
+        file.alias("file"),
+        F.when(dotted, F.substring_index(name, ".", 1)).otherwise(context).alias("class"),
+        F.when(dotted, F.regexp_replace(name, r"^[^.]*\.", "")).otherwise(name).alias("function"),
+        (after_colon(line) == "").alias("bad"),
+    )
 
 
 def location_list(answer: Column) -> Column:
@@ -17,32 +41,22 @@ def location_list(answer: Column) -> Column:
     Lines in order: a blank line or a file line (``.py`` at the end, before anything else) ends the class; ``class:`` sets
     it; ``function:`` or ``method:`` emits. A dotted name carries its own class. `bad` marks function lines without a name.
     """
-    body = F.regexp_replace(F.coalesce(answer, F.lit("")), r"^[` \n]+|[` \n]+$", "")
-    is_function = lambda line: line.startswith("function:") | line.startswith("method:")
-    lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: (x == "") | x.endswith(".py") | x.startswith("class:") | is_function(x))
-    none = F.lit(None).cast("string")
-    start = F.struct(none.alias("file"), none.alias("context"), F.array().cast(f"array<{LOCATION}>").alias("found"))
-
-    def step(seen: Column, line: Column) -> Column:
-        state = lambda file, context, found: F.struct(file.alias("file"), context.alias("context"), found.alias("found"))
-        after = strip(F.regexp_replace(line, "^[a-z]+:", ""))
-        name = F.regexp_replace(F.get(F.split(after, r"(?U)\s+"), F.lit(0)), r"^[()]+|[()]+$", "")
-        dotted = name.contains(".")
-        one = F.struct(
-            seen["file"].alias("file"),
-            F.when(dotted, F.substring_index(name, ".", 1)).otherwise(seen["context"]).alias("class"),
-            F.when(dotted, F.regexp_replace(name, r"^[^.]*\.", "")).otherwise(name).alias("function"),
-            (after == "").alias("bad"),
-        )
-        return (
-            F.when(line == "", state(seen["file"], none, seen["found"]))
-            .when(line.endswith(".py"), state(line, none, seen["found"]))
-            .when(line.startswith("class:"), state(seen["file"], after, seen["found"]))
-            .when(seen["file"].isNotNull(), state(seen["file"], seen["context"], F.concat(seen["found"], F.array(one))))
-            .otherwise(seen)
-        )
-
-    return F.aggregate(lines, start, step, lambda seen: seen["found"])
+    # a letter for what a line does, then the text is cut where a file begins, and each file's part where a context does
+    lines = F.filter(F.transform(F.split(answer_body(answer), "\n"), strip), lambda x: role(x).isNotNull())
+    marked = F.array_join(F.transform(lines, lambda x: F.concat(role(x), F.when(x.startswith("class:") & (role(x) == "C"), after_colon(x)).otherwise(x))), "\n")
+    of_file = F.filter(F.split(marked, "\n(?=F)"), lambda part: part.startswith("F"))
+
+    def of_context(part: Column, file: Column) -> Column:
+        rows = F.split(part, "\n")
+        head = F.get(rows, F.lit(0))
+        context = F.when(head.startswith("C"), F.substring(head, 2, 1 << 30))
+        return F.transform(F.filter(rows, lambda r: r.startswith("M")), lambda r: location(file, context, F.substring(r, 2, 1 << 30)))
+
+    def of_part(part: Column) -> Column:
+        file = F.regexp_extract(part, "^F([^\n]*)", 1)
+        return F.flatten(F.transform(F.split(part, "\n(?=[BC])"), lambda sub: of_context(sub, file)))
+
+    return F.flatten(F.transform(of_file, of_part))
 
 
 def locations(answers: DataFrame, id_col: str = "traj_id", text_col: str = "answer") -> DataFrame:
@@ -51,6 +65,25 @@ def locations(answers: DataFrame, id_col: str = "traj_id", text_col: str = "answ
     return rows.select("traj_id", "pos", "l.*")
 
 
+def answer_lines(answers: DataFrame, id_col: str = "traj_id", text_col: str = "answer") -> DataFrame:
+    """traj_id, pos, line: an answer as a long table of trimmed lines."""
+    lines = F.transform(F.split(answer_body(F.col(text_col)), "\n"), strip)
+    return answers.select(F.col(id_col).alias("traj_id"), F.posexplode(lines).alias("pos", "line"))
+
+
+def locations_of_lines(lines: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """traj_id, pos (of the line), file, class, function, bad: `location_list` over a long table of trimmed lines.
+
+    For answers that no row should hold whole: file and class are carried forward, and a blank or file line carries no class on.
+    """
+    does = role(F.col("line"))
+    file = F.when(does == "F", F.col("line"))
+    context = F.when(does.isin("B", "F"), F.struct(F.lit(None).cast("string").alias("name"))).when(does == "C", F.struct(after_colon(F.col("line")).alias("name")))
+    known = carried(lines.where(does.isNotNull()), "traj_id", "pos", {"in": file, "context": context}, range_rows)
+    rows = known.where((role(F.col("line")) == "M") & F.col("in").isNotNull())
+    return rows.select("traj_id", "pos", location(F.col("in"), F.col("context.name"), F.col("line")).alias("l")).select("traj_id", "pos", "l.*")
+
+
 def entity(file: Column, class_: Column, function: Column) -> Column:
     """``file:Class.function`` or ``file:function``, without a constructor at the end."""
     name = F.when(F.coalesce(class_, F.lit("")) != "", F.concat(class_, F.lit("."), function)).otherwise(function)
@@ -63,10 +96,15 @@ def module(entity_: Column) -> Column:
 
 
 def answer_sets(answers: DataFrame, id_col: str = "traj_id", text_col: str = "answer") -> DataFrame:
-    """traj_id, files, modules, entities: distinct and sorted; empty for answers without a location. A row per answer."""
+    """traj_id, files, modules, entities: distinct and sorted; empty for answers without a location. A row per answer.
+
+    An answer with a nameless function line can't be parsed: its sets are null, and rewards on them fail.
+    """
     rows = answers.select(F.col(id_col).alias("traj_id"), location_list(F.col(text_col)).alias("found"))
-    rows = rows.select("traj_id", F.transform("found", lambda l: l["file"]).alias("files"), F.transform("found", lambda l: entity(l["file"], l["class"], l["function"])).alias("entities"))
-    set_of = lambda c: F.array_sort(F.array_distinct(c))
+    files = F.transform("found", lambda l: l["file"])  # noqa: E741
+    entities = F.transform("found", lambda l: entity(l["file"], l["class"], l["function"]))  # noqa: E741
+    rows = rows.select("traj_id", files.alias("files"), entities.alias("entities"), F.exists("found", lambda l: l["bad"]).alias("bad"))  # noqa: E741
+    set_of = lambda c: F.when(~F.col("bad"), F.array_sort(F.array_distinct(c)))
     return rows.select("traj_id", set_of(F.col("files")).alias("files"), set_of(F.transform("entities", module)).alias("modules"), set_of(F.col("entities")).alias("entities"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import strip
+from ..operators.order import RANGE_ROWS, carried
+from .text import let, strip
 
 HUNK = r"@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 SIDES = ("old_start", "old_count", "new_start", "new_count")
@@ -23,7 +24,7 @@ def old_side_hunks(patch: Column) -> Column:
     or for none. An added line that reads ``++ b/...`` is taken for a header.
     """
     sections = F.split(strip(F.coalesce(patch, F.lit(""))), r"(?m)^\+\+\+ b/")
-    named = F.filter(F.slice(sections, 2, 1_000_000), lambda s: ~s.rlike(r"^[\r\n]|^$"))
+    named = F.filter(sections, lambda s, i: (i > 0) & ~s.rlike(r"^[\r\n]|^$"))
 
     def of(section: Column) -> Column:
         file = F.regexp_extract(section, r"^[^\r\n]*", 0)
@@ -33,10 +34,22 @@ def old_side_hunks(patch: Column) -> Column:
     return F.flatten(F.transform(named, of))
 
 
+def by_file(items: Column) -> Column:
+    """ARRAY<ARRAY<item>> of items with a `file`: a list for each file, files in the order of their first item; one sort of the row."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(x["file"].alias("file"), i.alias("i"), x.alias("x"))))
+
+    def lists(s: Column) -> Column:
+        begins = F.array_compact(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["file"] != x["file"]), j)))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(s))
+        each = lambda at: F.transform(at, lambda j, k: F.struct(F.get(s, j)["i"].alias("i"), F.transform(F.slice(s, j + 1, end(at, k) - j), lambda m: m["x"]).alias("items")))
+        return let(begins, each)
+
+    return F.transform(F.sort_array(let(keyed, lists)), lambda g: g["items"])
+
+
 def in_order_of_files(hunks: Column) -> Column:
     """Hunks file by file, files in the order of their first hunk."""
-    names = F.array_distinct(F.transform(hunks, lambda h: h["file"]))
-    return F.when(F.size(names) < 2, hunks).otherwise(F.flatten(F.transform(names, lambda n: F.filter(hunks, lambda h: h["file"] == n))))
+    return F.flatten(by_file(hunks))
 
 
 def old_side_targets(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
@@ -65,8 +78,43 @@ def parsed_files(patch: Column) -> Column:
 
 
 def last_of_each(files: Column) -> Column:
-    """Of chunks of one path the last counts."""
-    return F.filter(files, lambda c, i: ~F.exists(F.slice(files, i + 2, F.lit(1_000_000)), lambda later: later["file"] == c["file"]))
+    """Of chunks of one path the last counts, in the place of the first."""
+    return F.transform(by_file(files), lambda g: F.element_at(g, -1))
+
+
+def spans(hunks: Column) -> Column:
+    """struct(old_start, old_count, new_start, new_count, hunks): from the first line of any hunk to the last, on both sides."""
+    start = lambda side: F.array_min(F.transform(hunks, lambda h: h[f"{side}_start"]))
+    end = lambda side: F.array_max(F.transform(hunks, lambda h: h[f"{side}_start"] + h[f"{side}_count"] - 1))
+    sides = [c for side in ("old", "new") for c in (start(side).alias(f"{side}_start"), (end(side) - start(side) + 1).alias(f"{side}_count"))]
+    return F.struct(*sides, hunks.alias("hunks"))
+
+
+def patch_map(patch: Column) -> Column:
+    """MAP<path, STRUCT<spans, hunks>> of a patch."""
+    return F.map_from_entries(F.transform(last_of_each(parsed_files(patch)), lambda f: F.struct(f["file"], spans(f["hunks"]))))
+
+
+def with_patch_info(instances: DataFrame, patch_col: str = "patch") -> DataFrame:
+    return instances.withColumn("patch_info", patch_map(F.col(patch_col)))
+
+
+def patch_lines(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
+    """instance_id, pos, line: a patch as a long table."""
+    lines = F.split(strip(F.coalesce(patch_col, F.lit(""))), "\r\n|\r|\n")
+    return instances.select(F.col(id_col).alias("instance_id"), F.posexplode(lines).alias("pos", "line"))
+
+
+def targets_of_lines(lines: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """instance_id, pos, file, old_start, old_count of each hunk in a long table of lines, as `old_side_hunks` finds them in a text.
+
+    For patches that no row should hold whole: the file is carried forward over the lines (a header without a name carries none).
+    """
+    line = F.col("line")
+    header = F.when(line.startswith("+++ b/"), F.struct(F.nullif(F.expr("substring(line, 7)"), F.lit("")).alias("name")))
+    known = carried(lines.where(line.startswith("+++ b/") | line.startswith("@@ -")), "instance_id", "pos", {"in": header}, range_rows)
+    hunk = known.where(F.col("line").rlike("^" + HUNK) & F.col("in.name").isNotNull())
+    return hunk.select("instance_id", "pos", F.col("in.name").alias("file"), _number(line, 1).alias("old_start"), _number(line, 2, 1).alias("old_count"))
 
 
 def with_files(instances: DataFrame, id_col: str, patch_col: str) -> DataFrame:
@@ -82,7 +130,6 @@ def file_hunks(instances: DataFrame, id_col: str = "instance_id", patch_col: str
 
 def file_extents(instances: DataFrame, id_col: str = "instance_id", patch_col: str = "patch") -> DataFrame:
     """instance_id, file, the span of its hunks on both sides, n_hunks: one row per file of a patch."""
-    start = lambda side: F.array_min(F.transform("f.hunks", lambda h: h[f"{side}_start"]))
-    end = lambda side: F.array_max(F.transform("f.hunks", lambda h: h[f"{side}_start"] + h[f"{side}_count"] - 1))
-    spans = [c for side in ("old", "new") for c in (start(side).alias(f"{side}_start"), (end(side) - start(side) + 1).alias(f"{side}_count"))]
-    return with_files(instances, id_col, patch_col).select("instance_id", "f.file", *spans, F.size("f.hunks").cast("long").alias("n_hunks"))
+    rows = with_files(instances, id_col, patch_col).select("instance_id", "f.file", spans(F.col("f.hunks")).alias("s"))
+    sides = [f"s.{side}_{what}" for side in ("old", "new") for what in ("start", "count")]
+    return rows.select("instance_id", "file", *sides, F.size("s.hunks").cast("long").alias("n_hunks"))

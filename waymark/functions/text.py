@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: a lambda that names a column expression would work it out for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends (Spark's trim takes spaces only)."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -52,6 +59,13 @@ def tool_arguments(raw: Column) -> Column:
     return F.struct(parsed.alias("arguments"), F.when(parsed.isNull(), F.lit("Error: Invalid tool arguments - not a JSON object")).alias("error"))
 
 
+def with_working_directory(arguments: Column, tool: Column, repo: Column, instance_id: Column, root: str, only: str = "bash") -> Column:
+    """A tool call's arguments (a map), with the checkout's folder as `cwd` if it is the tool that needs one; an own `cwd` is replaced."""
+    own = F.map_filter(arguments, lambda k, _: k != "cwd")
+    placed = F.map_concat(own, F.create_map(F.lit("cwd"), F.concat(F.lit(root.rstrip("/") + "/"), checkout_name(repo, instance_id))))
+    return F.when(tool == only, placed).otherwise(arguments)
+
+
 def step_number(folder: Column) -> Column:
     """N of ``step_N``, 0 without a match."""
     return F.coalesce(F.regexp_extract(folder, "step_([0-9]+)", 1).try_cast("int"), F.lit(0))

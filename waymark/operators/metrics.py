@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import KINDS
+from ..schemas import UNKNOWN_KIND
 
 
 def is_kind(kind: str) -> Column:
@@ -53,10 +53,15 @@ def tool_call_names(events: DataFrame) -> DataFrame:
 
 def tool_calls(events: DataFrame) -> DataFrame:
     """traj_id, total_tool_calls, avg_tool_calls_per_step, tool_call_breakdown (map, names in order)."""
-    names = tool_call_names(events).groupBy(F.col("traj_id").alias("_id")).agg(F.sum("n").alias("calls"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("breakdown"))
-    joined = steps(events).join(names, F.col("traj_id") == F.col("_id"), "left")
-    calls = F.coalesce("calls", F.lit(0))
-    return joined.select("traj_id", calls.alias("total_tool_calls"), ratio(calls, F.col("steps")).alias("avg_tool_calls_per_step"), F.coalesce("breakdown", F.create_map().cast("map<string,bigint>")).alias("tool_call_breakdown"))
+    # an event's row for itself (no name), and one for each of its calls: one scan and one shuffle for steps and names
+    calls = F.when(F.col("role") == "assistant", F.transform("tool_calls", lambda c: F.struct(F.coalesce(c["function"]["name"], F.lit("unknown")).alias("name"))))
+    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("name"))), F.coalesce(calls, F.array().cast("array<struct<name:string>>")))
+    rows = events.select("traj_id", is_kind("TokenEvent").alias("step"), F.explode(entries).alias("entry"))
+    named = F.col("entry.name").isNotNull()
+    counts = rows.groupBy("traj_id", F.col("entry.name").alias("name")).agg(F.count("*").alias("n"), F.count_if(F.col("step") & ~named).alias("steps"))
+    own = F.when(F.col("name").isNotNull(), F.struct("name", "n"))
+    each = counts.groupBy("traj_id").agg(F.sum("steps").alias("steps"), F.coalesce(F.sum(F.when(F.col("name").isNotNull(), F.col("n"))), F.lit(0)).alias("calls"), F.map_from_entries(F.array_sort(F.collect_list(own))).alias("breakdown"))
+    return each.select("traj_id", F.col("calls").alias("total_tool_calls"), ratio(F.col("calls"), F.col("steps")).alias("avg_tool_calls_per_step"), F.col("breakdown").alias("tool_call_breakdown"))
 
 
 def efficiency(events: DataFrame, wall_clock: DataFrame | None = None) -> DataFrame:
@@ -95,15 +100,33 @@ def trajectory(events: DataFrame) -> DataFrame:
     return lists.select("traj_id", "turns", "tool_calls", ratio(F.col("tool_calls"), F.col("turns")).alias("tool_calls_per_turn"), "tool_calls_by_turn")
 
 
+def kind_name(kind: Column | None = None) -> Column:
+    return F.coalesce(F.col("kind") if kind is None else kind, F.lit(UNKNOWN_KIND))
+
+
 def kind_histogram(events: DataFrame) -> DataFrame:
-    return events.groupBy("traj_id", F.coalesce("kind", F.lit("Unknown")).alias("kind")).agg(F.count("*").alias("n"))
+    return events.groupBy("traj_id", kind_name().alias("kind")).agg(F.count("*").alias("n"))
+
+
+def observed_kinds(events: DataFrame) -> DataFrame:
+    """kind: the distinct kinds of an event log, `Unknown` for events without one."""
+    return events.select(kind_name().alias("kind")).distinct()
+
+
+def listed_kinds(kinds: DataFrame) -> list[str]:
+    """A frame of distinct kinds as a sorted list, for a schema; at most as many as Spark lets a pivot have."""
+    most = int(kinds.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = sorted(r["kind"] for r in kinds.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} kinds of events")
+    return found
 
 
 def kind_pivot(events: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """traj_id and count_<kind> for each of the kinds (given, so that no job looks for them), 0 where absent."""
-    kinds = sorted(kinds or KINDS)
-    wide = events.groupBy("traj_id").pivot("kind", kinds).count().na.fill(0)
-    return wide.select("traj_id", *[F.col(k).cast("long").alias(f"count_{k}") for k in kinds])
+    """traj_id and count_<kind> for each kind, 0 where absent; the kinds are those of the data unless given (others are then left out)."""
+    kinds = listed_kinds(observed_kinds(events)) if kinds is None else sorted(kinds)
+    wide = events.withColumn("kind", kind_name()).groupBy("traj_id").pivot("kind", kinds).count().na.fill(0)
+    return wide.select("traj_id", *[F.col(f"`{k}`").cast("long").alias(f"count_{k}") for k in kinds])
 
 
 def has_tool_turn(events: DataFrame) -> DataFrame:
@@ -117,6 +140,22 @@ def mean_calls_of_tool_turns(events: DataFrame, clip: float = 5.0) -> DataFrame:
     return events.groupBy("traj_id").agg((F.least(F.lit(clip), F.coalesce(F.avg(F.when(n > 0, n)), F.lit(0.0))) / F.lit(clip)).alias("tool_turn_mean"))
 
 
+def completed(chat: DataFrame, max_turns: int, too_long: Column | None = None) -> DataFrame:
+    """traj_id, completed: the last message is the assistant's and has both file tags (in any order), or the turns are used up, or the prompt is `too_long`."""
+    last = chat.groupBy("traj_id").agg(F.max_by(F.struct("role", "content"), "pos").alias("last"), F.count("*").alias("n"), *([] if too_long is None else [F.max(too_long).alias("long")]))
+    text = F.coalesce("last.content", F.lit(""))
+    done = F.coalesce(F.col("last.role") == "assistant", F.lit(False)) & text.contains("<files>") & text.contains("</files>") | (F.col("n") >= max_turns)
+    return last.select("traj_id", (done if too_long is None else done | F.coalesce("long", F.lit(False))).alias("completed"))
+
+
+def rubric(events: DataFrame, weights: tuple[float, float] = (1.0, 1.0), clip: float = 5.0) -> DataFrame:
+    """traj_id, score: has_tool_turn and tool_turn_mean weighed and summed, in one aggregation."""
+    n = size_of("tool_calls")
+    mean = F.least(F.lit(clip), F.coalesce(F.avg(F.when(n > 0, n)), F.lit(0.0))) / F.lit(clip)
+    has = F.coalesce(F.max((n > 0).cast("int")), F.lit(0))
+    return events.groupBy("traj_id").agg((F.lit(weights[0]) * has + F.lit(weights[1]) * mean).alias("score"))
+
+
 def map_total(rewards: Column) -> Column:
     """The sum of a map's values, nulls left out, 0.0 for none."""
     return F.aggregate(F.coalesce(F.map_values(rewards), F.array().cast("array<double>")), F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.diff import targets_column
+from ..functions.diff import patch_map, targets_column
+from .order import placed
 
 
 def message(role: str, content: Column) -> Column:
@@ -16,10 +17,16 @@ def with_prompt(instances: DataFrame) -> DataFrame:
     return instances.withColumn("prompt", F.array(message("user", F.col("problem_statement"))))
 
 
-def with_evaluation_row(instances: DataFrame, system: str, max_turns: int = 8) -> DataFrame:
-    """prompt (system, user), info (repo, instance, limits), answer (targets as JSON)."""
-    info = F.struct("repo", "instance_id", F.struct(F.lit(max_turns).alias("max_turns")).alias("limits"))
-    return instances.select(F.array(message("system", F.lit(system)), message("user", F.col("problem_statement"))).alias("prompt"), info.alias("info"), F.to_json("target").alias("answer"))
+def with_evaluation_row(instances: DataFrame, system: str, max_tokens: int, max_tool_calls: int) -> DataFrame:
+    """prompt (system, user), info (repo, instance_id, limits), answer (the parsed patch as a JSON object by path)."""
+    info = F.struct("repo", "instance_id", F.lit(max_tokens).alias("max_tokens"), F.lit(max_tool_calls).alias("max_tool_calls"))
+    prompt = F.array(message("system", F.lit(system)), message("user", F.col("problem_statement")))
+    return instances.select(prompt.alias("prompt"), info.alias("info"), F.to_json(patch_map(F.col("patch"))).alias("answer"))
+
+
+def answer_files(answer: Column) -> Column:
+    """The paths of such an answer, as a set to score against; none if it is not JSON."""
+    return F.coalesce(F.json_object_keys(answer), F.array().cast("array<string>"))
 
 
 def by_hash(id_col: str, seed: int) -> list[Column]:
@@ -42,12 +49,25 @@ def hash_ranked(df: DataFrame, id_col: str, seed: int, name: str = "_rank") -> D
 
 
 def tail_split(df: DataFrame, order: list[Column], n_validation: int = 100) -> DataFrame:
-    """df with `split`: the last n rows are validation, the rest train (none if there are no more than n)."""
-    last = df.select(*order).orderBy(*[c.desc() for c in order]).limit(n_validation)  # a top-k, n rows
+    """df with `split`: exactly the last n rows are validation, the rest train (none if there are no more than n).
+
+    A top-k finds the key of the n-th row from the end. If more rows share it than are needed, these rows alone are told apart: by a
+    fingerprint of all their columns, then, if equal, by a place of their own.
+    """
+    if not n_validation:
+        return df.withColumn("split", F.lit("train"))
     names = [f"_k{i}" for i in range(len(order))]
-    held = last.toDF(*names).agg(F.min(F.struct(*names)).alias("_from"))
-    key = F.struct(*[c.alias(n) for c, n in zip(order, names, strict=True)])
-    return df.crossJoin(F.broadcast(held)).withColumn("split", F.when(key >= F.col("_from"), "validation").otherwise("train")).drop("_from")  # held is one row
+    held = df.select(F.struct(*[c.alias(n) for c, n in zip(order, names, strict=True)]).alias("_key")).orderBy(F.desc("_key")).limit(n_validation)
+    cut = held.agg(F.min("_key").alias("_from"), F.count("*").alias("_held"))  # one row of n
+    keyed = df.withColumn("_key", F.struct(*[c.alias(n) for c, n in zip(order, names, strict=True)])).crossJoin(F.broadcast(cut))
+    after, tied = F.col("_key") > F.col("_from"), F.col("_key").eqNullSafe(F.col("_from"))
+    split = lambda is_held: F.when(is_held, "validation").otherwise("train").alias("split")
+    n_after, n_tied, n_held = keyed.agg(F.count_if(after), F.count_if(tied), F.coalesce(F.max("_held"), F.lit(0))).first()
+    if n_after + n_tied == n_held:
+        return keyed.select(*df.columns, split(after | tied))
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind]
+    ties = placed(keyed.where(tied).select(*df.columns), F.xxhash64(*hashable) if hashable else F.lit(0), name="_tie")
+    return keyed.where(~tied).select(*df.columns, split(after)).unionByName(ties.select(*df.columns, split(F.col("_tie") < n_held - n_after)))
 
 
 def ratio_split(df: DataFrame, id_col: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -71,23 +71,37 @@ def cosine_calls(found: Column) -> Column:
 
 
 @reward("cosine_reward")
-def cosine(found: str = "localization") -> Built:
-    """Turn and call rewards; without a localization score 0.0 and no parts."""
-    parts = {"cosine_turn_reward": cosine_turns(F.col(found)), "cosine_tool_reward": cosine_calls(F.col(found))}
-    known = F.col(found).isNotNull()
-    total = F.when(known, parts["cosine_turn_reward"] + parts["cosine_tool_reward"]).otherwise(0.0)
-    return total, {name: F.when(known, part) for name, part in parts.items()}
+def cosine(found: str | None = None, **weights: float) -> Built:
+    """Turn and call rewards beside the multilevel localization's parts; a localization that failed counts 0.0 and has no parts.
+
+    `found` names a column that holds the localization's score already.
+    """
+    if found is None:
+        value, parts = multilevel_localization(**weights)
+    else:
+        value, parts = F.col(found), {}
+    known = F.coalesce(value, F.lit(0.0))
+    own = {"turn_cosine_reward": cosine_turns(known), "tool_cosine_reward": cosine_calls(known)}
+    return own["turn_cosine_reward"] + own["tool_cosine_reward"], {name: F.when(value.isNotNull(), part) for name, part in parts.items()} | own
+
+
+def _parsed(built: Built) -> Built:
+    """Null, and without parts, for answers that could not be parsed (null sets)."""
+    value, parts = built
+    known = F.col("files").isNotNull()
+    return F.when(known, value), {name: F.when(known, part) for name, part in parts.items()}
 
 
 @reward("file_localization_f1_reward")
-def file_localization(weight: float = 1.0) -> Built:
-    return file_score(F.col("files"), F.col("target"), weight)
+def file_localization(file_level_weight: float = 1.0) -> Built:
+    value, parts = _parsed(file_score(F.col("files"), F.col("target"), file_level_weight))
+    return F.when(F.col("target").isNotNull(), value), parts
 
 
 @reward("multilevel_localization_f1_reward")
 def multilevel_localization(file_level_weight: float = 1.0, module_level_weight: float = 1.0, entity_level_weight: float = 1.0) -> Built:
     predicted = {"file": F.col("files"), "module": F.col("modules"), "entity": F.col("entities")}
-    return multilevel(predicted, gold_levels(F.col("file_changes")), {"file": file_level_weight, "module": module_level_weight, "entity": entity_level_weight})
+    return _parsed(multilevel(predicted, gold_levels(F.col("file_changes")), {"file": file_level_weight, "module": module_level_weight, "entity": entity_level_weight}))
 
 
 def score(rows: DataFrame, configured: list[dict], final_message: str = "final_message") -> DataFrame:

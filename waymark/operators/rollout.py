@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .metrics import is_kind
+from .order import placed
 
 #: Token of the row that stands for a trajectory without a step (a fixed value of the tokenizer in use).
 SENTINEL = 151643
@@ -89,6 +90,36 @@ def concatenated(steps: DataFrame, column: str) -> DataFrame:
     return steps.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda s: s[column]).alias("values"))
 
 
+def in_batch_order(steps: DataFrame, *order: Column | str) -> DataFrame:
+    """steps with `place`: where each stands once all groups are concatenated (groups and their steps in `order`), from 0."""
+    return placed(steps, *order, name="place")
+
+
+def batches(steps: DataFrame, columns: list[str], size: int, *order: Column | str) -> DataFrame:
+    """batch, first, n and a list for each column: all groups concatenated in order and cut into batches of `size` steps, as parallel lists.
+
+    A row holds `size` steps at most, and no group is gathered whole; an id that a trajectory's steps share is repeated.
+    """
+    rows = in_batch_order(steps, *order).select(F.floor(F.col("place") / size).alias("batch"), F.struct("place", *columns).alias("s"))
+    lists = rows.groupBy("batch").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return lists.select("batch", F.get("s", F.lit(0))["place"].alias("first"), F.size("s").alias("n"), *[F.col("s")[c].alias(c) for c in columns])
+
+
+def fanned_out(steps: DataFrame, value: str, is_last: str, *order: Column | str) -> DataFrame:
+    """steps with `<value>_of_last`: the value of the last step of each one's trajectory.
+
+    A trajectory is a run of steps, in `order`, that ends with a step flagged last: its number is how many flags came before. Flags
+    are counted part by part, and last steps join the steps of their number. ValueError if the steps do not end with a flag.
+    """
+    flag = F.coalesce(F.col(is_last), F.lit(False))
+    rows = placed(steps, *order, name="_place", count=flag.cast("long"), running="_trajectory")
+    lasts = rows.where(flag).select("_trajectory", F.col(value).alias(f"{value}_of_last"))
+    open_ = rows.agg(F.max_by(flag, "_place").alias("closed")).first()["closed"]
+    if open_ is False:
+        raise ValueError("the last step is not flagged as one")
+    return rows.join(lasts, "_trajectory", "left").drop("_trajectory", "_place")
+
+
 def first_call_carries_thought(calls: DataFrame) -> DataFrame:
     """calls (response_id, thought, calls array) to a row per call; only the first keeps the thought."""
     return calls.select("response_id", "thought", F.posexplode("calls").alias("i", "call")).select("response_id", "i", "call", F.when(F.col("i") == 0, F.col("thought")).alias("thought"))

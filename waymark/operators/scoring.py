@@ -77,4 +77,4 @@ def gold_levels(file_changes: Column) -> dict[str, Column]:
 def file_score(predicted: Column, target: Column, weight: float = 1.0) -> tuple[Column, dict[str, Column]]:
     """Strict F1 of files against the distinct files of `target`; the weight is on the score, not on the part."""
     part = set_f1(predicted, F.transform(target, lambda t: t["file"]))
-    return F.lit(weight) * part, {"file_localization_f1": part}
+    return F.lit(weight) * part, {"file_level_score": part}

@@ -14,7 +14,7 @@ from .. import fixtures as fx
 from .. import sources
 from ..functions import answer as an
 from ..functions import diff, text
-from ..operators import metrics, prep, rewards, rollout, scoring
+from ..operators import metrics, order, prep, rewards, rollout, scoring
 from . import report as rp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,17 @@ def _(spark, sf):
     return metrics.kind_pivot(fx.events(spark, sf))
 
 
+MX = """mx AS (SELECT user_id AS traj, event_id, CASE WHEN event_id % 11 = 0 THEN 'Unknown' ELSE CASE event_type WHEN 'view' THEN 'TokenEvent' WHEN 'click' THEN 'ObservationEvent'
+    WHEN 'purchase' THEN 'ActionEvent' WHEN 'error' THEN 'SystemPromptEvent' ELSE 'MessageEvent' END END AS kind FROM events)"""
+MX_KINDS = ["ActionEvent", "MessageEvent", "ObservationEvent", "SystemPromptEvent", "TokenEvent", "Unknown"]
+MX_COUNTS = ", ".join(f"count(*) FILTER (kind = '{k}') AS \"count_{k}\"" for k in MX_KINDS)
+
+
+@query("a7_found_kinds", f"WITH {MX} SELECT traj AS traj_id, {MX_COUNTS} FROM mx GROUP BY traj")
+def _(spark, sf):
+    return metrics.kind_pivot(fx.mixed_events(spark, sf))
+
+
 @query("f1_token_events", f"WITH {EV} SELECT traj AS traj_id, pos, np AS n_prompt FROM ev WHERE kind = 'TokenEvent'")
 def _(spark, sf):
     return fx.events(spark, sf).where(metrics.is_kind("TokenEvent")).select("traj_id", "pos", F.size("prompt_token_ids").cast("long").alias("n_prompt"))
@@ -160,9 +171,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     said = fx.replies(spark, sf).join(fx.table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
-    last = said.groupBy("conv_id").agg(F.max_by(F.struct("role", "reply"), "turn").alias("last"), F.count("*").alias("n"))
-    done = (F.col("last.role") == "assistant") & F.col("last.reply").contains("<files>") & F.col("last.reply").contains("</files>")
-    return last.select("conv_id", (done | (F.col("n") >= 7)).alias("completed"))
+    chat = said.select(F.col("conv_id").alias("traj_id"), F.col("turn").alias("pos"), "role", F.col("reply").alias("content"))
+    return metrics.completed(chat, 7).withColumnRenamed("traj_id", "conv_id")
 
 
 @query("a14_has_tool_turn", f"WITH {CH} SELECT traj AS traj_id, max(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS has_tool_turn FROM ch GROUP BY traj")
@@ -181,9 +191,7 @@ def _(spark, sf):
     SELECT traj AS traj_id, round(h + m, 6) AS score FROM a""",
 )
 def _(spark, sf):
-    chat = fx.chat(spark, sf)
-    both = metrics.has_tool_turn(chat).join(metrics.mean_calls_of_tool_turns(chat), "traj_id")
-    return both.select("traj_id", r6(F.lit(1.0) * F.col("has_tool_turn") + F.lit(1.0) * F.col("tool_turn_mean")).alias("score"))
+    return metrics.rubric(fx.chat(spark, sf)).withColumn("score", r6("score"))
 
 
 @query("a17_calls_per_turn", f"WITH {TC} SELECT traj AS traj_id, round(CASE WHEN turns = 0 THEN 0.0::DOUBLE ELSE calls::DOUBLE / turns END, 6) AS tool_use_reward FROM tc")
@@ -193,7 +201,7 @@ def _(spark, sf):
 
 @query("u5_observed_kinds", f"WITH {EV} SELECT DISTINCT kind FROM ev")
 def _(spark, sf):
-    return fx.events(spark, sf).select("kind").distinct()
+    return metrics.observed_kinds(fx.events(spark, sf))
 
 
 # --- set scores --------------------------------------------------------------------------------------------------------
@@ -222,11 +230,32 @@ def _(spark, sf):
     return rows.select("key", r6(parts["file_reward"]).alias("file_reward"), r6(total).alias("total"))
 
 
+@query(
+    "a11_levels_apart",
+    """WITH it AS (SELECT l_orderkey AS k, l_partkey AS p, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS pr, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS g FROM lineitem GROUP BY 1, 2), sz AS (
+    SELECT k, m, sum(CASE WHEN p % 3 <> m THEN pr * g ELSE 0 END)::DOUBLE AS c, sum(pr)::DOUBLE AS np, sum(CASE WHEN p % 3 <> m THEN g ELSE 0 END)::DOUBLE AS ng FROM it, (SELECT unnest([0, 1, 2]) AS m) GROUP BY k, m), f AS (
+    SELECT k, m, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE 2 * (c / np) * (c / ng) / (c / np + c / ng) END AS f1 FROM sz)
+    SELECT k AS key, round(max(f1) FILTER (m = 0), 6) AS file_reward, round(max(f1) FILTER (m = 1), 6) AS module_reward, round(max(f1) FILTER (m = 2), 6) AS entity_reward,
+    round(2.0::DOUBLE * max(f1) FILTER (m = 0) + max(f1) FILTER (m = 1) + 0.5::DOUBLE * max(f1) FILTER (m = 2), 6) AS total FROM f GROUP BY k""",
+)
+def _(spark, sf):
+    sets = fx.items(spark, sf).groupBy("key")
+    item = F.col("item").cast("string")
+    gold = lambda m: F.collect_set(F.when(F.col("gold") & (F.col("item") % 3 != m), item))
+    rows = sets.agg(F.collect_set(F.when(F.col("predicted"), item)).alias("predicted"), gold(0).alias("f"), gold(1).alias("m"), gold(2).alias("e"))
+    none = F.array().cast("array<string>")
+    change = lambda file, modules, entities: F.struct(file.alias("file"), F.struct(modules.alias("edited_modules"), entities.alias("edited_entities")).alias("changes"))
+    # files in entries of their own; what an entry without a file says of modules and entities counts as well
+    changes = F.concat(F.transform("f", lambda p: change(p, none, none)), F.array(change(F.lit(None).cast("string"), F.col("m"), F.col("e"))))
+    total, parts = scoring.multilevel({level: F.col("predicted") for level in scoring.LEVELS}, scoring.gold_levels(changes), {"file": 2.0, "module": 1.0, "entity": 0.5})
+    return rows.select("key", *[r6(parts[f"{level}_reward"]).alias(f"{level}_reward") for level in scoring.LEVELS], r6(total).alias("total"))
+
+
 @query("a12_file_f1", f"WITH {IT} SELECT k AS key, round(3.0::DOUBLE * f1, 6) AS score, round(f1, 6) AS part FROM s")
 def _(spark, sf):
     rows = fx.item_sets(spark, sf).withColumn("target", F.transform("gold", lambda p: F.struct(p.alias("file"), F.lit(1).alias("old_start"), F.lit(1).alias("old_count"))))
     score, parts = scoring.file_score(F.col("predicted"), F.col("target"), 3.0)
-    return rows.select("key", r6(score).alias("score"), r6(parts["file_localization_f1"]).alias("part"))
+    return rows.select("key", r6(score).alias("score"), r6(parts["file_level_score"]).alias("part"))
 
 
 @query("a13_precision_recall", f"WITH {IT} SELECT k AS key, round(pre, 6) AS precision, round(rec, 6) AS recall FROM s")
@@ -304,19 +333,41 @@ def _(spark, sf):
 
 @query("b6_cosine", f"WITH {TC14} SELECT traj AS traj_id, round({B4} + {B5}, 6) + 0.0::DOUBLE AS score FROM tc")
 def _(spark, sf):
-    return _short(spark, sf).select("traj_id", r6(rewards.cosine()[0]).alias("score"))
+    return _short(spark, sf).select("traj_id", r6(rewards.cosine(found="localization")[0]).alias("score"))
 
 
 @query(
     "b7_reward_manager",
     f"""WITH {TC14} SELECT traj AS traj_id, round(CASE WHEN traj % 5 = 0 THEN -10.0::DOUBLE ELSE {B4} + {B5} + {B2} + CASE WHEN turns > 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END, 6) + 0.0::DOUBLE AS total_reward,
-    round({B2}, 6) AS turn_efficiency, round({B4}, 6) + 0.0::DOUBLE AS cosine_turn_reward FROM tc""",
+    round({B2}, 6) AS turn_efficiency, round({B4}, 6) + 0.0::DOUBLE AS turn_cosine_reward FROM tc""",
 )
 def _(spark, sf):
     rows = _short(spark, sf).withColumn("final_message", F.when(F.col("traj_id") % 5 == 0, "").otherwise("done"))
-    done = rewards.score(rows, [{"fn": "cosine_reward"}, {"fn": "turn_efficiency"}, {"fn": "multiturn_reward", "args": {"minimal_turns": 2}}])
+    done = rewards.score(rows, [{"fn": "cosine_reward", "args": {"found": "localization"}}, {"fn": "turn_efficiency"}, {"fn": "multiturn_reward", "args": {"minimal_turns": 2}}])
     part = lambda n: r6(F.col("reward_dict")[n]).alias(n)
-    return done.select("traj_id", r6("total_reward").alias("total_reward"), part("turn_efficiency"), part("cosine_turn_reward"))
+    return done.select("traj_id", r6("total_reward").alias("total_reward"), part("turn_efficiency"), part("turn_cosine_reward"))
+
+
+#: Answers of three forms by trajectory: found (F1 1 at all levels), not parsed (no localization at all), and wrong (F1 0).
+FOUND = "CASE WHEN traj % 3 = 0 THEN 5.0::DOUBLE ELSE -5.0::DOUBLE END"
+
+
+@query(
+    "b6_failed_localization",
+    f"""WITH {TC14}, r AS (SELECT traj, {B4.replace(HI, FOUND)} AS t, {B5.replace(HI, FOUND)} AS c FROM tc)
+    SELECT traj AS traj_id, round(t + c, 6) + 0.0::DOUBLE AS total_reward, round(t, 6) + 0.0::DOUBLE AS turn_cosine_reward, round(c, 6) + 0.0::DOUBLE AS tool_cosine_reward,
+    CASE WHEN traj % 3 = 1 THEN NULL WHEN traj % 3 = 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS multilevel, CASE WHEN traj % 3 = 1 THEN 2 ELSE 6 END AS n_parts FROM r""",
+)
+def _(spark, sf):
+    form = F.col("traj_id") % 3
+    lines = F.when(form == 0, "a.py\nclass: C\nfunction: f").when(form == 1, "a.py\nfunction:\nfunction: f").otherwise("b.py\nfunction: f")
+    gold = F.array(F.struct(F.lit("a.py").alias("file"), F.struct(F.array(F.lit("a.py:C")).alias("edited_modules"), F.array(F.lit("a.py:C.f")).alias("edited_entities")).alias("changes")))
+    rows = _short(spark, sf)
+    sets = an.answer_sets(rows.select("traj_id", lines.alias("answer")))
+    done = rewards.score(rows.join(sets, "traj_id").withColumn("file_changes", gold).withColumn("final_message", F.lit("x")), [{"fn": "cosine_reward"}])
+    part = lambda n: r6(F.col("reward_dict")[n]).alias(n)
+    shown = [r6("total_reward").alias("total_reward"), part("turn_cosine_reward"), part("tool_cosine_reward"), F.col("reward_dict")["multilevel_localization_f1_reward"].alias("multilevel")]
+    return done.select("traj_id", *shown, F.size("reward_dict").alias("n_parts"))
 
 
 @query("a22_map_total", "SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 = 0 THEN 0.0::DOUBLE ELSE (o_orderkey % 7)::DOUBLE + 0.5::DOUBLE END, 6) AS total FROM orders")
@@ -386,10 +437,16 @@ def _(spark, sf):
     return means.select(*[r6(F.col(f"`{c}`")).alias(c) for c in means.columns])
 
 
-@query("f8_numeric_columns", "SELECT unnest(['n_chars', 'doc_id', 'is_long']) AS name")
+@query(
+    "f8_numeric_columns",
+    """WITH d AS (SELECT *, n_chars > 100 AS is_long FROM documents), c AS (SELECT column_name AS name FROM (DESCRIBE SELECT * FROM d) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'BOOLEAN'))
+    SELECT name, round(CASE name WHEN 'doc_id' THEN (SELECT avg(doc_id::DOUBLE) FROM d) WHEN 'n_chars' THEN (SELECT avg(n_chars::DOUBLE) FROM d) WHEN 'is_long' THEN (SELECT avg(is_long::INTEGER::DOUBLE) FROM d) END, 4) AS mean FROM c""",
+)
 def _(spark, sf):
     docs = fx.table(spark, sf, "documents").withColumn("is_long", F.col("n_chars") > 100)
-    return docs.limit(1).select(F.explode(F.array(*[F.lit(c) for c in rollout.numeric_columns(docs)])).alias("name"))
+    names = rollout.numeric_columns(docs)
+    means = docs.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.round(c, 4).alias("mean")) for c in names])).alias("m")).select("m.*")
 
 
 @query(
@@ -421,7 +478,39 @@ def _(spark, sf):
     return rows.select("group_id", F.array_join("values", ",").alias("vals"))
 
 
-@query("u2_all_or_none", "SELECT true AS ok")
+@query(
+    "u1_batches",
+    """WITH o AS (SELECT o_custkey AS g, o_orderkey AS k, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders)
+    SELECT (place // 64)::BIGINT AS batch, min(place)::BIGINT AS first, count(*)::INTEGER AS n, string_agg(g::VARCHAR, ',' ORDER BY place) AS ids, string_agg(k::VARCHAR, ',' ORDER BY place) AS vals FROM o GROUP BY 1""",
+)
+def _(spark, sf):
+    steps = fx.groups(spark, sf).select(F.col("group_id").cast("string").alias("ids"), F.col("pos").cast("string").alias("vals"), "group_id", "pos")
+    rows = rollout.batches(steps, ["ids", "vals"], 64, "group_id", "pos")
+    return rows.select("batch", "first", "n", F.array_join("ids", ",").alias("ids"), F.array_join("vals", ",").alias("vals"))
+
+
+@query(
+    "w4_place_in_batch",
+    "SELECT o_custkey AS group_id, o_orderkey AS pos, (row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1)::BIGINT AS place, ((row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) // 64)::BIGINT AS batch FROM orders",
+)
+def _(spark, sf):
+    rows = rollout.in_batch_order(fx.groups(spark, sf).select("group_id", "pos"), "group_id", "pos")
+    return rows.withColumn("batch", F.floor(F.col("place") / 64))
+
+
+@query(
+    "e10_fan_out",
+    """WITH o AS (SELECT o_custkey AS g, o_orderkey AS k, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM orders)
+    SELECT g AS group_id, k AS pos, k = l AS is_last, (l % 1000)::BIGINT AS advantage_of_last FROM o""",
+)
+def _(spark, sf):
+    steps = fx.groups(spark, sf).select("group_id", "pos", (F.col("pos") % 1000).alias("advantage"))
+    last = steps.groupBy("group_id").agg(F.max("pos").alias("last"))
+    flagged = steps.join(last, "group_id").select("group_id", "pos", "advantage", (F.col("pos") == F.col("last")).alias("is_last"))
+    return rollout.fanned_out(flagged, "advantage", "is_last", "group_id", "pos").drop("advantage")
+
+
+@query("u2_all_or_none", "SELECT count(o_orderkey % 50) IN (0, count(*)) AS ok FROM orders")
 def _(spark, sf):
     return rollout.all_or_none(fx.groups(spark, sf), "scheduled_step")
 
@@ -497,6 +586,28 @@ def _(spark, sf):
     return rows.select("instance_id", F.array_join(F.transform("target", shown), " ").alias("target"))
 
 
+@query(
+    "w1_carried_file",
+    f"""WITH {PQ}, c AS (SELECT o, p, q, 'src/m' || p || '.py' AS own FROM pq),
+    h AS (SELECT o, p, q, last_value(CASE WHEN p % 13 <> 0 THEN own END IGNORE NULLS) OVER (PARTITION BY o ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM c)
+    SELECT o AS instance_id, f AS file, (p + 1)::INTEGER AS old_start, q AS old_count FROM h WHERE f IS NOT NULL""",
+)
+def _(spark, sf):
+    return diff.targets_of_lines(diff.patch_lines(fx.patches(spark, sf))).drop("pos")
+
+
+@query(
+    "x3_patch_info",
+    f"""WITH {PQ} SELECT o AS instance_id, string_agg('src/m' || p || '.py:9' || (p + 1) || ',' || q || ',9' || (p + 2) || ',' || q || ' 1', ' ' ORDER BY p) AS files FROM pq GROUP BY o""",
+)
+def _(spark, sf):
+    again = F.regexp_replace("patch", "@@ -([0-9]+)((?:,[0-9]+)?) \\+([0-9]+)", "@@ -9$1$2 +9$3")  # each path twice: the second counts
+    rows = diff.with_patch_info(fx.patches(spark, sf).select("instance_id", F.concat("patch", again).alias("patch")))
+    number = lambda e: F.array_join(F.array(*[e["value"][n].cast("string") for n in diff.SIDES]), ",")
+    shown = F.transform(F.map_entries("patch_info"), lambda e: F.concat(e["key"], F.lit(":"), number(e), F.lit(" "), F.size(e["value"]["hunks"]).cast("string")))
+    return rows.select("instance_id", F.array_join(shown, " ").alias("files"))
+
+
 # --- answers -----------------------------------------------------------------------------------------------------------
 AW = f"""{PQ}, aw AS (SELECT o, p, 'src/m' || (p % 97) || '.py' AS file,
     CASE WHEN p % 3 = 2 THEN NULL ELSE 'C' || (p % 5) END AS cls, CASE p % 3 WHEN 0 THEN 'f' || (p % 11) WHEN 1 THEN '__init__' ELSE 'g' || (p % 7) END AS fn FROM pq),
@@ -519,6 +630,22 @@ def _(spark, sf):
     return an.locations(fx.answers(spark, sf)).select("traj_id", an.module(an.entity(F.col("file"), F.col("class"), F.col("function"))).alias("module")).distinct()
 
 
+@query("w2_carried_class", f'WITH {AW} SELECT o AS traj_id, file, cls AS "class", fn AS "function" FROM aw')
+def _(spark, sf):
+    return an.locations_of_lines(an.answer_lines(fx.answers(spark, sf))).select("traj_id", "file", "class", "function")
+
+
+@query(
+    "x7_unparsable_answers",
+    f"""WITH {AW}, g AS (SELECT o, string_agg(DISTINCT file, ' ' ORDER BY file) AS f, string_agg(DISTINCT e, ' ' ORDER BY e) AS e FROM en GROUP BY o)
+    SELECT o AS traj_id, CASE WHEN o % 4 <> 0 THEN f END AS files, CASE WHEN o % 4 <> 0 THEN e END AS entities FROM g""",
+)
+def _(spark, sf):
+    nameless = F.when(F.col("traj_id") % 4 == 0, F.concat(F.rtrim("answer", F.lit("`")), F.lit("\nmethod: \n```"))).otherwise(F.col("answer"))
+    sets = an.answer_sets(fx.answers(spark, sf).withColumn("answer", nameless))
+    return sets.select("traj_id", *[F.array_join(c, " ").alias(c) for c in ("files", "entities")])
+
+
 @query(
     "x7_answer_sets",
     f"WITH {AW} SELECT o AS traj_id, string_agg(DISTINCT file, ' ' ORDER BY file) AS files, string_agg(DISTINCT m, ' ' ORDER BY m) AS modules, string_agg(DISTINCT e, ' ' ORDER BY e) AS entities FROM en GROUP BY o",
@@ -587,6 +714,15 @@ def _(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", text.step_number(folder).alias("step"))
 
 
+@query("e7_working_directory", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '/w/org_repo_' || o_orderkey ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'own' END END AS cwd, 'ls' AS command FROM orders""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    plain, own = F.create_map(F.lit("command"), F.lit("ls")), F.create_map(F.lit("command"), F.lit("ls"), F.lit("cwd"), F.lit("own"))
+    rows = fx.table(spark, sf, "orders").select("o_orderkey", F.when(k % 2 == 0, own).otherwise(plain).alias("args"), F.when(k % 3 == 0, "bash").otherwise("grep").alias("tool"))
+    done = text.with_working_directory(F.col("args"), F.col("tool"), F.lit("org/repo"), k.cast("string"), "/w/")
+    return rows.select("o_orderkey", done["cwd"].alias("cwd"), done["command"].alias("command"))
+
+
 @query("x15_template", "SELECT doc_id AS instance_id, 'Fix c' || doc_id || ' in /w.' AS prompt FROM documents")
 def _(spark, sf):
     return fx.instances(spark, sf).select("instance_id", text.rendered("Fix {{ instance.commit }} in {{ working_dir }}.", **{"instance.commit": F.col("base_commit"), "working_dir": F.lit("/w")}).alias("prompt"))
@@ -620,11 +756,21 @@ def _(spark, sf):
     return rows.select("instance_id", F.get("prompt", F.lit(0))["role"].alias("role"), F.get("prompt", F.lit(0))["content"].alias("content"))
 
 
-@query("p3_evaluation_row", f"WITH {PQ}, g AS (SELECT o, max(CASE WHEN p % 13 <> 0 THEN 1 ELSE 0 END) AS kept FROM pq GROUP BY o) SELECT o AS instance_id, 2::BIGINT AS n_messages, 8 AS max_turns, kept = 1 AS has_answer FROM g")
+@query(
+    "p3_evaluation_row",
+    f"""WITH {PQ} SELECT o AS instance_id, 2::BIGINT AS n_messages, 512 AS max_tokens, 20 AS max_tool_calls, string_agg('src/m' || p || '.py', ',' ORDER BY p) AS files,
+    sum(p + 1)::BIGINT AS old_starts, count(*) AS n_hunks, round(CASE WHEN count(*) = 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE / (count(*) + 1) END, 6) AS f1_of_first FROM pq GROUP BY o""",
+)
 def _(spark, sf):
-    rows = diff.targets_column(fx.patches(spark, sf)).withColumn("problem_statement", F.lit("p")).withColumn("repo", F.lit("r"))
-    done = prep.with_evaluation_row(rows, "You find files.")
-    return done.select(F.col("info.instance_id").alias("instance_id"), F.size("prompt").cast("long").alias("n_messages"), F.col("info.limits.max_turns").alias("max_turns"), (F.col("answer") != "[]").alias("has_answer"))
+    rows = fx.patches(spark, sf).withColumn("problem_statement", F.lit("p")).withColumn("repo", F.lit("r"))
+    done = prep.with_evaluation_row(rows, "You find files.", 512, 20)
+    span = "struct<old_start:int,old_count:int,new_start:int,new_count:int,hunks:array<struct<old_start:int>>>"
+    parsed, files = F.from_json("answer", f"map<string,{span}>"), prep.answer_files(F.col("answer"))
+    total = F.aggregate(F.map_values(parsed), F.lit(0).cast("long"), lambda a, v: a + v["old_start"])
+    hunks = F.aggregate(F.map_values(parsed), F.lit(0).cast("long"), lambda a, v: a + F.size(v["hunks"]))
+    said = F.array(F.concat(F.lit("./"), F.get(files, F.lit(0))))  # an answer that names the first file only
+    score = scoring.set_f1(F.transform(said, text.normalize_path), files, 1.0)
+    return done.select("info.instance_id", F.size("prompt").cast("long").alias("n_messages"), "info.max_tokens", "info.max_tool_calls", F.array_join(files, ",").alias("files"), total.alias("old_starts"), hunks.alias("n_hunks"), r6(score).alias("f1_of_first"))
 
 
 @query("p4_project", "SELECT doc_id AS instance_id, lang || '/' || source AS repo, 'c' || doc_id AS base_commit FROM documents")
@@ -679,6 +825,17 @@ def _(spark, sf):
     return lists.select("o_custkey", F.explode(zipped).alias("z")).select("o_custkey", F.col("z.k").alias("o_orderkey"), F.col("z.p").alias("o_orderpriority"))
 
 
+@query(
+    "j3_zipped_tables",
+    """WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders), b AS (SELECT o_orderkey AS other, o_custkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS i FROM orders)
+    SELECT o_orderkey, other, o_custkey FROM a JOIN b ON a.i = b.i""",
+)
+def _(spark, sf):
+    orders = fx.table(spark, sf, "orders")
+    others = orders.select(F.col("o_orderkey").alias("other"), "o_custkey")
+    return order.zipped(orders.select("o_orderkey", "o_totalprice"), others, ["o_totalprice", "o_orderkey"], [-F.col("o_custkey"), "other"]).select("o_orderkey", "other", "o_custkey")
+
+
 @query("j4_semi_join", f"WITH {REPOS} SELECT count(*) AS n FROM documents WHERE lang || '/' || source IN (SELECT repo FROM k)")
 def _(spark, sf):
     return prep.first_n_keys(fx.instances(spark, sf), "repo", "instance_id", 5).agg(F.count("*").alias("n"))
@@ -689,7 +846,7 @@ def _(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").limit(25)
 
 
-@query("o4_shuffle_unseeded")
+@query("o4_shuffle_unseeded", "SELECT doc_id AS instance_id FROM documents")
 def _(spark, sf):
     return prep.shuffled(fx.instances(spark, sf), "instance_id").select("instance_id")
 
@@ -704,15 +861,33 @@ def _(spark, sf):
     return prep.tail_split(fx.instances(spark, sf), prep.by_hash("instance_id", 42)).groupBy("split").agg(F.count("*").alias("n_rows"))
 
 
+@query(
+    "o6_split_with_ties",
+    """WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT lang, source, count(*) AS m FROM documents GROUP BY ALL), c AS (
+    SELECT lang, source, m, coalesce(sum(m) OVER (ORDER BY lang DESC, source DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM k), h AS (
+    SELECT lang, source, m, greatest(0, least(m, 100 - after)) AS held FROM c)
+    SELECT lang, source, 'validation' AS split, held::BIGINT AS n_rows FROM h WHERE held > 0 UNION ALL SELECT lang, source, 'train', (m - held)::BIGINT FROM h WHERE m > held""",
+)
+def _(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return prep.tail_split(docs, [F.col("lang"), F.col("source")]).groupBy("lang", "source", "split").agg(F.count("*").alias("n_rows"))
+
+
 @query("o7_ratio_split", "WITH n AS (SELECT count(*) AS n FROM documents) SELECT 'test' AS split, ceil(n * 0.2)::BIGINT AS n_rows FROM n UNION ALL SELECT 'train', n - ceil(n * 0.2)::BIGINT FROM n")
 def _(spark, sf):
     return prep.ratio_split(fx.instances(spark, sf), "instance_id").groupBy("split").agg(F.count("*").alias("n_rows"))
 
 
-@query("o8_mode_select", "SELECT count(*) AS n FROM documents")
+@query(
+    "o8_mode_select",
+    """WITH n AS (SELECT count(*) AS n, ceil(count(*) * 0.2)::BIGINT AS t FROM documents)
+    SELECT 'train' AS mode, 'train' AS split, n - t AS n_rows FROM n UNION ALL SELECT 'test', 'test', t FROM n UNION ALL SELECT 'full', 'train', n - t FROM n UNION ALL SELECT 'full', 'test', t FROM n""",
+)
 def _(spark, sf):
     rows = prep.ratio_split(fx.instances(spark, sf), "instance_id")
-    return prep.select_mode(rows.where("split = 'train'"), rows.where("split = 'test'"), "full").agg(F.count("*").alias("n"))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    of = lambda mode: prep.select_mode(train, test, mode).groupBy(F.lit(mode).alias("mode"), "split").agg(F.count("*").alias("n_rows"))
+    return of("train").unionByName(of("test")).unionByName(of("full"))
 
 
 @query("a23_success_count", "SELECT count(*) FILTER (o_orderstatus = 'F') AS n_ok, count(*) AS n FROM orders")
@@ -748,7 +923,43 @@ def _written_runs(spark, sf) -> str:
 )
 def _(spark, sf):
     rows = rp.report(sources.read_trajectories(spark, _written_runs(spark, sf)))
-    return rows.select("step", "phase", "id", "count_TokenEvent", r6("reward").alias("reward"))
+    return rows.select("step", "phase", "id", "count_TokenEvent", r6("total_reward").alias("reward"))
+
+
+def _tree_with_rejects(spark, sf) -> str:
+    """The tree, with names that need encoding, and documents that can't be read for every tenth run: broken, a list, empty, of another type."""
+    rows, root = run_trajectories(spark, sf), sources.scratch_folder(spark, "rejects")
+    t = F.col("id").cast("long")
+    kinds = F.transform("messages", lambda m: F.struct(m["kind"].alias("kind")))
+    good = F.to_json(F.struct("reward_dict", kinds.alias("messages"), "final_message"))
+    body = F.when(t % 40 == 3, "{ broken").when(t % 40 == 13, "[1, 2]").when(t % 40 == 23, "").when(t % 40 == 33, '{"messages": "none"}').otherwise(good)
+    sources.write_files(rows.select(F.concat(F.lit("step_"), "step", F.lit("/"), "phase", F.lit("/run "), "id", F.lit("+b%2.json")).alias("name"), body.alias("body")), root)
+    return root
+
+
+@query(
+    "s4_report_and_rejects",
+    """WITH tr AS (SELECT user_id AS u, count(*) FILTER (event_type IN ('view','click')) AS ct FROM events GROUP BY 1), x AS (
+    SELECT u, (u % 5)::INTEGER AS step, CASE WHEN u % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, 'run ' || u || '+b%2' AS id, ct FROM tr)
+    SELECT step, phase, id, CASE u % 40 WHEN 3 THEN 'not a JSON document' WHEN 13 THEN 'not an object' WHEN 23 THEN 'empty file' WHEN 33 THEN 'a field has an unexpected type' END AS reason,
+    CASE WHEN u % 10 <> 3 THEN ct END AS "count_TokenEvent" FROM x""",
+)
+def _(spark, sf):
+    scan = sources.written(sources.scan_trajectories(spark, _tree_with_rejects(spark, sf)), "scan")
+    rows = rp.report(scan.where("reason is null").drop("path", "reason"))
+    parts = F.split("path", "/")
+    refused = sources.rejects(scan).select(text.step_number(F.element_at(parts, -3)).alias("step"), F.element_at(parts, -2).alias("phase"), F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("id"), "reason")
+    return rows.select("step", "phase", "id", F.lit(None).cast("string").alias("reason"), "count_TokenEvent").unionByName(refused.withColumn("count_TokenEvent", F.lit(None).cast("long")))
+
+
+@query(
+    "s3_converted_store",
+    """WITH tr AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY 1) SELECT (u % 5)::INTEGER AS step, CASE WHEN u % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, u || '_0' AS id, n AS n_messages FROM tr WHERE u % 10 <> 3 AND u % 5 >= 2""",
+)
+def _(spark, sf):
+    store = sources.scratch_folder(spark, "store")
+    sources.convert_trajectories(spark, _written_runs(spark, sf), store)
+    return sources.read_store(spark, store).where("step >= 2").select("step", "phase", "id", F.size("messages").cast("long").alias("n_messages"))
 
 
 @query("k2_k3_errors", "SELECT DISTINCT 'failed ' || user_id AS error FROM events WHERE user_id % 10 = 3")
@@ -789,6 +1000,14 @@ def _(spark, sf):
     return fx.events(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("s6_snapshot_of_one_run", f"WITH {EV} SELECT traj AS traj_id, pos, kind, CASE WHEN kind = 'TokenEvent' THEN np END AS n_prompt FROM ev WHERE traj = (SELECT min(user_id) FROM events)")
+def _(spark, sf):
+    log = fx.events(spark, sf)
+    one = log.join(F.broadcast(log.agg(F.min("traj_id").alias("traj_id"))), "traj_id", "left_semi")  # one row
+    state = [row.asDict() for row in one.select("traj_id", "pos", "kind", "prompt_token_ids").collect()]  # one run's events, as an agent holds them
+    return sources.snapshot(spark, state).select("traj_id", "pos", "kind", F.size("prompt_token_ids").cast("long").alias("n_prompt"))
+
+
 @query(
     "s8_regex_search",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE lang = 'en')
@@ -799,6 +1018,20 @@ def _(spark, sf):
     return sources.search_lines(fx.table(spark, sf, "documents").select(path.alias("path"), F.col("text").alias("content")), "[Ll]icens", "*.py")
 
 
+@query(
+    "s8_file_search",
+    r"""WITH l AS (SELECT doc_id, doc_id % 7 AS b, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents), n AS (
+    SELECT b, t, row_number() OVER (PARTITION BY b ORDER BY doc_id, i) AS line FROM l)
+    SELECT 'bucket=' || b AS folder, line::BIGINT AS line, t AS text FROM n WHERE regexp_matches(t, '[Ll]icens') ORDER BY b, line LIMIT 100""",
+)
+def _(spark, sf):
+    root = sources.scratch_folder(spark, "texts")
+    docs = fx.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7).alias("bucket"), F.posexplode(F.split("text", "\n")).alias("i", "value"))
+    docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "i").select("bucket", "value").write.partitionBy("bucket").text(root)
+    hits = sources.search_files(spark, root, "[Ll]icens", "*.txt")
+    return hits.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "line", "text")
+
+
 RPT = """tr AS (SELECT user_id AS u, user_id % 5 AS step, CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'eval' END AS phase,
     count(*) FILTER (event_type IN ('purchase','error')) AS ca, count(*) FILTER (event_type = 'signup') AS cm, count(*) FILTER (event_type IN ('view','click')) AS ct FROM events GROUP BY 1)"""
 
@@ -820,13 +1053,36 @@ def run_trajectories(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "p5_o1_report",
-    f"""WITH {RPT} SELECT step::INTEGER AS step, phase, u::VARCHAR AS id, ca AS "count_ActionEvent", cm AS "count_MessageEvent", ct AS "count_TokenEvent",
-    (u % 7)::DOUBLE + 0.5::DOUBLE AS reward, CASE WHEN u % 700 > 500 THEN repeat('m', 500) || '...' ELSE repeat('m', (u % 700)::INTEGER) END AS final_message, '[]' AS target FROM tr""",
+    f"""WITH {RPT} SELECT u::VARCHAR AS id, step::INTEGER AS step, phase, ca + cm + ct AS num_messages, (u % 7)::DOUBLE + 0.5::DOUBLE AS total_reward, ca AS "count_ActionEvent", cm AS "count_MessageEvent",
+    ct AS "count_TokenEvent", CASE WHEN u % 700 > 500 THEN repeat('m', 500) || '...' ELSE repeat('m', (u % 700)::INTEGER) END AS final_message FROM tr""",
 )
 def _(spark, sf):
     return rp.report(run_trajectories(spark, sf))
 
 
+def mixed_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.mixed_events(spark, sf).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind"))).alias("messages"))
+    t = F.col("traj_id")
+    return rows.select((t % 5).cast("int").alias("step"), F.lit("train").alias("phase"), t.cast("string").alias("id"), "messages", F.create_map(F.lit("a"), (t % 7).cast("double")).alias("reward_dict"), F.lit(None).cast("string").alias("final_message"))
+
+
+@query(
+    "p5_found_kinds",
+    f"""WITH {MX} SELECT traj::VARCHAR AS id, (traj % 5)::INTEGER AS step, 'train' AS phase, count(*) AS num_messages, (traj % 7)::DOUBLE AS total_reward, {MX_COUNTS}, '' AS final_message FROM mx GROUP BY traj""",
+)
+def _(spark, sf):
+    return rp.report(mixed_trajectories(spark, sf))
+
+
+@query(
+    "k7_found_kinds",
+    f"""WITH {MX} SELECT count(DISTINCT traj) AS n_trajectories, min(traj % 5)::INTEGER AS min_step, max(traj % 5)::INTEGER AS max_step, {MX_COUNTS.replace('"count_', '"sum_')},
+    (SELECT round(avg((t % 7)::DOUBLE), 4) FROM (SELECT DISTINCT user_id AS t FROM events)) AS mean_reward FROM mx""",
+)
+def _(spark, sf):
+    return rp.summary(rp.report(mixed_trajectories(spark, sf)))
+
+
 @query("o2_head", f"WITH {RPT} SELECT step::INTEGER AS step, u::VARCHAR AS id FROM tr ORDER BY step, u::VARCHAR LIMIT 10")
 def _(spark, sf):
     return rp.head(rp.report(run_trajectories(spark, sf))).select("step", "id")

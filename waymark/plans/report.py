@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
-from ..operators.metrics import map_total
-from ..schemas import KINDS
+from ..operators.metrics import kind_name, listed_kinds, map_total
+
+
+def message_kinds(trajectories: DataFrame) -> DataFrame:
+    """kind: the distinct kinds of all messages."""
+    return trajectories.select(F.explode("messages").alias("m")).select(kind_name(F.col("m.kind")).alias("kind")).distinct()
 
 
 def report(trajectories: DataFrame, kinds: list[str] | None = None, message_col: str = "final_message") -> DataFrame:
-    """step, phase, id, count_<kind> in order of name, reward, final_message, target; reward is the sum of all parts."""
-    kinds = sorted(kinds or KINDS)
-    of = lambda kind: F.size(F.filter(F.coalesce("messages", F.array()), lambda m: F.coalesce(m["kind"], F.lit("Unknown")) == kind))
+    """id, step, phase, num_messages, total_reward, count_<kind> in order of name, final_message; sorted by step and id.
+
+    The kinds are those of the messages unless given; a message without one is `Unknown`. total_reward is the sum of all parts.
+    """
+    kinds = listed_kinds(message_kinds(trajectories)) if kinds is None else sorted(kinds)
+    messages = F.coalesce("messages", F.array())
+    of = lambda kind: F.size(F.filter(messages, lambda m: kind_name(m["kind"]) == kind))
     return trajectories.select(
+        "id",
         "step",
         "phase",
-        "id",
-        *[F.coalesce(of(k), F.lit(0)).cast("long").alias(f"count_{k}") for k in kinds],
-        map_total(F.col("reward_dict")).alias("reward"),
+        F.size(messages).cast("long").alias("num_messages"),
+        map_total(F.col("reward_dict")).alias("total_reward"),
+        *[of(k).cast("long").alias(f"count_{k}") for k in kinds],
         truncated(F.coalesce(F.col(message_col), F.lit(""))).alias("final_message"),
-        "target",
     ).orderBy("step", "id")
 
 
@@ -32,8 +40,8 @@ def summary(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n_trajectories"),
         F.min("step").alias("min_step"),
         F.max("step").alias("max_step"),
-        *[F.sum(c).alias(f"sum_{c[6:]}") for c in counts],
-        F.round(F.avg("reward"), 4).alias("mean_reward"),
+        *[F.sum(f"`{c}`").alias(f"sum_{c[6:]}") for c in counts],
+        F.round(F.avg("total_reward"), 4).alias("mean_reward"),
     )
 
 

@@ -8,4 +8,5 @@ TRAJECTORY = (
     "instance_id string, target string, total_reward double, reward_dict map<string,double>, final_message string,"
     f" parsed_final_message string, raw_final_message string, messages array<{MESSAGE}>"
 )
-KINDS = ["ActionEvent", "MessageEvent", "TokenEvent"]
+#: The kind of an event that has none.
+UNKNOWN_KIND = "Unknown"
