@@ -1,5 +1,6 @@
 """Plain single-process versions of the operators, for small inputs."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -204,3 +205,98 @@ def page_texts(rows, many=10):
 
         out[i] = "\n\n".join(b for b in (" ".join(references.unescape("".join(b)).split()) for b in blocks) if b)
     return out
+
+
+def groups_of(docs, shingle=4, least=85):
+    """The groups of linked sets, one for each set."""
+    return _linked(docs, shingle, least)[1].values()
+
+
+def components_by_set(docs, shingle=4, least=85):
+    """Counter of (doc_id, n_shingles, component_id) where a set, and no id, is what links; rows with a null id link with nothing."""
+    rows, group = _linked(docs, shingle, least)
+    first = {}
+    for g in group.values():
+        if id(g) not in first:
+            first[id(g)] = min(i for i, x in rows if x in g and i is not None)
+    return Counter((i, len(s), i if i is None or not s else first[id(group[s])]) for i, s in rows)
+
+
+def _linked(docs, shingle, least):
+    rows = []
+    for i, text in docs:
+        w = words(text)
+        rows.append((i, frozenset(tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)] if w else [])))
+    sets = sorted({s for i, s in rows if s and i is not None}, key=len)
+    group = {s: {s} for s in sets}
+    for k, a in enumerate(sets):
+        for b in sets[k + 1 :]:
+            if 100 * len(a) < least * len(b):
+                break
+            both = len(a & b)
+            if 100 * both >= least * (len(a) + len(b) - both) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for c in group[b]:
+                    group[c] = group[a]
+    return rows, group
+
+
+def search(docs, items, k=20):
+    """(item_id, rank, doc_id, score) of every distinct item, by scoring every document."""
+    import math
+    import re
+
+    cut = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    held = [(i, Counter(cut(text))) for i, text in docs]
+    n_docs, n_terms = sum(bool(c) for _, c in held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in {(i, t) for i, t in items if t is not None}:
+        scored = []
+        for i, c in held:
+            if i is None or not c:
+                continue
+            m = 75 + (25 * sum(c.values()) * n_docs) // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t in cut(text) if t in c)
+            if score > 0:
+                scored.append((-score, i))
+        out += [(item, rank, i, -score) for rank, (score, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def manifest(rows, fanout=2):
+    """Rows (doc_id, source, lang, n_chars, text) to (doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)."""
+    import zlib
+
+    digest = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: digest(*map(field, r))
+
+    def tree(nodes):
+        """(root, for each node its siblings by level: (left, right))"""
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for i, p in enumerate(at):
+                run = nodes[p // fanout * fanout : p // fanout * fanout + fanout]
+                paths[i].append(("".join(run[: p % fanout]), "".join(run[p % fanout + 1 :])))
+            nodes, at = [digest(*nodes[i : i + fanout]) for i in range(0, len(nodes), fanout)], [p // fanout for p in at]
+        return nodes[0], paths
+
+    by_lang = defaultdict(list)
+    for r in rows:
+        by_lang[r[2]].append(r)
+    langs = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for lang in langs:
+        by_lang[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[lang] = tree([leaf(r) for r in by_lang[lang]])
+    root, above = tree([trees[lang][0] for lang in langs])
+    out = []
+    for k, lang in enumerate(langs):
+        for r, path in zip(by_lang[lang], trees[lang][1], strict=True):
+            hit = r[0] is not None and r[3] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            acc, siblings = leaf((*r[:3], r[3] + 1, r[4])) if hit else leaf(r), ""
+            for left, right in path + above[k]:
+                acc, siblings = digest(left, acc, right), siblings + left + right
+            out.append((r[0], leaf(r), trees[lang][0], root, digest(siblings), acc, acc == root))
+    return out

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from waymark.llm import bpe, components, decontaminate, jaccard_join, line_frequency, ordinal, packed_ids, page_text, perspectives, repeats, shared, warc
+from waymark.llm import bpe, components, decontaminate, jaccard_join, langid, lexical, line_frequency, manifest, ordinal, packed_ids, page_text, perspectives, repeats, shared, warc
 from waymark.llm import words as hashed_words
 
 SF = "/root/testdata/sf0.001"
@@ -585,6 +585,40 @@ def test_jaccard_different_texts_under_one_id(spark):
     assert Counter(map(tuple, jaccard_join.first_of_each(docs).collect())) == Counter([rows[0], rows[2]])
 
 
+@pytest.mark.parametrize(("shingle", "least"), [(4, 85), (5, 80)])
+def test_jaccard_of_repeated_rows_and_ids(spark, shingle, least):
+    random.seed(least)
+    rows = []
+    for k in range(60):  # near copies at 60 to 95 %, with rows repeated and ids shared by texts of one size
+        w = [f"r{k}_{i}" for i in range(random.choice([30, 100, 140]))]
+        for j in range(3):
+            keep = random.randrange(60, 96)
+            x = w[: len(w) * keep // 100] + [f"o{k}_{j}_{i}" for i in range(len(w) - len(w) * keep // 100)]
+            rows += [(random.randrange(3 * k, 3 * k + 4), " ".join(x))] * random.choice([1, 1, 2, 5])
+    rows += [(3, "a b c d e f g h"), (3, "a b c d e f g h"), (None, "a b c d e f g h"), (4, "a b c d e f g i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = brute.components_by_set(rows, shingle, least)
+    assert Counter(map(tuple, jaccard_join.components(docs, shingle, least).collect())) == expected
+    # one row of each component stays, and those with a null id
+    kept = Counter(map(tuple, jaccard_join.first_of_each(docs, shingle, least).collect()))
+    assert max(kept.values()) == 1 and kept[None, "a b c d e f g h"] == 1
+    assert all(len(g) == 1 for g in brute.groups_of([row for row in kept if row[0] is not None], shingle, least))
+    assert {i for i, _ in kept} == {c for _, _, c in expected}
+    n_components = len({id(g) for g in brute.groups_of(rows, shingle, least)})
+    assert len(kept) == n_components + 1
+
+
+def test_jaccard_repeats_make_no_false_links(spark):
+    w = [f"w{i}" for i in range(110)]
+    a, b = " ".join(w), " ".join(w[:90] + [f"x{i}" for i in range(20)])  # 87 of 107 shingles each
+    docs = spark.createDataFrame([(3, a), (3, a), (4, b)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.components(docs).collect())) == [(3, 107, 3), (3, 107, 3), (4, 107, 4)]
+    assert sorted(r.doc_id for r in jaccard_join.first_of_each(docs).collect()) == [3, 4]
+    y, z = ([f"{c}{i}" for i in range(60)] for c in "yz")
+    docs = spark.createDataFrame([(1, " ".join(w[:60] + y[:43])), (1, " ".join(w[60:103] + z)), (2, " ".join(w[:103]))], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.components(docs).collect())) == [(1, 100, 1), (1, 100, 1), (2, 100, 2)]
+
+
 @pytest.mark.parametrize(("shingle", "least"), [(4, 85), (5, 80)])
 def test_jaccard_links_one_word_more(spark, shingle, least):
     rows = []
@@ -615,3 +649,144 @@ def test_word_hashes():
 
     flat, counts = hashed_words.hashed(pa.array(["A b\x0bé\xa0x", None, "", "a B"]))
     assert counts.tolist() == [3, 0, 0, 2] and flat[0] == flat[3] and flat[1] == flat[4]
+
+
+# --- language families
+def test_languages_are_told_apart_on_held_out_rows(spark):
+    docs = shared.table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en", "es", "fr"] and sorted(map(len, model.families)) == [2, 2]
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert {r.doc_id for r in held} == {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_of_odd_rows(spark):
+    odd = [(None, "the and with", None), (-1, None, "en"), (-2, "", "en"), (-3, "12 34 ... \u2603 \u00b2", "de"), (-4, "\u4f60\u597d", None), (-5, "a", None), (-6, "the " * 400_000, None), (-6, "the " * 400_000, None)]
+    base = shared.table(spark, SF, "documents").select("doc_id", "text", "lang")
+    docs = base.union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    rows = [tuple(r) for r in langid.identify(clashing(docs.withColumn("held_out", F.lit(True)).withColumn("score", F.lit("x")))).collect()]
+    got = Counter(rows)
+    assert sum(got.values()) == docs.count()
+    assert {r[0] for r in rows if r[2] == "und"} == {-1, -2, -3} and all(r[3] == 0.0 for r in rows if r[2] == "und")
+    assert [r for r in rows if r[0] is None][0][1] is False and got[[r for r in rows if r[0] == -6][0]] == 2
+    assert langid.identify(docs.limit(0)).collect() == []
+    unlabelled = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {(r.lang_pred, r.score) for r in unlabelled.collect()} == {("und", 0.0)}
+    single = langid.identify(docs.where("lang = 'en' or lang is null"))
+    assert {(r.lang_pred, r.score) for r in single.collect()} == {("und", 0.0), ("en", 1.0)}
+    # labels, sources and ids of predicted rows change nothing
+    held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    rest = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(True)))
+    other = langid.identify(rest.union(held.withColumn("lang", F.lit("xx"))))
+    assert Counter(map(tuple, other.collect())) == got
+
+
+def test_language_pieces_lose_no_n_gram(monkeypatch):
+    random.seed(4)
+    texts = ["".join(random.choice("abc \u00e9\u00df1") for _ in range(random.randrange(1, 300))) for _ in range(40)]
+    weights = np.random.default_rng(0).normal(size=(langid.DIMENSIONS, 3)).astype(np.float32)
+
+    def sums():
+        pieces = langid.Pieces()
+        n = [pieces.add(i, t) for i, t in enumerate(texts)]
+        return langid.margins(pieces, len(texts), weights), n
+
+    whole, n = sums()
+    monkeypatch.setattr(langid, "PIECE", 17)
+    cut, m = sums()
+    assert n == m and np.allclose(whole, cut)
+    plain = np.zeros((len(texts), 3))
+    for i, text in enumerate(texts):
+        data = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()) + b"  "
+        for s, slot in enumerate(langid.slots(data)):
+            plain[i] += weights[slot[: len(data) - 2]].sum(0, dtype=np.float64)
+    assert np.allclose(plain, whole, atol=1e-3)
+
+
+def test_svm_reaches_the_plain_optimum(monkeypatch):
+    random.seed(2)
+    monkeypatch.setattr(langid, "PASSES", 2000)
+    rows = [np.sort(np.array(random.sample(range(12), 5))) for _ in range(30)]
+    values = [np.array([random.random() for _ in r], np.float32) for r in rows]
+    signs = np.array([1.0 if 3 in r else -1.0 for r in rows])
+    data = langid.Rows(rows, values, np.ones(langid.DIMENSIONS))
+    w, bias = data.svm(np.arange(30), signs)
+    x = np.zeros((30, 13))
+    for i, (r, v) in enumerate(zip(rows, data.values)):
+        x[i, r], x[i, 12] = v, 1
+
+    def loss(u):
+        return u @ u / 2 + langid.COST * (np.maximum(0, 1 - signs * (x @ u)) ** 2).sum()
+
+    u = np.append(w[:12] / data.scale[:12], bias)
+    best = loss(u)
+    for _ in range(300):
+        assert loss(u + np.random.default_rng(_).normal(size=13) * 0.01) >= best - 1e-3
+
+
+def test_families_follow_the_nearest_means():
+    means = np.array([[1, 0, 0.1], [0, 1, 0], [0.9, 0, 0.2], [0, 0.8, 0.1]])
+    assert langid.families_of(means) == [[0, 2], [1, 3]] and langid.families_of(means[:1]) == [[0]]
+    assert [len(langid.families_of(np.eye(n))) for n in (2, 3, 5, 9)] == [2, 2, 3, 3]
+
+
+# --- ranked search
+def search(spark, docs, items, k=20):
+    frame = lambda rows, c: spark.createDataFrame(rows, f"{c} long, text string").repartition(3)
+    return sorted(map(tuple, lexical.rank(clashing(frame(docs, "doc_id")), clashing(frame(items, "item_id")), k).collect()), key=repr)
+
+
+@pytest.mark.parametrize(("shard", "step", "block"), [(1 << 20, 16, 1 << 20), (200, 1, 400), (3000, 2, 1 << 20)])
+def test_search_equals_brute_force(spark, monkeypatch, shard, step, block):
+    for name, value in (("SHARD", shard), ("STEP", step), ("QUERY_BYTES", block)):
+        monkeypatch.setattr(lexical, name, value)
+    random.seed(shard)
+    common, rare = [f"w{i}" for i in range(40)], [f"\u00e9{i}" for i in range(400)]
+    say = lambda n: " ".join(random.choice(common if random.random() < 0.7 else rare).upper() if random.random() < 0.1 else random.choice(common if random.random() < 0.6 else rare) for _ in range(n))
+    docs = [(i, say(random.randrange(0, 90))) for i in range(400)] + [(1000 + i, "w1 w2 w3") for i in range(60)] + [(i, f"W1_w2-w{i % 5}") for i in range(5)] * 2
+    docs += [(7, None), (8, ""), (None, "w1 w2 \u00e93"), (9, "..."), (10, "w1 " * 30_000), (-1, "\u00e9" * 50_000)]
+    items = [(i, say(random.randrange(1, 30))) for i in range(25)] + [(100, "w1 w1 w2"), (100, "w1 w1 w2"), (100, "w3"), (None, "w2 \u00e93"), (101, ""), (102, None), (103, "nowhere at all"), (104, "w1\x00w2")]
+    for k in (20, 3):
+        assert search(spark, docs, items, k) == brute.search(docs, items, k)
+
+
+def test_search_of_empty_tables(spark):
+    assert search(spark, [], [(1, "a")]) == [] and search(spark, [(1, "a"), (2, "b")], []) == [] and search(spark, [(1, None)], [(1, "a")]) == []
+
+
+def test_best_positions_stop_early(monkeypatch):
+    import pyarrow as pa
+
+    # one list falls off at once: the search must not read it to its end
+    n = 5000
+    tf = np.where(np.arange(n) < 25, 50, 1).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, 100)), pa.array([[0]] * n, pa.list_(pa.int32())), pa.array([[int(t)] for t in tf], pa.list_(pa.int32()))], ["doc_id", "n", "terms", "tfs"])
+    shard = lexical.Shard([batch], np.array([700]), n, 100 * n)
+    read, ragged = [], shared.ragged
+    monkeypatch.setattr(shared, "ragged", lambda s, c: read.append(int(np.sum(c))) or ragged(s, c))
+    none = np.zeros(0, np.int64)
+    scores, ids = shard.search(np.array([0]), np.array([2]), (none, none), 20)
+    assert ids.tolist() == list(range(20)) and len(set(scores.tolist())) == 1 and sum(read) < 400
+
+
+# --- Merkle manifest
+def manifest_rows(docs):
+    return sorted(map(tuple, manifest.manifest(clashing(docs)).collect()), key=repr)
+
+
+@pytest.mark.parametrize(("fanout", "digits"), [(2, 9), (2, 2), (3, 1)])
+def test_manifest_equals_brute_force(spark, monkeypatch, fanout, digits):
+    monkeypatch.setattr(manifest, "FANOUT", fanout)
+    monkeypatch.setattr(manifest, "DIGITS", digits)
+    monkeypatch.setattr(manifest, "LANG_DIGITS", 1)
+    base = [tuple(r) for r in shared.table(spark, SF, "documents").select("doc_id", "source", "lang", "n_chars", "text").limit(60).collect()]
+    odd = [(None, "s", "en", 3, "x"), (None, None, None, None, None), (-7, "s", None, None, "\u00e9" * 9), (14, "", "", 0, ""), (14, "", "", 0, ""), (14, "", "", 1, ""), (5, "s", "z\u00e9", 5, "a:1"), (1 << 40, "s", "zz", None, "x" * 300_000)]
+    docs = spark.createDataFrame(base + odd, "doc_id long, source string, lang string, n_chars long, text string").repartition(4)
+    got = manifest_rows(docs)
+    assert got == sorted(brute.manifest(base + odd, fanout), key=repr)
+    assert {r[-1] for r in got} == {True, False}
+    assert manifest_rows(docs.limit(0)) == []
+    one = manifest_rows(docs.where("lang = 'zz'"))
+    assert one[0][1] == one[0][2] == one[0][3] and one[0][4] == hashlib.sha256(b"").hexdigest()

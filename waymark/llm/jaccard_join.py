@@ -7,8 +7,9 @@ of n, a linked partner lacks at most m = n - ceil(LEAST n / 100) of its shingles
 - the first m + 1 shingles (the prefix) hold one of the partner's prefix, and
 - the first m + 1 that both have are among its first 2m + 1 and among the partner's first m + m' + 1 (m' the partner's m).
 
-1. Documents of equal sets become one (the least id). The first M + m + 1 shingles of each set under a random order (M the
-   m of the largest partner, 100 n / LEAST) are rows (shingle, document), and shingles of two documents or more are found by
+1. Rows of one id and text become one, then documents of equal sets: a set is known by the number of its first row (least id), never by
+   an id, so that repeated rows and different texts under one id stay apart. The first M + m + 1 shingles of each set under a random order (M the
+   m of the largest partner, 100 n / LEAST) are rows (shingle, set), and shingles of two sets or more are found by
    partial aggregation. A set stays if at least m + 1 of its own are shared. (A second random order would look at another
    half of the same set: it doubles the rows and lets hardly fewer stay, so it waits for step 3.)
 2. The shingles of what stays are counted; the third order is rarest first. `alone` shingles no other set has; a set stays
@@ -25,7 +26,7 @@ skew are written first, so that a join meets them as plain scans and adaptive ex
 
 Null or empty texts have empty sets and link with nothing. Rows with a null id link with nothing (component null). Rows
 repeated with one id and text are one document, each with its row in the result; different texts under one id are
-documents of their own, each with the component of its set. Other columns are not read.
+documents of their own, each with the component of its set (the least id of the component's documents). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -82,6 +83,7 @@ def lists_of(arrays: list[np.ndarray]) -> pa.Array:
 
 
 DESCRIBED = "doc_id long, mark long, n long, print1 long, print2 long, asks array<long>"
+SET = ["print1", "print2", "n"]
 
 
 def describe(shingle: int, least: int):
@@ -140,17 +142,34 @@ def lacking(least: int) -> Column:
     return F.expr(f"n * {100 - least} div 100")
 
 
+def same_set() -> Column:
+    """A row of `described` is of the set of _print1, _print2 and _n."""
+    return (F.col("print1") == F.col("_print1")) & (F.col("print2") == F.col("_print2")) & (F.col("n") == F.col("_n")) & F.col("doc_id").isNotNull()
+
+
+def set_classes(described: DataFrame) -> DataFrame:
+    """A row per set: print1, print2, n, doc_id and mark of its first document, row (that one's first row), repeated (it has several), alike (the set has several rows)."""
+    keyed = described.where("n > 0 and doc_id is not null").groupBy(*SET, "doc_id", "mark").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
+    classes = keyed.groupBy(*SET).agg(F.min(F.struct("doc_id", "mark", "row", "rows")).alias("head"), F.sum("rows").alias("rows"))
+    return shared.stage(classes.select(*SET, "head.doc_id", "head.mark", "head.row", (F.col("head.rows") > 1).alias("repeated"), (F.col("rows") > 1).alias("alike")), "set-classes")
+
+
 def candidates(rows: DataFrame, described: DataFrame, classes: DataFrame, shingle: int, least: int) -> DataFrame:
-    """The documents (one per class of equal sets) that can have links, with their prefixes and sets."""
-    same = [F.col(c) == F.col(f"_{c}") for c in ("print1", "print2", "n")]
-    copies = classes.where("members > 1").select(F.col("print1").alias("_print1"), F.col("print2").alias("_print2"), F.col("n").alias("_n"), "first")
-    own = described.where("n > 0 and doc_id is not null").join(shared.checked_broadcast(copies), same, "left").where("first is null or first = doc_id")
-    asked = own.select("doc_id", "n", F.explode("asks").alias("shingle"))
+    """The sets that can have links, with their prefixes and tokens; a set's number stands as doc_id from here on."""
+    copies = classes.where("alike").select(*[F.col(c).alias(f"_{c}") for c in SET], F.col("row").alias("first"))
+    own = described.where("n > 0 and doc_id is not null").join(shared.checked_broadcast(copies), same_set(), "left").where("first is null or first = row")
+    asked = own.select(F.col("row").alias("doc_id"), "n", F.explode("asks").alias("shingle"))
     met = asked.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle")
     met = asked.join(shared.stage(met, "shared-beginnings"), "shingle", "left_semi")
     met = met.groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") > lacking(least))
-    stays = shared.stage(met.select(F.col("doc_id").alias("_id")), "staying")
-    texts = rows.join(shared.checked_broadcast(stays), F.col("_doc") == F.col("_id")).select("_doc", "_text")
+    stays = shared.stage(met.select(F.col("doc_id").alias("_set")), "staying")
+    named = described.select("row", F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).join(shared.checked_broadcast(stays), F.col("row") == F.col("_set"))
+    named = shared.checked_broadcast(shared.stage(named.select("_set", "_id", "_of"), "staying-rows"))
+    texts = rows.join(named, (F.col("_doc") == F.col("_id")) & (F.col("_mark") == F.col("_of"))).select("_set", "_text")
+    again = classes.where("repeated").select(F.col("row").alias("_set"))
+    if again.limit(1).count():  # these texts come once for each of their rows
+        again = shared.checked_broadcast(again)
+        texts = texts.join(again, "_set", "left_anti").unionByName(texts.join(again, "_set", "left_semi").dropDuplicates(["_set"]))
     listed = shared.stage(texts.mapInArrow(shared.lean(whole_sets(shingle)), "doc_id long, n long, tokens array<long>"), "whole-sets")
     each = listed.select("doc_id", "n", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("df")).where("low < high").select("token", "df")
@@ -213,28 +232,30 @@ def links(sets_: DataFrame, least: int) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark (hash of the text), n_shingles, component_id: one row per input row."""
+    """doc_id, mark (hash of the text), n_shingles, component_id, stays (it is its component's first document): one row per input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text"))
-    described = shared.stage(rows.mapInArrow(shared.lean(describe(shingle, least)), DESCRIBED), "described")
-    classes = described.where("n > 0 and doc_id is not null").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"))
-    classes = shared.stage(classes, "set-classes")
+    described = rows.mapInArrow(shared.lean(describe(shingle, least)), DESCRIBED)
+    described = shared.stage(described.withColumn("row", F.monotonically_increasing_id()), "described")
+    classes = set_classes(described)
     labels = connected(links(candidates(rows, described, classes, shingle, least), least))
-    classes = classes.join(labels, F.col("first") == F.col("node"), "left").where("members > 1 or component is not null").select(
-        F.col("print1").alias("_print1"), F.col("print2").alias("_print2"), F.col("n").alias("_n"), F.coalesce("component", "first").alias("component")
-    )
-    classes = shared.checked_broadcast(shared.stage(classes, "class-components"))  # a table of its own: a shuffled join can split a class of many copies
-    same = (F.col("print1") == F.col("_print1")) & (F.col("print2") == F.col("_print2")) & (F.col("n") == F.col("_n")) & F.col("doc_id").isNotNull()
-    return described.join(classes, same, "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    linked = shared.stage(classes.join(labels, F.col("row") == F.col("node")).select(*SET, "component", "doc_id", "mark"), "linked-classes")
+    heads = linked.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("head"))
+    linked = linked.select(*SET, "component").join(shared.checked_broadcast(shared.stage(heads, "component-heads")), "component").select(*SET, "head")
+    others = classes.where("alike").join(labels, F.col("row") == F.col("node"), "left_anti").select(*SET, F.struct("doc_id", "mark").alias("head"))
+    found = linked.unionByName(others).select(*[F.col(c).alias(f"_{c}") for c in SET], F.col("head.doc_id").alias("component"), F.col("head.mark").alias("_first_mark"))
+    found = shared.checked_broadcast(shared.stage(found, "class-components"))  # a table of its own: a shuffled join can split a class of many copies
+    stays = F.col("component").isNull() | ((F.col("doc_id") == F.col("component")) & (F.col("mark") == F.col("_first_mark")))
+    return described.join(found, same_set(), "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
-    return labelled_rows(docs, shingle, least, id_col, text_col).drop("mark")
+    return labelled_rows(docs, shingle, least, id_col, text_col).drop("mark", "stays")
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """The documents, all columns, with the least id of each component; rows with null ids or empty sets stay; of rows with one id and text one stays."""
-    found = labelled_rows(docs.select("doc_id", "text"), shingle, least).where("doc_id = component_id")
+    """The documents, all columns, that come first (by id, then by hash of the text) in each component; rows with null ids or empty sets stay; of rows with one id and text one stays."""
+    found = labelled_rows(docs.select("doc_id", "text"), shingle, least).where("stays and doc_id is not null")
     found = shared.stage(found.groupBy(F.col("doc_id").alias("__stays"), F.col("mark").alias("__mark")).agg(F.count("*").alias("_rows")), "firsts")
     same = (F.col("doc_id") == F.col("__stays")) & (F.xxhash64("text") == F.col("__mark"))
     kept = docs.join(shared.checked_broadcast(found.select("__stays", "__mark")), same, "left_semi")

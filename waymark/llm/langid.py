@@ -96,13 +96,12 @@ def slots(data: bytes) -> Iterator[np.ndarray]:
 def margins(pieces: Pieces, n: int, weights: np.ndarray) -> np.ndarray:
     """Sums of the rows of weights (DIMENSIONS, models) over the n-grams of each of n texts."""
     out = np.zeros((n, weights.shape[1]))
-    columns = [np.ascontiguousarray(weights[:, c]) for c in range(weights.shape[1])]
+    columns = [weights[:, c].astype(np.float64) for c in range(weights.shape[1])]  # no cast while summing: equal texts get equal sums
     for of, data, first, end in pieces.groups():
         edges = np.stack((first, end), 1).ravel()
         for slot in slots(data):
             for c, column in enumerate(columns):
-                each = np.append(column[slot], np.float32(0))
-                np.add.at(out[:, c], of, np.add.reduceat(each, edges, dtype=np.float64)[::2])
+                np.add.at(out[:, c], of, np.add.reduceat(np.append(column[slot], 0.0), edges)[::2])
     return out
 
 
