@@ -49,6 +49,21 @@ def test_broadcast_only_what_fits(spark):
     assert shared.fits(rows, 1000 * (24 + 24 + 100 + 32)) and not shared.fits(rows, 1000 * (24 + 24 + 100 + 31)) and shared.fits(rows.limit(0), 0)
 
 
+def test_scratch_belongs_to_its_owner(spark, tmp_path):
+    with shared.owner("a"):
+        mine = shared.stage(spark.range(3), "kept")
+    with shared.owner("b"):
+        other = shared.stage(spark.range(4), "gone")
+        shared.stage(spark.range(5), "kept")
+        shared.forget(spark, "kept")  # b's own, not a's
+    shared.release(spark, "b")
+    assert mine.count() == 3
+    with pytest.raises(Exception, match="(?i)no such file|does not exist|not found"):
+        other.collect()
+    shared.release(spark, "a")
+    shared.release(spark, "nobody")
+
+
 def test_scratch_follows_the_session(spark):
     assert shared.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
@@ -214,6 +229,30 @@ def test_decontamination_of_long_texts_and_by_row(spark):
     assert {r.text for r in decontaminate.clean(docs, table).collect()} == {rows[1][1], rows[3][1], rows[4][1]}
 
 
+def test_decontamination_in_passes_and_of_shared_contexts(spark, monkeypatch):
+    random.seed(9)
+    head = [f"h{i}" for i in range(40)]  # an instruction at the head of every item
+    own = {k: [f"w{k}_{i}" for i in range(25)] for k in range(30)}
+    table = spark.createDataFrame([(k, " ".join(head + w)) for k, w in own.items()], "item_id long, text string")
+    rows = [(i, " ".join(["p"] * i + head + ["q"] * 20)) for i in range(20)] + [(100 + k, " ".join(w)) for k, w in own.items()] + [(200, "nothing of it " * 30), (201, " ".join(head[:11] + ["x", "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = decontaminate.places(table)
+    contexts = decontaminate.contexts(places)
+    # inside the instruction a context is one for all items: only those that reach an item's own words are each item's
+    assert places.count() == 30 * 65 and contexts.count() == 40 - 12 + 30 * (25 + 12)
+    expected = Counter()
+    for i, text in rows:
+        n = len(brute.leaked_items(text, [(r.item_id, r.text) for r in table.collect()]))
+        expected[i, n > 0, n] += 1
+    for most in (1 << 20, 700):
+        monkeypatch.setattr(decontaminate, "PASS_SEEDS", most)
+        got = decontaminate.report(docs, table)
+        assert Counter((r.doc_id, r.contaminated, r.n_items) for r in got.collect()) == expected
+    assert expected[3, True, 30] == 1 and expected[105, True, 1] == 1
+    plain = decontaminate.overlaps(docs, table).groupBy("doc_id").agg(F.count_distinct("item").alias("n"))
+    assert {(r.doc_id, r.n) for r in plain.collect()} == {(i, n) for (i, leaks, n) in expected if leaks}
+
+
 # --- ordinal classifier
 def test_ordinal_held_out(spark):
     docs, labels = (shared.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
@@ -320,6 +359,20 @@ def test_perspective_parts_join_to_the_whole(spark):
         assert ",".join(r.spans for r in rows if r.spans) == whole[key].spans
 
 
+def test_perspectives_equal_their_sql_at_every_length(spark, tmp_path):
+    import duckdb
+
+    turns = [(c, None if i == 7 else i // 2, ("ann", "bob", "system", None)[i * (c or 3) % 4], f"t{i} <| \u00e9" if i % 5 else None) for c, n in ((1, 1024), (2, 1025), (None, 2100), (4, 3)) for i in range(n)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    table.write.parquet(f"{tmp_path}/conversations")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations/*.parquet'")
+    expected = con.sql(perspectives.SQL)
+    got = perspectives.rotate(table).select(*expected.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(expected.fetchall())
+    assert {(r.conv_id, r.part) for r in got.collect()} == {(1, 0), (2, 0), (2, 1), (None, 0), (None, 1), (None, 2), (4, 0)}
+
+
 def test_perspective_parts_hold_few_turns_whatever_their_numbers(spark):
     turns = [(None, None, "ann", f"n{i}") for i in range(21)] + [(None, i % 3, "bob", f"b{i}") for i in range(30)] + [(None, 1, "cy", "same")] * 19 + [(5, i, "ann", "few") for i in range(2000, 2006)]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
@@ -371,6 +424,36 @@ def test_main_text(page, text):
     assert page_text.main_text(page) == text
 
 
+STORY = f"<h1>Head</h1><p>{'story text goes on ' * 12}</p><p>second part</p>"
+NAV = "<nav><ul><li><a href=x>a</a></li></ul></nav>"
+FOOT = f"<footer><p>{'legal words ' * 90}</p></footer>"
+
+
+@pytest.mark.parametrize(
+    ("page", "more"),
+    [
+        (f"<body>{NAV}<div class='content has-sidebar'>{STORY}</div>{FOOT}</body>", ""),
+        (f"<div class='share-price-report'>{STORY}</div>{FOOT}", ""),
+        (f"<div class='layout no-comments'>{STORY}</div><div class='reader-comments'><p>{'me too ' * 200}</p></div>", ""),
+        (f"<body><form id=aspnetForm action=x>{NAV}{STORY}<label>Mail<input></label><button>Go</button><select><option>1</select></form></body>", "Mail"),
+        (f"<div>{STORY}</div><article class=card><h3>Teaser</h3><p>More</p></article>", "Teaser\n\nMore"),
+        (f"<body><header>Site</header><section><header>{STORY[:13]}</header>{STORY[13:]}</section></body>", ""),
+        (f"<header><h1>Logo</h1><p>line</p></header><article>{STORY}</article><p>out</p>", ""),
+        (f"<article>{STORY}<div class=comments-area><article class=comment><p>{'me too ' * 200}</p></article></div></article>", ""),
+        (f"<div class=content-sidebar-wrap><div class=content>{STORY}</div><div class='widget sidebar-wrapper'><p>x</p></div></div>", ""),
+        (f"<div class=promo>{STORY}</div><div class=ad-slot>ad</div><div class=ad_container><p>Buy</p></div><div id=share-buttons>Share</div>", ""),
+        (f"<aside><article><h3>t</h3><p>{'teaser ' * 100}</p></article></aside><div>{STORY}</div>", ""),
+        (f"<form><p>Name<input></p></form><div>{STORY}</div>", ""),
+    ],
+)
+def test_names_never_delete_the_story(spark, page, more):
+    story = page_text.main_text(STORY)
+    expected = f"{story}\n\n{more}" if more else story
+    assert page_text.main_text(page) == expected
+    table = spark.createDataFrame([(1, "http://one.org/", page)], "page_id long, url string, html string")
+    assert page_text.extract(table).first().text == expected
+
+
 def test_site_templates_are_removed_per_host(spark):
     box = "<div><span>Follow us everywhere</span></div>"
     rows = [(i, f"http://{'ab'[i % 2]}.org/{i}", f"<body>{box if i % 2 else ''}<div><p>story {i}</p></div></body>") for i in range(30)]
@@ -619,6 +702,25 @@ def test_jaccard_repeats_make_no_false_links(spark):
     assert sorted(map(tuple, jaccard_join.components(docs).collect())) == [(1, 100, 1), (1, 100, 1), (2, 100, 2)]
 
 
+def test_members_that_can_not_link_are_not_paired(spark):
+    # 5,000 documents of one passage, each with as much of its own as a set may have, and three that share all they have
+    names = "doc_id long, token long, n long, alone long, at long, component long"
+    rows = [(i, 1, 100, 15, 0, i) for i in range(5000)] + [(5000 + i, 1, 85 + i, 0, 0, 5000 + i) for i in range(3)]
+    members = spark.createDataFrame(rows, names).repartition(4)
+    pairs = jaccard_join.open_pairs(members, 85)
+    assert pairs.count() <= 3 * 5000 + 3
+    random.seed(3)
+    rows = [(i, i % 3, n := random.randrange(20, 60), random.randrange(0, 5), random.randrange(0, 4), random.randrange(60)) for i in range(150)]
+    members = spark.createDataFrame(rows, names)
+    met = jaccard_join.open_pairs(members, 85).where(jaccard_join.can_link(85)).select("x_doc_id", "y_doc_id").collect()
+
+    def may(x, y):
+        most = min(x[2] - x[3] - x[4], y[2] - y[3] - y[4])
+        return x[1] == y[1] and x[0] < y[0] and 100 * most >= 85 * (x[2] + y[2] - most)
+
+    assert sorted(tuple(sorted(r)) for r in met) == sorted((x[0], y[0]) for x in rows for y in rows if may(x, y))
+
+
 @pytest.mark.parametrize(("shingle", "least"), [(4, 85), (5, 80)])
 def test_jaccard_links_one_word_more(spark, shingle, least):
     rows = []

@@ -6,9 +6,11 @@ holds a hit of one of them (a test enumerates them all). Items of fewer than WIN
 unchanged; items of fewer than SHORTEST words are too short to tell a leak from common speech and match nothing.
 
 The hashes of the benchmark and of the documents meet in a join; a bitmap, sized by the number of seeds up to 2**MOST_BITS bits,
-first drops most document positions that can't meet. Each hit carries the words around it, so that texts are not shuffled;
-a seed is a hash and a place, and the item's words around the place join the hits that are left. The benchmark's side is
-broadcast only if its measured bytes allow it; otherwise the joins shuffle and Spark splits hot keys.
+first drops most document positions that can't meet. A benchmark of more than PASS_SEEDS seeds is taken in as many passes, each with
+the seeds of some hashes and its own bitmap, so that it drops as much as a small one does. Each hit carries the words around it, so that
+texts are not shuffled. A seed stands for the contexts that it has in the items (the words around it), each once: what many items share,
+such as a common instruction, meets a document once, is verified once, and only verified contexts are spread over the items that
+have them. The benchmark's side is broadcast only if its measured bytes allow it; otherwise the joins shuffle and Spark splits hot keys.
 
 Null or empty texts leak nothing. Verdicts are by row (id and text): a leaking row with a null or repeated id says nothing about
 another text under that id. Rows repeated with id and text are reported each. Null item ids match too. Texts and items may
@@ -30,6 +32,8 @@ WINDOW, SUBSTITUTIONS, SHORTEST = 13, 2, 8
 #: Word positions that each mask looks at.
 MASKS = [[0, 1, 2, 3, 5, 6, 7], [0, 1, 2, 4, 7, 8, 9], [0, 1, 2, 3, 4, 5, 6], [0, 1, 2, 4, 5, 6, 7]]
 LEAST_BITS, MOST_BITS = 16, 26
+#: Seeds of one pass over the documents, about: they fill at most one bit in 32 of the largest bitmap.
+PASS_SEEDS = 1 << 20
 BLOCK_BYTES = 4 << 20
 #: Starts of an item that are cut into one batch.
 STARTS = 4096
@@ -52,47 +56,56 @@ def around(flat: np.ndarray, first: np.ndarray, stop: np.ndarray, at: np.ndarray
     return (at - left).astype(np.int32), pa.array([flat[a:b].tobytes() for a, b in zip(left.tolist(), right.tolist(), strict=True)], pa.binary())
 
 
-def seeds(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """A row for each mask and start in each item: hash, item (a key), at."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, counts = words.hashed(batch.column(2))
-            for item, count, end in zip(batch.column(0).to_pylist(), counts.tolist(), np.cumsum(counts).tolist(), strict=True):
-                own = flat[end - count : end]
-                for seed, offsets in masks():
-                    if count >= WINDOW if seed < 100 else count == len(offsets):
-                        h = words.gapped(own, offsets, seed).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype=np.int32))], ["hash", "item", "at"])
-
-    rows = keyed_items(benchmark, item_col, text_col)
-    return shared.stage(rows.mapInArrow(shared.lean(cut), "hash long, item long, at int").distinct(), "benchmark-seeds")
+PLACES = "item long, item_id long, at int, window int, before int, near binary, hashes array<long>"
 
 
 def places(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """A row for each start in each item: item, item_id, item_at, item_words (of the item), item_before, item_near."""
-    names = ["item", "item_id", "item_at", "item_words", "item_before", "item_near"]
+    """A row for each start in each item: item (a key), item_id, at, its context (window: WINDOW, or a short item's words; before, near), the hash of each mask from there, context (a key)."""
+    names = [c.split()[0] for c in PLACES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, counts = words.hashed(batch.column(2))
             for row, (count, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)):
+                own = flat[end - count : end]
+                by_mask = [words.gapped(own, offsets, seed).view(np.int64) for seed, offsets in masks() if (count >= WINDOW if seed < 100 else count == len(offsets))]
                 for start in range(0, count if count >= SHORTEST else 0, STARTS):
-                    at = np.arange(end - count + start, min(end - count + start + STARTS, end))
+                    at = np.arange(start, min(start + STARTS, count))
                     n = len(at)
-                    before, near = around(flat, np.full(n, end - count), np.full(n, end), at)
+                    before, near = around(own, np.zeros(n, np.int64), np.full(n, count), at)
+                    held = [h[start : start + n] for h in by_mask]
+                    sizes = sum((np.arange(n) < len(h)).astype(np.int32) for h in held)
+                    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    order = np.argsort(np.concatenate([np.arange(len(h)) for h in held]), kind="stable")
+                    hashes = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(held)[order]))
                     item, item_id = (batch.column(i).take(pa.array(np.full(n, row))) for i in range(2))
-                    columns = [item, item_id, pa.array((at - (end - count)).astype(np.int32)), pa.array(np.full(n, count, np.int32)), pa.array(before), near]
+                    columns = [item, item_id, pa.array(at.astype(np.int32)), pa.array(np.full(n, min(count, WINDOW), np.int32)), pa.array(before), near, hashes]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = keyed_items(benchmark, item_col, text_col)
-    found = rows.mapInArrow(shared.lean(cut), "item long, item_id long, item_at int, item_words int, item_before int, item_near binary")
-    return shared.stage(found.dropDuplicates(["item", "item_at"]), "benchmark-places")
+    found = rows.mapInArrow(shared.lean(cut), PLACES).dropDuplicates(["item", "at"])
+    return shared.stage(found.withColumn("context", F.xxhash64("window", "before", "near")), "benchmark-places")
+
+
+def contexts(place_rows: DataFrame) -> DataFrame:
+    """context, window, item_before, item_near, hashes: what one or many items have around a place, once."""
+    rows = place_rows.dropDuplicates(["context", "window", "before", "near"])
+    return shared.stage(rows.select("context", "window", F.col("before").alias("item_before"), F.col("near").alias("item_near"), "hashes"), "benchmark-contexts")
 
 
-def bitmap(seed_rows: DataFrame) -> tuple[int, np.ndarray]:
+def seeds(context_rows: DataFrame) -> DataFrame:
+    """hash, of (a context): a row for each mask in each context."""
+    return shared.stage(context_rows.select(F.explode("hashes").alias("hash"), F.col("context").alias("of")).distinct(), "benchmark-seeds")
+
+
+def turn(hashes, passes: int):
+    """The pass that a hash is looked up in."""
+    return hashes % np.uint64(passes)
+
+
+def bitmap(seed_rows: DataFrame, n_seeds: int) -> tuple[int, np.ndarray]:
     """(bits of an index, bytes): about 64 bits a seed up to 2**MOST_BITS, two set for each hash; a row for every 64 comes to the driver."""
-    bits = min(max((64 * seed_rows.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = min(max((64 * n_seeds).bit_length(), LEAST_BITS), MOST_BITS)
     bit = F.explode(F.array(F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("hash", 64 - bits)))
     found = seed_rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
     rows, out = found.toArrow(), np.zeros(1 << (bits - 6), np.int64)
@@ -100,9 +113,9 @@ def bitmap(seed_rows: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out.view(np.uint8)
 
 
-def hits(docs: DataFrame, seed_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Document positions whose hash may be a seed's, with the words around them."""
-    packed = shared.sent(docs.sparkSession, bitmap(seed_rows))
+def hits(docs: DataFrame, seed_rows: DataFrame, n_seeds: int, at_pass: int = 0, passes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Document positions whose hash may be a seed's of this pass, with the words around them."""
+    packed = shared.sent(docs.sparkSession, bitmap(seed_rows, n_seeds))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = packed.value
@@ -116,6 +129,8 @@ def hits(docs: DataFrame, seed_rows: DataFrame, id_col: str = "doc_id", text_col
                     h = words.gapped(flat, offsets, seed)
                     at = np.flatnonzero(is_set(h & low))
                     at = at[is_set(h[at] >> high).astype(bool)]
+                    if passes > 1:
+                        at = at[turn(h[at] >> np.uint64(1), passes) == at_pass]
                     doc = np.searchsorted(ends, at, "right")
                     inside = at + max(offsets) < ends[doc] if len(at) else np.zeros(0, bool)
                     at, doc = at[inside], doc[inside]
@@ -130,10 +145,9 @@ def hits(docs: DataFrame, seed_rows: DataFrame, id_col: str = "doc_id", text_col
     return rows.mapInArrow(shared.lean(probe), HITS)
 
 
-def best_window(doc: np.ndarray, before: int, item: np.ndarray, item_before: int, item_words: int) -> int:
-    """Agreeing words of the best window around a hit that puts doc[before] on item[item_before]; 0 if none will do."""
-    window = min(WINDOW, item_words)
-    allowed = SUBSTITUTIONS if item_words >= WINDOW else 0
+def best_window(doc: np.ndarray, before: int, item: np.ndarray, item_before: int, window: int) -> int:
+    """Agreeing words of the best window (so many words) around a hit that puts doc[before] on item[item_before]; 0 if none will do."""
+    allowed = SUBSTITUTIONS if window >= WINDOW else 0
     left, right = min(before, item_before, window), min(len(doc) - before, len(item) - item_before, window)
     agrees = doc[before - left : before + right] == item[item_before - left : item_before + right]
     same = np.concatenate(([0], np.cumsum(agrees)))
@@ -143,33 +157,56 @@ def best_window(doc: np.ndarray, before: int, item: np.ndarray, item_before: int
     return int(agreeing.max())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Verified overlaps, one row per document, item and alignment: doc_id, mark (hash of the text), item, item_id, doc_start (in words), n_agreeing."""
-    seed_rows = seeds(benchmark)
-    found = hits(docs, seed_rows).join(shared.checked_broadcast(seed_rows.withColumnRenamed("at", "seed_at").withColumnRenamed("item", "of")), "hash")
-    found = found.join(shared.checked_broadcast(places(benchmark)), (F.col("of") == F.col("item")) & (F.col("seed_at") == F.col("item_at")))
+def verified(docs: DataFrame, context_rows: DataFrame) -> DataFrame:
+    """Verified places, one row per document, context and place in the document: doc_id, mark, context, at, n_agreeing."""
+    seed_rows = seeds(context_rows)
+    n_seeds = seed_rows.count()
+    passes = max(1, -(-n_seeds // PASS_SEEDS))
+    known = shared.checked_broadcast(context_rows.drop("hashes"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = ("at", "before", "near", "item_at", "item_words", "item_before", "item_near")
+        asked = ("near", "before", "item_near", "item_before", "window")
         for batch in batches:
-            cols = {name: batch.column(name).to_pylist() for name in asked}
-            best = [
-                best_window(np.frombuffer(near, np.uint64), before, np.frombuffer(item, np.uint64), item_before, n)
-                for near, before, item, item_before, n in zip(*(cols[c] for c in ("near", "before", "item_near", "item_before", "item_words")), strict=True)
-            ]
+            rows = zip(*(batch.column(c).to_pylist() for c in asked), strict=True)
+            best = [best_window(np.frombuffer(near, np.uint64), before, np.frombuffer(item, np.uint64), item_before, n) for near, before, item, item_before, n in rows]
             agreeing = np.array(best, np.int64)
-            start = np.array(cols["at"], np.int64) - np.array(cols["item_at"], np.int64)  # where the item's first word lies
             keep = pa.array(agreeing > 0)
-            out = [*(batch.column(c) for c in ("doc_id", "mark", "item", "item_id")), pa.array(start), pa.array(agreeing)]
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["doc_id", "mark", "item", "item_id", "doc_start", "n_agreeing"])
+            out = [*(batch.column(c) for c in ("doc_id", "mark", "context", "at")), pa.array(agreeing)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["doc_id", "mark", "context", "at", "n_agreeing"])
+
+    found = None
+    for k in range(passes):
+        own = seed_rows.where(F.pmod(F.shiftrightunsigned("hash", 1), F.lit(passes)) == k) if passes > 1 else seed_rows
+        met = hits(docs, own, -(-n_seeds // passes), k, passes).join(shared.checked_broadcast(own), "hash").join(known, F.col("of") == F.col("context"))
+        met = met.mapInArrow(shared.lean(verify), "doc_id long, mark long, context long, at int, n_agreeing long")
+        found = met if found is None else found.unionByName(met)
+    return found.groupBy("doc_id", "mark", "context", "at").agg(F.max("n_agreeing").alias("n_agreeing"))
+
 
-    verified = found.mapInArrow(shared.lean(verify), "doc_id long, mark long, item long, item_id long, doc_start long, n_agreeing long")
-    return verified.groupBy("doc_id", "mark", "item", "item_id", "doc_start").agg(F.max("n_agreeing").alias("n_agreeing"))
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Verified overlaps, one row per document, item and alignment: doc_id, mark (hash of the text), item, item_id, doc_start (in words), n_agreeing."""
+    rows = places(benchmark)
+    found = verified(docs, contexts(rows))
+    of = rows.select("item", "item_id", F.col("at").alias("item_at"), F.col("context").alias("of"))
+    each = found.join(shared.checked_broadcast(of), F.col("context") == F.col("of"))
+    start = (F.col("at") - F.col("item_at")).cast("long").alias("doc_start")  # where the item's first word lies
+    return each.groupBy("doc_id", "mark", "item", "item_id", start).agg(F.max("n_agreeing").alias("n_agreeing"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per leaking document: doc_id, mark, n_items, first_item, n_agreeing (the best window's)."""
-    return overlaps(docs, benchmark).groupBy("doc_id", "mark").agg(F.count_distinct("item").alias("n_items"), F.min("item_id").alias("first_item"), F.max("n_agreeing").alias("n_agreeing"))
+    """One row per leaking document: doc_id, mark, n_items, first_item, n_agreeing (the best window's).
+
+    Contexts of the same items are one group of items: a document meets each group once before items are counted.
+    """
+    rows = places(benchmark)
+    found = verified(docs, contexts(rows))
+    each = rows.select("context", "item", "item_id").distinct()
+    groups = each.groupBy("context").agg(F.xxhash64(F.sum(F.xxhash64("item") % (1 << 40)), F.sum(F.xxhash64("item", F.lit(1)) % (1 << 40)), F.count("*")).alias("group"))
+    groups = shared.stage(groups, "context-groups")
+    members = shared.stage(each.join(groups, "context").select("group", "item", "item_id").distinct(), "group-members").withColumnRenamed("group", "of")
+    met = found.join(shared.checked_broadcast(groups), "context").groupBy("doc_id", "mark", "group").agg(F.max("n_agreeing").alias("n_agreeing"))
+    spread = met.join(shared.checked_broadcast(members), F.col("group") == F.col("of"))
+    return spread.groupBy("doc_id", "mark").agg(F.count_distinct("item").alias("n_items"), F.min("item_id").alias("first_item"), F.max("n_agreeing").alias("n_agreeing"))
 
 
 def named(found: DataFrame) -> DataFrame:

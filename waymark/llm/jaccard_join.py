@@ -18,7 +18,9 @@ of n, a linked partner lacks at most m = n - ceil(LEAST n / 100) of its shingles
    overlap in the prefixes of the first two. First every member of a prefix list is paired with the list's most central
    document only; components follow; then all pairs that lie in different components are paired, so that a large group
    costs rows in proportion to its size and no link between components is lost. Members that can't reach the threshold
-   with the best of their list are not paired at all.
+   with the best of their list are not paired at all, and each of the others only with the members that have few enough
+   shingles alone for its own bound: many documents of one passage that can't link with each other meet those only with
+   which they can.
 4. Candidates are verified on their whole sets (64-bit hashes of shingles).
 
 Everything between the two passes over texts is joins and aggregations on long columns. Tables that a hot shingle could
@@ -206,6 +208,20 @@ def can_link(least: int) -> Column:
     return 100 * most >= least * (F.col("x_n") + F.col("y_n") - most)
 
 
+def open_pairs(members: DataFrame, least: int) -> DataFrame:
+    """Pairs x, y of one token's members with alone_y <= alone_x, and no more than a partner of x can have alone.
+
+    A link needs 100 both >= least (n_x + n_y - both) with both <= bound_x and n_y - both >= alone_y, so alone_y is at most
+    100 bound_x / least - n_x. Members are dealt to bands (token, alone), and x asks the bands of its token up to that.
+    """
+    side = lambda s: members.select(F.col("token").alias(f"{s}_token"), *[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "alone", "at", "component")])
+    bands = shared.stage(members.groupBy("token", "alone").agg(F.count("*").alias("members")), "open-bands")
+    room = F.floor((100 * bound("x_") - least * F.col("x_n")) / least)
+    asks = side("x").join(bands.select("token", F.col("alone").alias("band")), (F.col("x_token") == F.col("token")) & (F.col("band") <= F.least("x_alone", room)))
+    pairs = asks.join(side("y"), (F.col("token") == F.col("y_token")) & (F.col("band") == F.col("y_alone")))
+    return pairs.where((F.col("y_alone") < F.col("x_alone")) | (F.col("x_doc_id") < F.col("y_doc_id")))
+
+
 def links(sets_: DataFrame, least: int) -> DataFrame:
     """Links x, y that connect every component (not all pairs of it)."""
     rows = sets_.select("doc_id", "n", "alone", F.posexplode("prefix").alias("at", "token"))
@@ -224,8 +240,7 @@ def links(sets_: DataFrame, least: int) -> DataFrame:
     open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("alone").alias("few")).where("low <> high").select("token", "few")
     open_ = labelled.join(shared.stage(open_, "open-tokens"), "token").where(100 * bound() >= least * (F.col("n") + F.col("few")))
     mixed_ = shared.stage(open_, "open-lists")
-    side = lambda s: mixed_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "alone", "at", "component")])
-    pairs = side("x").join(side("y"), "token").where((F.col("x_component") < F.col("y_component")) & can_link(least))
+    pairs = open_pairs(mixed_, least).where((F.col("x_component") != F.col("y_component")) & can_link(least))
     pairs = pairs.select(F.least("x_doc_id", "y_doc_id").alias("x"), F.greatest("x_doc_id", "y_doc_id").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
     second = verified(shared.stage(pairs, "open-pairs"), sets_, least)
     return first.union(shared.stage(second, "open-links"))

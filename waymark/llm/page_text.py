@@ -8,9 +8,17 @@ Containers (divisions, sections, lists, ...) are hashed from the bottom up in tw
   On MANY pages and half of the host's pages or more it is template, if it holds less than a third of their text on average.
   Subtrees with paragraphs, quotes or a main heading, and what lies in an article, are not judged by shape.
 
-What recurs too seldom to be counted (small hosts, rare boxes, comments inside an article) is left to names: elements that say themselves
-that they are no article (navigation, footers, forms, adverts, notices, reader comments, by element or by words of class,
-id and role) are deleted, and if a page has an <article>, or else a <main>, only what lies inside is kept.
+What recurs too seldom to be counted (small hosts, rare boxes, comments inside an article) is left to names, which decide last and
+never over what holds the story:
+
+- Navigation, menus, sidebars, footers and dialogs go by element or role.
+- Headers go unless they stand in an article or hold the page's only main heading.
+- Classes and ids are taken as whole words: `reader-comments` is named by its last part, `ad-slot` by its first as a slot is no thing of its own, while
+  `has-sidebar` and `share-price-report` name nothing. A box so named goes, unless it holds the page's only main heading, an
+  <article> or <main> (comments may hold articles of their own), or paragraphs that are more than half of the page's text.
+- Forms go by the same rule: one around the whole page stays, without its controls.
+- If the page has an <article>, or else a <main>, only what lies inside is kept; but not if the main heading is outside and more prose
+  stands outside than in the largest of them (teasers beside a story).
 
 Blocks: character references decoded, white space as one space, trimmed, joined by two newlines, in page order.
 Broken markup: an end tag closes what is open inside it, an unmatched one closes nothing, a cut-off tag is dropped, a quote
@@ -45,20 +53,37 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template svg iframe".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th".split())
-CONTAINER = set("article aside body center details dialog div dl fieldset figure footer form header html main menu nav ol section summary table tbody tfoot thead tr ul".split())
-ASIDE = set("nav footer aside form head menu dialog button select".split())
-ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+CONTAINER = set("article aside body button center details dialog div dl fieldset figure footer form header html main menu nav ol section select summary table tbody tfoot thead tr ul".split())
+ASIDE = set("nav footer aside menu dialog button select".split())
+ASIDE_ROLES = set("navigation contentinfo complementary search dialog alert alertdialog menu menubar".split())
 ASIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal"
     " overlay newsletter subscribe subscription signup login sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead toolbar widget"
     " related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond pagination pager skip".split()
 )
+COMMENT_WORDS = set("comment comments commentlist disqus reply replies respond".split())
 HEADER_WORDS = {"header", "topbar"}
+#: Words that say what a box is like and not what it holds, before and after the word that names it.
+STATES = set("has no not with without is hide show js".split())
+BOXES = set("area bar block body box button buttons card cell col column container content form group holder icon icons inner item items link links list outer panel row section slot unit wrap wrapper zone".split())
 CONTENT_TAGS = set("p h1 pre blockquote".split())
 
 
+def names(said: str) -> set[str]:
+    """The words that the tokens of a class or id are named by."""
+    found = set()
+    for token in said.split():
+        parts = [w for w in re.split(r"[^a-z]+", token) if w]
+        if not parts or parts[0] in STATES and len(parts) > 1:
+            continue
+        while len(parts) > 1 and parts[-1] in BOXES:
+            parts.pop()
+        found.add(parts[-1])
+    return found
+
+
 class Node:
-    __slots__ = ("tag", "aside", "article", "prose", "parent", "sign", "path", "by_words", "by_shape", "n_text", "shapes", "content", "judged")
+    __slots__ = ("tag", "aside", "article", "prose", "parent", "sign", "path", "by_words", "by_shape", "n_text", "n_prose", "shapes", "content", "judged", "n_h1", "holds_main")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         import xxhash
@@ -67,15 +92,45 @@ class Node:
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.prose = tag in PROSE or bool(parent and parent.prose)
         named = {name.lower(): (a or b or c).lower() for name, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
-        said = set(re.split(r"[^a-z]+", f"{named.get('class', '')} {named.get('id', '')}")) - {""} if named else set()
-        head = (tag == "header" or bool(said & HEADER_WORDS)) and not self.article
-        self.aside = tag in ASIDE or head or named.get("role") in ASIDE_ROLES or (tag not in ("html", "body", "article", "main") and bool(said & ASIDE_WORDS))
+        tokens = f"{named.get('class', '')} {named.get('id', '')}"
+        said = set(re.split(r"[^a-z]+", tokens)) - {""} if named else set()
+        self.aside = self.kind(tag, named.get("role"), names(tokens) if said else set())
         self.sign = f"<{tag} {' '.join(sorted(said))}>"
         self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else 0}{self.sign}")
         self.by_words, self.by_shape = xxhash.xxh64(self.sign), None
-        self.n_text, self.shapes, self.content = 0, [], tag in CONTENT_TAGS
+        self.n_text = self.n_prose = 0
+        self.shapes, self.content = [], tag in CONTENT_TAGS
+        self.n_h1, self.holds_main = int(tag == "h1"), tag in ("article", "main")
         self.judged: tuple[int, ...] = ()
 
+    def kind(self, tag: str, role: str | None, words: set[str]) -> str:
+        """What a node says itself that it is, besides the article; empty if nothing."""
+        if tag in ASIDE or role in ASIDE_ROLES:
+            return "aside"
+        if tag in ("html", "body", "article", "main"):
+            return ""
+        if words & COMMENT_WORDS:
+            return "comments"
+        if words & ASIDE_WORDS:
+            return "named"
+        if tag == "form" or role == "form":
+            return "form"
+        if not self.article and (tag in ("header", "head") or role == "banner" or words & HEADER_WORDS):
+            return "header"
+        return ""
+
+    def goes(self, n_h1: int, total: int) -> bool:
+        """Whether its name deletes it, on a page with so many main headings and so much text."""
+        if self.aside in ("", "aside"):
+            return bool(self.aside)
+        if self.tag == "head":
+            return True
+        if n_h1 and self.n_h1 == n_h1:
+            return False
+        if self.aside in ("named", "form"):
+            return not (self.holds_main or self.content and 2 * self.n_text > total)
+        return True
+
 
 def walk(page: str) -> Iterator[tuple[str, object]]:
     """("text", (from, to)), ("break", None), ("open", node) and ("close", node), in page order."""
@@ -137,6 +192,7 @@ def judged_walk(page: str) -> tuple[list[tuple[str, object]], int]:
             if open_ and text:
                 open_[-1].by_words.update(text.encode("utf-8", "surrogatepass"))
                 open_[-1].n_text += len(text)
+                open_[-1].n_prose += len(text) * open_[-1].prose
         elif kind == "open":
             open_.append(what)
         elif kind == "close":
@@ -147,7 +203,11 @@ def judged_walk(page: str) -> tuple[list[tuple[str, object]], int]:
                 parent = open_[-1]
                 parent.by_words.update(words.to_bytes(8, "little"))
                 parent.n_text += node.n_text
+                parent.n_prose += node.n_prose
                 parent.content = parent.content or node.content
+                if node.aside != "aside":  # what a sidebar holds is no sign of a story
+                    parent.n_h1 += node.n_h1
+                    parent.holds_main = parent.holds_main or node.holds_main
                 if parent.shapes[-1:] != [shape]:
                     parent.shapes.append(shape)
             if countable(node) and node.n_text:
@@ -169,14 +229,51 @@ def subtrees(page: str) -> dict[int, float]:
     return found
 
 
+def dropped(events: list[tuple[str, object]], total: int, template: set[int], by_name: bool) -> set[int]:
+    """The nodes (by id) that are template, or that go by name."""
+    roots = [node for kind, node in events if kind == "open" and node.parent is None]
+    n_h1 = sum(node.n_h1 for node in roots if node.aside != "aside")
+    return {id(node) for kind, node in events if kind == "open" and (not template.isdisjoint(node.judged) or by_name and node.goes(n_h1, total))}
+
+
+def kept_inside(events: list[tuple[str, object]], gone: set[int]) -> str | None:
+    """The element that the story is in: article or main; None for the whole page."""
+    open_: list[Node] = []
+    deep, outer = 0, {"article": 0, "main": 0}
+    h1, prose, largest = Counter(), Counter(), Counter()
+    for kind, node in events:
+        if kind == "open":
+            open_.append(node)
+            deep += id(node) in gone
+            if not deep:
+                for tag in outer:
+                    if node.tag == tag and not outer[tag]:
+                        largest[tag] = max(largest[tag], node.n_prose, 1)
+                    outer[tag] += node.tag == tag
+                inside = {tag for tag in outer if outer[tag]}
+                own = node.n_prose if node.prose and not (node.parent and node.parent.prose) else 0
+                for tag in [*inside, "page"]:
+                    h1[tag] += node.tag == "h1"
+                    prose[tag] += own
+        elif kind == "close":
+            if not deep:
+                for tag in outer:
+                    outer[tag] -= node.tag == tag
+            deep -= id(node) in gone
+            open_.pop()
+    for tag in ("article", "main"):
+        if largest[tag] and (h1[tag] or not h1["page"] or prose["page"] - prose[tag] <= largest[tag]):
+            return tag
+    return None
+
+
 def main_text(page: str, template: set[int] = frozenset(), by_name: bool = True) -> str:
-    events = judged_walk(page)[0] if page else []
-    nodes = [node for kind, node in events if kind == "open"]
-    inside = next((tag for tag in ("article", "main") if any(n.tag == tag and not n.aside for n in nodes)), None) if by_name else None
+    events, total = judged_walk(page) if page else ([], 0)
+    gone = dropped(events, total, template, by_name)
+    inside = kept_inside(events, gone) if by_name else None
     blocks: list[str] = []
     words: list[str] = []
-    dropped = within = 0
-    gone: set[int] = set()
+    deep = within = 0
 
     def flush() -> None:
         text = " ".join(references.unescape("".join(words)).split())
@@ -186,19 +283,16 @@ def main_text(page: str, template: set[int] = frozenset(), by_name: bool = True)
 
     for kind, what in events:
         if kind == "text":
-            if not dropped and (within or not inside):
+            if not deep and (within or not inside):
                 words.append(page[what[0] : what[1]] if what[1] > what[0] else " ")
             continue
         flush()
         if kind == "open":
             within += what.tag == inside
-            if (what.aside and by_name) or not template.isdisjoint(what.judged):
-                gone.add(id(what))
-                dropped += 1
+            deep += id(what) in gone
         elif kind == "close":
             within -= what.tag == inside
-            if id(what) in gone:
-                dropped -= 1
+            deep -= id(what) in gone
     flush()
     return "\n\n".join(blocks)
 

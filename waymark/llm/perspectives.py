@@ -4,9 +4,10 @@ For every participant (every speaker but the system) the dialogue is rendered on
 the others as users under their names, and the system's turns as they are. The mask marks the assistant's words: `spans`
 gives their character ranges as "start-end,start-end", `turn_mask` a 1 or 0 for each turn.
 
-DataFrame functions only. A dialogue is rendered in parts of PART_TURNS turns (one row, part 0, for any usual
-conversation), whatever their turn numbers are, so that no row holds an unbounded conversation; offsets run on over the
-parts. Longer dialogues are dealt by ranges of their order, and places follow from the ranges' counts.
+DataFrame functions only. A view's row is a part of it: its turns from PART_TURNS * part on, PART_TURNS of them or what is left,
+whatever their turn numbers are, so that no row holds an unbounded conversation; offsets run on over the parts. That is the result for
+dialogues of every length. Where all turns fit one part no places are needed to know it; of the others, places in ranges of
+their order are counted.
 
 Null role: the speaker `unknown`. Null text: empty. Null turn: before the others, negative ones included. Null conversation
 ids form one conversation. Repeated rows are repeated turns. Ties in turn are ordered by speaker, then text. A conversation of
@@ -104,24 +105,26 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     return whole.unionByName(rendered(parts.join(bases, of & (F.col("speaker") == F.col("whose")) & (F.col("part") == F.col("of_part")))))
 
 
-#: The same for conversations of fewer than PART_TURNS turns.
-SQL = r"""
+#: The same in SQL, for dialogues of any length.
+SQL = rf"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS sp, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations
+), dealt AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sp, body) - 1) // {PART_TURNS} AS part FROM said
 ), speakers AS (
   SELECT DISTINCT conv_id, sp AS speaker FROM said WHERE sp <> 'system'
 ), views AS (
-  SELECT s.conv_id, p.speaker, s.turn, s.sp, s.body, s.sp = p.speaker AS own,
+  SELECT s.conv_id, p.speaker, s.part, s.turn, s.sp, s.body, s.sp = p.speaker AS own,
          CASE WHEN s.sp = 'system' THEN '<|system|>' WHEN s.sp = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || translate(s.sp, '<|>' || chr(10) || chr(13), '_____') || '|>' END || chr(10) AS head
-  FROM said s JOIN speakers p ON s.conv_id = p.conv_id
+  FROM dealt s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, head || body || '<|end|>' || chr(10) AS segment,
-         coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, speaker ORDER BY turn, sp, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+         coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, speaker ORDER BY part, turn NULLS FIRST, sp, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM views
 )
-SELECT conv_id, speaker, 0::BIGINT AS part, count(*) AS n_turns,
-       string_agg(segment, '' ORDER BY turn, sp, body) AS text,
-       string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY turn, sp, body) AS turn_mask,
-       string_agg(CASE WHEN own THEN (pos + length(head))::BIGINT::VARCHAR || '-' || (pos + length(head) + length(body))::BIGINT::VARCHAR END, ',' ORDER BY turn, sp, body) AS spans
-FROM placed GROUP BY conv_id, speaker
+SELECT conv_id, speaker, part::BIGINT AS part, count(*) AS n_turns,
+       string_agg(segment, '' ORDER BY turn NULLS FIRST, sp, body, pos) AS text,
+       string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY turn NULLS FIRST, sp, body, pos) AS turn_mask,
+       coalesce(string_agg(CASE WHEN own THEN (pos + length(head))::BIGINT::VARCHAR || '-' || (pos + length(head) + length(body))::BIGINT::VARCHAR END, ',' ORDER BY turn NULLS FIRST, sp, body, pos), '') AS spans
+FROM placed GROUP BY conv_id, speaker, part
 """

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import re
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -52,39 +56,62 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Scratch folders, tables and broadcasts of this driver that `release` may delete.
-_SCRATCH: list[str] = []
-_TABLES: list[str] = []
-_SENT: list = []
+#: Whose scratch is made just now, and what each owner has: ("path" | "table" | "sent", what), in the order of making.
+_OWNER: ContextVar[str] = ContextVar("owner", default="session")
+_HELD: dict[str, list[tuple[str, object]]] = defaultdict(list)
+
+
+@contextmanager
+def owner(name: str):
+    """What is made inside belongs to this owner: `release` of another leaves it alone."""
+    before = _OWNER.set(name)
+    try:
+        yield
+    finally:
+        _OWNER.reset(before)
 
 
 def scratch_path(spark: SparkSession, label: str, owned: bool = True) -> str:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if owned:
-        _SCRATCH.append(path)
+        _HELD[_OWNER.get()].append(("path", path))
     return path
 
 
 def scratch_table(label: str) -> str:
     """A name for a table whose files the caller puts under `scratch_path`."""
-    _TABLES.append(f"waymark_{label}_{uuid.uuid4().hex}")
-    return _TABLES[-1]
+    name = f"waymark_{label}_{uuid.uuid4().hex}"
+    _HELD[_OWNER.get()].append(("table", name))
+    return name
 
 
 def sent(spark: SparkSession, value):
     """A broadcast that `release` destroys; only for values of bounded size."""
-    _SENT.append(spark.sparkContext.broadcast(value))
-    return _SENT[-1]
+    out = spark.sparkContext.broadcast(value)
+    _HELD[_OWNER.get()].append(("sent", out))
+    return out
+
+
+def release(spark: SparkSession, name: str | None = None) -> None:
+    """Delete an owner's scratch (the present one's): frames made of it must be written elsewhere by now, or not be read again."""
+    held = _HELD.pop(name or _OWNER.get(), [])
+    while held:
+        kind, what = held.pop()
+        if kind == "sent":
+            what.destroy()
+        elif kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {what}")
+        else:
+            delete(spark, what)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch made so far; for callers whose results are written elsewhere by now."""
-    while _SENT:
-        _SENT.pop().destroy()
-    while _TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-    while _SCRATCH:
-        delete(spark, _SCRATCH.pop())
+@atexit.register
+def _at_end() -> None:
+    """A driver that ends leaves no scratch behind, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for name in list(_HELD):
+            release(spark, name)
 
 
 #: Spark's own switch: the shuffle files of a query go when the query has ended.
@@ -105,10 +132,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(spark: SparkSession, label: str) -> None:
-    """Delete the last written table of a label: what was made of it is written by now."""
-    for path in reversed(_SCRATCH):
-        if path.rsplit("/", 1)[1].rsplit("-", 1)[0] == label:
-            _SCRATCH.remove(path)
+    """Delete the last written table of a label, of the present owner: what was made of it is written by now."""
+    held = _HELD[_OWNER.get()]
+    for kind, path in reversed(held):
+        if kind == "path" and path.rsplit("/", 1)[1].rsplit("-", 1)[0] == label:
+            held.remove((kind, path))
             delete(spark, path)
             return
 
