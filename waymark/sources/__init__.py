@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import re
@@ -22,7 +23,28 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or f'file://{tempfile.gettempdir()}/waymark-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{(base or f'file://{tempfile.gettempdir()}/waymark-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+#: Scratch folders of this driver.
+_SCRATCH: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete this driver's scratch folders, from the n-th on: frames made of them must be written elsewhere by now."""
+    while len(_SCRATCH) > since:
+        fs, path = _hadoop(spark, _SCRATCH.pop())
+        fs.delete(path, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    """A driver that ends leaves no scratch behind, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
 
 
 def read_split(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:
