@@ -187,6 +187,26 @@ def test_damaged_archives_keep_what_can_be_read(spark, tmp_path):
     assert len(got) == 3 and [len(r.captures) for r in got if r.transaction_id == "a"] == [2]
 
 
+def test_archives_are_read_on_after_damaged_members(spark, tmp_path):
+    import gzip
+
+    random.seed(1)
+
+    def member(name, size):
+        body = "".join(random.choice("abcdefgh") for _ in range(size))
+        digest = hashlib.sha256(body.encode()).hexdigest()
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nWARC-Payload-Digest: sha256:{digest}\r\nContent-Length: {size}\r\n\r\n{body}\r\n\r\n".encode())
+
+    whole = [member(f"r{i}", 90_000) for i in range(6)]
+    changed = whole[1][:5000] + bytes(40) + whole[1][5040:]
+    (tmp_path / "a.warc.gz").write_bytes(whole[0] + changed + whole[2] + whole[3][:20_000] + whole[4] + bytes(100) + whole[5] + bytes(2))
+    (tmp_path / "b.warc.gz").write_bytes(whole[0] + b"\x1f\x8b\x08 no member" * 3 + whole[5])
+    (tmp_path / "c.warc.gz").write_bytes(b"")
+    found = warc.read(warc.archives(spark, str(tmp_path))).collect()
+    assert sorted(r.record_id for r in found if r.record_type == "response") == ["<r0>", "<r0>", "<r2>", "<r4>", "<r5>", "<r5>"]
+    assert {"<r1>", "<r3>"} <= {r.record_id for r in found if r.record_type == "damaged"}
+
+
 # --- decontamination
 def test_masks_hit_every_allowed_window():
     for bad in itertools.combinations(range(decontaminate.WINDOW), decontaminate.SUBSTITUTIONS):

@@ -179,9 +179,12 @@ def fit(names: list[str], owners: list[np.ndarray], values: list[np.ndarray]) ->
     for f, members in enumerate(families):
         of[members] = f
     everyone = np.arange(len(names))
-    fitted = [rows.svm(everyone, np.where(of[own] == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(DIMENSIONS), 0.0) for f in range(len(families))]
+    ask = range(len(families)) if len(families) > 2 else range(len(families) - 1)
+    fitted = [rows.svm(everyone, np.where(of[own] == f, 1.0, -1.0)) for f in ask]
     pairs = [[(a, b) for i, a in enumerate(g) for b in g[i + 1 :]] for g in families]
     between = [[rows.svm(c := np.flatnonzero((own == a) | (own == b)), np.where(own[c] == a, 1.0, -1.0)) for a, b in group] for group in pairs]
+    if len(families) <= 2:  # the second family is what the first is not; a single one is always chosen
+        fitted.append((-fitted[0][0], -fitted[0][1]) if fitted else (np.zeros(DIMENSIONS), 0.0))
     stack = lambda found: (np.stack([w for w, _ in found], 1).astype(np.float32) if found else np.zeros((DIMENSIONS, 0), np.float32), np.array([b for _, b in found]))
     own_pairs = [stack(g) for g in between]
     return Model(languages, families, *stack(fitted), pairs, [w for w, _ in own_pairs], [b for _, b in own_pairs])
@@ -229,7 +232,7 @@ def train(docs: DataFrame) -> Model | None:
     rates = [(r["lang"], min(1.0, wanted / len(counts) / r["count"])) for r in counts]
     chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double")), "lang")
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
-    chosen = chosen.withColumn("chance", chance).where("chance < rate").orderBy("chance", "doc_id").limit(2 * wanted).select("lang", "text")
+    chosen = chosen.withColumn("chance", chance).where("chance < rate").select("lang", "text", "chance")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +247,10 @@ def train(docs: DataFrame) -> Model | None:
                 own = np.flatnonzero(counts)
                 found.append((own.astype(np.int32), (counts[own] / total).astype(np.float32)))
             lists = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["lang", "slots", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["lang", "chance", "slots", "shares"])
 
-    got = shared.stage(chosen, "language-sample").mapInArrow(shared.lean(cut), "lang string, slots array<int>, shares array<float>").toArrow()
+    found = chosen.mapInArrow(shared.lean(cut), "lang string, chance double, slots array<int>, shares array<float>")
+    got = found.orderBy("chance", "lang").limit(2 * wanted).toArrow()  # features, not texts; about `wanted` rows, by chance never twice as many
     got = got.combine_chunks()
     lists = [[x for chunk in got[c].chunks for x in np.split(np.asarray(chunk.flatten()), np.cumsum(np.asarray(chunk.value_lengths()))[:-1])] for c in ("slots", "shares")]
     return fit(got["lang"].to_pylist(), *lists) if len(got) else None

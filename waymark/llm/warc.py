@@ -10,9 +10,9 @@ Payloads are digested and written where they are read; only digests that occur m
 Reading gives one row per record. Assembly groups records by the capture they are concurrent to (a capture by its own
 id) and emits one nested row per capture. A request or metadata record without a link, or whose capture is in none of
 the archives, comes out as a row without a capture; captures with one id come out as one row with the first in `capture` and all in
-`captures`; a record without an id and a link is a row of its own. Nothing is dropped. An archive that breaks off (a cut gzip
-member, a block shorter than its Content-Length, a length that is no number) gives the records before the break and a
-last one of type `damaged` with what was left of the block.
+`captures`; a record without an id and a link is a row of its own. Nothing is dropped. Where an archive breaks (a cut or changed gzip
+member, a block shorter than its Content-Length, a length that is no number) a record of type `damaged` has what was left of
+the block, as has a response whose payload is not that of its own sha256 digest. Reading goes on with the next gzip member that begins a record; an archive without compression ends there.
 
 Null html: an empty payload. Null page id: a record without one; it never wins over a numbered page. Repeated rows of
 the winning page are responses each. Other columns are not read. An empty table gives no files and no rows. Payloads of any
@@ -21,7 +21,6 @@ length are written and read whole.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 import uuid
@@ -36,6 +35,8 @@ from . import shared
 
 #: Payloads under this many bytes are always stored.
 LEAST = 100
+#: How a gzip member begins.
+MEMBER = b"\x1f\x8b\x08"
 FILE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORD = (
@@ -147,6 +148,73 @@ def parse(stream) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
         yield headers | {"warc-type": "damaged"}, links, block
 
 
+class Members(io.RawIOBase):
+    """What the gzip members of a file hold, one after another; `start` is where the member that is read now begins."""
+
+    def __init__(self, raw, start: int = 0) -> None:
+        self.raw, self.start = raw, start
+        self.fed = start  # file position after what was given to the inflater
+        raw.seek(start)
+        self.inflate, self.pending = zlib.decompressobj(31), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while True:
+            if not self.pending:
+                self.pending = self.raw.read(1 << 16)
+                self.fed += len(self.pending)
+                if not self.pending:
+                    if self.fed > self.start:
+                        raise EOFError
+                    return 0
+            out = self.inflate.decompress(self.pending, len(into))
+            self.pending = self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.pending = self.inflate.unused_data.lstrip(b"\0")  # archives may be padded with zeros
+                self.start, self.inflate = self.fed - len(self.pending), zlib.decompressobj(31)
+            if out:
+                into[: len(out)] = out
+                return len(out)
+
+
+def next_member(raw, at: int) -> int | None:
+    """Where the next gzip member begins, from a position on, whose content begins as a record does."""
+    raw.seek(at)
+    held = b""
+    while True:
+        more = raw.read(1 << 16)
+        held += more
+        found = held.find(MEMBER)
+        while found >= 0 and (len(held) - found >= 512 or not more):
+            try:
+                if zlib.decompressobj(31).decompress(held[found:], 5) == b"WARC/":
+                    return at + found
+            except zlib.error:
+                pass
+            found = held.find(MEMBER, found + 1)
+        if not more:
+            return None
+        cut = found if found >= 0 else max(0, len(held) - len(MEMBER) + 1)
+        at, held = at + cut, held[cut:]
+
+
+def records_of(raw) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
+    """All records of an open archive, also those after a damaged gzip member."""
+    if raw.read(2) != MEMBER[:2]:
+        raw.seek(0)
+        yield from parse(io.BufferedReader(raw))
+        return
+    at: int | None = 0
+    while at is not None:
+        members, broken = Members(raw, at), False
+        for headers, links, block in parse(io.BufferedReader(members)):
+            broken = headers.get("warc-type") == "damaged"
+            yield headers, links, block
+        at = next_member(raw, members.start + 1) if broken else None
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     if "application/http" in headers.get("content-type", ""):
         return block.partition(b"\r\n\r\n")[2]
@@ -163,15 +231,16 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, inside = shared.filesystem(path)
                 with store.open_input_file(inside) as raw:
-                    packed = raw.read(2) == b"\x1f\x8b"
-                    raw.seek(0)
                     rows: list[tuple] = []
                     held = 0
-                    for headers, links, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw)):
+                    for headers, links, block in records_of(raw):
                         payload = payload_of(headers, block)
                         kind = headers.get("warc-type")
+                        digest, said = hashlib.sha256(payload).hexdigest(), headers.get("warc-payload-digest", "")
+                        if kind == "response" and said.startswith("sha256:") and said[7:].lower() != digest:
+                            kind = "damaged"
                         keep = payload if payloads or kind == "metadata" else None
-                        rows.append((headers.get("warc-record-id"), kind, links, list(headers.items()), keep, len(payload), hashlib.sha256(payload).hexdigest()))
+                        rows.append((headers.get("warc-record-id"), kind, links, list(headers.items()), keep, len(payload), digest))
                         held += len(payload)
                         if held > 8 << 20 or len(rows) >= 5000:
                             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
