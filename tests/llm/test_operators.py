@@ -90,6 +90,21 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_shuffles_a_row_per_dictionary_and_bucket(spark, monkeypatch):
+    docs = shared.table(spark, SF, "documents").select("doc_id", "text").coalesce(1)
+    expected = Counter(map(tuple, bpe.digests(docs, RANKS, public_tokenizers.PATTERN).collect()))
+
+    def shuffled(size, blocks):
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", size)
+        monkeypatch.setattr(bpe, "BLOCKS", blocks)
+        coded = docs.mapInArrow(bpe._coder(public_tokenizers.PATTERN, 8), bpe.CODED)
+        return coded.where("codes is not null").count(), bpe.word_lists(coded).count()
+
+    few, many, more = shuffled(4 << 20, 1000), shuffled(20_000, 1000), shuffled(20_000, 5)
+    assert few[0] == 1 and many[0] > 10 and few[1] == many[1] == 8 and more[1] == 8 * -(-many[0] // 5)
+    assert Counter(map(tuple, bpe.digests(docs, RANKS, public_tokenizers.PATTERN).collect())) == expected
+
+
 def test_decode_keeps_null_ids(spark):
     rows = spark.createDataFrame([(1, [0]), (2, None), (3, [])], "doc_id long, ids array<int>")
     got = {r.doc_id: r.bytes for r in bpe.decode(rows, RANKS).collect()}
