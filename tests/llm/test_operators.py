@@ -464,29 +464,34 @@ NAV = "<nav><ul><li><a href=x>a</a></li></ul></nav>"
 FOOT = f"<footer><p>{'legal words ' * 90}</p></footer>"
 
 
-@pytest.mark.parametrize(
-    ("page", "more"),
-    [
-        (f"<body>{NAV}<div class='content has-sidebar'>{STORY}</div>{FOOT}</body>", ""),
-        (f"<div class='share-price-report'>{STORY}</div>{FOOT}", ""),
-        (f"<div class='layout no-comments'>{STORY}</div><div class='reader-comments'><p>{'me too ' * 200}</p></div>", ""),
-        (f"<body><form id=aspnetForm action=x>{NAV}{STORY}<label>Mail<input></label><button>Go</button><select><option>1</select></form></body>", "Mail"),
-        (f"<div>{STORY}</div><article class=card><h3>Teaser</h3><p>More</p></article>", "Teaser\n\nMore"),
-        (f"<body><header>Site</header><section><header>{STORY[:13]}</header>{STORY[13:]}</section></body>", ""),
-        (f"<header><h1>Logo</h1><p>line</p></header><article>{STORY}</article><p>out</p>", ""),
-        (f"<article>{STORY}<div class=comments-area><article class=comment><p>{'me too ' * 200}</p></article></div></article>", ""),
-        (f"<div class=content-sidebar-wrap><div class=content>{STORY}</div><div class='widget sidebar-wrapper'><p>x</p></div></div>", ""),
-        (f"<div class=promo>{STORY}</div><div class=ad-slot>ad</div><div class=ad_container><p>Buy</p></div><div id=share-buttons>Share</div>", ""),
-        (f"<aside><article><h3>t</h3><p>{'teaser ' * 100}</p></article></aside><div>{STORY}</div>", ""),
-        (f"<form><p>Name<input></p></form><div>{STORY}</div>", ""),
-    ],
-)
-def test_names_never_delete_the_story(spark, page, more):
+#: Pages around the same story, and what else their text holds.
+STORIES = [
+    (f"<body>{NAV}<div class='content has-sidebar'>{STORY}</div>{FOOT}</body>", ""),
+    (f"<div class='share-price-report'>{STORY}</div>{FOOT}", ""),
+    (f"<div class='layout no-comments'>{STORY}</div><div class='reader-comments'><p>{'me too ' * 200}</p></div>", ""),
+    (f"<body><form id=aspnetForm action=x>{NAV}{STORY}<label>Mail<input></label><button>Go</button><select><option>1</select></form></body>", "Mail"),
+    (f"<div>{STORY}</div><article class=card><h3>Teaser</h3><p>More</p></article>", "Teaser\n\nMore"),
+    (f"<body><header>Site</header><section><header>{STORY[:13]}</header>{STORY[13:]}</section></body>", ""),
+    (f"<header><h1>Logo</h1><p>line</p></header><article>{STORY}</article><p>out</p>", ""),
+    (f"<article>{STORY}<div class=comments-area><article class=comment><p>{'me too ' * 200}</p></article></div></article>", ""),
+    (f"<div class=content-sidebar-wrap><div class=content>{STORY}</div><div class='widget sidebar-wrapper'><p>x</p></div></div>", ""),
+    (f"<div class=promo>{STORY}</div><div class=ad-slot>ad</div><div class=ad_container><p>Buy</p></div><div id=share-buttons>Share</div>", ""),
+    (f"<aside><article><h3>t</h3><p>{'teaser ' * 100}</p></article></aside><div>{STORY}</div>", ""),
+    (f"<form><p>Name<input></p></form><div>{STORY}</div>", ""),
+]
+
+
+@pytest.mark.parametrize(("page", "more"), STORIES)
+def test_names_never_delete_the_story(page, more):
+    story = page_text.main_text(STORY)
+    assert page_text.main_text(page) == (f"{story}\n\n{more}" if more else story)
+
+
+def test_stories_of_small_hosts_are_whole(spark):
     story = page_text.main_text(STORY)
-    expected = f"{story}\n\n{more}" if more else story
-    assert page_text.main_text(page) == expected
-    table = spark.createDataFrame([(1, "http://one.org/", page)], "page_id long, url string, html string")
-    assert page_text.extract(table).first().text == expected
+    table = spark.createDataFrame([(i, f"http://host{i}.org/", page) for i, (page, _) in enumerate(STORIES)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(table).collect()}
+    assert got == {i: f"{story}\n\n{more}" if more else story for i, (_, more) in enumerate(STORIES)}
 
 
 def test_site_templates_are_removed_per_host(spark):
@@ -924,6 +929,8 @@ def test_manifest_equals_brute_force(spark, monkeypatch, fanout, digits):
     got = manifest_rows(docs)
     assert got == sorted(brute.manifest(base + odd, fanout), key=repr)
     assert {r[-1] for r in got} == {True, False}
+    if digits < 9:
+        return
     assert manifest_rows(docs.limit(0)) == []
     one = manifest_rows(docs.where("lang = 'zz'"))
     assert one[0][1] == one[0][2] == one[0][3] and one[0][4] == hashlib.sha256(b"").hexdigest()
