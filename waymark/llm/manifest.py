@@ -54,7 +54,9 @@ def leaves(docs: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with pos (from 0, in their grp) and n (rows of the grp): parts by range are numbered, and their counts summed up."""
     parts = shared.shuffle_partitions(rows.sparkSession)
-    dealt = rows.repartitionByRange(parts, "grp", *order).sortWithinPartitions("grp", *order)
+    # a place of its own for each row: equal rows, however many, are dealt to several parts
+    rows = rows.withColumn("_lay", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(parts, "grp", *order, "_lay").sortWithinPartitions("grp", *order, "_lay").drop("_lay")
     numbered = shared.stage(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered-nodes")
     counts = numbered.groupBy("grp", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     whole = Window.partitionBy("grp")
