@@ -72,6 +72,27 @@ def test_rejected_documents_are_kept_and_counted(spark, tmp_path):
     assert refused == {"bad.json": "not a JSON document", "empty.json": "empty file", "list.json": "not an object", "typed.json": "a field has an unexpected type"}
 
 
+def test_files_of_no_bytes_are_rejected(spark, tmp_path):
+    tree(tmp_path / "a,b")
+    empty = tmp_path / "a,b" / "step_2" / "train" / "n o%2+.json"
+    empty.touch()
+    (empty.parent / "none.error").touch()
+    (empty.parent / "lone").mkdir()
+    only = tmp_path / "a,b" / "step_4" / "eval" / "x.json"
+    only.parent.mkdir(parents=True)
+    only.touch()
+    for root in (f"{tmp_path}/a,b", [f"{tmp_path}/a,b/step_2/train", f"{tmp_path}/a,b/step_4/eval"]):
+        seen = Observation("scan")
+        scan = sources.scan_trajectories(spark, root, seen)
+        refused = {(r.step, r.phase, r.id, r.path, r.reason) for r in scan.where("reason is not null").collect()}
+        bad = (2, "train", "bad", f"file:{empty.parent}/bad.json", "not a JSON document")
+        assert refused == {bad, (2, "train", "n o%2+", f"file:{empty}", "empty file"), (4, "eval", "x", f"file:{only}", "empty file")}
+        assert seen.get["n_rejected"] == 3
+    store = f"file://{tmp_path}/store"
+    sources.convert_trajectories(spark, f"file://{tmp_path}/a,b", store)
+    assert spark.read.parquet(f"{store}/_rejects").where("reason = 'empty file'").count() == 2
+
+
 def test_folders_are_converted_once_and_pruned(spark, tmp_path):
     tree(tmp_path / "runs")
     root, store = f"file://{tmp_path}/runs", f"file://{tmp_path}/store"

@@ -11,6 +11,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import RDD
+from pyspark.serializers import UTF8Deserializer
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,18 @@ def file_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+def _empty_files(spark: SparkSession, roots: list[str], files: list[str], suffix: str) -> DataFrame:
+    """path of the files of no bytes that folders hold, which Spark's file sources leave out: what Hadoop lists and they do not.
+
+    roots are the folders (or patterns of them), files what names the same files for Spark. Only names travel; no file is opened.
+    """
+    # a comma parts paths here, and a pattern's ? stands for it
+    names = spark.sparkContext._jsc.binaryFiles(",".join(r.replace(",", "?") for r in roots)).keys()
+    listed = RDD(names, spark.sparkContext, UTF8Deserializer()).map(lambda path: (path,)).toDF("path string").where(F.col("path").endswith(suffix))
+    filled = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(files).select("path")
+    return listed.join(filled, "path", "left_anti")
+
+
 def scan_trajectories(spark: SparkSession, root: str | list[str], observation: Observation | None = None) -> DataFrame:
     """Every document of a tree ``step_N/phase/<id>.json``: step, phase, id, the document, path, and `reason`, null if it could be read.
 
@@ -79,8 +93,9 @@ def scan_trajectories(spark: SparkSession, root: str | list[str], observation: O
     another type than the schema gives it; its fields are null then. An observation counts n_read and n_rejected as the scan runs. root may be a
     list of folders ``.../step_N/phase``.
     """
-    reader = spark.read if isinstance(root, str) else spark.read.option("pathGlobFilter", "*.json")
-    whole = reader.text(f"{root}/step_*/*/*.json" if isinstance(root, str) else root, wholetext=True).select(F.col("value"), file_path().alias("path"))
+    files, folders = ([f"{root}/step_*/*/*.json"], [f"{root}/step_*/*"]) if isinstance(root, str) else (root, root)
+    whole = spark.read.option("pathGlobFilter", "*.json").text(files, wholetext=True).select(F.col("value"), file_path().alias("path"))
+    whole = whole.unionByName(_empty_files(spark, folders, files, ".json").withColumn("value", F.lit("")))
     document = F.from_json("value", f"{TRAJECTORY}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     kind = F.schema_of_variant(F.try_parse_json("value"))
     reason = (
