@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.order import parts_of
 from .schemas import TOOL_CALL
 
 
@@ -65,7 +66,8 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long predictions and gold: key (order), item (part), predicted, gold."""
     flag = lambda c, v: F.max((F.col(c) == v).cast("int")) == 1
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("item")).agg(flag("l_returnflag", "R").alias("predicted"), flag("l_linestatus", "F").alias("gold"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("item"), "l_returnflag", "l_linestatus")
+    return rows.repartition(parts_of(rows), "key", "item").groupBy("key", "item").agg(flag("l_returnflag", "R").alias("predicted"), flag("l_linestatus", "F").alias("gold"))
 
 
 def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,9 @@ def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("p")).agg(F.min("l_quantity").cast("int").alias("q"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"), "l_quantity")
+    # dealt once, by what an answer or a patch is made of
+    return rows.repartition(parts_of(rows), "l_orderkey").groupBy("l_orderkey", "p").agg(F.min("l_quantity").cast("int").alias("q"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..sources import written
 
+#: Rows that a task takes of a table that is dealt by key.
+TASK_ROWS = 1 << 19
 #: Rows of a key whose carried values one task looks at.
 RANGE_ROWS = 1 << 16
 
 
+def parts_of(table: DataFrame, times: int = 1) -> int:
+    """Parts for what a table's rows become (`times` rows each), so that a task's share does not grow with the table; Parquet counts from its footers."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() * times // TASK_ROWS))
+
+
 def _before(name: str, over) -> Column:
     return F.coalesce(F.sum(name).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
@@ -54,19 +62,22 @@ def zipped(left: DataFrame, right: DataFrame, left_order: list[Column | str], ri
     return a.join(b.drop(*[c for c in b.columns if c in left.columns and c != name]), name)
 
 
-def carried(rows: DataFrame, key: str, pos: str, marks: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
+def carried(rows: DataFrame, key: str, pos: str, marks: dict[str, Column], range_rows: int = RANGE_ROWS, parts: int | None = None) -> DataFrame:
     """rows with the last mark at or before each row of its key, in order of `pos`; a mark is null where it says nothing.
 
     To carry a null forward (a reset), wrap values in a struct: a struct that holds a null is a mark. `pos` is a number from 0
     or 1 that a key has once; a key is cut into ranges of it, and what a range ends with is carried to the ranges after it by a window over
-    ranges, so that a key of any length costs a task `range_rows` rows.
+    ranges, so that a key of any length costs a task `range_rows` rows. With `parts`, the ranges are dealt to so many tasks (`parts_of`).
     """
     names = {m: f"_mark_{i}" for i, m in enumerate(marks)}
-    cut = rows.select("*", *[c.alias(names[m]) for m, c in marks.items()], F.floor(F.col(pos) / range_rows).alias("_range"))
-    within = Window.partitionBy(key, "_range").orderBy(pos)
+    of = ["_key", "_null", "_range"]  # a key that may be null, as two columns: equal ones meet where they were dealt to
+    known = F.coalesce(F.col(key), F.lit(0)) if isinstance(rows.schema[key].dataType, NumericType) else F.coalesce(F.col(key).cast("string"), F.lit(""))
+    cut = rows.select("*", *[c.alias(names[m]) for m, c in marks.items()], known.alias("_key"), F.isnull(key).alias("_null"), F.floor(F.col(pos) / range_rows).alias("_range"))
+    cut = cut if parts is None else cut.repartition(parts, *of)
+    within = Window.partitionBy(*of).orderBy(pos)
     local = cut.select(*[c for c in cut.columns if c not in names.values()], *[F.last(names[m], ignorenulls=True).over(within).alias(m) for m in marks])
-    ends = cut.groupBy(key, "_range").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(pos))).alias(n) for n in names.values()])
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names.values()])
-    met = local.join(ends.where(F.col("_of") > 0), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")), "left")
+    ends = cut.groupBy(*of).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(pos))).alias(n) for n in names.values()])
+    earlier = Window.partitionBy("_key", "_null").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*of, *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names.values()])
+    met = local.join(ends.where(F.col("_range") > 0), of, "left")
     return met.select(*rows.columns, *[F.coalesce(m, n).alias(m) for m, n in names.items()])
