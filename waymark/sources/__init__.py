@@ -8,9 +8,8 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark import RDD
 from pyspark.serializers import UTF8Deserializer
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
@@ -176,9 +175,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
-def write_files(df: DataFrame, root: str) -> None:
-    """A text file ``root/name`` for each row (name, body), on any file system that pyarrow knows; renamed when whole, so that a
-    retried task leaves no half file. root is a folder that all executors share."""
+def write_files(df: DataFrame, root: str, laid_out: Callable[[str], str] = str) -> None:
+    """A text file ``root/name`` for each row (name, body, which `laid_out` may lay out anew), on any file system that pyarrow knows;
+    renamed when whole, so that a retried task leaves no half file. Rows are taken one by one: a task's memory does not depend on their
+    number. root is a folder that all executors share."""
 
     def save(rows: Iterator[Row]) -> None:
         store, base = _filesystem(root)
@@ -187,7 +187,7 @@ def write_files(df: DataFrame, root: str) -> None:
             store.create_dir(os.path.dirname(name), recursive=True)
             beside = f"{name}.{uuid.uuid4().hex}.tmp"
             with store.open_output_stream(beside) as out:
-                out.write(row["body"].encode())
+                out.write(laid_out(row["body"]).encode())
             store.move(beside, name)
 
     df.select("name", "body").foreachPartition(save)
@@ -197,16 +197,13 @@ def write_trajectories(df: DataFrame, root: str) -> None:
     """One indented JSON file per row at ``step_N/phase/<instance_id>_<repetition_id>.json``, and an ``.error`` text where `error` is set."""
     names = [c for c in df.columns if c not in ("step", "phase", "repetition_id", "error")]
 
-    def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # read again for the fields' order and the indent that readers of these files expect
-            known = (json.loads(x) for x in batch["body"])
-            batch["body"] = [json.dumps({n: x.get(n) for n in names}, indent=2, ensure_ascii=False) for x in known]
-            yield batch[["name", "body"]]
+    def laid_out(body: str) -> str:
+        known = json.loads(body)  # read again for the fields' order and the indent that readers of these files expect
+        return json.dumps({n: known.get(n) for n in names}, indent=2, ensure_ascii=False)
 
     stem = F.concat(F.lit("step_"), "step", F.lit("/"), "phase", F.lit("/"), "instance_id", F.lit("_"), "repetition_id")
     good = df.where("error is null").select(F.concat(stem, F.lit(".json")).alias("name"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("body"))
-    write_files(good.mapInPandas(laid_out, "name string, body string"), root)
+    write_files(good, root, laid_out)
     write_files(df.where("error is not null").select(F.concat(stem, F.lit(".error")).alias("name"), F.col("error").alias("body")), root)
 
 
