@@ -2,7 +2,10 @@ import time
 
 from pyspark.sql import functions as F
 
+from waymark import fixtures
 from waymark.functions import answer, diff, text
+from waymark.operators import scoring
+from waymark.plans import catalog
 
 
 def one(spark, column, **values):
@@ -171,3 +174,31 @@ def test_tagged_files(spark):
     cases = {"<files>\n ./a.py \n\nb.py</files>": ["a.py", "b.py"], '<files>["./a.py"]</files>': ["a.py"], "<files>[broken</files>": [], "<files></files>": [], "none": None}
     for reply, expected in cases.items():
         assert one(spark, answer.tagged_files(F.col("p")), p=reply) == expected, reply
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patches_and_answers_are_dealt_once(spark):
+    for rows in (fixtures.patches(spark, "/root/testdata/sf0.001"), fixtures.answers(spark, "/root/testdata/sf0.001")):
+        assert plan_of(rows).count("Exchange hashpartitioning") == 1
+
+
+def test_an_evaluation_row_is_read_back_once(spark):
+    assert plan_of(catalog.QUERIES["p3_evaluation_row"](spark, "/root/testdata/sf0.001")).count("from_json(") == 1
+
+
+def test_what_is_used_often_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("+++ b/a.py\n@@ -1,2 +3 @@", ["a", None])], "text string, items array<string>")
+    assert plan_of(rows.select(diff.parsed_files(F.col("text")))).count("regexp_extract(") <= 2  # the path; hunks are cut into words
+    assert plan_of(rows.select(scoring.set_f1(F.col("items"), F.col("items")))).count("array_distinct(") <= 4
+    assert plan_of(rows.select(answer.location_list(F.col("text")))).count("regexp_extract(") <= 2  # the name
+
+
+def test_marks_of_one_text_are_not_taken_for_another(spark):
+    text = "Fake\nMock\nC\n- x\n a.py\nCat\nfunction: f\n\tclass: - K \nMethod\nmethod: M() B\nB\n\nfunction: C.F.g\nlast \x0b.py\nmethod: \u3000h i\nfunction:"
+    rows = spark.createDataFrame([(1, text)], "traj_id long, answer string")
+    expected = [("a.py", None, "f", False), ("a.py", "- K", "M", False), ("a.py", "C", "F.g", False), ("last \x0b.py", None, "h", False), ("last \x0b.py", None, "", True)]
+    assert [tuple(x) for x in rows.select(answer.location_list(F.col("answer")).alias("l")).first().l] == expected
+    assert [tuple(x)[2:] for x in answer.locations(rows).orderBy("pos").collect()] == expected

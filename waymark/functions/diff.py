@@ -12,9 +12,15 @@ HUNK = r"@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 SIDES = ("old_start", "old_count", "new_start", "new_count")
 
 
-def _number(text: Column, group: int, default: int | None = None) -> Column:
-    found = F.nullif(F.regexp_extract(text, HUNK, group), F.lit(""))
-    return (F.coalesce(found, F.lit(str(default))) if default is not None else found).cast("int")
+def _side(words: Column, place: int) -> tuple[Column, Column]:
+    """start and count (1 if it is left out) of one side of a hunk line's words ``@@ -1,2 +3,4 @@``."""
+    word = F.get(words, F.lit(place))
+    start = F.substring(F.substring_index(word, ",", 1), 2, 1 << 30)
+    return start.cast("int"), F.when(word.contains(","), F.substring_index(word, ",", -1)).otherwise("1").cast("int")
+
+
+def _sides(words: Column) -> list[Column]:
+    return [c.alias(n) for c, n in zip([*_side(words, 1), *_side(words, 2)], SIDES, strict=True)]
 
 
 def old_side_hunks(patch: Column) -> Column:
@@ -28,8 +34,9 @@ def old_side_hunks(patch: Column) -> Column:
 
     def of(section: Column) -> Column:
         file = F.regexp_extract(section, r"^[^\r\n]*", 0)
-        one = lambda h: F.struct(file.alias("file"), _number(h, 1).alias("old_start"), _number(h, 2, 1).alias("old_count"))
-        return F.transform(F.regexp_extract_all(section, F.lit("(?m)^" + HUNK), F.lit(0)), one)
+        found = F.regexp_extract_all(section, F.lit("(?m)^" + HUNK), F.lit(0))
+        one = lambda file, h: let(F.split(h, " "), lambda w: F.struct(file.alias("file"), *_sides(w)[:2]))
+        return let(file, lambda name: F.transform(found, lambda h: one(name, h)))
 
     return F.flatten(F.transform(named, of))
 
@@ -69,7 +76,7 @@ def parsed_files(patch: Column) -> Column:
     A chunk starts at a ``diff --git`` line; its path is the b-side of its first ``a/x b/y``; hunks are looked for anywhere in
     it; chunks without a hunk are dropped.
     """
-    one = lambda h: F.struct(*[_number(h, g, 1 if g in (2, 4) else None).alias(n) for g, n in enumerate(SIDES, 1)])
+    one = lambda h: let(F.split(h, " "), lambda w: F.struct(*_sides(w)))
     chunk = lambda c: F.struct(
         F.regexp_extract(c, r"(?d)a/(.+?) b/(.+)", 2).alias("file"), F.transform(F.regexp_extract_all(c, F.lit(HUNK), F.lit(0)), one).alias("hunks")
     )
@@ -79,15 +86,17 @@ def parsed_files(patch: Column) -> Column:
 
 def last_of_each(files: Column) -> Column:
     """Of chunks of one path the last counts, in the place of the first."""
-    return F.transform(by_file(files), lambda g: F.element_at(g, -1))
+    apart = lambda fs: F.size(F.array_distinct(F.transform(fs, lambda f: f["file"]))) == F.size(fs)
+    return let(files, lambda fs: F.when(apart(fs), fs).otherwise(F.transform(by_file(fs), lambda g: F.element_at(g, -1))))
 
 
 def spans(hunks: Column) -> Column:
     """struct(old_start, old_count, new_start, new_count, hunks): from the first line of any hunk to the last, on both sides."""
     start = lambda side: F.array_min(F.transform(hunks, lambda h: h[f"{side}_start"]))
     end = lambda side: F.array_max(F.transform(hunks, lambda h: h[f"{side}_start"] + h[f"{side}_count"] - 1))
-    sides = [c for side in ("old", "new") for c in (start(side).alias(f"{side}_start"), (end(side) - start(side) + 1).alias(f"{side}_count"))]
-    return F.struct(*sides, hunks.alias("hunks"))
+    ends = F.struct(*[c for side in ("old", "new") for c in (start(side).alias(f"{side}_start"), end(side).alias(f"{side}_end"))])
+    sides = lambda e: [c for side in ("old", "new") for c in (e[f"{side}_start"].alias(f"{side}_start"), (e[f"{side}_end"] - e[f"{side}_start"] + 1).alias(f"{side}_count"))]
+    return let(ends, lambda e: F.struct(*sides(e), hunks.alias("hunks")))
 
 
 def patch_map(patch: Column) -> Column:
@@ -105,16 +114,17 @@ def patch_lines(instances: DataFrame, id_col: str = "instance_id", patch_col: st
     return instances.select(F.col(id_col).alias("instance_id"), F.posexplode(lines).alias("pos", "line"))
 
 
-def targets_of_lines(lines: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def targets_of_lines(lines: DataFrame, range_rows: int = RANGE_ROWS, parts: int | None = None) -> DataFrame:
     """instance_id, pos, file, old_start, old_count of each hunk in a long table of lines, as `old_side_hunks` finds them in a text.
 
     For patches that no row should hold whole: the file is carried forward over the lines (a header without a name carries none).
     """
     line = F.col("line")
     header = F.when(line.startswith("+++ b/"), F.struct(F.nullif(F.expr("substring(line, 7)"), F.lit("")).alias("name")))
-    known = carried(lines.where(line.startswith("+++ b/") | line.startswith("@@ -")), "instance_id", "pos", {"in": header}, range_rows)
+    known = carried(lines.where(line.startswith("+++ b/") | line.startswith("@@ -")), "instance_id", "pos", {"in": header}, range_rows, parts)
     hunk = known.where(F.col("line").rlike("^" + HUNK) & F.col("in.name").isNotNull())
-    return hunk.select("instance_id", "pos", F.col("in.name").alias("file"), _number(line, 1).alias("old_start"), _number(line, 2, 1).alias("old_count"))
+    words = F.split(F.regexp_extract(line, "^" + HUNK, 0), " ")
+    return hunk.select("instance_id", "pos", F.col("in.name").alias("file"), *_sides(words)[:2])
 
 
 def with_files(instances: DataFrame, id_col: str, patch_col: str) -> DataFrame:
