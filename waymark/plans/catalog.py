@@ -593,7 +593,8 @@ def _(spark, sf):
     SELECT o AS instance_id, f AS file, (p + 1)::INTEGER AS old_start, q AS old_count FROM h WHERE f IS NOT NULL""",
 )
 def _(spark, sf):
-    return diff.targets_of_lines(diff.patch_lines(fx.patches(spark, sf))).drop("pos")
+    parts = order.parts_of(fx.table(spark, sf, "lineitem"), 2)  # a header and a hunk a part
+    return diff.targets_of_lines(diff.patch_lines(fx.patches(spark, sf)), parts=parts).drop("pos")
 
 
 @query(
@@ -632,7 +633,8 @@ def _(spark, sf):
 
 @query("w2_carried_class", f'WITH {AW} SELECT o AS traj_id, file, cls AS "class", fn AS "function" FROM aw')
 def _(spark, sf):
-    return an.locations_of_lines(an.answer_lines(fx.answers(spark, sf))).select("traj_id", "file", "class", "function")
+    parts = order.parts_of(fx.table(spark, sf, "lineitem"), 3)  # three lines a part
+    return an.locations_of_lines(an.answer_lines(fx.answers(spark, sf)), parts=parts).select("traj_id", "file", "class", "function")
 
 
 @query(
@@ -763,11 +765,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = fx.patches(spark, sf).withColumn("problem_statement", F.lit("p")).withColumn("repo", F.lit("r"))
-    done = prep.with_evaluation_row(rows, "You find files.", 512, 20)
+    done = prep.with_evaluation_row(rows, "You find files.", 512, 20).withColumn("files", prep.answer_files(F.col("answer")))
     span = "struct<old_start:int,old_count:int,new_start:int,new_count:int,hunks:array<struct<old_start:int>>>"
-    parsed, files = F.from_json("answer", f"map<string,{span}>"), prep.answer_files(F.col("answer"))
-    total = F.aggregate(F.map_values(parsed), F.lit(0).cast("long"), lambda a, v: a + v["old_start"])
-    hunks = F.aggregate(F.map_values(parsed), F.lit(0).cast("long"), lambda a, v: a + F.size(v["hunks"]))
+    done = done.withColumn("spans", F.map_values(F.from_json("answer", f"map<string,{span}>")))
+    files = F.col("files")
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, v: a + v["old_start"])
+    hunks = F.aggregate("spans", F.lit(0).cast("long"), lambda a, v: a + F.size(v["hunks"]))
     said = F.array(F.concat(F.lit("./"), F.get(files, F.lit(0))))  # an answer that names the first file only
     score = scoring.set_f1(F.transform(said, text.normalize_path), files, 1.0)
     return done.select("info.instance_id", F.size("prompt").cast("long").alias("n_messages"), "info.max_tokens", "info.max_tool_calls", F.array_join(files, ",").alias("files"), total.alias("old_starts"), hunks.alias("n_hunks"), r6(score).alias("f1_of_first"))
