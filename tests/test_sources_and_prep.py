@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from waymark import sources, streaming
+from waymark import fixtures, sources, streaming
 from waymark.operators import metrics, order, prep, rollout
 from waymark.plans import report
 
@@ -162,6 +162,19 @@ def test_values_are_carried_over_ranges(spark):
         assert len(got) == 118
 
 
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    few = spark.range(100)
+    assert order.parts_of(few) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(order, "TASK_ROWS", 10)
+    assert order.parts_of(few) == 10 and order.parts_of(few, 3) == 30
+    items = fixtures.items(spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning(key#" in items._jdf.queryExecution().executedPlan().toString() and items.rdd.getNumPartitions() == 600
+    lines = spark.createDataFrame([(k, p, p % 3 == 0) for k in (None, 0, 1) for p in range(20)], "k long, p int, m boolean")
+    found = order.carried(lines, "k", "p", {"last": F.when(F.col("m"), F.col("p"))}, 4, parts=7)
+    assert ", 7), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect(), key=str) == sorted([(k, p, p % 3 == 0, p // 3 * 3) for k in (None, 0, 1) for p in range(20)], key=str)
+
+
 def test_batches_and_fan_out(spark):
     steps = spark.createDataFrame([(g, i, f"t{g}", float(10 * g + i), i == g) for g in range(6) for i in range(g + 1)], "g int, i int, id string, adv double, last boolean").repartition(4)
     got = rollout.batches(steps, ["id", "adv"], 4, "g", "i").orderBy("batch").collect()
@@ -196,6 +209,15 @@ def test_trajectories_round_trip(spark, tmp_path):
     assert got.id == "i-1_0" and got.reward_dict == {"a": 1.0} and got.step == 3
 
 
+def test_documents_are_laid_out_row_by_row(spark, tmp_path, monkeypatch):
+    plans, write = [], sources.write_files
+    monkeypatch.setattr(sources, "write_files", lambda df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *more)))
+    rows = spark.createDataFrame([("i", 0, 3, "train", {"\u00fc": 1.0}, None)], "instance_id string, repetition_id int, step int, phase string, reward_dict map<string,double>, error string")
+    sources.write_trajectories(rows, str(tmp_path))
+    assert not any("MapInPandas" in plan for plan in plans)  # no batch of rows in Python
+    assert (tmp_path / "step_3" / "train" / "i_0.json").read_text() == '{\n  "instance_id": "i",\n  "reward_dict": {\n    "\u00fc": 1.0\n  }\n}'
+
+
 def test_splits_round_trip(spark, tmp_path):
     rows = spark.range(250).withColumnRenamed("id", "instance_id")
     split = prep.tail_split(rows, [F.col("instance_id")])
