@@ -63,17 +63,22 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long predictions and gold: key (order), item (part), predicted, gold."""
-    flag = lambda c, v: F.max((F.col(c) == v).cast("int")) == 1
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("item"), "l_returnflag", "l_linestatus")
-    return rows.repartition(parts_of(rows), "key", "item").groupBy("key", "item").agg(flag("l_returnflag", "R").alias("predicted"), flag("l_linestatus", "F").alias("gold"))
+def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long predictions and gold, a row per line of an order: key (order), item (part), predicted, gold."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("item"), (F.col("l_returnflag") == "R").alias("predicted"), (F.col("l_linestatus") == "F").alias("gold"))
+
+
+def items(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("key", "item")) -> DataFrame:
+    """The same with each item of a key once; dealt once, by what is to meet in a task."""
+    flag = lambda c: F.max(F.col(c).cast("int")) == 1
+    rows = item_rows(spark, sf_dir)
+    return rows.repartition(parts_of(rows), *by).groupBy("key", "item").agg(flag("predicted").alias("predicted"), flag("gold").alias("gold"))
 
 
 def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as arrays of paths: key, predicted, gold."""
     path = F.concat(F.lit("src/m"), F.col("item").cast("string"), F.lit(".py"))
-    return items(spark, sf_dir).groupBy("key").agg(F.collect_set(F.when(F.col("predicted"), path)).alias("predicted"), F.collect_set(F.when(F.col("gold"), path)).alias("gold"))
+    return items(spark, sf_dir, ("key",)).groupBy("key").agg(F.collect_set(F.when(F.col("predicted"), path)).alias("predicted"), F.collect_set(F.when(F.col("gold"), path)).alias("gold"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,10 +52,22 @@ def tool_result(predicted: Column, gold: Column) -> dict[str, Column]:
     return {"success": F.when(predicted.isNotNull(), 1.0).otherwise(0.0)} | {name: F.when(known, score).otherwise(0.0) for name, score in scores.items()}
 
 
-def long_sizes(items: DataFrame, key: str) -> DataFrame:
-    """Sizes from long rows (key, item, predicted, gold flags); one shuffle on (key, item), partial sums on key."""
-    flags = items.groupBy(key, "item").agg(F.max(F.col("predicted").cast("int")).alias("p"), F.max(F.col("gold").cast("int")).alias("g"))
-    return flags.groupBy(key).agg(F.sum(F.col("p") * F.col("g")).alias("n_common"), F.sum("p").alias("n_predicted"), F.sum("g").alias("n_gold"))
+def long_sizes(items: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Sizes from long rows (key, item, predicted, gold flags), which may repeat; one shuffle on (key, item), partial sums on key.
+
+    With `parts` (`order.parts_of`), rows are dealt to so many tasks by key and bucket of items, and a sum per bucket to so many by key: a
+    task's share does not grow with the table, and a key with any number of items is summed in many tasks.
+    """
+    of = [key]
+    if parts is not None:
+        of = [key, "_bucket"]
+        bucket = F.pmod(F.xxhash64("item"), F.lit(parts))
+        items = items.repartition(parts, key, bucket).withColumn("_bucket", bucket)  # worked out on both sides, so that it need not travel
+    flags = items.groupBy(*of, "item").agg(F.max(F.col("predicted").cast("int")).alias("p"), F.max(F.col("gold").cast("int")).alias("g"))
+    sums = flags.groupBy(*of).agg(F.sum(F.col("p") * F.col("g")).alias("n_common"), F.sum("p").alias("n_predicted"), F.sum("g").alias("n_gold"))
+    if parts is None:
+        return sums
+    return sums.repartition(parts, key).groupBy(key).agg(*[F.sum(n).alias(n) for n in sums.columns[2:]])
 
 
 LEVELS = ("file", "module", "entity")
