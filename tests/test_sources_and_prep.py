@@ -93,6 +93,15 @@ def test_files_of_no_bytes_are_rejected(spark, tmp_path):
     assert spark.read.parquet(f"{store}/_rejects").where("reason = 'empty file'").count() == 2
 
 
+def test_empty_files_are_those_of_the_listing(spark, tmp_path):
+    tree(tmp_path / "a,b")
+    tree(tmp_path / "axb")  # a folder that a pattern for the other's name would match too
+    for root in (f"{tmp_path}/a,b", [f"{tmp_path}/a,b/step_2/train"]):
+        assert [r.path for r in sources.rejects(sources.scan_trajectories(spark, root)).collect()] == [f"file:{tmp_path}/a,b/step_2/train/bad.json"]
+    (tmp_path / "a,b" / "step_2" / "train" / "\u3000 %.json").touch()
+    assert [(r.id, r.reason) for r in sources.scan_trajectories(spark, f"file://{tmp_path}/a,b/").where("reason <> 'not a JSON document'").collect()] == [("\u3000 %", "empty file")]
+
+
 def test_folders_are_converted_once_and_pruned(spark, tmp_path):
     tree(tmp_path / "runs")
     root, store = f"file://{tmp_path}/runs", f"file://{tmp_path}/store"

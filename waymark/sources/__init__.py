@@ -10,9 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark import RDD
-from pyspark.serializers import UTF8Deserializer
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hit_file, step_number, strip
@@ -70,19 +68,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def file_path() -> Column:
     """The path of the file that a row comes from, as it is on the store (Spark percent-encodes it)."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return _decoded(F.col("_metadata.file_path"))
 
 
-def _empty_files(spark: SparkSession, roots: list[str], files: list[str], suffix: str) -> DataFrame:
-    """path of the files of no bytes that folders hold, which Spark's file sources leave out: what Hadoop lists and they do not.
+def _decoded(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
-    roots are the folders (or patterns of them), files what names the same files for Spark. Only names travel; no file is opened.
+
+def _folder_files(spark: SparkSession, folders: list[str], suffix: str) -> tuple[DataFrameReader, Column]:
+    """A reader for the files of a suffix right in folders (or patterns of them), and the condition on `path` that leaves deeper ones out.
+
+    The folders are what is listed. A pattern of files would have Spark list each file it matches as a folder of its own.
+    """
+    depths = {fs.makeQualified(path).depth() + 1 for fs, path in (_hadoop(spark, f) for f in folders)}
+    names = F.split(F.regexp_replace("path", "^[^/]*:(//[^/]*)?", ""), "/")
+    reader = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True)  # no folder k=v becomes a column
+    return reader, (F.size(names) - 1).isin(*depths)
+
+
+def _empty_files(reader: DataFrameReader, folders: list[str]) -> DataFrame:
+    """path of the files of no bytes: Spark lists them with the others, but its file sources leave them out.
+
+    Names alone are taken from the listing that a reader makes anyway, and no file is opened.
     """
-    # a comma parts paths here, and a pattern's ? stands for it
-    names = spark.sparkContext._jsc.binaryFiles(",".join(r.replace(",", "?") for r in roots)).keys()
-    listed = RDD(names, spark.sparkContext, UTF8Deserializer()).map(lambda path: (path,)).toDF("path string").where(F.col("path").endswith(suffix))
-    filled = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(files).select("path")
-    return listed.join(filled, "path", "left_anti")
+    listing = reader.format("binaryFile").load(folders)
+    spark = listing.sparkSession
+    names = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", listing._jdf.inputFiles())  # encoded, and so without newlines; one call for all
+    path = F.regexp_replace(_decoded(F.col("name")), "^([^/]*:)//(?=/)", "$1")
+    listed = spark.createDataFrame([(name,) for name in names.split("\n") if name], "name string").select(path.alias("path"))
+    return listed.join(listing.select("path"), "path", "left_anti")
 
 
 def scan_trajectories(spark: SparkSession, root: str | list[str], observation: Observation | None = None) -> DataFrame:
@@ -92,9 +106,11 @@ def scan_trajectories(spark: SparkSession, root: str | list[str], observation: O
     another type than the schema gives it; its fields are null then. An observation counts n_read and n_rejected as the scan runs. root may be a
     list of folders ``.../step_N/phase``.
     """
-    files, folders = ([f"{root}/step_*/*/*.json"], [f"{root}/step_*/*"]) if isinstance(root, str) else (root, root)
-    whole = spark.read.option("pathGlobFilter", "*.json").text(files, wholetext=True).select(F.col("value"), file_path().alias("path"))
-    whole = whole.unionByName(_empty_files(spark, folders, files, ".json").withColumn("value", F.lit("")))
+    folders = [f"{root}/step_*/*"] if isinstance(root, str) else root
+    reader, of_folders = _folder_files(spark, folders, ".json")
+    empty = _empty_files(reader, folders).select(F.lit("").alias("value"), "path")
+    filled = reader.text(folders, wholetext=True).select("value", file_path().alias("path"))
+    whole = filled.unionByName(empty).where(of_folders)
     document = F.from_json("value", f"{TRAJECTORY}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     kind = F.schema_of_variant(F.try_parse_json("value"))
     reason = (
