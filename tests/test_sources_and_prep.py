@@ -102,6 +102,24 @@ def test_empty_files_are_those_of_the_listing(spark, tmp_path):
     assert [(r.id, r.reason) for r in sources.scan_trajectories(spark, f"file://{tmp_path}/a,b/").where("reason <> 'not a JSON document'").collect()] == [("\u3000 %", "empty file")]
 
 
+def test_folders_are_listed_and_not_each_file(spark, tmp_path):
+    tree(tmp_path)
+    train = tmp_path / "step_2" / "train"
+    for i in range(40):
+        (train / f"n{i}.json").write_text("{}")
+    for deep in ("k=v", "step_3/eval"):  # neither a column nor a run of this tree
+        (train / deep).mkdir(parents=True)
+        (train / deep / "z.json").write_text("{}")
+        (train / deep / "empty.json").touch()
+    (tmp_path / "step_2" / "high.json").write_text("{}")
+    spark.sparkContext.setJobGroup("listing of a tree", "")
+    scans = [sources.scan_trajectories(spark, root) for root in (str(tmp_path), [str(train)])]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("listing of a tree")) == []  # with a task for each file beyond 32 of them
+    ids = [f"n{i}" for i in range(40)] + ["a_0", "bad"]
+    assert [sorted(r.id for r in scan.select("id").collect()) for scan in scans] == [sorted([*ids, "b_1", "c_0"]), sorted(ids)]
+
+
 def test_folders_are_converted_once_and_pruned(spark, tmp_path):
     tree(tmp_path / "runs")
     root, store = f"file://{tmp_path}/runs", f"file://{tmp_path}/store"
