@@ -115,19 +115,20 @@ def scan_trajectories(spark: SparkSession, root: str | list[str], observation: O
     kind = F.schema_of_variant(F.try_parse_json("value"))
     reason = (
         F.when(strip(F.col("value")) == "", "empty file")
-        .when(kind.isNull(), "not a JSON document")
-        .when(~kind.startswith("OBJECT"), "not an object")
+        .when(F.col("kind").isNull(), "not a JSON document")
+        .when(~F.col("kind").startswith("OBJECT"), "not an object")
         .when(F.col("document").isNull() | F.col("document._corrupt").isNotNull(), "a field has an unexpected type")
     )
     parts = F.split("path", "/")
     fields = [c for c in spark.createDataFrame([], TRAJECTORY).columns]
-    rows = whole.withColumn("document", document).select(
+    # worked out once a document, not once a field
+    rows = whole.withColumns({"document": document, "kind": kind}).withColumn("reason", reason).select(
         step_number(F.element_at(parts, -3)).alias("step"),
         F.element_at(parts, -2).alias("phase"),
         F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("id"),
-        *[F.when(reason.isNull(), F.col("document")[c]).alias(c) for c in fields],
+        *[F.when(F.col("reason").isNull(), F.col("document")[c]).alias(c) for c in fields],
         "path",
-        reason.alias("reason"),
+        "reason",
     )
     return rows if observation is None else rows.observe(observation, F.count("*").alias("n_read"), F.count("reason").alias("n_rejected"))
 
